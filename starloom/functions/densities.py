@@ -78,13 +78,30 @@ def point_snr(flux: Column, gain: float) -> Column:
     return F.sqrt(F.lit(gain)) * flux / F.sqrt(F.lit(17.5 * 179) + flux)
 
 
-def flux_error(flux: Column, gain: float) -> Column:
-    return F.sqrt((F.lit(17.5 * 179) + flux) / F.lit(gain))
+def flux_error(flux: Column, gain: float, back: float, psf: Sequence[float]) -> Column:
+    """Flux error of an isolated source with stencil `psf` on background
+    `back`; the stencil has a few hundred entries at most."""
+    stencil = F.array(*[F.lit(float(p)) for p in psf])
+    info = F.aggregate(
+        F.transform(stencil, lambda p: p * p / (F.lit(float(back)) + p * flux)), F.lit(0.0), lambda s, v: s + v
+    )
+    return F.lit(1.0) / F.sqrt(F.lit(float(gain)) * info)
+
+
+# 2.5 / ln 10, and the floor of the relative flux error.
+MAG_PER_FRACTION = 1.08573620476
+CALIBRATION_FLOOR = 0.01
+
+
+def mag_error(flux: Column, error: Column) -> Column:
+    rel = error / flux
+    return F.lit(MAG_PER_FRACTION) * F.sqrt(rel * rel + CALIBRATION_FLOOR**2)
 
 
-def mag_error(flux: Column, gain: float) -> Column:
-    """1.08 sigma_f / f."""
-    return F.lit(1.08) * flux_error(flux, gain) / flux
+def band_weights(present: Sequence[bool]) -> list[float]:
+    """Equal weights over the bands that are there."""
+    n = sum(bool(p) for p in present)
+    return [1.0 / n if p else 0.0 for p in present]
 
 
 def n_eff(df: DataFrame, weight: str, by: Sequence[str] = ()) -> DataFrame:

@@ -80,12 +80,12 @@ def red_sources(
 
 
 def select_point_sources(df: DataFrame, box: Sequence[float], kind: int = 6) -> DataFrame:
-    """Point sources of an object table in a box with all of bands 2-5 lit;
-    adds the band fluxes in counts."""
+    """Point sources of an object table in a box (rows, then columns) with all
+    of bands 2-5 lit; 0-based positions from the box corner, fluxes in counts."""
     x0, x1, y0, y1 = map(float, box)
-    col, row = F.col("objc_colc"), F.col("objc_rowc")
+    row, col = F.col("objc_rowc"), F.col("objc_colc")
     flux, unit = F.col("psfflux"), F.col("nmgypercount")
-    keep = (col > x0) & (col < x1) & (row > y0) & (row < y1) & (F.element_at("type", 1) == kind)
+    keep = (row > x0) & (row < x1) & (col > y0) & (col < y1) & (F.element_at("type", 1) == kind)
     for band in range(2, 6):
         keep = keep & (F.element_at(flux, band) > 0)
     bands = [
@@ -93,7 +93,7 @@ def select_point_sources(df: DataFrame, box: Sequence[float], kind: int = 6) ->
         for band, name in zip(range(2, 6), "griz")
     ]
     rest = [c for c in df.columns if c not in ("type", "psfflux", "nmgypercount", "objc_rowc", "objc_colc")]
-    return df.where(keep).select(*rest, (col - x0).alias("x"), (row - y0).alias("y"), *bands)
+    return df.where(keep).select(*rest, (row - x0 - 1.0).alias("x"), (col - y0 - 1.0).alias("y"), *bands)
 
 
 def mask_saturated(df: DataFrame, threshold: float, radius: int, plane: str = "image") -> DataFrame:
