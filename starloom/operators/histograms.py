@@ -65,3 +65,110 @@ def hist_lookup(df: DataFrame, column: str, hist: DataFrame, edges: Sequence[flo
         .withColumn(out, F.coalesce(out, F.lit(0.0)))
         .drop("bin")
     )
+
+
+def density2d(
+    df: DataFrame, x_edges: Sequence[float], y_edges: Sequence[float], norm: str = "max", x: str = "x", y: str = "y"
+) -> DataFrame:
+    """2-D histogram, zero filled, with counts over their maximum or sum. The
+    normalising window runs over the cells of the grid, not over the rows."""
+    nx, ny = len(x_edges) - 1, len(y_edges) - 1
+    counted = (
+        df.select(bin_index(F.col(x), x_edges, True).alias("bx"), bin_index(F.col(y), y_edges, True).alias("by_"))
+        .where(F.col("bx").isNotNull() & F.col("by_").isNotNull())
+        .groupBy("bx", "by_")
+        .agg(F.count(F.lit(1)).alias("n"))
+    )
+    grid = df.sparkSession.range(nx * ny).select(F.floor(F.col("id") / float(ny)).alias("bx"), (F.col("id") % ny).alias("by_"))
+    out = grid.join(counted, ["bx", "by_"], "left").withColumn("n", F.coalesce("n", F.lit(0).cast("bigint")))
+    whole = W.partitionBy(F.lit(0))
+    scale = F.max("n").over(whole) if norm == "max" else F.sum("n").over(whole)
+    return out.withColumn("density", F.col("n") / scale)
+
+
+def density_region(dens: DataFrame, sigma: float = 1.0) -> DataFrame:
+    """Cells of a max-normalised density at or above 1 - exp(-sigma^2 / 2)."""
+    return dens.where(F.col("density") >= 1.0 - F.exp(F.lit(-0.5 * sigma * sigma)))
+
+
+def number_counts(
+    src: DataFrame, edges: Sequence[float], sr: float, flux: str = "f0", by: Sequence[str] = ("field_id",)
+) -> DataFrame:
+    """Euclidean-normalised counts N S^2.5 / sr / dS in bars of log10 S + 3:
+    median, p16 and p84 over samples, with the sqrt(n) error of the mean."""
+    logs = src.select(*by, "sample_id", (F.log10(F.col(flux)) + 3.0).alias("_s"))
+    per = histogram(logs, "_s", edges, by=[*by, "sample_id"])
+    ten = F.lit(10.0)
+    s = F.pow(ten, (F.col("lo") + F.col("hi")) * 0.5 - 3.0)
+    ds = F.pow(ten, F.col("hi") - 3.0) - F.pow(ten, F.col("lo") - 3.0)
+    scale = F.pow(s, F.lit(2.5)) / F.lit(float(sr)) / ds
+    return (
+        per.withColumn("dn", F.col("n") * scale)
+        .groupBy(*by, "bin")
+        .agg(
+            F.percentile("dn", F.lit(0.5)).alias("median"), F.percentile("dn", F.lit(0.16)).alias("p16"),
+            F.percentile("dn", F.lit(0.84)).alias("p84"), (F.sqrt(F.avg("n")) * F.first(scale)).alias("root_n"),
+        )
+    )
+
+
+def scott_edges(df: DataFrame, column: str) -> DataFrame:
+    """k edges between the extremes, k from Scott's width 3.5 std n^(-1/3)."""
+    c = F.col(column)
+    stats = df.agg(
+        F.count(c).alias("n"), F.stddev_pop(c).alias("std"), F.min(c).alias("lo"), F.max(c).alias("hi")
+    )
+    width = F.lit(3.5) * F.col("std") / F.pow(F.col("n"), F.lit(1.0 / 3.0))
+    k = F.ceil((F.col("hi") - F.col("lo")) / width)
+    return (
+        stats.withColumn("k", k)
+        .withColumn("edge_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("k") - 1)))
+        .select("edge_id", (F.col("lo") + (F.col("hi") - F.col("lo")) * F.col("edge_id") / (F.col("k") - 1)).alias("edge"))
+    )
+
+
+def hdpi(hist: DataFrame, frac: float, by: Sequence[str] = ()) -> DataFrame:
+    """Highest-density interval of a histogram (bin, t, p): from the mode, add
+    the higher neighbouring bar (the left one on equality) until the mass
+    reaches `frac` or the bars run out. Bars of a histogram are few, so they
+    fold as one array."""
+    bars = hist.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("bin", "t", "p"))).alias("h"))
+    h = F.col("h")
+    mode = F.array_position(F.transform(h, lambda b: b["p"]), F.array_max(F.transform(h, lambda b: b["p"])))
+    start = F.struct(
+        mode.cast("int").alias("lo"), mode.cast("int").alias("hi"), F.element_at(h, mode.cast("int"))["p"].alias("mass")
+    )
+
+    def step(s, _):
+        none = F.lit(-1.0)
+        left = F.when(s["lo"] > 1, F.try_element_at(h, F.when(s["lo"] > 1, s["lo"] - 1).otherwise(F.lit(1)))["p"]).otherwise(none)
+        right = F.coalesce(F.try_element_at(h, s["hi"] + 1)["p"], none)
+        done = (s["mass"] >= frac) | ((left < 0) & (right < 0))
+        go_right = right > left
+        return F.when(done, s).otherwise(
+            F.struct(
+                F.when(go_right, s["lo"]).otherwise(s["lo"] - 1).alias("lo"),
+                F.when(go_right, s["hi"] + 1).otherwise(s["hi"]).alias("hi"),
+                (s["mass"] + F.when(go_right, right).otherwise(left)).alias("mass"),
+            )
+        )
+
+    folded = bars.withColumn("_s", F.aggregate(h, start, step))
+    return folded.select(
+        *by, F.element_at(h, F.col("_s.lo"))["t"].alias("t_lo"), F.element_at(h, F.col("_s.hi"))["t"].alias("t_hi"),
+        F.col("_s.mass").alias("mass"), (F.col("_s.hi") - F.col("_s.lo") + 1).cast("bigint").alias("bars"),
+    )
+
+
+def sample_posterior(
+    df: DataFrame, column: str, edges: Sequence[float], by: Sequence[str] = ("field_id",)
+) -> DataFrame:
+    """Median and scatter over samples of each sample's histogram (+0.01),
+    over the total median times the bar width."""
+    per = histogram(df, column, edges, by=[*by, "sample_id"])
+    bars = per.groupBy(*by, "bin").agg(
+        F.percentile(F.col("n") + 0.01, F.lit(0.5)).alias("median"), F.stddev_pop(F.col("n") + 0.01).alias("std"),
+        F.first(F.col("hi") - F.col("lo")).alias("width"),
+    )
+    scale = F.sum("median").over(W.partitionBy(*by)) * F.col("width")
+    return bars.select(*by, "bin", (F.col("median") / scale).alias("median"), (F.col("std") / scale).alias("std"))
