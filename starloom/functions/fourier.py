@@ -29,8 +29,11 @@ def line_transform(
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             z = np.zeros((len(pdf), length), dtype=complex)
-            for row, (at, re, im) in enumerate(zip(pdf["at"], pdf["re"], pdf["im"])):
-                z[row, np.asarray(at)] = np.asarray(re) + 1j * np.asarray(im)
+            if len(pdf) == 0:
+                continue
+            row = np.repeat(np.arange(len(pdf)), [len(a) for a in pdf["at"]])
+            at, re, im = (np.concatenate(pdf[c].to_list()) for c in ("at", "re", "im"))
+            z[row, at] = re + 1j * im
             out = fn(z, pdf[names])
             yield pdf[names].assign(re=list(out.real), im=list(out.imag))
 

@@ -98,6 +98,11 @@ def tau(xi: DataFrame, floor: float = 0.2) -> DataFrame:
     return xi.where(F.col("xi") > floor).groupBy("chain_id").agg((F.count(F.lit(1)) - 1).alias("tau"))
 
 
+def median_tau(times: DataFrame) -> DataFrame:
+    """Adds the median time over the chains; one row per chain goes in."""
+    return times.withColumn("median_tau", times.agg(F.percentile("tau", F.lit(0.5))).scalar())
+
+
 def geweke(
     df: DataFrame, first: float = 0.1, last: float = 0.5, intervals: int = 20, block: int = BLOCK
 ) -> DataFrame:

@@ -163,12 +163,12 @@ def hdpi(hist: DataFrame, frac: float, by: Sequence[str] = ()) -> DataFrame:
 def sample_posterior(
     df: DataFrame, column: str, edges: Sequence[float], by: Sequence[str] = ("field_id",)
 ) -> DataFrame:
-    """Median and scatter over samples of each sample's histogram (+0.01),
-    over the total median times the bar width."""
+    """Median and scatter over samples of each sample's histogram (+0.01), and
+    the medians as a density: over their sum and the bar width."""
     per = histogram(df, column, edges, by=[*by, "sample_id"])
     bars = per.groupBy(*by, "bin").agg(
         F.percentile(F.col("n") + 0.01, F.lit(0.5)).alias("median"), F.stddev_pop(F.col("n") + 0.01).alias("std"),
         F.first(F.col("hi") - F.col("lo")).alias("width"),
     )
     scale = F.sum("median").over(W.partitionBy(*by)) * F.col("width")
-    return bars.select(*by, "bin", (F.col("median") / scale).alias("median"), (F.col("std") / scale).alias("std"))
+    return bars.select(*by, "bin", "median", "std", (F.col("median") / scale).alias("density"))
