@@ -70,7 +70,10 @@ def autocorr(df: DataFrame) -> DataFrame:
     power spectrum's transform then holds the plain lag sums, and the circular
     one at lag l adds those of l and n - l.
     """
-    stats = df.groupBy("chain_id").agg(F.count(F.lit(1)).alias("_n"), F.avg("value").alias("_m"))
+    stats = df.groupBy("chain_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("value").alias("_m"),
+        (F.var_pop("value") * F.count(F.lit(1))).alias("_c0"),
+    )
     longest = stats.agg(F.max("_n")).first()[0] or 1
     n1, n2 = split_length(2 * longest)
     series = df.join(stats, "chain_id").select(
@@ -80,17 +83,17 @@ def autocorr(df: DataFrame) -> DataFrame:
     power = spectrum.select(
         "chain_id", "i", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("re"), F.lit(0.0).alias("im")
     )
-    lagged = long_fft(power, ["chain_id"], "i", n1, n2).join(stats.select("chain_id", "_n"), "chain_id")
+    lagged = long_fft(power, ["chain_id"], "i", n1, n2).join(stats.select("chain_id", "_n", "_c0"), "chain_id")
     lagged = lagged.where(F.col("i") < F.col("_n"))
     mirror = F.when(F.col("i") > 0, F.array("i", F.col("_n") - F.col("i"))).otherwise(F.array("i"))
-    sums = (
+    # The transform of a power spectrum is n1 * n2 times the lag sums; lag 0,
+    # the highest, is the plain sum of squares.
+    return (
         lagged.withColumn("lag", F.explode(mirror))
         .where(F.col("lag") < F.floor(F.col("_n") / 2.0))
         .groupBy("chain_id", "lag")
-        .agg(F.sum("re").alias("_c"))
+        .agg((F.sum("re") / F.first("_c0") / float(n1 * n2)).alias("xi"))
     )
-    peak = sums.where(F.col("lag") == 0).select("chain_id", F.col("_c").alias("_c0"))
-    return sums.join(peak, "chain_id").select("chain_id", "lag", (F.col("_c") / F.col("_c0")).alias("xi"))
 
 
 def tau(xi: DataFrame, floor: float = 0.2) -> DataFrame:

@@ -21,49 +21,46 @@ def stacked(det: DataFrame) -> DataFrame:
 
 
 def friend_pairs(det: DataFrame, radius: float, cross_sample_only: bool = False) -> DataFrame:
-    """All pairs i < j of stacked detections of a field within the radius;
-    `differs` tells whether their fluxes do, which makes the pair an edge."""
-    node = det.select("field_id", "sample_id", "id", "x", "y", "f0")
-    left = node.select("field_id", F.col("sample_id").alias("si"), F.col("id").alias("i"), F.col("x").alias("ax"), F.col("y").alias("ay"), F.col("f0").alias("fi"))
-    right = node.select("field_id", F.col("sample_id").alias("sj"), F.col("id").alias("j"), F.col("x").alias("bx"), F.col("y").alias("by"), F.col("f0").alias("fj"))
-    pairs = radius_pairs(left, right, radius, ["field_id"]).where(F.col("i") < F.col("j"))
+    """All ordered pairs i != j of stacked detections of a field within the
+    radius; `differs` tells whether their fluxes do, which makes an edge. The
+    tile join meets both orders anyway, so each costs nothing extra."""
+    def side(me, x, y):
+        return det.select(
+            "field_id", F.col("sample_id").alias(f"s{me}"), F.col("id").alias(me),
+            F.col("x").alias(x), F.col("y").alias(y), F.col("f0").alias(f"f{me}"),
+        )
+
+    pairs = radius_pairs(side("i", "ax", "ay"), side("j", "bx", "by"), radius, ["field_id"]).where(
+        F.col("i") != F.col("j")
+    )
     if cross_sample_only:
         pairs = pairs.where(F.col("si") != F.col("sj"))
     return pairs.select("field_id", "i", "j", "si", "sj", "d2", (F.col("fi") != F.col("fj")).alias("differs"))
 
 
 def friend_graph(det: DataFrame, radius: float, cross_sample_only: bool = False) -> DataFrame:
-    """Edges (field, i, j, d2) between detections of different flux."""
+    """Edges (field, i < j, d2) between detections of different flux."""
     pairs = friend_pairs(det, radius, cross_sample_only)
-    return pairs.where("differs").select("field_id", "i", "j", "d2")
+    return pairs.where((F.col("i") < F.col("j")) & F.col("differs")).select("field_id", "i", "j", "d2")
 
 
 def prune_edges(pairs: DataFrame, radius: float) -> DataFrame:
     """Edges left when every detection keeps, in each other sample, only its
-    nearest partner, and both ends agree.
+    nearest partner, and both ends agree; partners in its own sample all stay.
 
     The nearest is a running minimum per (detection, other sample), combined
     before the shuffle, so what moves is bounded by detections x samples and
     not by the number of pairs. Agreement is a count of directions.
     """
-    there = pairs.select("field_id", "i", "j", "si", "sj", "d2", "differs")
-    back = pairs.select(
-        "field_id", F.col("j").alias("i"), F.col("i").alias("j"), F.col("sj").alias("si"), F.col("si").alias("sj"), "d2", "differs"
-    )
-    directed = there.unionByName(back)
-    nearest = (
-        directed.where(F.col("si") != F.col("sj"))
-        .groupBy("field_id", "i", "sj")
+    own = F.when(F.col("si") == F.col("sj"), F.col("j")).otherwise(-1)
+    kept = (
+        pairs.groupBy("field_id", "i", "sj", own.alias("own"))
         .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d2", "j", "differs")).alias("b"))
         .where(F.col("b.differs") & ((F.col("n") == 1) | (F.col("b.d2") < radius * radius)))
-        .select("field_id", "i", F.col("b.j").alias("j"), F.col("b.d2").alias("d2"))
     )
-    ends = ["field_id", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi")]
-    agreed = (
-        nearest.groupBy(*ends).agg(F.count(F.lit(1)).alias("n"), F.first("d2").alias("d2")).where(F.col("n") == 2)
-    ).select("field_id", F.col("lo").alias("i"), F.col("hi").alias("j"), "d2")
-    same = pairs.where(F.col("differs") & (F.col("si") == F.col("sj"))).select("field_id", "i", "j", "d2")
-    return agreed.unionByName(same)
+    ends = (F.least("i", "b.j").alias("lo"), F.greatest("i", "b.j").alias("hi"))
+    agreed = kept.groupBy("field_id", *ends).agg(F.count(F.lit(1)).alias("n"), F.min("b.d2").alias("d2"))
+    return agreed.where(F.col("n") == 2).select("field_id", F.col("lo").alias("i"), F.col("hi").alias("j"), "d2")
 
 
 def greedy_seeds(nodes: DataFrame, edges: DataFrame) -> DataFrame:

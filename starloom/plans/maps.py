@@ -125,7 +125,7 @@ def j16_apply_templates(spark, sf):
     planes = pixels(spark, sf).select(
         (F.col("map_id") % 3).alias("band"), "map_id", "row_", "col_", F.posexplode(F.array("image", "error")).alias("tmpl", "value")
     ).withColumn("tmpl", F.col("tmpl").cast("bigint"))
-    return rounded(L.apply_templates(amplitudes(spark, sf), planes), 9, "value")
+    return rounded(L.apply_templates(amplitudes(spark, sf), planes, (0, 1)), 9, "value")
 
 
 WPIX = "w AS (SELECT *, CASE WHEN error > 0 THEN 1e0/(error*error) ELSE 0e0 END AS weight FROM pix)"
