@@ -69,21 +69,29 @@ def ellipse_moments(points: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def fit_ellipse(points: DataFrame, by: Sequence[str]) -> DataFrame:
     """Direct least-squares ellipse of each group: centre, angle and axes. Spark
-    reduces the points to fifteen sums; the 6 x 6 step sees one row per group."""
-    powers = [(2, 0), (1, 1), (0, 2), (1, 0), (0, 1), (0, 0)]
+    reduces the points to fifteen sums; the eigenvector step sees one row per group."""
+    curved, flat = [(2, 0), (1, 1), (0, 2)], [(1, 0), (0, 1), (0, 0)]
     keys = list(by)
 
+    def block(r, rows, cols):
+        return np.array([[r[f"m{a + c}{b + d}"] for c, d in cols] for a, b in rows], dtype=float)
+
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        ellipse = np.zeros((6, 6))
-        ellipse[0, 2] = ellipse[2, 0] = 2.0
-        ellipse[1, 1] = -1.0
+        # 4 A C - B^2 as a quadratic form of (A, B, C), inverted.
+        unbend = np.linalg.inv(np.array([[0.0, 0.0, 2.0], [0.0, -1.0, 0.0], [2.0, 0.0, 0.0]]))
         for pdf in batches:
             rows = []
             for _, r in pdf.iterrows():
-                scatter = np.array([[r[f"m{a + c}{b + d}"] for c, d in powers] for a, b in powers], dtype=float)
-                values, vectors = np.linalg.eig(np.linalg.solve(scatter, ellipse))
-                q = np.real(vectors[:, np.argmax(np.abs(values))])
-                rows.append(_geometry(q, r["mean_x"], r["mean_y"]))
+                # The straight part follows from the curved one, which leaves a
+                # 3 x 3 problem that stays solvable for points exactly on an
+                # ellipse; its one elliptic solution is the fit.
+                follow = -np.linalg.solve(block(r, flat, flat), block(r, flat, curved))
+                rest = block(r, curved, curved) + block(r, curved, flat) @ follow
+                _, vectors = np.linalg.eig(unbend @ rest)
+                vectors = np.real(vectors)
+                bend = 4.0 * vectors[0] * vectors[2] - vectors[1] ** 2
+                q = vectors[:, np.argmax(bend)]
+                rows.append(_geometry(np.concatenate([q, follow @ q]), r["mean_x"], r["mean_y"]))
             yield pdf[keys].assign(**pd.DataFrame(rows, columns=["x0", "y0", "phi", "axis_1", "axis_2"], index=pdf.index))
 
     moments = ellipse_moments(points, by)
