@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from starloom.operators.spatial import radius_pairs
 
@@ -49,7 +49,10 @@ def brightest_neighbour(
     )
 
 
-@F.pandas_udf("struct<best_flux double, dlogl double>")
+FIT = T.StructType([T.StructField("best_flux", T.DoubleType()), T.StructField("dlogl", T.DoubleType())])
+
+
+@F.pandas_udf(FIT)
 def _one_source_fit(d: pd.Series, bright: pd.Series, faint: pd.Series, sigma: pd.Series, var: pd.Series) -> pd.DataFrame:
     """Best single source for a pair, and what two sources gain over it.
 

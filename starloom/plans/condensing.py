@@ -7,11 +7,10 @@ from pyspark.sql import functions as F
 from starloom.operators import condensing as C
 from starloom.operators import histograms as H
 from starloom.operators import neighbours as N
-from starloom.plans.oracle import bin_rows, query, rounded, sql
-from starloom.sources.fixtures import detections, truth
+from starloom.plans.oracle import bin_rows, nudged, query, rounded, sql
+from starloom.sources.fixtures import detections, table, truth
 
 LINK = 0.75
-CELL = f"CAST(FLOOR({{}} / 0.75e0) AS BIGINT)"
 PAIRS = """
 n AS (SELECT field_id, sample_id, sample_id * 1000000 + src AS id, x, y, f0, CAST(FLOOR(x/0.75e0) AS BIGINT) AS cx,
   CAST(FLOOR(y/0.75e0) AS BIGINT) AS cy FROM det),
@@ -78,27 +77,28 @@ def _condensed_sql(scale: str) -> str:
     out = []
     for c in ("x", "y", "f0", "f1", "f2"):
         cols += [f"QUANTILE_CONT(d.{c}, 0.16e0) AS lo_{c}", f"QUANTILE_CONT(d.{c}, 0.84e0) AS hi_{c}"]
-        out.append(f"ROUND(CASE WHEN n > 1 THEN {scale}*(hi_{c}-lo_{c}) ELSE 0e0 END, 9) AS err_{c}")
+        out.append(nudged(f"CASE WHEN n > 1 THEN {scale}*(hi_{c}-lo_{c}) ELSE 0e0 END", 6) + f" AS err_{c}")
     for b in ("f0", "f1", "f2"):
         cols.append(f"AVG(d.{b}) AS m_{b}")
-        out += [f"ROUND(m_{b}, 9) AS mean_{b}", f"CASE WHEN n > 1 THEN ROUND(hi_{b}, 9) END AS hipct_{b}", f"CASE WHEN n > 1 THEN ROUND(lo_{b}, 9) END AS lopct_{b}"]
+        out.append(nudged(f"m_{b}", 6) + f" AS mean_{b}")
+        out += [f"CASE WHEN n > 1 THEN {nudged(f'{end}_{b}', 6)} END AS {end}pct_{b}" for end in ("hi", "lo")]
     return f"""WITH RECURSIVE {CLAIMS}, ns AS (SELECT field_id, COUNT(DISTINCT sample_id) AS nsamp FROM det GROUP BY 1),
 q AS (SELECT k.field_id, k.truth_id, {', '.join(cols)} FROM claims k JOIN det d ON k.field_id = d.field_id
  AND k.sample_id = d.sample_id AND k.src = d.src GROUP BY 1, 2)
-SELECT q.field_id, q.truth_id, ROUND(mx, 9) + 0e0 AS mean_x, ROUND(my, 9) + 0e0 AS mean_y,
-ROUND(n / CAST(nsamp AS DOUBLE), 9) AS confidence, {', '.join(out)} FROM q JOIN ns ON q.field_id = ns.field_id"""
+SELECT q.field_id, q.truth_id, {nudged('mx', 6)} AS mean_x, {nudged('my', 6)} AS mean_y,
+{nudged('n / CAST(nsamp AS DOUBLE)', 6)} AS confidence, {', '.join(out)} FROM q JOIN ns ON q.field_id = ns.field_id"""
 
 
 @query("a5_condense", sql(_condensed_sql("0.5e0"), "truth", "det"))
 def a5_condense(spark, sf):
     claims, ens = _claims(spark, sf)
-    return rounded(C.condense(claims, ens, "truth_id", ("f0", "f1", "f2")), 9)
+    return rounded(C.condense(claims, ens, "truth_id", ("f0", "f1", "f2")), 6, nudge=True)
 
 
 @query("a5_condense_full_width", sql(_condensed_sql("1e0"), "truth", "det"))
 def a5_condense_full_width(spark, sf):
     claims, ens = _claims(spark, sf)
-    return rounded(C.condense(claims, ens, "truth_id", ("f0", "f1", "f2"), err="full"), 9)
+    return rounded(C.condense(claims, ens, "truth_id", ("f0", "f1", "f2"), err="full"), 6, nudge=True)
 
 
 @query("a5_condensed_catalog")
@@ -110,14 +110,11 @@ def a5_condensed_catalog(spark, sf):
     return rounded(C.condense(claims, ens, "id", ("f0", "f1", "f2")), 9)
 
 
-DEGREES = [float(k) for k in range(0, 66, 5)]
 # Seeds given as a table: every part with the number of samples it is seen in.
 SEEN = "sn AS (SELECT l_partkey AS id, COUNT(DISTINCT l_orderkey % 30) AS degree FROM lineitem GROUP BY 1)"
 
 
 def _seen(spark, sf):
-    from starloom.sources.fixtures import table
-
     return (
         table(spark, sf, "lineitem").select(F.col("l_partkey").alias("id"), (F.col("l_orderkey") % 30).alias("s"))
         .distinct().groupBy("id").agg(F.count(F.lit(1)).alias("degree"))

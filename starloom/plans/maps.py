@@ -15,7 +15,7 @@ from starloom.operators import spectra as Z
 from starloom.operators import summaries as S
 from starloom.operators.quantiles import exact_quantiles
 from starloom.plans.matching import FRAC, POS
-from starloom.plans.oracle import bin_case, bin_rows, num, query, rounded, sql
+from starloom.plans.oracle import bin_case, bin_rows, nudged, num, query, rounded, sql
 from starloom.sources.fixtures import amplitudes, coefficients, detections, models, pixels, table, truth
 from starloom.sources.pixels import assemble_pixels
 
@@ -182,10 +182,11 @@ def g2_residuals(spark, sf):
     return rounded(out.select("map_id", "row_", "col_", "resid", "scaled"), 9)
 
 
-@query("a21_stack_maps", sql("""
-SELECT map_id, row_, col_, ROUND(MEDIAN(model), 12) AS median, ROUND(AVG(model), 12) AS mean, ROUND(STDDEV_POP(model), 9) AS std FROM models GROUP BY 1, 2, 3""", "models"))
+@query("a21_stack_maps", sql(f"""
+SELECT map_id, row_, col_, {nudged('MEDIAN(model)', 9)} AS median, {nudged('AVG(model)', 9)} AS mean, {nudged('STDDEV_POP(model)', 9)} AS std
+FROM models GROUP BY 1, 2, 3""", "models"))
 def a21_stack_maps(spark, sf):
-    return rounded(rounded(G.stack_maps(models(spark, sf)), 12, "median", "mean"), 9, "std")
+    return rounded(G.stack_maps(models(spark, sf)), 9, nudge=True)
 
 
 @query("a21_observed_percentiles", sql("""
@@ -224,13 +225,13 @@ s AS (SELECT field_id, sample_id, f0, f1, f2, CAST(CEIL(x) AS BIGINT) AS ix, CAS
 st AS (SELECT field_id, sample_id, iy+dr AS row_, ix+dc AS col_, f0*w AS f0, f1*w AS f1, f2*w AS f2 FROM s JOIN psf ON s.px = psf.px AND s.py = psf.py),
 g AS (SELECT field_id, sample_id, r.r AS row_, c.c AS col_ FROM (SELECT DISTINCT field_id, sample_id FROM det), (SELECT UNNEST(range(100)) AS r) r, (SELECT UNNEST(range(100)) AS c) c),
 t AS (SELECT field_id, sample_id, row_, col_, SUM(f0) AS f0, SUM(f1) AS f1, SUM(f2) AS f2 FROM st GROUP BY 1, 2, 3, 4)
-SELECT g.field_id, g.sample_id, g.row_, g.col_, ROUND(g.sample_id/1e2+COALESCE(t.f0, 0e0), 8) AS f0, ROUND(g.sample_id/1e2+COALESCE(t.f1, 0e0), 8) AS f1,
-ROUND(g.sample_id/1e2+COALESCE(t.f2, 0e0), 8) AS f2 FROM g LEFT JOIN t ON g.field_id = t.field_id AND g.sample_id = t.sample_id AND g.row_ = t.row_ AND g.col_ = t.col_""", "det"))
+SELECT g.field_id, g.sample_id, g.row_, g.col_, ROUND(g.sample_id/1e2+COALESCE(t.f0, 0e0), 6) AS f0, ROUND(g.sample_id/1e2+COALESCE(t.f1, 0e0), 6) AS f1,
+ROUND(g.sample_id/1e2+COALESCE(t.f2, 0e0), 6) AS f2 FROM g LEFT JOIN t ON g.field_id = t.field_id AND g.sample_id = t.sample_id AND g.row_ = t.row_ AND g.col_ = t.col_""", "det"))
 def g1_render(spark, sf):
     ens = detections(spark, sf)
     level = (F.col("sample_id") / 100.0)
     bkg = ens.select("field_id", "sample_id").distinct().select("field_id", "sample_id", *[level.alias(b) for b in ("f0", "f1", "f2")])
-    return rounded(G.render(ens, psf_table(spark), bkg, W, W, PHASES, ("f0", "f1", "f2")), 8)
+    return rounded(G.render(ens, psf_table(spark), bkg, W, W, PHASES, ("f0", "f1", "f2")), 6)
 
 
 def _basis_sql(shift: str = "0e0") -> str:
@@ -252,9 +253,9 @@ GRID32 = "g AS (SELECT a.r AS row_, b.c AS col_ FROM (SELECT UNNEST(range(32)) A
 
 @query("g5_synthesise", sql(f"""
 WITH {GRID32}, {_basis_sql()}
-SELECT c.sample_id, b.row_, b.col_, ROUND(SUM(c.value*b.value), 9) + 0e0 AS model FROM coeffs c JOIN basis b ON c.i = b.i AND c.j = b.j AND c.k = b.k GROUP BY 1, 2, 3""", "coeffs"))
+SELECT c.sample_id, b.row_, b.col_, ROUND(SUM(c.value*b.value), 6) + 0e0 AS model FROM coeffs c JOIN basis b ON c.i = b.i AND c.j = b.j AND c.k = b.k GROUP BY 1, 2, 3""", "coeffs"))
 def g5_synthesise(spark, sf):
-    return rounded(B.synthesise(coefficients(spark, sf), SIDE, SIDE), 9)
+    return rounded(B.synthesise(coefficients(spark, sf), SIDE, SIDE), 6)
 
 
 POWER_EDGES = [10 ** (math.log10(NTERMS + 2) * k / 5) for k in range(6)]

@@ -124,8 +124,16 @@ def bin_rows(edges) -> str:
     return f"(SELECT CAST(b AS BIGINT) AS bin, lo, hi FROM (VALUES {rows}) v(b, lo, hi))"
 
 
-def rounded(df: DataFrame, digits: int, *columns: str) -> DataFrame:
+def nudged(expr: str, digits: int) -> str:
+    """Rounding for values that are short decimals: they often end exactly on
+    half a unit, where the last bit of a sum would decide. Both sides move such
+    values by the same small part of a unit first."""
+    return f"ROUND({expr} + 3e-{digits + 2}, {digits}) + 0e0"
+
+
+def rounded(df: DataFrame, digits: int, *columns: str, nudge: bool = False) -> DataFrame:
     """Round the named columns; all DOUBLE columns when none is named."""
     names = columns or [n for n, t in df.dtypes if t == "double"]
+    shift = F.lit(float(f"3e-{digits + 2}")) if nudge else F.lit(0.0)
     # Adding zero turns -0.0 into 0.0.
-    return df.withColumns({n: F.round(F.col(n), digits) + F.lit(0.0) for n in names})
+    return df.withColumns({n: F.round(F.col(n) + shift, digits) + F.lit(0.0) for n in names})

@@ -38,11 +38,13 @@ def _source_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for sample in range(len(n)):
                 # Zero flux marks padding, so it never becomes a row.
                 live = np.flatnonzero(f[0, sample, : n[sample]] > 0)
+                if len(live) == 0:
+                    continue
                 yield pd.DataFrame(
                     {
                         "run_id": run, "sample_id": sample, "src": live,
                         "x": x[sample, live].astype(float), "y": y[sample, live].astype(float),
-                        "flux": list(f[:, sample, live].T.astype(float)),
+                        "flux": list(np.ascontiguousarray(f[:, sample, live].T, dtype=float)),
                     }
                 )
 
