@@ -8,12 +8,17 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from starloom.operators.matching import sample_counts
+from starloom.operators.ordering import position_in_group
 from starloom.operators.spatial import radius_pairs
 from starloom.session import cut_lineage
 
 # Slots per sample stay below this, so sample * SLOTS + slot numbers the
 # stacked detections of a field in sample order, brightest first.
 SLOTS = 1_000_000
+# Node numbers of a field stay below this (some 4,000 samples of full slots),
+# so (degree, id) packs into one BIGINT that sorts the same way. A running
+# maximum of a number stays in a hash table; one of a struct would sort.
+IDS = 1 << 32
 
 
 def stacked(det: DataFrame) -> DataFrame:
@@ -71,59 +76,49 @@ def greedy_seeds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     before anything near it changes. All such nodes are picked at once, per
     round; the recorded degrees are those of the sequential rule, and so is
     the order (degree desc, id desc). Each round works on the written edges of
-    the last one.
+    the last one. The node side of its joins has one row per node, so its hash
+    tables are even and the edges need no sorting.
     """
-    both = edges.select("field_id", "i", "j").unionByName(
-        edges.select("field_id", F.col("j").alias("i"), F.col("i").alias("j"))
+    # Both directions of each edge, from one pass over the edges.
+    ends = F.array(F.struct(F.col("i"), F.col("j")), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
+    both = edges.select("field_id", F.inline(ends))
+    fits = F.when((F.col("i") >= 0) & (F.col("i") < IDS), F.col("i")).otherwise(
+        F.raise_error(F.lit("node id out of range")).cast("bigint")
     )
-    alive = cut_lineage(both.repartition("field_id", "i"))
-    picked: list[DataFrame] = []
+    alive = cut_lineage(both.withColumn("i", fits))
     gone: list[DataFrame] = []
+    node = ["field_id", "i"]
     while not alive.isEmpty():
-        degree = alive.groupBy("field_id", "i").agg(F.count(F.lit(1)).alias("deg"))
-        own = degree.select("field_id", "i", F.struct("deg", F.col("i").alias("id")).alias("own"))
+        degree = alive.groupBy(*node).agg(F.count(F.lit(1)).alias("deg"))
+        own = degree.select(*node, (F.col("deg") * IDS + F.col("i")).alias("own"))
 
         def spread(keys: DataFrame, column: str) -> DataFrame:
-            heard = (
-                alive.join(keys, ["field_id", "i"])
-                .groupBy("field_id", F.col("j").alias("i"))
-                .agg(F.max(column).alias("heard"))
-            )
-            return keys.join(heard, ["field_id", "i"]).withColumn(column, F.greatest(column, "heard")).drop("heard")
+            heard = alive.join(keys.hint("shuffle_hash"), node).groupBy("field_id", F.col("j").alias("i")).agg(F.max(column).alias("heard"))
+            return keys.join(heard, node).withColumn(column, F.greatest(column, "heard")).drop("heard")
 
         reach = spread(spread(own.withColumn("top", F.col("own")), "top"), "top")
-        seeds = cut_lineage(
-            reach.where(F.col("own") == F.col("top")).select("field_id", "i", F.col("own.deg").alias("degree"))
-        )
+        seeds = reach.where(F.col("own") == F.col("top")).select(*node, F.shiftright("own", 32).alias("degree"))
+        # A seed tells its neighbours, so they arrive together with it.
+        told = F.array_union(F.array(F.col("i")), F.array(F.col("j")))
         leaving = cut_lineage(
-            seeds.select("field_id", "i")
-            .unionByName(
-                alive.join(seeds.select("field_id", "i"), ["field_id", "i"]).select("field_id", F.col("j").alias("i"))
-            )
-            .distinct()
+            alive.join(seeds.hint("shuffle_hash"), node)
+            .select("field_id", "degree", F.col("i").alias("seed"), F.explode(told).alias("i"))
+            .groupBy(*node)
+            .agg(F.max(F.when(F.col("i") == F.col("seed"), F.col("degree"))).alias("degree"))
         )
-        picked.append(seeds)
         gone.append(leaving)
-        far = leaving.withColumnRenamed("i", "j")
+        left = leaving.select(*node).hint("shuffle_hash")
         alive = cut_lineage(
-            alive.join(leaving, ["field_id", "i"], "left_anti")
-            .join(far, ["field_id", "j"], "left_anti")
-            .select("field_id", "i", "j")
-            .repartition("field_id", "i")
+            alive.join(left, node, "left_anti").join(left.withColumnRenamed("i", "j"), ["field_id", "j"], "left_anti").select(*node, "j")
         )
     base = nodes.select("field_id", F.col("id").alias("i"), "x", "y")
-    if not picked:
-        return base.select("field_id", F.col("i").alias("id"), "x", "y", F.lit(0).cast("bigint").alias("degree"))
-    union = lambda frames: reduce(lambda a, b: a.unionByName(b), frames)
-    seeds = union(picked)
-    lonely = (
-        base.select("field_id", "i")
-        .join(union(gone), ["field_id", "i"], "left_anti")
-        .withColumn("degree", F.lit(0).cast("bigint"))
-    )
-    return base.join(seeds.unionByName(lonely), ["field_id", "i"]).select(
-        "field_id", F.col("i").alias("id"), "x", "y", "degree"
-    )
+    zero = F.lit(0).cast("bigint")
+    if gone:
+        out = reduce(lambda a, b: a.unionByName(b), gone).withColumn("_left", F.lit(True))
+        # Left by all rounds: no friends any more, so a seed of degree zero.
+        base = base.join(out, node, "left").where(F.col("_left").isNull() | F.col("degree").isNotNull())
+        zero = F.coalesce("degree", zero)
+    return base.select("field_id", F.col("i").alias("id"), "x", "y", zero.alias("degree"))
 
 
 def seed_catalog(det: DataFrame, radius: float) -> DataFrame:
@@ -138,39 +133,41 @@ def prevalence_cut(seeds: DataFrame, cut: float, nsamp: int) -> DataFrame:
 
 
 def claim(
-    seeds: DataFrame, ens: DataFrame, radius: float, seed: str, priority: Sequence[Column]
+    seeds: DataFrame, ens: DataFrame, radius: float, seed: str, cell: Column, priority: Sequence[Column]
 ) -> DataFrame:
     """Which detection each seed takes in each sample: seeds choose in the
     order of `priority`, each the brightest (lowest slot) unclaimed detection
-    within the radius.
+    within the radius. `cell` follows that order and spreads its numbering.
 
     Whenever a detection is a seed's first choice and that seed comes first
     among all seeds near the detection, the sequential order gives the same
     pair; such pairs are settled together, per round, and leave. Both first
     choices are running minima, so no sample is gathered in one place.
     """
-    order = F.struct(*[c.alias(f"p{k}") for k, c in enumerate(priority)], F.col(seed).alias("seed"))
-    s = seeds.select("field_id", order.alias("prio"), F.col("x").alias("bx"), F.col("y").alias("by"))
-    d = ens.select("field_id", "sample_id", "src", F.col("x").alias("ax"), F.col("y").alias("ay"))
-    open_ = cut_lineage(
-        radius_pairs(d, s, radius, ["field_id"]).select("field_id", "sample_id", "prio", "src")
+    turns = cut_lineage(
+        position_in_group(seeds.select("field_id", seed, "x", "y", *_used(seeds, seed)), ["field_id"], cell, priority, "turn")
+        .select("field_id", seed, "turn", F.col("x").alias("bx"), F.col("y").alias("by"))
     )
-    settled: list[DataFrame] = []
+    d = ens.select("field_id", "sample_id", "src", F.col("x").alias("ax"), F.col("y").alias("ay"))
     base = ["field_id", "sample_id"]
+    open_ = cut_lineage(radius_pairs(d, turns.drop(seed), radius, ["field_id"]).select(*base, "turn", "src"))
+    settled: list[DataFrame] = []
     while not open_.isEmpty():
-        wish = open_.groupBy(*base, "prio").agg(F.min("src").alias("src"))
-        first = open_.groupBy(*base, "src").agg(F.min("prio").alias("prio"))
-        pairs = cut_lineage(wish.join(first, [*base, "prio", "src"]).select(*base, "prio", "src"))
+        wish = open_.groupBy(*base, "turn").agg(F.min("src").alias("src"))
+        first = open_.groupBy(*base, "src").agg(F.min("turn").alias("turn"))
+        pairs = cut_lineage(wish.join(first, [*base, "turn", "src"]).select(*base, "turn", "src"))
         settled.append(pairs)
         open_ = cut_lineage(
-            open_.join(pairs.select(*base, "prio"), [*base, "prio"], "left_anti")
+            open_.join(pairs.select(*base, "turn"), [*base, "turn"], "left_anti")
             .join(pairs.select(*base, "src"), [*base, "src"], "left_anti")
-            .select(*base, "prio", "src")
+            .select(*base, "turn", "src")
         )
-    settled = settled or [open_]
-    return reduce(lambda a, b: a.unionByName(b), settled).select(
-        *base, F.col("prio.seed").alias(seed), "src"
-    )
+    taken = reduce(lambda a, b: a.unionByName(b), settled or [open_])
+    return taken.join(turns.select("field_id", "turn", seed), ["field_id", "turn"]).select(*base, seed, "src")
+
+
+def _used(seeds: DataFrame, seed: str) -> list[str]:
+    return [c for c in seeds.columns if c not in ("field_id", seed, "x", "y")]
 
 
 def condense(

@@ -64,7 +64,7 @@ claims AS (SELECT field_id, sample_id, truth_id, src FROM rec WHERE src IS NOT N
 def _claims(spark, sf):
     seeds = truth(spark, sf)
     ens = detections(spark, sf, slots=True)
-    return C.claim(seeds, ens, LINK, "truth_id", [-F.col("f0"), F.col("truth_id")]), ens
+    return C.claim(seeds, ens, LINK, "truth_id", -F.floor("f0"), [F.desc("f0"), F.asc("truth_id")]), ens
 
 
 @query("j8_claim", sql(f"WITH RECURSIVE {CLAIMS} SELECT * FROM claims", "truth", "det"))
@@ -106,7 +106,7 @@ def a5_condensed_catalog(spark, sf):
     """The whole way: friends, pruning, seeds, cut, claims, catalog."""
     ens = detections(spark, sf, slots=True)
     seeds = C.prevalence_cut(C.seed_catalog(ens, LINK), 0.1, 30)
-    claims = C.claim(seeds, ens, LINK, "id", [-F.col("degree"), -F.col("id")])
+    claims = C.claim(seeds, ens, LINK, "id", -F.col("degree"), [F.desc("degree"), F.desc("id")])
     return rounded(C.condense(claims, ens, "id", ("f0", "f1", "f2")), 9)
 
 

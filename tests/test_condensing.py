@@ -94,7 +94,7 @@ def test_claims_equal_the_sequential_rule(spark, seed):
     pdf = ensemble(seed + 10, n=400, size=3.0)
     rng = np.random.default_rng(seed)
     seeds = pd.DataFrame({"field_id": rng.integers(0, 2, 60), "sid": np.arange(60), "x": rng.random(60) * 3, "y": rng.random(60) * 3})
-    got = C.claim(spark.createDataFrame(seeds), spark.createDataFrame(pdf), 0.6, "sid", [-F.col("sid")]).toPandas()
+    got = C.claim(spark.createDataFrame(seeds), spark.createDataFrame(pdf), 0.6, "sid", -F.floor(F.col("sid") / 7.0), [F.desc("sid")]).toPandas()
     want = []
     for (field, sample), part in pdf.groupby(["field_id", "sample_id"]):
         free = part.sort_values("src")
