@@ -181,18 +181,19 @@ def condense(
     values = claims.join(
         ens.select("field_id", "sample_id", "src", "x", "y", *bands), ["field_id", "sample_id", "src"]
     )
-    lo, hi = F.lit(0.16), F.lit(0.84)
+    ends = F.array(F.lit(0.16), F.lit(0.84))
     aggs = [F.count(F.lit(1)).alias("n")]
     for c in ("x", "y", *bands):
-        aggs += [F.avg(c).alias(f"mean_{c}"), F.percentile(c, lo).alias(f"_lo_{c}"), F.percentile(c, hi).alias(f"_hi_{c}")]
+        aggs += [F.avg(c).alias(f"mean_{c}"), F.percentile(c, ends).alias(f"_p_{c}")]
     many = F.col("n") > 1
+    lo, hi = (lambda c: F.element_at(f"_p_{c}", 1)), (lambda c: F.element_at(f"_p_{c}", 2))
 
     def width(c):
-        return F.when(many, (F.col(f"_hi_{c}") - F.col(f"_lo_{c}")) * scale).otherwise(0.0).alias(f"err_{c}")
+        return F.when(many, (hi(c) - lo(c)) * scale).otherwise(0.0).alias(f"err_{c}")
 
     cols = ["mean_x", width("x"), "mean_y", width("y"), (F.col("n") / F.col("nsamp")).alias("confidence")]
     for b in bands:
-        cols += [f"mean_{b}", width(b), F.when(many, F.col(f"_hi_{b}")).alias(f"hipct_{b}"), F.when(many, F.col(f"_lo_{b}")).alias(f"lopct_{b}")]
+        cols += [f"mean_{b}", width(b), F.when(many, hi(b)).alias(f"hipct_{b}"), F.when(many, lo(b)).alias(f"lopct_{b}")]
     return (
         values.groupBy("field_id", seed).agg(*aggs).join(sample_counts(ens), ["field_id"]).select("field_id", seed, *cols)
     )

@@ -102,12 +102,14 @@ def number_counts(
     s = F.pow(ten, (F.col("lo") + F.col("hi")) * 0.5 - 3.0)
     ds = F.pow(ten, F.col("hi") - 3.0) - F.pow(ten, F.col("lo") - 3.0)
     scale = F.pow(s, F.lit(2.5)) / F.lit(float(sr)) / ds
+    points = F.percentile("dn", F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84))).alias("_p")
     return (
         per.withColumn("dn", F.col("n") * scale)
         .groupBy(*by, "bin")
-        .agg(
-            F.percentile("dn", F.lit(0.5)).alias("median"), F.percentile("dn", F.lit(0.16)).alias("p16"),
-            F.percentile("dn", F.lit(0.84)).alias("p84"), (F.sqrt(F.avg("n")) * F.first(scale)).alias("root_n"),
+        .agg(points, (F.sqrt(F.avg("n")) * F.first(scale)).alias("root_n"))
+        .select(
+            *by, "bin", F.element_at("_p", 2).alias("median"), F.element_at("_p", 1).alias("p16"),
+            F.element_at("_p", 3).alias("p84"), "root_n",
         )
     )
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Mapping, Sequence
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from starloom.operators.bins import bin_index, edge_table
-from starloom.operators.ordering import position_in_group
 from starloom.operators.quantiles import exact_quantiles
 
 
@@ -18,11 +17,18 @@ PERCENTS = {"p5": 0.05, "p16": 0.16, "p50": 0.5, "p84": 0.84, "p95": 0.95}
 def flux_error_summary(matches: DataFrame, on: Sequence[str] = ("field_id", "truth_id")) -> DataFrame:
     """Per truth and band over its matched samples: median, p16, p84 of the
     error and of the recovered flux. A group holds one value per sample."""
-    cols: list[Column] = [F.count(F.lit(1)).alias("hits"), F.first("true_flux").alias("true_flux")]
-    for source, name in (("error", "err"), ("flux", "flux")):
-        for tag, p in (("med", 0.5), ("p16", 0.16), ("p84", 0.84)):
-            cols.append(F.percentile(source, F.lit(p)).alias(f"{tag}_{name}"))
-    return matches.groupBy(*on, "band").agg(*cols)
+    points = {"p16": 0.16, "med": 0.5, "p84": 0.84}
+    probs = F.array(*[F.lit(p) for p in points.values()])
+    stats = matches.groupBy(*on, "band").agg(
+        F.count(F.lit(1)).alias("hits"), F.first("true_flux").alias("true_flux"),
+        F.percentile("error", probs).alias("_err"), F.percentile("flux", probs).alias("_flux"),
+    )
+    picked = [
+        F.element_at(f"_{source}", k).alias(f"{tag}_{source}")
+        for source in ("err", "flux")
+        for k, tag in enumerate(points, start=1)
+    ]
+    return stats.select(*on, "band", "hits", "true_flux", *picked)
 
 
 def bin_flux_errors(summary: DataFrame, edges: Sequence[float]) -> DataFrame:

@@ -33,7 +33,7 @@ def shared_folder(spark: SparkSession) -> str:
     executor could not read what another machine wrote there.
     """
     sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
         if sc.getCheckpointDir() is None:
             sc.setCheckpointDir(named)
