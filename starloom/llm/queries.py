@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starloom.llm import chat, fingerprints, packing, quality_rules, token_counts
+from starloom.llm import bagminhash, chat, fingerprints, packing, quality_rules, repeats, token_counts
 from starloom.llm.common import read
 
 
@@ -28,6 +28,14 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op4_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bagminhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op5_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.without_repeats(read(spark, sf_dir, "documents"), least=400).drop("removed")
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.ledger(read(spark, sf_dir, "documents"))
     base = quality_rules.POLICIES["v1"]
@@ -45,6 +53,6 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    fn.__name__: fn for fn in (op1_chat_format, op2_best_fit_packing, op6_quality_rules, op7_syncmer_fingerprints, op9_token_counts)
+    fn.__name__: fn for fn in (op1_chat_format, op2_best_fit_packing, op4_bagminhash_dedup, op5_maximal_repeats, op6_quality_rules, op7_syncmer_fingerprints, op9_token_counts)
 }
 ORACLES: dict[str, str] = {}
