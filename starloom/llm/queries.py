@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starloom.llm import bagminhash, chat, fingerprints, packing, quality_rules, repeats, token_counts
+from starloom.llm import bagminhash, chat, cotraining, fingerprints, html_extract, packing, quality_rules, repeats, token_counts
 from starloom.llm.common import read
 
 
@@ -28,6 +28,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(docs, tokenizer("word_bpe_49k.json"), end_id=1, capacity=4096)
 
 
+def op3_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotraining.classify(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
+
+
 def op4_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bagminhash.near_duplicates(read(spark, sf_dir, "documents"))
 
@@ -52,7 +56,11 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    fn.__name__: fn for fn in (op1_chat_format, op2_best_fit_packing, op4_bagminhash_dedup, op5_maximal_repeats, op6_quality_rules, op7_syncmer_fingerprints, op9_token_counts)
+    fn.__name__: fn for fn in (op1_chat_format, op2_best_fit_packing, op3_cotrained_quality, op4_bagminhash_dedup, op5_maximal_repeats, op6_quality_rules, op7_syncmer_fingerprints, op9_token_counts, op10_html_extraction)
 }
 ORACLES: dict[str, str] = {}
