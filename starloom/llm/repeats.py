@@ -265,7 +265,8 @@ def repeated_spans(docs: DataFrame, least: int, text_col: str, group: int = GROU
         return out
 
     found = cut_lineage(map_rows(rows.filter(F.octet_length("text") >= least), anchored, "hash long, key binary, place long"))
-    several = found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
+    # Written, so that the join deals both sides anew and AQE can split an anchor that is everywhere.
+    several = cut_lineage(found.groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash"))
     places = found.join(several, "hash", "left_semi").groupBy("key").agg(F.collect_set("place").alias("places"))
     places = cut_lineage(places)
     different = cut_lineage(collapsed(surroundings(texts, places, least, True).withColumn("n", F.lit(1).cast("long"))))
