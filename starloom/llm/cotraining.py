@@ -18,12 +18,14 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from starloom.llm.common import map_rows, per_process
+from starloom.llm.common import SLICE, map_rows, per_process
 
 MAX_LABELLED = 8_000  # labelled rows to fit on: four fifths train, one fifth calibrates
 MAX_POOL = 4_000      # unlabelled rows that receive pseudo-labels
@@ -234,6 +236,20 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED,
     return cotrain(content.take(known), metadata.take(known), mark, content.take(pool), metadata.take(pool))
 
 
+def slim(model: dict) -> dict:
+    """The model with single-precision weights: 2^20 + 2^10 of them."""
+    return {k: v.astype(np.float32) if k in ("content", "metadata") else v for k, v in model.items()}
+
+
+def scores(model: dict, texts: list, langs: list, sources: list) -> tuple[list[np.ndarray], np.ndarray]:
+    """Both views' calibrated probabilities, and the combined one."""
+    texts = [t or "" for t in texts]
+    content = Sparse.of(content_ids(texts))
+    metadata = Sparse.of([sorted(set(metadata_ids(a, b, t))) for a, b, t in zip(langs, sources, texts)])
+    z = views_of(content, metadata, model)
+    return [sigmoid(z[:, k] * model["own"][k][0] + model["own"][k][1]) for k in range(2)], combined(z, model)
+
+
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> DataFrame:
     """(id, content_score, metadata_score, score, kept) of each row.
 
@@ -250,17 +266,31 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     none = F.lit(None).cast("double")
     if model is None:
         return rows.select(F.col("id").alias(id_col), none.alias("content_score"), none.alias("metadata_score"), none.alias("score"), F.lit(True).alias("kept"))
-    slim = {k: v.astype(np.float32) if k in ("content", "metadata") else v for k, v in model.items()}
-    shared = docs.sparkSession.sparkContext.broadcast(slim)  # 2^20 + 2^10 weights
+    shared = docs.sparkSession.sparkContext.broadcast(slim(model))
 
     def scored(part: dict[str, list]) -> dict[str, object]:
-        texts, model = [t or "" for t in part["text"]], shared.value
-        content = Sparse.of(content_ids(texts))
-        metadata = Sparse.of([sorted(set(metadata_ids(a, b, t))) for a, b, t in zip(part["lang"], part["source"], texts)])
-        z = views_of(content, metadata, model)
-        own = [sigmoid(z[:, k] * model["own"][k][0] + model["own"][k][1]) for k in range(2)]
-        p = combined(z, model)
-        return {"id": part["id"], "content_score": own[0], "metadata_score": own[1], "score": p, "kept": p >= model["threshold"]}
+        own, p = scores(shared.value, part["text"], part["lang"], part["source"])
+        return {"id": part["id"], "content_score": own[0], "metadata_score": own[1], "score": p, "kept": p >= shared.value["threshold"]}
 
     kind = rows.schema["id"].dataType.simpleString()
     return map_rows(rows, scored, f"id {kind}, content_score double, metadata_score double, score double, kept boolean").withColumnRenamed("id", id_col)
+
+
+def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> DataFrame:
+    """The rows of docs that classify keeps, with all their columns; nothing is shuffled."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
+    model = train(rows, labels.select(F.col(id_col).alias("id"), "quality", "toxic"), max_labelled, max_pool)
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(slim(model))
+    names = docs.columns
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                text, lang, source = (part.column(names.index(c)).to_pylist() for c in (text_col, lang_col, source_col))
+                text_of = [None if v is None else str(v) for v in lang], [None if v is None else str(v) for v in source]
+                yield part.filter(pa.array(scores(shared.value, text, *text_of)[1] >= shared.value["threshold"]))
+
+    return docs.mapInArrow(kept, docs.schema)

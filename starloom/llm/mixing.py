@@ -20,6 +20,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from starloom.session import cut_lineage
+
 NONE = "(none)"    # name of a null in the tree
 RANGE_BITS = 12    # ranges of the hash: 2^12
 
@@ -66,8 +68,8 @@ def budgets(leaves: DataFrame, depth: int, total: Column, weights: Mapping[tuple
         nodes = nodes.withColumn("_before", before).withColumn("_heavy", heavy)
         mark = F.when((F.col("_heavy") > 0) & (F.col("_s") > 0), (F.col("_b") - F.col("_before")) / F.col("_heavy"))
         nodes = nodes.withColumn("_mark", mark)
-        # The level of the water: the rest per weight at the first node that is not saturated.
-        water = F.min(F.when(F.col("_mark") < F.col("_r"), F.col("_mark"))).over(W.partitionBy(*parent))
+        # The rest per weight at the first node that is not saturated; it only falls after that.
+        water = F.max(F.when(F.col("_mark") < F.col("_r"), F.col("_mark"))).over(W.partitionBy(*parent))
         nodes = nodes.withColumn("_water", water)
         share = F.when(F.col("_water").isNull() | (F.col("_r") <= F.col("_water")), F.col(f"_s{level}")).otherwise(F.col("_water") * F.col(f"_w{level}"))
         nodes = nodes.withColumn("_b", F.when(F.col(f"_s{level}") > 0, F.greatest(share, F.lit(0.0))).otherwise(0.0))
@@ -97,6 +99,8 @@ def mix(
     plan = budgets(leaves, depth, F.lit(float(total)) if total is not None else everything, weights, default or [1.0] * depth, max_epochs)
     whole = F.when(F.col("tokens") > 0, F.least(F.floor(F.col("budget") / F.col("tokens") + 1e-12), F.lit(max_epochs))).otherwise(F.when(F.col("budget") > 0, 1).otherwise(0))
     plan = plan.withColumn("_whole", whole).withColumn("_rest", F.greatest(F.round(F.col("budget") - F.col("_whole") * F.col("tokens"), 6), F.lit(0.0)))
+    # Written: its size then tells Catalyst whether it may be sent to all tasks.
+    plan = cut_lineage(plan)
     order = F.xxhash64(F.lit(seed), F.col("_whole"), F.col(f"row.{id_col}"))
     seen = rows.join(plan, names).withColumn("_u", order).withColumn("_range", F.shiftrightunsigned("_u", 64 - RANGE_BITS))
     # Where the prefix of the last epoch ends: one range of the hash per leaf.
@@ -104,7 +108,7 @@ def mix(
     inside = W.partitionBy(*names).orderBy("_range").rowsBetween(W.unboundedPreceding, W.currentRow)
     sums = sums.withColumn("_before", F.sum("n").over(inside) - F.col("n"))
     border = sums.filter((F.col("_before") < F.col("_rest")) & (F.col("_before") + F.col("n") >= F.col("_rest"))).select(*names, F.col("_range").alias("_border"), "_before")
-    seen = seen.join(border, names, "left")
+    seen = seen.join(cut_lineage(border), names, "left")
     upto = W.partitionBy(*names, "_range").orderBy(F.shiftrightunsigned("_u", 1), "_u", F.col(f"row.{id_col}")).rowsBetween(W.unboundedPreceding, W.currentRow)
     at_border = F.col("_range") == F.col("_border")
     on = seen.filter(at_border).withColumn("_more", F.col("_before") + F.sum("_t").over(upto) - F.col("_t") < F.col("_rest"))

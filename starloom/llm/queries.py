@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starloom.llm import bagminhash, chat, cotraining, fingerprints, html_extract, packing, quality_rules, repeats, token_counts
+from starloom.llm import bagminhash, chat, cotraining, fingerprints, html_extract, mixing, packing, quality_rules, repeats, token_counts
 from starloom.llm.common import read
 
 
@@ -51,6 +51,28 @@ def op7_syncmer_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_with_edits(read(spark, sf_dir, "documents"))
 
 
+# The mixture that op8 and the pipeline aim at. Domains are groups of sources.
+WEIGHTS = {
+    ("crawl",): 0.4, ("web",): 0.3, ("reference",): 0.3, ("other",): 0.05,
+    ("*", "en"): 0.6, ("*", "de"): 0.12, ("*", "es"): 0.12, ("*", "fr"): 0.12, ("*", mixing.NONE): 0.02,
+}
+DEFAULT = [0.05, 0.04, 1.0]
+MAX_EPOCHS, SEED = 2, 17
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """docs mixed to the target weights by words as tokens, with as many tokens as there are."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), r"^src(\d{1,9})$", 1)
+    domain = F.when(number == "", "other").when(number == "0", "crawl").when(F.length(number) == 1, "web").otherwise("reference")
+    return mixing.mix(docs, [domain, F.col("lang"), F.col("source")], F.col("n_words"), WEIGHTS, DEFAULT, None, MAX_EPOCHS, SEED)
+
+
+def op8_hierarchical_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = F.regexp_count("text", F.lit(r"\S+")).alias("n_words")
+    rows = mixed(read(spark, sf_dir, "documents").select("doc_id", "lang", "source", words))
+    return rows.select("doc_id", "mix.path", "mix.tokens", "mix.leaf_tokens", F.round("mix.budget", 3).alias("budget"), "mix.copies")
+
+
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = token_counts.count_tokens(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
     return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
@@ -61,6 +83,6 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    fn.__name__: fn for fn in (op1_chat_format, op2_best_fit_packing, op3_cotrained_quality, op4_bagminhash_dedup, op5_maximal_repeats, op6_quality_rules, op7_syncmer_fingerprints, op9_token_counts, op10_html_extraction)
+    fn.__name__: fn for fn in (op1_chat_format, op2_best_fit_packing, op3_cotrained_quality, op4_bagminhash_dedup, op5_maximal_repeats, op6_quality_rules, op7_syncmer_fingerprints, op8_hierarchical_mixing, op9_token_counts, op10_html_extraction)
 }
 ORACLES: dict[str, str] = {}

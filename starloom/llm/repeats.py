@@ -289,31 +289,50 @@ def merged(spans: list | None, n: int, copies: int, least: int) -> list[tuple[in
     return [tuple(s) for s in out]
 
 
-def without_repeats(docs: DataFrame, least: int = 400, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256, removed) of each row.
-
-    removed: maximal runs (start, stop) of bytes, in order, that a passage of least
-    bytes covers which starts anywhere else too, in any row. Copies of a text lose
-    all of it (if it has least bytes). Null texts count as empty; repeated rows are
-    copies; null ids stay; other columns are not read; an empty table gives no rows.
-    """
+def cut_texts(docs: DataFrame, least: int, text_col: str, group: int, with_text: bool) -> DataFrame:
+    """(key, n_bytes, n_removed, n_spans, kept_sha256, removed[, kept]) of each different text; kept: what is left, without parts of characters."""
     texts, spans = repeated_spans(docs, least, text_col, group)
     spans = spans.groupBy("key").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
     def cut(part: dict[str, list]) -> dict[str, object]:
-        out: dict[str, list] = {c: [] for c in ("key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")}
+        out: dict[str, list] = {c: [] for c in ("key", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed", "kept")}
         for key, copies, text, found in zip(part["key"], part["n"], part["text"], part["spans"]):
             data = text.encode()
             runs = merged(found, len(data), copies, least)
-            kept, at = hashlib.sha256(), 0
+            kept, at = [], 0
             for start, stop in [*runs, (len(data), len(data))]:
-                kept.update(data[at:start])
+                kept.append(data[at:start])
                 at = stop
-            for c, v in zip(out, (key, len(data), sum(b - a for a, b in runs), len(runs), kept.hexdigest(), [{"start": a, "stop": b} for a, b in runs])):
+            left = b"".join(kept)
+            whole = left.decode(errors="ignore") if with_text else None
+            for c, v in zip(out, (key, len(data), sum(b - a for a, b in runs), len(runs), hashlib.sha256(left).hexdigest(), [{"start": a, "stop": b} for a, b in runs], whole)):
                 out[c].append(v)
         return out
 
-    schema = "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: long, stop: long>>"
-    result = map_rows(texts.join(spans, "key", "left").select("key", "n", "text", "spans"), cut, schema)
+    schema = "key binary, n_bytes long, n_removed long, n_spans long, kept_sha256 string, removed array<struct<start: long, stop: long>>" + (", kept string" if with_text else "")
+    return map_rows(texts.join(spans, "key", "left").select("key", "n", "text", "spans"), cut, schema)
+
+
+def strip_repeats(docs: DataFrame, least: int = 400, text_col: str = "text", group: int = GROUP) -> DataFrame:
+    """docs with each text cut as in without_repeats; rows of which nothing but white space is left are dropped.
+
+    Empty texts stay empty (a null one becomes empty). Characters of which only some bytes are removed go too.
+    """
+    kept = cut_texts(docs, least, text_col, group, True).select("key", "n_removed", F.col("kept").alias("_kept")).filter((F.col("n_removed") == 0) | (F.trim("_kept") != ""))
+    # Texts move once, by their key; the other columns are joined to what is left of them.
+    rest = docs.select(text_key(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"), *(F.col(f"`{c}`") for c in docs.columns if c != text_col))
+    found = rest.join(kept.withColumnRenamed("key", "_key"), "_key")
+    return found.select(*(F.col("_kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+
+
+def without_repeats(docs: DataFrame, least: int = 400, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256, removed) of each row.
+
+    removed: maximal runs (start, stop) of bytes, in order, that a passage of least
+    bytes covers which starts anywhere else too, in any row. Copies of a text lose
+    all of it (if it has least bytes). Null texts count as empty; repeated rows are
+    copies; null ids stay; other columns are not read; an empty table gives no rows.
+    """
+    result = cut_texts(docs, least, text_col, group, False)
     rows = docs.select(F.col(id_col).alias("id"), text_key(F.coalesce(F.col(text_col), F.lit(""))).alias("key"))
     return rows.join(result, "key").select(F.col("id").alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed")
