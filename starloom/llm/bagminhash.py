@@ -26,7 +26,7 @@ from starloom.session import cut_lineage
 WORDS = 5          # words in a shingle
 LIKENESS = 0.8     # least weighted Jaccard likeness of a link
 BANDS, ROWS = 16, 4  # at likeness 0.8 a link is missed with probability (1 - 0.8^4)^16 = 0.0002
-REMEMBERED = 1_000_000  # words whose hash a worker remembers
+REMEMBERED = 400_000  # words whose hash a worker remembers
 STEP = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2^64 over the golden ratio
 
 
@@ -41,7 +41,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Shingle hashes in order and how often each occurs. Fewer than five words make one shingle, none an empty bag."""
-    known = per_process(("word hashes",), dict)
+    known = per_process("bagminhash", "words", dict)
     words = text.split()
     try:
         codes = [known[w] for w in words]

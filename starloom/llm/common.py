@@ -16,13 +16,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def per_process(key: tuple, make: Callable[[], object]) -> object:
-    """make()'s result, kept as long as the Python worker lives.
+def per_process(owner: str, key: object, make: Callable[[], object]) -> object:
+    """make()'s result, kept in the Python worker until another owner keeps something there.
 
     Functions travel to workers by value, so their modules' globals last for one
-    task only; tokenizers and caches should last for all tasks of a worker.
+    task only; tokenizers and caches should last for all tasks of an operator, but
+    not beyond: workers go on to the next operator with their memory.
     """
-    kept = sys.modules.setdefault("_starloom_llm_worker", types.ModuleType("_starloom_llm_worker")).__dict__
+    place = sys.modules.setdefault("_starloom_llm_worker", types.ModuleType("_starloom_llm_worker")).__dict__
+    if place.get("owner") != owner:
+        place["owner"], place["kept"] = owner, {}
+    kept = place["kept"]
     if key not in kept:
         kept[key] = make()
     return kept[key]

@@ -33,7 +33,7 @@ ROUNDS = 3
 CONFIDENT = 0.98      # calibrated probability from which a view labels for the other
 CONTENT = 1 << 20     # hashed words
 METADATA = 1 << 10    # hashed languages, sources and steps of the layout's measures
-REMEMBERED = 600_000  # words whose hash a worker remembers
+REMEMBERED = 300_000  # words whose hash a worker remembers
 CLEAN_LOST = 0.002    # share of held-out good rows that the threshold may lose
 
 EDGES = re.compile(r"^[^\w]+|[^\w]+$")
@@ -42,7 +42,7 @@ SIGNS = re.compile(r"[^\w\s.,;:?'\"()-]+")
 
 def content_ids(texts: list[str]) -> list[np.ndarray]:
     """Distinct hashed words and sign runs of each text."""
-    known = per_process(("content ids",), dict)
+    known = per_process("cotraining", "words", dict)
 
     def ids(word: str) -> tuple[int, ...]:
         bare = EDGES.sub("", word).lower()
@@ -200,7 +200,7 @@ def features(docs: DataFrame, more: str = "") -> DataFrame:
         meta = [sorted(set(metadata_ids(a, b, t))) for a, b, t in zip(part["lang"], part["source"], texts)]
         return {"content": content_ids(texts), "metadata": meta} | {c: part[c] for c in names}
 
-    return map_rows(docs, made, "content array<long>, metadata array<long>" + (f", {more}" if more else ""))
+    return map_rows(docs, made, "content array<int>, metadata array<int>" + (f", {more}" if more else ""))
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int) -> DataFrame:

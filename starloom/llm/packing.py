@@ -127,7 +127,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, ke
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             return Tokenizer.from_file(tokenizer), {"": b""}
 
-        library, known = per_process(("ids of words", tokenizer), load)
+        library, known = per_process("packing", tokenizer, load)
         block, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end, width = np.uint32(end_id).tobytes(), 4 * capacity
         for part in slices(batches):

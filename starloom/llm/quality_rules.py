@@ -68,8 +68,8 @@ RULES = (
     Rule("few_words", lambda m: m["n_words"] < 50),
     Rule("repeated_words", lambda m: 100 * m["n_repeat_words"] > 50 * m["n_words"]),
     Rule("symbols", lambda m: 10 * m["n_symbols"] > 3 * m["n_words"]),
-    Rule("duplicate_lines", lambda m: 10 * m["n_dup_lines"] > 3 * m["n_lines"]),
-    Rule("duplicate_line_chars", lambda m: 10 * m["dup_line_chars"] > 4 * m["n_chars"]),
+    Rule("duplicate_lines", lambda m: 2 * m["n_dup_lines"] > m["n_lines"]),
+    Rule("duplicate_line_chars", lambda m: 2 * m["dup_line_chars"] > m["n_chars"]),
     Rule("shouting", lambda m: 10 * m["n_upper"] > 5 * m["n_words"]),
     Rule("short_words", lambda m: m["word_chars"] < 2 * m["n_words"]),
     Rule("long_words", lambda m: m["word_chars"] > 15 * m["n_words"]),

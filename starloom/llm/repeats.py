@@ -58,7 +58,7 @@ def anchors_of(data: bytes, least: int) -> tuple[np.ndarray, np.ndarray]:
     k = anchor_length(least)
     window = least - k + 1
     span = BLOCK + least
-    up, down = per_process(("powers", span), lambda: powers(span))
+    up, down = per_process("repeats", span, lambda: powers(span))
     all_bytes = np.frombuffer(data, np.uint8)
     hashes, places = [], []
     for at in range(0, len(data) - least + 1, BLOCK):
@@ -318,11 +318,11 @@ def strip_repeats(docs: DataFrame, least: int = 400, text_col: str = "text", gro
 
     Empty texts stay empty (a null one becomes empty). Characters of which only some bytes are removed go too.
     """
-    kept = cut_texts(docs, least, text_col, group, True).select("key", "n_removed", F.col("kept").alias("_kept")).filter((F.col("n_removed") == 0) | (F.trim("_kept") != ""))
+    kept = cut_texts(docs, least, text_col, group, True).filter((F.col("n_removed") == 0) | (F.trim("kept") != "")).select("key", "kept")
     # Texts move once, by their key; the other columns are joined to what is left of them.
-    rest = docs.select(text_key(F.coalesce(F.col(text_col), F.lit(""))).alias("_key"), *(F.col(f"`{c}`") for c in docs.columns if c != text_col))
-    found = rest.join(kept.withColumnRenamed("key", "_key"), "_key")
-    return found.select(*(F.col("_kept").alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns))
+    others = [F.col(f"`{c}`") for c in docs.columns if c != text_col]
+    rest = docs.select(text_key(F.coalesce(F.col(text_col), F.lit(""))).alias("key"), F.struct(*others).alias("row"))
+    return rest.join(kept, "key").select(*(F.col("kept").alias(c) if c == text_col else F.col(f"row.`{c}`").alias(c) for c in docs.columns))
 
 
 def without_repeats(docs: DataFrame, least: int = 400, id_col: str = "doc_id", text_col: str = "text", group: int = GROUP) -> DataFrame:

@@ -281,7 +281,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_c
     chunk by chunk.
     """
     def counted(part: dict[str, list]) -> dict[str, object]:
-        counter = per_process(("token counter", tokenizer), lambda: TokenCounter(tokenizer))
+        counter = per_process("token_counts", tokenizer, lambda: TokenCounter(tokenizer))
         texts = [t or "" for t in part["text"]]
         return {"id": part["id"], "n_bytes": [len(t.encode()) for t in texts], "n_tokens": [counter(t) for t in texts]}
 
