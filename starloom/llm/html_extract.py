@@ -26,6 +26,7 @@ from starloom.llm import trees
 from starloom.llm.common import map_rows
 
 MAX_PAGES = 300         # pages to train on, those of least hashed id
+LONG = 2_000            # characters from which more of them say nothing more
 MAX_TRAIN_CHARS = 1 << 16  # longer pages are extracted like others but not trained on
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/<>]*)((?:[^<>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/<>]*)([^<>]*)>|<[!?][^>]*>""", re.S)
@@ -257,9 +258,9 @@ def features(pages: list[Page], forest: Forest) -> np.ndarray:
     whole = np.maximum(total[forest.top], 1.0)
     start = np.concatenate([np.array(p.start) / max(p.length, 1) for p in pages])
     columns = [
-        code, forest.depth, np.log1p(own), np.log1p(total), link / np.maximum(total, 1), total / inner, stop / np.maximum(total, 1) * 100, np.log1p(inner), children, paragraphs,
-        total / whole, start, place / np.maximum(siblings, 1), siblings, np.log1p(mean), total / np.maximum(mean, 1), pieces,
-        link[parent] / np.maximum(total[parent], 1), np.log1p(total[parent]), paragraphs[parent],
+        code, forest.depth, np.log1p(np.minimum(own, LONG)), np.log1p(np.minimum(total, LONG)), link / np.maximum(total, 1), np.minimum(total / inner, LONG), stop / np.maximum(total, 1) * 100, np.log1p(inner), children, paragraphs,
+        total / whole, start, place / np.maximum(siblings, 1), siblings, np.log1p(np.minimum(mean, LONG)), np.minimum(total / np.maximum(mean, 1), 100), np.minimum(pieces, 20),
+        link[parent] / np.maximum(total[parent], 1), np.log1p(np.minimum(total[parent], LONG)), paragraphs[parent],
     ]
     return np.column_stack([*columns, hint, np.minimum(above_hint, 3), group, np.minimum(above_group, 3)]).astype(np.float32)
 
@@ -356,7 +357,8 @@ def laid_out(texts: list[str], rng: random.Random) -> str:
 
     body = [f"<h1 data-keep>{words(3, 12)}</h1>"] if rng.random() < 0.8 else []
     for text in rng.sample(texts, rng.randint(1, min(8, len(texts)))):
-        body.append(paragraph(text[: rng.choice((40, 200, 1000, 4000))]))
+        longer = rng.random() < 0.03
+        body.append(paragraph(" ".join([text] * rng.randint(5, 100)) if longer else text[: rng.choice((40, 200, 1000, 4000))]))
         if rng.random() < 0.12:
             body.append(rng.choice((advert, side, form, notice, menu))())
     if rng.random() < 0.2:
