@@ -26,7 +26,7 @@ from starloom.session import cut_lineage
 WORDS = 5          # words in a shingle
 LIKENESS = 0.8     # least weighted Jaccard likeness of a link
 BANDS, ROWS = 16, 4  # at likeness 0.8 a link is missed with probability (1 - 0.8^4)^16 = 0.0002
-REMEMBERED = 400_000  # words whose hash a worker remembers
+REMEMBERED = 200_000  # words whose hash a worker remembers
 STEP = np.uint64(0x9E3779B97F4A7C15)  # fixed value: 2^64 over the golden ratio
 
 
@@ -142,11 +142,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Classes are the connected components of links of at least the likeness. Equal
     texts are one node from the start, however many there are. Within a bucket of a
-    band every text is compared with the bucket's least one. Those unlike it are
-    residual: for them the bucket's other members are compared too, but for pairs
-    already in one component and pairs whose likenesses to the least one differ by
-    more than a link allows (1 - likeness is a metric). So no link between bucket
-    mates is lost, and a group of near copies costs one comparison per member.
+    band every text is compared with its leader, the member that shares most buckets
+    with others: of near copies that is the one the others were made from. Where
+    members stay apart, the leader of those is compared in the same way. What is
+    then still apart is compared pair by pair, but for pairs whose likenesses to the
+    leader differ by more than a link allows (1 - likeness is a metric). So no link
+    between bucket mates is lost, and a group of near copies costs one comparison
+    per member.
 
     Null texts count as empty; empty texts and texts without words are alike only to
     equal ones. Repeated rows are copies of each other; of rows with one least id one is
@@ -157,27 +159,49 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     signed = cut_lineage(sign(docs, id_col, text_col, bands, rows))
     nodes = signed.filter(F.col("bands").isNotNull()).groupBy("key").agg(F.first("bands").alias("bands"))
     members = nodes.select(F.col("key").alias("node"), F.posexplode("bands").alias("band", "hash"))
-    buckets = members.groupBy("band", "hash").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    mates = cut_lineage(members.join(buckets, ["band", "hash"]).filter("node <> least"))
-    pairs = cut_lineage(mates.select(F.col("node").alias("a"), F.col("least").alias("b")).distinct())
+    buckets = members.groupBy("band", "hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    shared = cut_lineage(members.join(buckets, ["band", "hash"]))
+    weights = shared.groupBy("node").agg(F.sum("n").alias("weight"))
+    mates = cut_lineage(shared.drop("n").join(weights, "node"))
     text = F.coalesce(F.col(text_col), F.lit(""))
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
+    # Texts go by their key at every size: whether their keys are few must not change the plan.
+    wanted = mates.select(F.col("node").alias("key")).distinct().hint("shuffle_merge")
     texts = cut_lineage(docs.select(text_key(text).alias("key"), text.alias("text")).join(wanted, "key", "left_semi").dropDuplicates(["key"]))
-    first = cut_lineage(verified(pairs, texts))
-    links = first.filter(F.col("likeness") >= likeness).select("a", "b")
-    labels = components(links)
 
-    placed = mates.join(first.select(F.col("a").alias("node"), F.col("b").alias("least"), "likeness"), ["node", "least"])
-    if not placed.filter(F.col("likeness") < likeness).isEmpty():
-        placed = placed.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        x, y = placed.alias("x"), placed.filter(F.col("likeness") < likeness).alias("y")
+    leaders = mates.groupBy("band", "hash").agg(F.max(F.struct("weight", "node")).alias("lead")).select("band", "hash", F.col("lead.node").alias("leader"))
+    mates = cut_lineage(mates.join(leaders, ["band", "hash"]))
+    pairs = cut_lineage(mates.filter("node <> leader").select(F.col("node").alias("a"), F.col("leader").alias("b")).distinct())
+    first = cut_lineage(verified(pairs, texts))
+    labels = components(first.filter(F.col("likeness") >= likeness))
+
+    def labelled() -> DataFrame:
+        """Bucket mates and leaders with the components they are in by now; buckets all in one component are done."""
+        own = labels.select(F.col("node").alias("_n"), F.col("label").alias("_l"))
+        rows = mates.join(own, mates.node == own._n, "left").withColumn("label", F.coalesce("_l", "node")).drop("_n", "_l")
+        several = rows.groupBy("band", "hash").agg(F.min("label").alias("least"), F.max("label").alias("most")).filter("least <> most").select("band", "hash")
+        return cut_lineage(rows.join(several, ["band", "hash"], "left_semi"))
+
+    def joined(found: DataFrame) -> DataFrame:
+        return components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found))
+
+    apart = labelled()
+    if not apart.isEmpty():
+        led = apart.filter(F.col("node") == F.col("leader")).select("band", "hash", F.col("label").alias("led"))
+        others = apart.join(led, ["band", "hash"]).filter("label <> led").groupBy("band", "hash").agg(F.max(F.struct("weight", "node", "label")).alias("lead"))
+        more = apart.join(others, ["band", "hash"]).filter("label <> lead.label").select(F.col("node").alias("a"), F.col("lead.node").alias("b")).distinct()
+        second = cut_lineage(verified(more.join(pairs, ["a", "b"], "left_anti"), texts))
+        labels = joined(second.filter(F.col("likeness") >= likeness).select("a", "b"))
+        done = pairs.union(second.select("a", "b"))
+        apart = labelled().join(first.select(F.col("a").alias("node"), F.col("b").alias("leader"), "likeness"), ["node", "leader"], "left")
+        apart = apart.withColumn("likeness", F.coalesce("likeness", F.when(F.col("node") == F.col("leader"), 1.0)))
+        x, y = apart.alias("x"), apart.alias("y")
         near = F.abs(F.col("x.likeness") - F.col("y.likeness")) <= 1 - likeness + 1e-9
-        once = (F.col("x.likeness") >= likeness) | (F.col("x.node") < F.col("y.node"))
-        more = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.hash") == F.col("y.hash")) & (F.col("x.label") != F.col("y.label")) & near & once)
-        more = more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-        found = cut_lineage(verified(more, texts).filter(F.col("likeness") >= likeness).select("a", "b"))
-        if not found.isEmpty():
-            labels = components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(found))
+        rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.hash") == F.col("y.hash")) & (F.col("x.label") < F.col("y.label")) & near)
+        rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+        rest = rest.join(done, ["a", "b"], "left_anti").join(done.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+        third = cut_lineage(verified(rest, texts).filter(F.col("likeness") >= likeness).select("a", "b"))
+        if not third.isEmpty():
+            labels = joined(third)
 
     placed = signed.select("id", "row", "key").join(labels.withColumnRenamed("node", "key"), "key", "left").select("id", "row", "key", F.coalesce("label", "key").alias("class"))
     heads = placed.groupBy("class").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("head"), F.count(F.lit(1)).alias("class_size"))
