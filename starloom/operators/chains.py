@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -204,47 +206,64 @@ def posterior_summary(
 
 
 def cov_matrix(df: DataFrame, size: int) -> DataFrame:
-    """Covariance and correlation of `size` parameters over samples, from rows
-    (sample_id, param, value). Vectors hold `size` numbers; their outer
-    products are added up task by task."""
+    """Covariance and correlation of each pair of `size` parameters over the
+    samples that have both, from rows (sample_id, param, value).
+
+    A sample is the vector of its values with 0 for a missing one, of marks for
+    those it has and of the squares; sums of products of these three say all.
+    They are added up task by task.
+    """
+    values = F.map_from_entries(F.collect_list(F.struct("param", "value")))
+    known = df.where(F.col("value").isNotNull() & F.col("param").between(0, size - 1))
     vectors = (
-        df.groupBy("sample_id")
-        .agg(F.collect_list(F.struct("param", "value")).alias("_v"))
-        .select(F.lit(0).alias("all_"), F.transform(F.array_sort("_v"), lambda e: e["value"]).alias("v"))
-        .where(F.size("v") == size)
+        known.groupBy("sample_id").agg(values.alias("_v"))
+        .select(F.lit(0).alias("all_"), F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda p: F.try_element_at("_v", p.cast(df.schema["param"].dataType))).alias("v"))
     )
 
     def design(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         v = np.array(pdf["v"].tolist(), dtype=float)
-        return np.hstack([np.ones((len(v), 1)), v]), np.ones(len(v))
+        mark = (~np.isnan(v)).astype(float)
+        v = np.nan_to_num(v)
+        return np.hstack([mark, v, v * v]), np.ones(len(v))
 
     sums = outer_sums(vectors, ["all_"], ["v"], design)
-    first = sums.where(F.col("p") == 0).select("q", "s")
-    n = first.where(F.col("q") == 0).select(F.col("s").alias("_n")).scalar()
-    mean = first.where(F.col("q") > 0).select((F.col("q") - 1).alias("j"), F.col("s").alias("_s"))
-    raw = sums.where(F.col("p") > 0).select((F.col("p") - 1).alias("i"), (F.col("q") - 1).alias("j"), "s")
-    cov = (
-        raw.join(mean.select(F.col("j").alias("i"), F.col("_s").alias("_si")), "i")
-        .join(mean.select("j", F.col("_s").alias("_sj")), "j")
-        .withColumn("_n", n)
-        .select("i", "j", ((F.col("s") - F.col("_si") * F.col("_sj") / F.col("_n")) / (F.col("_n") - 1)).alias("cov"))
-    )
-    var = cov.where(F.col("i") == F.col("j"))
-    return (
-        cov.join(var.select("i", F.col("cov").alias("_vi")), "i")
-        .join(var.select("j", F.col("cov").alias("_vj")), "j")
-        .select("i", "j", "cov", (F.col("cov") / F.sqrt(F.col("_vi") * F.col("_vj"))).alias("corr"))
-    )
+    pairs = df.sparkSession.range(size).select(F.col("id").alias("i"), F.explode(F.sequence("id", F.lit(size - 1).cast("bigint"))).alias("j"))
+    # The six sums a pair needs, picked from the table by their places; it has 9 size^2 / 2 rows.
+    i, j = F.col("i"), F.col("j")
+    places = {"n": (i, j), "a": (j, i + size), "b": (i, j + size), "ab": (i + size, j + size), "aa": (j, i + 2 * size), "bb": (i, j + 2 * size)}
+    wanted = pairs.select("i", "j", F.explode(F.array(*(F.struct(F.lit(k).alias("k"), r.alias("p"), c.alias("q")) for k, (r, c) in places.items()))).alias("w")).select("i", "j", "w.*")
+    picked = wanted.join(sums.select("p", "q", "s"), ["p", "q"]).groupBy("i", "j").agg(*(F.max(F.when(F.col("k") == k, F.col("s"))).alias(k) for k in places))
+    n = F.col("n")
+    part = lambda xy, x, y: (F.col(xy) - F.col(x) * F.col(y) / n) / (n - 1)
+    cov = part("ab", "a", "b")
+    many = picked.where(n > 1)
+    return many.select("i", "j", cov.alias("cov"), (cov / F.sqrt(part("aa", "a", "a") * part("bb", "b", "b"))).alias("corr"))
 
 
 def corrected_posterior(
-    df: DataFrame, observed: float, bkg_sigma: float, conv_sigma: float, seed: int, by: Sequence[str] = ()
+    df: DataFrame, observed: float, bkg_sigma: float, conv_sigma: float, seed: int, by: Sequence[str] = (), row: str = "i"
 ) -> DataFrame:
     """Bias samples centred on their median, widened for the fixed background
-    and for imperfect convergence, and moved to the corrected observation."""
+    and for imperfect convergence, and moved to the corrected observation.
+
+    The draws are a function of (seed, by, row), so neither another partitioning
+    nor a task run again changes them.
+    """
     med = exact_quantiles(df, by, "value", {"_med": 0.5}).drop("n")
-    rows = df.join(med, list(by)) if by else df.withColumn("_med", med.scalar())
-    noise = F.randn(seed) * bkg_sigma + F.randn(seed + 1) * conv_sigma
+    if by:
+        same = reduce(lambda p, q: p & q, [F.col(c).eqNullSafe(F.col(f"_m{n}")) for n, c in enumerate(by)])
+        rows = df.join(med.select(*(F.col(c).alias(f"_m{n}") for n, c in enumerate(by)), "_med"), same).drop(*(f"_m{n}" for n in range(len(by))))
+    else:
+        rows = df.withColumn("_med", med.scalar())
+    first, second = normal_pair(F.concat_ws("|", F.lit(seed).cast("string"), *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in (*by, row))))
+    noise = first * bkg_sigma + second * conv_sigma
     # The centring and the shift by the median cancel; the median stays in the
     # corrected observation.
     return rows.withColumn("corrected", (F.col("value") - F.col("_med")) + noise + (F.lit(observed) + F.col("_med"))).drop("_med")
+
+
+def normal_pair(key: Column) -> tuple[Column, Column]:
+    """Two independent standard normal numbers of a key: Box-Muller on 64 bits of its hash."""
+    word = lambda at: (F.conv(F.substring(F.md5(key), at, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+    radius, turn = F.sqrt(-2.0 * F.log(word(1))), word(9) * (2.0 * math.pi)
+    return radius * F.cos(turn), radius * F.sin(turn)

@@ -12,17 +12,19 @@ from starloom.operators.ordering import position_in_group
 from starloom.operators.spatial import radius_pairs
 from starloom.session import cut_lineage
 
-# Slots per sample stay below this, so sample * SLOTS + slot numbers the
-# stacked detections of a field in sample order, brightest first.
-SLOTS = 1_000_000
-# Node numbers of a field stay below this (some 4,000 samples of full slots),
-# so (degree, id) packs into one BIGINT that sorts the same way. A running
-# maximum of a number stays in a hash table; one of a struct would sort.
-IDS = 1 << 32
+# Slots of a sample and samples of a field both stay below this, so
+# sample * SLOTS + slot is a BIGINT that numbers the stacked detections of a
+# field in sample order, brightest first, each with a number of its own.
+SLOTS = 1 << 31
+# (degree, id) as one number that sorts the same way, for any BIGINT id. A
+# running maximum of a number stays in a hash table; one of a struct would sort.
+OWN = "cast(deg as decimal(18,0)) * cast(18446744073709551616 as decimal(20,0)) + cast(i as decimal(19,0))"
 
 
 def stacked(det: DataFrame) -> DataFrame:
-    return det.withColumn("id", F.col("sample_id") * SLOTS + F.col("src"))
+    fits = F.col("src").between(0, SLOTS - 1) & F.col("sample_id").between(0, SLOTS - 1)
+    number = F.col("sample_id").cast("bigint") * SLOTS + F.col("src")
+    return det.withColumn("id", F.when(fits, number).otherwise(F.raise_error(F.lit("slot or sample out of range")).cast("bigint")))
 
 
 def friend_pairs(det: DataFrame, radius: float, cross_sample_only: bool = False) -> DataFrame:
@@ -82,22 +84,19 @@ def greedy_seeds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     # Both directions of each edge, from one pass over the edges.
     ends = F.array(F.struct(F.col("i"), F.col("j")), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
     both = edges.select("field_id", F.inline(ends))
-    fits = F.when((F.col("i") >= 0) & (F.col("i") < IDS), F.col("i")).otherwise(
-        F.raise_error(F.lit("node id out of range")).cast("bigint")
-    )
-    alive = cut_lineage(both.withColumn("i", fits))
+    alive = cut_lineage(both)
     gone: list[DataFrame] = []
     node = ["field_id", "i"]
     while not alive.isEmpty():
         degree = alive.groupBy(*node).agg(F.count(F.lit(1)).alias("deg"))
-        own = degree.select(*node, (F.col("deg") * IDS + F.col("i")).alias("own"))
+        own = degree.select(*node, "deg", F.expr(OWN).alias("own"))
 
         def spread(keys: DataFrame, column: str) -> DataFrame:
             heard = alive.join(keys.hint("shuffle_hash"), node).groupBy("field_id", F.col("j").alias("i")).agg(F.max(column).alias("heard"))
             return keys.join(heard, node).withColumn(column, F.greatest(column, "heard")).drop("heard")
 
         reach = spread(spread(own.withColumn("top", F.col("own")), "top"), "top")
-        seeds = reach.where(F.col("own") == F.col("top")).select(*node, F.shiftright("own", 32).alias("degree"))
+        seeds = reach.where(F.col("own") == F.col("top")).select(*node, F.col("deg").alias("degree"))
         # A seed tells its neighbours, so they arrive together with it.
         told = F.array_union(F.array(F.col("i")), F.array(F.col("j")))
         leaving = cut_lineage(
@@ -171,7 +170,7 @@ def _used(seeds: DataFrame, seed: str) -> list[str]:
 
 
 def condense(
-    claims: DataFrame, ens: DataFrame, seed: str, bands: Sequence[str] = ("f0",), err: str = "half"
+    claims: DataFrame, ens: DataFrame, seed: str, bands: Sequence[str] = ("f0",), err: str = "half", samples: DataFrame | None = None
 ) -> DataFrame:
     """One row per seed: position, prevalence and band fluxes with errors from
     the 16th and 84th percentiles (half their distance, or all of it). A seed
@@ -195,5 +194,5 @@ def condense(
     for b in bands:
         cols += [f"mean_{b}", width(b), F.when(many, hi(b)).alias(f"hipct_{b}"), F.when(many, lo(b)).alias(f"lopct_{b}")]
     return (
-        values.groupBy("field_id", seed).agg(*aggs).join(sample_counts(ens), ["field_id"]).select("field_id", seed, *cols)
+        values.groupBy("field_id", seed).agg(*aggs).join(sample_counts(ens, samples=samples), ["field_id"]).select("field_id", seed, *cols)
     )

@@ -10,10 +10,11 @@ from starloom.operators.bins import bin_index, edge_table, fill_bins
 
 
 def histogram(
-    df: DataFrame, column: str, edges: Sequence[float], density: bool = False, by: Sequence[str] = ()
+    df: DataFrame, column: str, edges: Sequence[float], density: bool = False, by: Sequence[str] = (), groups: DataFrame | None = None
 ) -> DataFrame:
     """Counts per bar, zero filled; bars are [a, b), the last one closed. With
-    `density` also count / (total * width). `by` gives one histogram per group."""
+    `density` also count / (total * width). `by` gives one histogram per group;
+    `groups` lists the groups, so that one without rows gets empty bars."""
     counted = (
         df.select(*by, bin_index(F.col(column), edges, last_closed=True).alias("bin"))
         .where(F.col("bin").isNotNull())
@@ -26,7 +27,7 @@ def histogram(
         # Every group gets every bar by copying the group keys along the bars.
         table = F.array(*[F.lit(float(e)) for e in edges])
         last = F.lit(len(edges) - 2).cast("bigint")
-        grid = df.select(*by).distinct().withColumn("bin", F.explode(F.sequence(zero, last)))
+        grid = (df if groups is None else groups).select(*by).distinct().withColumn("bin", F.explode(F.sequence(zero, last)))
         grid = grid.withColumn("lo", F.element_at(table, (F.col("bin") + 1).cast("int"))).withColumn(
             "hi", F.element_at(table, (F.col("bin") + 2).cast("int"))
         )
@@ -92,12 +93,14 @@ def density_region(dens: DataFrame, sigma: float = 1.0) -> DataFrame:
 
 
 def number_counts(
-    src: DataFrame, edges: Sequence[float], sr: float, flux: str = "f0", by: Sequence[str] = ("field_id",)
+    src: DataFrame, edges: Sequence[float], sr: float, flux: str = "f0", by: Sequence[str] = ("field_id",),
+    samples: DataFrame | None = None,
 ) -> DataFrame:
     """Euclidean-normalised counts N S^2.5 / sr / dS in bars of log10 S + 3:
-    median, p16 and p84 over samples, with the sqrt(n) error of the mean."""
+    median, p16 and p84 over samples, with the sqrt(n) error of the mean.
+    `samples` lists all samples; one without a source counts as 0 in each bar."""
     logs = src.select(*by, "sample_id", (F.log10(F.col(flux)) + 3.0).alias("_s"))
-    per = histogram(logs, "_s", edges, by=[*by, "sample_id"])
+    per = histogram(logs, "_s", edges, by=[*by, "sample_id"], groups=samples)
     ten = F.lit(10.0)
     s = F.pow(ten, (F.col("lo") + F.col("hi")) * 0.5 - 3.0)
     ds = F.pow(ten, F.col("hi") - 3.0) - F.pow(ten, F.col("lo") - 3.0)
@@ -163,11 +166,12 @@ def hdpi(hist: DataFrame, frac: float, by: Sequence[str] = ()) -> DataFrame:
 
 
 def sample_posterior(
-    df: DataFrame, column: str, edges: Sequence[float], by: Sequence[str] = ("field_id",)
+    df: DataFrame, column: str, edges: Sequence[float], by: Sequence[str] = ("field_id",), samples: DataFrame | None = None
 ) -> DataFrame:
     """Median and scatter over samples of each sample's histogram (+0.01), and
-    the medians as a density: over their sum and the bar width."""
-    per = histogram(df, column, edges, by=[*by, "sample_id"])
+    the medians as a density: over their sum and the bar width. `samples` lists
+    all samples, those without a source too."""
+    per = histogram(df, column, edges, by=[*by, "sample_id"], groups=samples)
     bars = per.groupBy(*by, "bin").agg(
         F.percentile(F.col("n") + 0.01, F.lit(0.5)).alias("median"), F.stddev_pop(F.col("n") + 0.01).alias("std"),
         F.first(F.col("hi") - F.col("lo")).alias("width"),

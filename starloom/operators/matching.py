@@ -54,10 +54,11 @@ def associate(
     return out.select(*cols)
 
 
-def sample_counts(ens: DataFrame, on: Sequence[str] = ("field_id",)) -> DataFrame:
+def sample_counts(ens: DataFrame, on: Sequence[str] = ("field_id",), samples: DataFrame | None = None) -> DataFrame:
     """Samples per run: distinct pairs first, so a large run is combined
-    before it is counted."""
-    return ens.select(*on, "sample_id").distinct().groupBy(*on).agg(F.count(F.lit(1)).alias("nsamp"))
+    before it is counted. `samples` lists (on, sample_id) of all samples, those
+    without a detection too; without it only samples with detections count."""
+    return (ens if samples is None else samples).select(*on, "sample_id").distinct().groupBy(*on).agg(F.count(F.lit(1)).alias("nsamp"))
 
 
 def completeness(
@@ -69,8 +70,10 @@ def completeness(
     key: str = "truth_id",
     on: Sequence[str] = ("field_id",),
     value: str = "mag",
+    samples: DataFrame | None = None,
 ) -> DataFrame:
-    """Per reference source: the share of samples that hold a match."""
+    """Per reference source: the share of samples that hold a match, 0 in a
+    field without any. `samples`: see sample_counts."""
     left = _named(ref.select(*on, key, "x", "y", value), "a_", [*on, key])
     right = _named(ens.select(*on, "sample_id", "x", "y", value), "b_", [*on, "sample_id"])
     hits = (
@@ -83,12 +86,18 @@ def completeness(
     )
     return (
         ref.join(hits, [*on, key], "left")
-        .join(sample_counts(ens, on), list(on))
-        .withColumn("completeness", F.coalesce("_hits", F.lit(0)) / F.col("nsamp"))
+        .join(sample_counts(ens, on, samples), list(on), "left")
+        .withColumn("nsamp", F.coalesce("nsamp", F.lit(0).cast("bigint")))
+        .withColumn("completeness", _share("_hits"))
         .drop("_hits")
     )
 
 
+def _share(hits: str) -> Column:
+    """hits / nsamp, 0 where there is no sample or no hit."""
+    return F.when(F.col("nsamp") > 0, F.coalesce(hits, F.lit(0)) / F.col("nsamp")).otherwise(0.0)
+
+
 def match_nearest(
     truth: DataFrame,
     ens: DataFrame,
@@ -169,14 +178,17 @@ def false_discoveries(
 
 
 def match_completeness(
-    truth: DataFrame, ens: DataFrame, matches: DataFrame, on: Sequence[str] = ("field_id",), key: str = "truth_id"
+    truth: DataFrame, ens: DataFrame, matches: DataFrame, on: Sequence[str] = ("field_id",), key: str = "truth_id",
+    samples: DataFrame | None = None,
 ) -> DataFrame:
-    """Share of samples in which each truth was matched, zero included."""
+    """Share of samples in which each truth was matched, zero included, also in
+    a field without a detection. `samples`: see sample_counts."""
     hits = matches.groupBy(*on, key).agg(F.count(F.lit(1)).alias("_hits"))
     return (
         truth.join(hits, [*on, key], "left")
-        .join(sample_counts(ens, on), list(on))
-        .withColumn("completeness", F.coalesce("_hits", F.lit(0)) / F.col("nsamp"))
+        .join(sample_counts(ens, on, samples), list(on), "left")
+        .withColumn("nsamp", F.coalesce("nsamp", F.lit(0).cast("bigint")))
+        .withColumn("completeness", _share("_hits"))
         .drop("_hits")
     )
 
@@ -278,6 +290,7 @@ def recovery(
     bands: Sequence[str] = ("f0",),
     on: Sequence[str] = ("field_id",),
     key: str = "truth_id",
+    samples: DataFrame | None = None,
 ) -> DataFrame:
     """Injected against recovered sources, per band and flux bar: sources,
     mean prevalence (matched samples / samples) and mean fractional error of
@@ -300,11 +313,11 @@ def recovery(
         .select(*on, key, "_b.band", bin_index(F.col("_b.flux"), edges).alias("bin"))
         .where(F.col("bin").isNotNull())
         .join(found, [*on, key, "band"], "left")
-        .join(sample_counts(ens, on), list(on))
+        .join(sample_counts(ens, on, samples), list(on), "left")
         .groupBy("band", "bin")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.avg(F.coalesce("_hits", F.lit(0)) / F.col("nsamp")).alias("prevalence"),
+            F.avg(_share("_hits")).alias("prevalence"),
             F.avg("_ferr").alias("frac_error"),
         )
     )

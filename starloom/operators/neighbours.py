@@ -22,11 +22,12 @@ def _others(cat: DataFrame, radius: float, on: Sequence[str], key: str, flux: st
 
 
 def neighbour_weight(
-    cat: DataFrame, h: float, on: Sequence[str] = ("field_id", "sample_id"), key: str = "src"
+    cat: DataFrame, h: float, on: Sequence[str] = ("field_id", "sample_id"), key: str = "src", reach: float = 8.6
 ) -> DataFrame:
-    """Sum of exp(-d^2 / 2h^2) over the other sources, cut at 5h."""
+    """Sum of exp(-d^2 / 2h^2) over the other sources. `reach` is in units of h;
+    beyond the default a term is below 2^-53, the last bit of a double of 1."""
     near = (
-        _others(cat, 5.0 * h, on, key, "x", True)
+        _others(cat, reach * h, on, key, "x", True)
         .groupBy(*on, F.col("a_id").alias(key))
         .agg(F.sum(F.exp(-F.col("d2") / F.lit(2.0 * h * h))).alias("_w"))
     )

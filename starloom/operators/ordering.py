@@ -8,31 +8,35 @@ the rows of earlier cells enter as a count.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
 def position_in_group(
-    df: DataFrame, keys: Sequence[str], cell: Column, order: Sequence[Column], out: str
+    df: DataFrame, keys: Sequence[str], cell: Column, order: Sequence[Column], out: str, nulls_first: bool = False
 ) -> DataFrame:
     """0-based position of each row in its group under `order`.
 
     `cell` must never fall along `order`; it decides only how the sort is
-    spread, not the result. The cell counts are combined before the shuffle,
-    and the rows move once, to (keys, cell).
+    spread, not the result. A NULL cell comes last, or first where `order` puts
+    NULL first. A NULL key is a group like any other. The cell counts are
+    combined before the shuffle, and the rows move once, to (keys, cell).
     """
     rows = df.withColumn("_cell", cell)
     counts = rows.groupBy(*keys, "_cell").agg(F.count(F.lit(1)).alias("_n"))
-    earlier = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
+    earlier = W.partitionBy(*keys).orderBy(F.asc_nulls_first("_cell") if nulls_first else F.asc_nulls_last("_cell")).rowsBetween(W.unboundedPreceding, -1)
+    names = [*keys, "_cell"]
     before = counts.select(
-        *keys, "_cell", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
+        *(F.col(c).alias(f"_k{n}") for n, c in enumerate(names)), F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before")
     )
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{n}")) for n, c in enumerate(names)])
     inside = W.partitionBy(*keys, "_cell").orderBy(*order)
     return (
         rows.withColumn("_pos", F.row_number().over(inside) - 1)
-        .join(before, [*keys, "_cell"])
+        .join(before, same)
         .withColumn(out, F.col("_before") + F.col("_pos"))
-        .drop("_cell", "_pos", "_before")
+        .drop("_cell", "_pos", "_before", *(f"_k{n}" for n in range(len(names))))
     )
 
 

@@ -9,16 +9,26 @@ sorted. Linear interpolation between ranks, as numpy does by default.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 CELLS = 128
+CELL_VALUES = 1 << 16
+MOST_STEPS = 1 << 10
+INFINITE = 1e300
 
 
 def exact_quantiles(
     df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]
 ) -> DataFrame:
-    """One row per group: keys, `n` and one column per entry of `probs`."""
+    """One row per group: keys, `n` and one column per entry of `probs`. A NULL
+    key is a group like any other; NULL values do not count.
+
+    A group is cut at 128 of its approximate quantiles, and between two cuts
+    into equal steps, the more of them the more values it has: so a cell holds
+    some 65,000 different values however large the group is, unless they crowd.
+    """
     counted = (
         df.where(F.col(value).isNotNull())
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
@@ -26,11 +36,17 @@ def exact_quantiles(
     )
     shares = F.array(*[F.lit(k / CELLS) for k in range(1, CELLS)])
     groups = counted.groupBy(*keys).agg(
-        F.percentile_approx("_v", shares, 4 * CELLS).alias("_cuts"), F.sum("_n").alias("n")
+        F.percentile_approx("_v", shares, 4 * CELLS).alias("_cuts"), F.sum("_n").alias("n"),
+        F.count(F.lit(1)).alias("_d"), F.min("_v").alias("_min"), F.max("_v").alias("_max"),
     )
     celled = _with_groups(counted, groups, keys).withColumn(
-        "_cell", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
+        "_cut", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
     )
+    steps = F.least(F.lit(MOST_STEPS), F.lit(1) + F.floor(F.col("_d") / float(CELLS * CELL_VALUES)))
+    lo = F.when(F.col("_cut") > 0, F.get("_cuts", F.col("_cut") - 1)).otherwise(F.col("_min"))
+    hi = F.coalesce(F.get("_cuts", F.col("_cut")), F.col("_max"))
+    part = F.when((steps > 1) & (hi > lo) & (hi - lo < INFINITE), F.greatest(F.lit(0), F.least(steps - 1, F.floor((F.col("_v") - lo) / (hi - lo) * steps)))).otherwise(0)
+    celled = celled.withColumn("_cell", F.col("_cut") * MOST_STEPS + part).drop("_cut", "_d", "_min", "_max")
     earlier = W.partitionBy(*keys).orderBy("_cell").rowsBetween(W.unboundedPreceding, -1)
     cells = (
         celled.groupBy(*keys, "_cell")
@@ -46,7 +62,7 @@ def exact_quantiles(
     upto = W.partitionBy(*keys, "_cell").orderBy("_v").rowsBetween(W.unboundedPreceding, 0)
     placed = (
         celled.drop("_cuts")
-        .join(wanted, [*keys, "_cell"])
+        .join(wanted.select(*(F.col(c).alias(f"_k{n}") for n, c in enumerate([*keys, "_cell"])), "_before"), _same([*keys, "_cell"]))
         .withColumn("_end", F.col("_before") + F.sum("_n").over(upto))
         .withColumn("_start", F.col("_end") - F.col("_n"))
     )
@@ -68,8 +84,12 @@ def exact_quantiles(
 
 
 def _with_groups(rows: DataFrame, groups: DataFrame, keys: Sequence[str]) -> DataFrame:
+    extra = [c for c in groups.columns if c not in keys]
     if keys:
-        return rows.join(groups, list(keys))
-    return rows.select(
-        "*", groups.select("_cuts").scalar().alias("_cuts"), groups.select("n").scalar().alias("n")
-    )
+        return rows.join(groups.select(*(F.col(c).alias(f"_k{n}") for n, c in enumerate(keys)), *extra), _same(keys)).drop(*(f"_k{n}" for n in range(len(keys))))
+    return rows.select("*", *(groups.select(c).scalar().alias(c) for c in extra))
+
+
+def _same(names: Sequence[str]) -> Column:
+    """Equal in all these columns and their copies _k0, _k1 ...; NULL equals NULL."""
+    return reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_k{n}")) for n, c in enumerate(names)])

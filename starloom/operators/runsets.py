@@ -24,7 +24,7 @@ def runs_by_sim(runs: DataFrame, block: int = 1 << 18) -> DataFrame:
     Rows and not one array per simulation, so a popular simulation stays
     spread over tasks."""
     return position_in_group(
-        sim_key(runs), ["sim"], F.floor(F.col("started") / float(block)), [F.asc("started")], "place"
+        sim_key(runs), ["sim"], F.floor(F.col("started") / float(block)), [F.asc("started")], "place", nulls_first=True
     ).select("sim", "place", "run_id")
 
 

@@ -32,6 +32,16 @@ def a1_pooled_summary(spark, sf):
     return rounded(C.posterior_summary(_draws(spark, sf), ["band"], PERCENTS, injected=50.0), 9)
 
 
+# R-hat compares chains of equal length: all are cut to the shortest here.
+EQUAL = "(SELECT * FROM chain WHERE i < (SELECT MIN(n) FROM (SELECT COUNT(*) AS n FROM chain GROUP BY chain_id) q))"
+
+
+def _equal(spark, sf):
+    whole = chain(spark, sf)
+    sizes = whole.groupBy("chain_id").agg(F.count(F.lit(1)).alias("n"))
+    return whole.where(F.col("i") < sizes.agg(F.min("n")).scalar())
+
+
 RHAT = """
 s AS (SELECT chain_id, COUNT(*) AS n, AVG(value) AS mean, VAR_SAMP(value) AS v FROM c GROUP BY 1),
 g AS (SELECT COUNT(*) AS m, MIN(n) AS n, AVG(mean) AS grand, AVG(v) AS w FROM s),
@@ -39,14 +49,14 @@ b AS (SELECT SUM((s.mean-g.grand)*(s.mean-g.grand))*ANY_VALUE(g.n)/(ANY_VALUE(g.
 SELECT g.m, g.n, ROUND(SQRT(((g.n-1)/CAST(g.n AS DOUBLE)*g.w + b.b/g.n)/g.w), 9) AS rhat FROM g, b"""
 
 
-@query("a11_rhat", sql(f"WITH c AS (SELECT * FROM chain), {RHAT}", "chain"))
+@query("a11_rhat", sql(f"WITH c AS {EQUAL}, {RHAT}", "chain"))
 def a11_rhat(spark, sf):
-    return rounded(C.rhat(chain(spark, sf)), 9, "rhat")
+    return rounded(C.rhat(_equal(spark, sf)), 9, "rhat")
 
 
-@query("a11_rhat_thinned", sql(f"WITH c AS (SELECT * FROM chain WHERE i % 3 = 0 AND i >= 99), {RHAT}", "chain"))
+@query("a11_rhat_thinned", sql(f"WITH c AS (SELECT * FROM {EQUAL} e WHERE i % 3 = 0 AND i >= 99), {RHAT}", "chain"))
 def a11_rhat_thinned(spark, sf):
-    return rounded(C.rhat(chain(spark, sf), i0=100, nthin=3), 9, "rhat")
+    return rounded(C.rhat(_equal(spark, sf), i0=100, nthin=3), 9, "rhat")
 
 
 @query("w1_moving_average", sql("""
@@ -138,9 +148,14 @@ def a26_background_means(spark, sf):
     return rounded(C.background_means(banded, 400, ["chain_id", "band"]), 9, "mean")
 
 
-@query("a36_corrected_posterior")
+@query("a36_corrected_posterior", sql("""
+WITH u AS (SELECT chain_id, i, value, MEDIAN(value) OVER (PARTITION BY chain_id) AS med,
+ (CAST('0x' || SUBSTR(MD5('7|' || chain_id || '|' || i), 1, 8) AS BIGINT) + 0.5e0) / 4294967296e0 AS u1,
+ (CAST('0x' || SUBSTR(MD5('7|' || chain_id || '|' || i), 9, 8) AS BIGINT) + 0.5e0) / 4294967296e0 AS u2 FROM chain)
+SELECT chain_id, i, value, ROUND((value - med) + SQRT(-2e0 * LN(u1)) * COS(2e0 * PI() * u2) * 0.02e0
+ + SQRT(-2e0 * LN(u1)) * SIN(2e0 * PI() * u2) * 0.005e0 + (0.3e0 + med), 9) AS corrected FROM u""", "chain"))
 def a36_corrected_posterior(spark, sf):
-    return C.corrected_posterior(chain(spark, sf), 0.3, 0.02, 0.005, seed=7, by=["chain_id"])
+    return rounded(C.corrected_posterior(chain(spark, sf), 0.3, 0.02, 0.005, seed=7, by=["chain_id"]), 9, "corrected")
 
 
 MOVES = ("click", "error", "purchase", "signup", "view")

@@ -12,7 +12,7 @@ from starloom.sources.fixtures import detections, table, truth
 
 LINK = 0.75
 PAIRS = """
-n AS (SELECT field_id, sample_id, sample_id * 1000000 + src AS id, x, y, f0, CAST(FLOOR(x/0.75e0) AS BIGINT) AS cx,
+n AS (SELECT field_id, sample_id, sample_id * 2147483648 + src AS id, x, y, f0, CAST(FLOOR(x/0.75e0) AS BIGINT) AS cx,
   CAST(FLOOR(y/0.75e0) AS BIGINT) AS cy FROM det),
 off AS (SELECT * FROM (VALUES (-1),(0),(1)) a(ox), (VALUES (-1),(0),(1)) b(oy)),
 nb AS (SELECT n.*, cx + ox AS bx, cy + oy AS by_ FROM n, off),
@@ -176,7 +176,7 @@ def j12_blend_odds(spark, sf):
 @query("j13_neighbour_weight", sql("""
 WITH w AS (SELECT a.field_id, a.sample_id, a.src, SUM(exp(-((a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y))/(2e0*0.25e0))) AS w
  FROM det a JOIN det b ON a.field_id = b.field_id AND a.sample_id = b.sample_id AND a.src <> b.src
- AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 6.25e0 GROUP BY 1, 2, 3)
+ AND (a.x-b.x)*(a.x-b.x)+(a.y-b.y)*(a.y-b.y) <= 1.849e1 GROUP BY 1, 2, 3)
 SELECT d.field_id, d.sample_id, d.src, ROUND(COALESCE(w.w, 0e0), 9) AS weight FROM det d LEFT JOIN w
 ON d.field_id = w.field_id AND d.sample_id = w.sample_id AND d.src = w.src""", "det"))
 def j13_neighbour_weight(spark, sf):

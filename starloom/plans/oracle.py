@@ -22,12 +22,8 @@ FROM (SELECT DISTINCT t.field_id, l_orderkey % 30 AS sample_id, t.truth_id, l_or
              t.f0 * (0.75e0 + l_quantity / 1e2) AS f0, l_discount AS disc, l_tax AS tax
       FROM lineitem JOIN truth t ON l_partkey = t.truth_id) d"""),
     "chain": ((), """
-SELECT chain_id, i, value
-FROM (SELECT chain_id, i, value, MIN(n) OVER () AS m
-      FROM (SELECT user_id % 4 AS chain_id, value,
-                   CAST(ROW_NUMBER() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS BIGINT) AS i,
-                   COUNT(*) OVER (PARTITION BY user_id % 4) AS n FROM events) a) b
-WHERE i < m"""),
+SELECT user_id % 4 AS chain_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS BIGINT) AS i, value
+FROM events"""),
     "proposals": ((), """
 SELECT event_id AS step, CAST(FLOOR(event_id / 1e3) AS BIGINT) AS sample, event_type AS move, ts,
        CASE WHEN value < 50 THEN 1e0 ELSE 0e0 END AS accepted,
@@ -38,8 +34,7 @@ SELECT map_id, CAST(FLOOR(p / 3.2e1) AS BIGINT) AS row_, p % 32 AS col_, image,
 FROM (SELECT CAST(FLOOR(o_orderkey / 1.024e3) AS BIGINT) AS map_id, o_orderkey % 1024 AS p,
              o_totalprice / 1e5 AS image,
              CASE WHEN o_custkey % 97 = 0 THEN 0e0 ELSE 0.1e0 + (o_custkey % 10) / 2e1 END AS error,
-             CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END AS mask FROM orders) q
-WHERE map_id < (SELECT FLOOR(COUNT(*) / 1.024e3) FROM orders)"""),
+             CASE WHEN o_orderstatus = 'P' THEN 0 ELSE 1 END AS mask FROM orders) q"""),
     "xev": ((), """
 SELECT event_id, ts, ((event_id * 7919) % 10007) / 1e2 AS x, ((event_id * 104729) % 10009) / 1e2 AS y,
        5e2 + value * 4e1 AS energy, user_id % 3 AS obsid
@@ -52,7 +47,7 @@ FROM lineitem GROUP BY l_linenumber, l_orderkey"""),
     "coeffs": ((), """
 SELECT CAST(FLOOR(event_id / 3.6e1) AS BIGINT) AS sample_id, CAST(FLOOR(event_id % 36 / 1.2e1) AS BIGINT) AS i,
        CAST(FLOOR(event_id % 36 % 12 / 4e0) AS BIGINT) AS j, event_id % 36 % 4 AS k, (value - 5e1) / 1e2 AS value
-FROM events WHERE FLOOR(event_id / 3.6e1) < (SELECT FLOOR(COUNT(*) / 3.6e1) FROM events)"""),
+FROM events"""),
     "runs": ((), """
 SELECT 'run-' || CAST(o_orderkey AS VARCHAR) AS run_id, o_orderkey AS started,
        'field_sim_' || LPAD(CAST(o_custkey % 300 AS VARCHAR), 3, '0') AS tail_name, o_orderstatus AS status
