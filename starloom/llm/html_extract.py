@@ -427,9 +427,11 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     length are read whole. The model is trained on at most max_pages pages.
     """
     rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    short = rows.filter(F.length("html") <= MAX_TRAIN_CHARS).select("id", "html")
-    sample = short.orderBy(F.xxhash64("id"), F.xxhash64("html")).limit(max_pages)
-    model = train([r["html"] for r in sample.collect()])  # at most max_pages rows of bounded length
+    # Hashes are ordered first, then their pages fetched: else each task would send max_pages pages to the driver.
+    short = rows.filter(F.length("html") <= MAX_TRAIN_CHARS).select(F.xxhash64("id", "html").alias("hash"), "html")
+    first = short.select("hash").distinct().orderBy("hash").limit(max_pages)
+    sample = short.join(F.broadcast(first), "hash").dropDuplicates(["hash"])
+    model = train([r["html"] for r in sample.orderBy("hash").collect()])  # at most max_pages rows of bounded length
     shared = pages.sparkSession.sparkContext.broadcast(model)
 
     def extracted(part: dict[str, list]) -> dict[str, object]:

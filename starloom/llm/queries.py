@@ -85,4 +85,36 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     fn.__name__: fn for fn in (op1_chat_format, op2_best_fit_packing, op3_cotrained_quality, op4_bagminhash_dedup, op5_maximal_repeats, op6_quality_rules, op7_syncmer_fingerprints, op8_hierarchical_mixing, op9_token_counts, op10_html_extraction)
 }
-ORACLES: dict[str, str] = {}
+# The columns the contract names, said again in DuckDB's SQL.
+_ESCAPED = r"regexp_replace(text, '(### |</turn>)', '\\\1', 'g')"
+ORACLES: dict[str, str] = {
+    "op1_chat_format": rf"""
+WITH t AS (SELECT conv_id, turn, COALESCE(role, '') AS role, COALESCE(text, '') AS text FROM conversations
+ UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+f AS (SELECT *, {_ESCAPED} AS body, LENGTH('### ' || role || ': </turn>') + 1 AS frame FROM t)
+SELECT conv_id, COUNT(*) AS n_turns, SHA256(STRING_AGG(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+ CAST(SUM(CASE WHEN role = 'assistant' THEN LENGTH(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+ SHA256(COALESCE(STRING_AGG(CASE WHEN role = 'assistant' THEN text END, '' ORDER BY turn, role, text), '')) AS loss_sha256,
+ CAST(SUM(LENGTH(body) + frame + CASE WHEN ends_with(text, chr(92)) THEN 2 ELSE 0 END) AS BIGINT) AS formatted_chars,
+ CAST(SUM(CASE WHEN body <> text OR ends_with(text, chr(92)) THEN 1 ELSE 0 END) AS BIGINT) AS n_escaped FROM f GROUP BY conv_id""",
+    "op6_quality_rules": r"""
+WITH d AS (SELECT doc_id, COALESCE(text, '') AS text FROM documents),
+w AS (SELECT doc_id, UNNEST(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS word, generate_subscripts(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), 1) AS i FROM d),
+g AS (SELECT doc_id, i, word, LEAD(word, 1) OVER a AS w1, LEAD(word, 2) OVER a AS w2 FROM w WINDOW a AS (PARTITION BY doc_id ORDER BY i)),
+c AS (SELECT doc_id, i, COUNT(*) OVER (PARTITION BY doc_id, word, w1, w2) AS n FROM g WHERE w2 IS NOT NULL),
+r AS (SELECT doc_id, COUNT(DISTINCT j) AS n_repeat_words FROM (SELECT doc_id, UNNEST([i, i + 1, i + 2]) AS j FROM c WHERE n > 1) q GROUP BY 1),
+l AS (SELECT doc_id, UNNEST(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS k FROM d),
+ll AS (SELECT doc_id, line, ROW_NUMBER() OVER (PARTITION BY doc_id, line ORDER BY k) AS rn FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+dl AS (SELECT doc_id, COUNT(*) AS n_lines, COUNT(*) FILTER (rn > 1) AS n_dup_lines, COALESCE(SUM(LENGTH(line)) FILTER (rn > 1), 0) AS dup_line_chars FROM ll GROUP BY 1),
+ws AS (SELECT doc_id, COUNT(*) AS n_words, SUM(LENGTH(word)) AS word_chars,
+ COUNT(*) FILTER (word = UPPER(word) AND word <> LOWER(word)) AS n_upper,
+ COUNT(*) FILTER (regexp_matches(TRIM(word, '.,;:!?''"()-'), '^\p{L}+$')) AS n_letter_words FROM w GROUP BY 1),
+m AS (SELECT d.doc_id, LENGTH(text) AS n_chars, COALESCE(n_words, 0) AS n_words, COALESCE(word_chars, 0) AS word_chars, LENGTH(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+ COALESCE(n_dup_lines, 0) AS n_dup_lines, COALESCE(n_repeat_words, 0) AS n_repeat_words, COALESCE(n_lines, 0) AS n_lines, COALESCE(dup_line_chars, 0) AS dup_line_chars,
+ COALESCE(n_upper, 0) AS n_upper, COALESCE(n_letter_words, 0) AS n_letter_words FROM d LEFT JOIN ws USING (doc_id) LEFT JOIN dl USING (doc_id) LEFT JOIN r USING (doc_id)),
+b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END) + (CASE WHEN 10 * n_symbols > 3 * n_words THEN 4 ELSE 0 END)
+ + (CASE WHEN 2 * n_dup_lines > n_lines THEN 8 ELSE 0 END) + (CASE WHEN 2 * dup_line_chars > n_chars THEN 16 ELSE 0 END) + (CASE WHEN 10 * n_upper > 5 * n_words THEN 32 ELSE 0 END)
+ + (CASE WHEN word_chars < 2 * n_words THEN 64 ELSE 0 END) + (CASE WHEN word_chars > 15 * n_words THEN 128 ELSE 0 END) + (CASE WHEN 10 * n_letter_words < 5 * n_words THEN 256 ELSE 0 END)
+ + (CASE WHEN n_words > 100000 THEN 512 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 1024 ELSE 0 END) AS failures FROM m)
+SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, (failures & 511) = 0 AS kept, CAST(failures AS BIGINT) AS failures FROM b""",
+}
