@@ -105,7 +105,8 @@ def gaussian_weights(sigma: float, truncate: float = 4.0) -> list[float]:
 def smooth(
     df: DataFrame, value: str, sigma: float, height: int, width: int, keys: Sequence[str] = ("map_id",)
 ) -> DataFrame:
-    """Gaussian smoothing, cut at four sigma, edges reflected.
+    """Gaussian smoothing, cut at four sigma, edges reflected. A missing pixel
+    adds nothing and gets no value.
 
     One axis at a time: each pixel adds its share to the pixels it reaches, and
     sums start before the shuffle, where neighbours still share a task.
@@ -140,7 +141,7 @@ def smooth(
             direct.unionByName(mirrored).groupBy(*keys, other, F.col("_t").alias(axis)).agg(F.sum(value).alias(value))
             .select(*keys, "row_", "col_", value)
         )
-    return out
+    return out.join(df.select(*keys, "row_", "col_"), [*keys, "row_", "col_"], "left_semi")
 
 
 def stack_maps(models: DataFrame, value: str = "model", keys: Sequence[str] = tuple(PIXEL)) -> DataFrame:
@@ -181,7 +182,8 @@ def pad(pixels: DataFrame, side: int, values: Sequence[str], pivot: int | None =
 
 def upsample(grid: DataFrame, k: int, height: int, width: int, value: str = "image", keys: Sequence[str] = ("map_id",)) -> DataFrame:
     """Bilinear zoom by k, corners on corners: each coarse pixel adds its share
-    to the fine pixels less than one coarse step away."""
+    to the fine pixels less than one coarse step away. A fine pixel that lacks
+    one of the coarse pixels it needs has no value."""
     out = grid.select(*keys, "row_", "col_", value)
     for axis, n in (("row_", height), ("col_", width)):
         m = n * k
@@ -194,7 +196,8 @@ def upsample(grid: DataFrame, k: int, height: int, width: int, value: str = "ima
         other = "col_" if axis == "row_" else "row_"
         out = (
             fine.withColumn("_w", share).where(F.col("_w") > 0)
-            .groupBy(*keys, other, F.col("_t").alias(axis)).agg(F.sum(F.col("_w") * F.col(value)).alias(value))
+            .groupBy(*keys, other, F.col("_t").alias(axis)).agg(F.sum(F.col("_w") * F.col(value)).alias(value), F.sum("_w").alias("_all"))
+            .where(F.col("_all") > 1.0 - 1e-9)
             .select(*keys, "row_", "col_", value)
         )
     return out

@@ -83,9 +83,10 @@ def _smooth_sql(source: str, value: str, sigma: float, prefix: str = "") -> str:
     return f"""
 {prefix}k0 AS (SELECT CAST(d AS BIGINT) AS d, exp(-0.5e0*d*d/({num(sigma)}*{num(sigma)})) AS g FROM (SELECT UNNEST(range({-radius}, {radius + 1})) AS d)),
 {prefix}k AS (SELECT d, g / (SELECT SUM(g) FROM {prefix}k0) AS w FROM {prefix}k0),
-{prefix}a AS (SELECT p.map_id, p.row_, p.col_, k.w, {refl('(p.row_ + k.d)')} AS rr FROM {source} p, {prefix}k k),
+{prefix}a AS (SELECT p.map_id, t.row_, p.col_, k.w, {refl('(t.row_ + k.d)')} AS rr FROM (SELECT DISTINCT map_id, col_ FROM {source}) p,
+ (SELECT CAST(range AS BIGINT) AS row_ FROM range(32)) t, {prefix}k k),
 {prefix}b AS (SELECT a.map_id, a.row_, a.col_, SUM(a.w * s.{value}) AS v FROM {prefix}a a JOIN {source} s ON s.map_id = a.map_id AND s.row_ = a.rr AND s.col_ = a.col_ GROUP BY 1, 2, 3),
-{prefix}c AS (SELECT p.map_id, p.row_, p.col_, k.w, {refl('(p.col_ + k.d)')} AS cc FROM {prefix}b p, {prefix}k k),
+{prefix}c AS (SELECT p.map_id, p.row_, p.col_, k.w, {refl('(p.col_ + k.d)')} AS cc FROM {source} p, {prefix}k k),
 {prefix}s AS (SELECT c.map_id, c.row_, c.col_, SUM(c.w * b.v) AS v FROM {prefix}c c JOIN {prefix}b b ON b.map_id = c.map_id AND b.row_ = c.row_ AND b.col_ = c.cc GROUP BY 1, 2, 3)"""
 
 
@@ -376,8 +377,11 @@ def g10_pad(spark, sf):
 @query("g11_upsample", sql("""
 WITH f AS (SELECT CAST(range AS BIGINT) AS t, range*31e0/95e0 AS c FROM range(96)), m AS (SELECT DISTINCT map_id FROM pix),
 q AS (SELECT m.map_id, a.t AS row_, b.t AS col_, LEAST(CAST(FLOOR(a.c) AS BIGINT), 30) AS r, LEAST(CAST(FLOOR(b.c) AS BIGINT), 30) AS s, a.c AS ac, b.c AS bc FROM m, f a, f b)
-SELECT q.map_id, q.row_, q.col_, ROUND((1e0-(ac-r))*((1e0-(bc-s))*p.image+(bc-s)*p1.image)+(ac-r)*((1e0-(bc-s))*p2.image+(bc-s)*p3.image), 8) AS image
-FROM q JOIN pix p ON p.map_id=q.map_id AND p.row_=r AND p.col_=s JOIN pix p1 ON p1.map_id=q.map_id AND p1.row_=r AND p1.col_=s+1
-JOIN pix p2 ON p2.map_id=q.map_id AND p2.row_=r+1 AND p2.col_=s JOIN pix p3 ON p3.map_id=q.map_id AND p3.row_=r+1 AND p3.col_=s+1""", "pix"))
+SELECT q.map_id, q.row_, q.col_, ROUND((1e0-(ac-r))*((1e0-(bc-s))*COALESCE(p.image, 0e0)+(bc-s)*COALESCE(p1.image, 0e0))
+ +(ac-r)*((1e0-(bc-s))*COALESCE(p2.image, 0e0)+(bc-s)*COALESCE(p3.image, 0e0)), 8) AS image
+FROM q LEFT JOIN pix p ON p.map_id=q.map_id AND p.row_=r AND p.col_=s LEFT JOIN pix p1 ON p1.map_id=q.map_id AND p1.row_=r AND p1.col_=s+1
+LEFT JOIN pix p2 ON p2.map_id=q.map_id AND p2.row_=r+1 AND p2.col_=s LEFT JOIN pix p3 ON p3.map_id=q.map_id AND p3.row_=r+1 AND p3.col_=s+1
+WHERE (p.image IS NOT NULL OR (1e0-(ac-r))*(1e0-(bc-s)) < 1e-9) AND (p1.image IS NOT NULL OR (1e0-(ac-r))*(bc-s) < 1e-9)
+ AND (p2.image IS NOT NULL OR (ac-r)*(1e0-(bc-s)) < 1e-9) AND (p3.image IS NOT NULL OR (ac-r)*(bc-s) < 1e-9)""", "pix"))
 def g11_upsample(spark, sf):
     return rounded(G.upsample(pixels(spark, sf), 3, SIDE, SIDE), 8, "image")
