@@ -69,13 +69,20 @@ def likeness(a: str, b: str, size: int = SIZE) -> Column:
     return F.when(F.size(F.array_union(a, b)) == 0, F.lit(1.0)).otherwise(shared / F.size(least))
 
 
+def key_of(id_col: str) -> Column:
+    return F.struct(F.col(id_col).isNotNull().alias("given"), F.col(id_col).alias("id"))
+
+
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, before, need) per distinct id: the id before it and half the characters of that one's longest text.
+    """(key, before, need) per distinct id: the key before it and half the characters of that one's longest text.
+
+    Keys are structs (given, id) that are never null, so that joins on them need no
+    other partitioning than sums over them.
 
     Ids are sorted by ranges and written with the range they fell into; only one row
     per range goes through a common window. The first follows the last.
     """
-    ids = docs.select(F.struct(F.col(id_col).isNotNull().alias("given"), F.col(id_col).alias("id")).alias("key"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"))
+    ids = docs.select(key_of(id_col).alias("key"), F.length(F.coalesce(F.col(text_col), F.lit(""))).alias("n"))
     rows = ids.groupBy("key").agg(F.max("n").alias("n")).repartitionByRange("key").withColumn("range", F.spark_partition_id())
     rows = cut_lineage(rows)
     last = rows.groupBy("range").agg(F.max(F.struct("key", "n")).alias("last"))
@@ -86,7 +93,7 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     inside = W.partitionBy("range").orderBy("key")
     before = F.coalesce(F.lag(F.struct("key", "n")).over(inside), F.col("end"))
     return rows.join(ends, "range").select("key", before.alias("b")).select(
-        F.col("key.id").alias("id"), F.col("b.key.id").alias("before"), F.expr("b.n div 2").cast("int").alias("need"),
+        "key", F.col("b.key").alias("before"), F.expr("b.n div 2").cast("int").alias("need"),
     )
 
 
@@ -100,13 +107,13 @@ def fingerprint_with_edits(docs: DataFrame, id_col: str = "doc_id", text_col: st
     whose beginning sorts first is taken. A single document follows itself. Other columns are not
     read; an empty table gives no rows.
     """
-    base = with_sketch(docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text", "sketch")
+    base = with_sketch(docs.select(key_of(id_col).alias("key"), F.coalesce(F.col(text_col), F.lit("")).alias("text")), "text", "sketch")
     order = neighbours(docs, id_col, text_col)
-    heads = base.alias("d").join(order.alias("o"), F.col("d.id").eqNullSafe(F.col("o.id"))).select(
+    heads = base.alias("d").join(order.alias("o"), F.col("d.key") == F.col("o.key")).select(
         F.col("o.before").alias("before"), F.struct(F.expr("substring(d.text, 1, o.need)").alias("head"), F.col("d.sketch").alias("sketch")).alias("next"),
     ).groupBy("before").agg(F.min("next").alias("next"))
-    both = base.alias("d").join(heads.alias("h"), F.col("d.id").eqNullSafe(F.col("h.before"))).select(
-        F.col("d.id").alias("id"), F.length("d.text").alias("n"), F.col("d.sketch").alias("sketch"), F.col("h.next.sketch").alias("next_sketch"),
+    both = base.alias("d").join(heads.alias("h"), F.col("d.key") == F.col("h.before")).select(
+        F.col("d.key.id").alias("id"), F.length("d.text").alias("n"), F.col("d.sketch").alias("sketch"), F.col("h.next.sketch").alias("next_sketch"),
         F.expr("concat(substring(d.text, 1, length(d.text) - length(d.text) div 2), substring(h.next.head, 1, int(length(d.text) div 2)))").alias("edited"),
     )
     both = with_sketch(both, "edited", "edited_sketch")
