@@ -68,51 +68,57 @@ def ellipse_moments(points: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def fit_ellipse(points: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Direct least-squares ellipse of each group: centre, angle and axes. Spark
-    reduces the points to fifteen sums; the eigenvector step sees one row per group."""
+    """Direct least-squares ellipse of each group: centre, angle and axes, NULL
+    where the points determine none. Spark reduces the points to fifteen sums;
+    the eigenvector step takes whole batches of groups at a time."""
     curved, flat = [(2, 0), (1, 1), (0, 2)], [(1, 0), (0, 1), (0, 0)]
-    keys = list(by)
-
-    def block(r, rows, cols):
-        return np.array([[r[f"m{a + c}{b + d}"] for c, d in cols] for a, b in rows], dtype=float)
+    keys, shape = list(by), ["x0", "y0", "phi", "axis_1", "axis_2"]
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # 4 A C - B^2 as a quadratic form of (A, B, C), inverted.
         unbend = np.linalg.inv(np.array([[0.0, 0.0, 2.0], [0.0, -1.0, 0.0], [2.0, 0.0, 0.0]]))
         for pdf in batches:
-            rows = []
-            for _, r in pdf.iterrows():
-                # The straight part follows from the curved one, which leaves a
-                # 3 x 3 problem that stays solvable for points exactly on an
-                # ellipse; its one elliptic solution is the fit.
-                follow = -np.linalg.solve(block(r, flat, flat), block(r, flat, curved))
-                rest = block(r, curved, curved) + block(r, curved, flat) @ follow
-                _, vectors = np.linalg.eig(unbend @ rest)
-                vectors = np.real(vectors)
-                bend = 4.0 * vectors[0] * vectors[2] - vectors[1] ** 2
-                q = vectors[:, np.argmax(bend)]
-                rows.append(_geometry(np.concatenate([q, follow @ q]), r["mean_x"], r["mean_y"]))
-            yield pdf[keys].assign(**pd.DataFrame(rows, columns=["x0", "y0", "phi", "axis_1", "axis_2"], index=pdf.index))
+            def block(rows, cols):
+                return np.stack([np.stack([pdf[f"m{a + c}{b + d}"].to_numpy(float) for c, d in cols], 1) for a, b in rows], 1)
+
+            straight = block(flat, flat)
+            lost = ~(np.abs(np.linalg.det(straight)) > 0)
+            straight[lost] = np.eye(3)
+            # The straight part follows from the curved one, which leaves a
+            # 3 x 3 problem that stays solvable for points exactly on an
+            # ellipse; its one elliptic solution is the fit.
+            follow = -np.linalg.solve(straight, block(flat, curved))
+            rest = block(curved, curved) + block(curved, flat) @ follow
+            rest[~np.isfinite(rest).all((1, 2))] = 0.0
+            vectors = np.real(np.linalg.eig(unbend @ rest)[1])
+            bend = 4.0 * vectors[:, 0] * vectors[:, 2] - vectors[:, 1] ** 2
+            q = np.take_along_axis(vectors, bend.argmax(1)[:, None, None], 2)[:, :, 0]
+            conic = np.hstack([q, (follow @ q[:, :, None])[:, :, 0]])
+            found = _geometry(conic, pdf["mean_x"].to_numpy(float), pdf["mean_y"].to_numpy(float))
+            found[lost | ~np.isfinite(found).all(1)] = np.nan
+            yield pdf[keys].assign(**{c: pd.Series(found[:, k], index=pdf.index, dtype=object).where(~np.isnan(found[:, k]), None) for k, c in enumerate(shape)})
 
     moments = ellipse_moments(points, by)
     fields = ", ".join(f"{k} {dict(points.dtypes)[k]}" for k in keys)
-    return moments.mapInPandas(solve, f"{fields}, x0 double, y0 double, phi double, axis_1 double, axis_2 double")
-
-
-def _geometry(q: np.ndarray, mx: float, my: float) -> tuple[float, float, float, float, float]:
-    """Centre, angle and half axes of the conic A x^2 + B xy + C y^2 + D x + E y + F = 0."""
-    form = np.array([[q[0], q[1] / 2], [q[1] / 2, q[2]]])
-    slope = q[3:5]
-    centre = np.linalg.solve(2.0 * form, -slope)
-    level = -(q[5] + 0.5 * slope @ centre)
-    lam = np.linalg.eigvalsh(form)
-    # The first axis belongs to the direction nearer to x.
-    half = np.sqrt(level / lam)
-    phi = 0.5 * np.arctan(q[1] / (q[0] - q[2]))
-    along = np.array([np.cos(phi), np.sin(phi)])
-    first = np.sqrt(level / (along @ form @ along))
-    second = half[np.argmax(np.abs(half - first))]
-    return centre[0] + mx, centre[1] + my, phi, first, second
+    return moments.mapInPandas(solve, f"{fields}, " + ", ".join(f"{c} double" for c in shape))
+
+
+def _geometry(q: np.ndarray, mx: np.ndarray, my: np.ndarray) -> np.ndarray:
+    """Centre, angle and half axes of the conics A x^2 + B xy + C y^2 + D x + E y + F = 0, one per row."""
+    form = np.stack([np.stack([q[:, 0], q[:, 1] / 2], 1), np.stack([q[:, 1] / 2, q[:, 2]], 1)], 1)
+    curved = np.abs(np.linalg.det(form)) > 0
+    slope = q[:, 3:5]
+    with np.errstate(all="ignore"):
+        centre = np.full((len(q), 2), np.nan)
+        centre[curved] = np.linalg.solve(2.0 * form[curved], -slope[curved][:, :, None])[:, :, 0]
+        level = -(q[:, 5] + 0.5 * (slope * centre).sum(1))
+        # The first axis belongs to the direction nearer to x.
+        half = np.sqrt(level[:, None] / np.linalg.eigvalsh(form))
+        phi = 0.5 * np.arctan(q[:, 1] / (q[:, 0] - q[:, 2]))
+        along = np.stack([np.cos(phi), np.sin(phi)], 1)
+        first = np.sqrt(level / np.einsum("ni,nij,nj->n", along, form, along))
+        second = np.take_along_axis(half, np.abs(half - first[:, None]).argmax(1)[:, None], 1)[:, 0]
+    return np.stack([centre[:, 0] + mx, centre[:, 1] + my, phi, first, second], 1)
 
 
 def offset_fit(df: DataFrame, x: str, dx: str, dy: str, by: Sequence[str] = ()) -> DataFrame:

@@ -306,7 +306,20 @@ def g6_normal_sums(spark, sf):
     return rounded(B.normal_sums(pixels(spark, sf), NTERMS, SIDE, SIDE), 5)
 
 
-@query("g6_ridge_fit")
+# Gauss-Jordan on lists: with the ridge the matrix is positive definite, so rows need no exchange.
+@query("g6_ridge_fit", sql(f"""
+WITH RECURSIVE g AS (SELECT * FROM pix WHERE error <> 0), {_basis_sql()},
+v AS (SELECT map_id, row_, col_, error, (i*3+j)*4+k AS p, value FROM basis UNION ALL SELECT map_id, row_, col_, error, 36, image FROM g),
+n AS (SELECT a.map_id, a.p, b.p AS q, SUM(a.value*b.value/(a.error*a.error)) + CASE WHEN a.p = b.p
+  THEN 1e1*POW(SQRT(POW(FLOOR(a.p/1.2e1)+1, 2)+POW(FLOOR(a.p/4e0)-3e0*FLOOR(a.p/1.2e1)+1, 2))/SQRT(2e0), 1.5e0) ELSE 0e0 END AS s
+ FROM v a JOIN v b ON a.map_id = b.map_id AND a.row_ = b.row_ AND a.col_ = b.col_ WHERE a.p < 36 GROUP BY 1, 2, 3),
+rows_ AS (SELECT map_id, p, LIST(s ORDER BY q) AS r FROM n GROUP BY 1, 2),
+e AS (SELECT map_id, CAST(1 AS BIGINT) AS c, LIST(r ORDER BY p) AS m FROM rows_ GROUP BY 1
+ UNION ALL
+ SELECT map_id, c + 1, list_transform(m, lambda r, i: CASE WHEN i = c THEN list_transform(r, lambda x: x / m[c][c])
+  ELSE list_transform(r, lambda x, j: x - r[c] / m[c][c] * m[c][j]) END) FROM e WHERE c <= 36),
+x AS (SELECT map_id, UNNEST(range(36)) AS p, UNNEST(list_transform(m, lambda r: r[37])) AS value FROM e WHERE c = 37)
+SELECT map_id, CAST(FLOOR(p/1.2e1) AS BIGINT) AS i, CAST(FLOOR(p/4e0) AS BIGINT) % 3 AS j, p % 4 AS k, ROUND(value, 6) + 0e0 AS value FROM x""", "pix"))
 def g6_ridge_fit(spark, sf):
     sums = B.normal_sums(pixels(spark, sf), NTERMS, SIDE, SIDE)
     return rounded(B.ridge_fit(sums, NTERMS, lam=10.0, alpha=1.5), 6)
