@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from starloom.functions.fourier import long_fft, split_length
+from starloom.functions.fourier import long_fft, split_columns
 from starloom.functions.gram import outer_sums
 from starloom.operators.ordering import with_halo
 from starloom.operators.quantiles import exact_quantiles
@@ -68,7 +68,7 @@ def autocorr(df: DataFrame) -> DataFrame:
     """Circular autocorrelation of each demeaned chain over its value at lag 0,
     for lags below n / 2.
 
-    Each chain is padded to a power of two of at least twice its length; the
+    Each chain is padded to a power of two of at least twice its own length; the
     power spectrum's transform then holds the plain lag sums, and the circular
     one at lag l adds those of l and n - l.
     """
@@ -76,16 +76,16 @@ def autocorr(df: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("_n"), F.avg("value").alias("_m"),
         (F.var_pop("value") * F.count(F.lit(1))).alias("_c0"),
     )
-    longest = stats.agg(F.max("_n")).first()[0] or 1
-    n1, n2 = split_length(2 * longest)
+    stats = stats.withColumns(dict(zip(("_n1", "_n2"), split_columns(2 * F.col("_n")))))
+    keys = ["chain_id", "_n1", "_n2"]
     series = df.join(stats, "chain_id").select(
-        "chain_id", "i", (F.col("value") - F.col("_m")).alias("re"), F.lit(0.0).alias("im")
+        *keys, "i", (F.col("value") - F.col("_m")).alias("re"), F.lit(0.0).alias("im")
     )
-    spectrum = long_fft(series, ["chain_id"], "i", n1, n2)
+    spectrum = long_fft(series, keys, "i", "_n1", "_n2")
     power = spectrum.select(
-        "chain_id", "i", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("re"), F.lit(0.0).alias("im")
+        *keys, "i", (F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("re"), F.lit(0.0).alias("im")
     )
-    lagged = long_fft(power, ["chain_id"], "i", n1, n2).join(stats.select("chain_id", "_n", "_c0"), "chain_id")
+    lagged = long_fft(power, keys, "i", "_n1", "_n2").join(stats.select("chain_id", "_n", "_c0"), "chain_id")
     lagged = lagged.where(F.col("i") < F.col("_n"))
     mirror = F.when(F.col("i") > 0, F.array("i", F.col("_n") - F.col("i"))).otherwise(F.array("i"))
     # The transform of a power spectrum is n1 * n2 times the lag sums; lag 0,
@@ -94,7 +94,7 @@ def autocorr(df: DataFrame) -> DataFrame:
         lagged.withColumn("lag", F.explode(mirror))
         .where(F.col("lag") < F.floor(F.col("_n") / 2.0))
         .groupBy("chain_id", "lag")
-        .agg((F.sum("re") / F.first("_c0") / float(n1 * n2)).alias("xi"))
+        .agg((F.sum("re") / F.first("_c0") / F.first(F.col("_n1") * F.col("_n2"))).alias("xi"))
     )
 
 

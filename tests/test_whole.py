@@ -124,3 +124,20 @@ def test_held_sums_are_sent_on(spark, monkeypatch):
     sums = gram.outer_sums(df, ["k"], ["v"], lambda pdf: (np.column_stack([np.ones(len(pdf)), pdf["v"], pdf["v"]]), np.ones(len(pdf))))
     got = {(r.k, r.p, r.q): r.s for r in sums.collect()}
     assert len(got) == 50 * 6 and all(got[k, 0, 1] == sum(range(k, 600, 50)) for k in range(50))
+
+
+def test_autocorrelation_pads_each_chain_to_its_own_length(spark):
+    rng = np.random.default_rng(5)
+    sizes = {0: 3, 1: 20_000, 2: 64, 3: 65}
+    rows = [(c, i, float(v)) for c, n in sizes.items() for i, v in enumerate(rng.random(n))]
+    df = spark.createDataFrame(rows, "chain_id long, i long, value double")
+    got = {(r.chain_id, r.lag): r.xi for r in C.autocorr(df).collect()}
+    for c, n in sizes.items():
+        v = np.array([x for k, _, x in rows if k == c])
+        v = v - v.mean()
+        want = np.fft.ifft(np.abs(np.fft.fft(v)) ** 2).real
+        assert np.allclose([got[c, lag] for lag in range(n // 2)], (want / want[0])[: n // 2], atol=1e-9)
+    # Lines sent to the transform are those of each chain's own length, at most four times the data in all.
+    n1, n2 = C.split_columns(2 * F.col("n"))
+    padded = spark.createDataFrame([(n,) for n in sizes.values()], "n long").select((n1 * n2).alias("p")).collect()
+    assert all(2 * n <= r.p <= 4 * n or r.p <= 16 for n, r in zip(sizes.values(), padded))
