@@ -96,6 +96,17 @@ def a10_scott_edges(spark, sf):
     return rounded(H.scott_edges(table(spark, sf, "events"), "value"), 9, "edge")
 
 
+@query("a10_scott_histogram", """
+WITH s AS (SELECT COUNT(value) AS n, STDDEV_POP(value) AS sd, MIN(value) AS lo, MAX(value) AS hi FROM events),
+k AS (SELECT lo, hi, CAST(CEIL((hi-lo)/(3.5e0*sd/pow(n, 1e0/3e0))) AS BIGINT) AS k FROM s),
+e AS (SELECT CAST(i AS BIGINT) AS i, lo+(hi-lo)*i/(k-1) AS a, lo+(hi-lo)*(i+1)/(k-1) AS b, i = k-2 AS closed FROM (SELECT *, UNNEST(range(k-1)) AS i FROM k) q)
+SELECT e.i AS bin, ROUND(e.a, 9) AS lo, ROUND(e.b, 9) AS hi, COUNT(v.value) AS n
+FROM e LEFT JOIN events v ON v.value >= e.a AND (v.value < e.b OR (e.closed AND v.value = e.b)) GROUP BY 1, 2, 3""")
+def a10_scott_histogram(spark, sf):
+    events = table(spark, sf, "events")
+    return rounded(H.histogram_over(events, "value", H.scott_edges(events, "value")), 9, "lo", "hi")
+
+
 HD_EDGES = linear_edges(0, 200, 40)
 
 

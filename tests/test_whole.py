@@ -141,3 +141,13 @@ def test_autocorrelation_pads_each_chain_to_its_own_length(spark):
     n1, n2 = C.split_columns(2 * F.col("n"))
     padded = spark.createDataFrame([(n,) for n in sizes.values()], "n long").select((n1 * n2).alias("p")).collect()
     assert all(2 * n <= r.p <= 4 * n or r.p <= 16 for n, r in zip(sizes.values(), padded))
+
+
+def test_histogram_over_edge_rows(spark):
+    rng = np.random.default_rng(6)
+    values = np.r_[rng.random(500) * 12 - 1, 0.0, 10.0, 3.0]
+    edges = np.unique(np.r_[0.0, 3.0, 10.0, rng.random(2000) * 10])
+    df = spark.createDataFrame([(float(v),) for v in values] + [(None,)], "v double")
+    rows = spark.createDataFrame([(float(e),) for e in rng.permutation(edges)], "edge double")
+    got = H.histogram_over(df, "v", rows).orderBy("bin").collect()
+    assert [r.n for r in got] == np.histogram(values, edges)[0].tolist() and [r.lo for r in got] == edges[:-1].tolist()
