@@ -9,6 +9,7 @@ from starloom.operators import summaries as S
 from starloom.operators.bins import log_edges
 from starloom.operators.filters import edge_mask
 from starloom.plans.oracle import bin_case, bin_rows, query, rounded, sql
+from starloom.sources import archives
 from starloom.sources.fixtures import detections, pair_detections, truth
 
 # Field size, margin, flux floor and match limits of the flagship comparison.
@@ -134,6 +135,34 @@ def a2_binned_completeness(spark, sf):
     return rounded(M.binned_completeness(per_source, EDGES), 9, "completeness", "error")
 
 
+S1_SAMPLES = 31  # one more than detections have: the last one is empty
+
+
+def _archived(spark, sf):
+    """Detections written to archives, one per field, and parsed again."""
+    tables = archives.parse_chain(archives.pack_chain(detections(spark, sf, slots=True), 3, S1_SAMPLES))
+    field = F.col("field_id").cast("bigint")
+    return tuple(t.withColumn("field_id", field) for t in (archives.as_ensemble(tables["sources"], 3), archives.as_samples(tables["samples"])))
+
+
+@query("s1_archive_sources", sql("SELECT field_id, sample_id, src, x, y, f0, f1, f2 FROM det", "det"))
+def s1_archive_sources(spark, sf):
+    return _archived(spark, sf)[0]
+
+
+@query("s1_archive_completeness", sql(f"""
+WITH {PER_SOURCE}, p AS (SELECT f0, completeness * 30e0 / 31e0 AS completeness FROM per),
+s AS (SELECT {bin_case('f0', EDGES)} AS bin, COUNT(*) AS n, AVG(completeness) AS c,
+  STDDEV_POP(completeness) / SQRT(COUNT(*)) AS e FROM p GROUP BY 1)
+SELECT b.bin, b.lo, b.hi, COALESCE(s.n, 0) AS n, ROUND(s.c, 9) AS completeness, ROUND(s.e, 9) AS error
+FROM {bin_rows(EDGES)} b LEFT JOIN s ON b.bin = s.bin""", "truth", "det"))
+def s1_archive_completeness(spark, sf):
+    """From archives to the completeness curve; their empty sample counts."""
+    ref, (ens, samples) = masked_truth(spark, sf), _archived(spark, sf)
+    per_source = M.match_completeness(ref, ens, M.match_nearest(ref, ens, POS, FRAC), samples=samples)
+    return rounded(M.binned_completeness(per_source, EDGES), 9, "completeness", "error")
+
+
 @query("a3_binned_fdr", sql(f"""
 WITH {TM}, dm AS (SELECT * FROM det WHERE {MASK}), m AS {J4_MATCH},
 s AS (SELECT {bin_case('d.f0', EDGES)} AS bin, COUNT(*) AS n, COUNT(m.src) AS matched FROM dm d LEFT JOIN m

@@ -49,6 +49,13 @@ def _source_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 )
 
 
+def _sample_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for pdf in batches:
+        for run, content in zip(pdf["run_id"], pdf["content"]):
+            n = _arrays(content)["n"]
+            yield pd.DataFrame({"run_id": run, "sample_id": np.arange(len(n)), "n": n.astype(np.int64)})
+
+
 def _scalar_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         for run, content in zip(pdf["run_id"], pdf["content"]):
@@ -88,17 +95,57 @@ def _map_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def read_chain(spark: SparkSession, paths: str | Sequence[str]) -> dict[str, DataFrame]:
-    """Tables `sources`, `scalars` and `maps` of run archives laid out as
-    <run_id>/<file>.npz. Rows leave a task one sample at a time. Meant to be
-    written as Parquet once (see sinks.write_table), by run_id."""
-    files = _files(spark, paths)
+    """Tables of run archives laid out as <run_id>/<file>.npz; see parse_chain."""
+    return parse_chain(_files(spark, paths))
+
+
+def parse_chain(files: DataFrame) -> dict[str, DataFrame]:
+    """Tables `samples`, `sources`, `scalars` and `maps` of archives given as rows
+    (run_id, content). `samples` has the number of sources of every sample, 0
+    too. Rows leave a task one sample at a time. Each table in use reads the
+    files, so they are meant to be written as Parquet once (see
+    sinks.write_table), by run_id."""
     return {
+        "samples": files.mapInPandas(_sample_rows, "run_id string, sample_id long, n long"),
         "sources": files.mapInPandas(_source_rows, schema.SOURCES),
         "scalars": files.mapInPandas(_scalar_rows, schema.SCALARS),
         "maps": files.mapInPandas(_map_rows, schema.MAPS),
     }
 
 
+def as_ensemble(sources: DataFrame, bands: int, run: str = "run_id", field: str = "field_id") -> DataFrame:
+    """Sources of archives as the rows that matching, condensing and ranking
+    take: (field, sample_id, src, x, y, f0 .. f<bands - 1>). `run` names the
+    column that tells catalogs apart; it becomes the field."""
+    flux = [F.get("flux", k).alias(f"f{k}") for k in range(bands)]
+    return sources.select(F.col(run).alias(field), "sample_id", "src", "x", "y", *flux)
+
+
+def as_samples(samples: DataFrame, run: str = "run_id", field: str = "field_id") -> DataFrame:
+    """The samples of archives as the operators' table of all samples."""
+    return samples.select(F.col(run).alias(field), "sample_id")
+
+
+def pack_chain(ens: DataFrame, bands: int, samples: int, field: str = "field_id") -> DataFrame:
+    """Archives (run_id, content) of an ensemble with slots, one per field; sample
+    numbers from 0 to samples - 1. An archive is made in one task, as it is one
+    file; a field is bounded by samples x slots."""
+    names = [f"f{k}" for k in range(bands)]
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        slots = int(pdf["src"].max()) + 1
+        n, x, y, f = np.zeros(samples, np.int64), np.zeros((samples, slots)), np.zeros((samples, slots)), np.zeros((bands, samples, slots))
+        s, k = pdf["sample_id"].to_numpy(), pdf["src"].to_numpy()
+        np.maximum.at(n, s, k + 1)
+        x[s, k], y[s, k] = pdf["x"], pdf["y"]
+        f[:, s, k] = pdf[names].to_numpy().T
+        out = io.BytesIO()
+        np.savez(out, n=n, x=x, y=y, f=f)
+        return pd.DataFrame({"run_id": [str(pdf[field].iloc[0])], "content": [out.getvalue()]})
+
+    return ens.select(field, "sample_id", "src", "x", "y", *names).groupBy(field).applyInPandas(pack, "run_id string, content binary")
+
+
 def read_array_catalog(spark: SparkSession, paths: str | Sequence[str], columns: Sequence[str]) -> DataFrame:
     """Catalogs saved as 2-D .npy arrays, one row per source. Pickled objects
     are refused."""

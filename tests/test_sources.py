@@ -27,6 +27,9 @@ def test_run_archives_round_trip(spark, tmp_path):
         want[run] = (n, x, f, bkg, tmpl, resid)
     got = archives.read_chain(spark, f"{tmp_path}/*/chain.npz")
     src = got["sources"].toPandas()
+    assert sorted((r.run_id, r.sample_id, r.n) for r in got["samples"].collect()) == sorted((run, s, k) for run in want for s, k in enumerate((3, 0, 2)))
+    flat = archives.as_ensemble(got["sources"], 2).orderBy("field_id", "sample_id", "src").collect()
+    assert flat[0].asDict().keys() == {"field_id", "sample_id", "src", "x", "y", "f0", "f1"} and len(flat) == 10
     for run, (n, x, f, bkg, tmpl, resid) in want.items():
         mine = src[src.run_id == run].sort_values(["sample_id", "src"])
         assert mine.groupby("sample_id").size().to_dict() == {0: 3, 2: 2}
