@@ -17,7 +17,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from starloom.llm.common import map_rows, per_process
 from starloom.llm.components import components
@@ -137,6 +137,44 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return map_rows(both, compared, "a binary, b binary, likeness double")
 
 
+def overlapping(apart: DataFrame, texts: DataFrame, likeness: float) -> DataFrame:
+    """Pairs (a, b) of keys in different components that may reach the likeness, each once.
+
+    apart: (band, hash, node, leader, label). Two bags of n and m shingles that
+    reach likeness t share at least t (n + m) / (1 + t). So, in any common order of
+    all shingles, they share one among the first n - t n + 1 of each, at places behind
+    which enough of both is left. Rare shingles come first in the order used here:
+    those an edit has made are in no other text, and a text with too many of them for
+    any link meets no other one. Of two texts in different components one is not in
+    the component of their bucket's leader; only pairs with such a text are looked for.
+    """
+    led = apart.filter(F.col("node") == F.col("leader")).select("band", "hash", F.col("label").alias("led"))
+    nodes = apart.join(led, ["band", "hash"]).groupBy("node").agg(F.first("label").alias("label"), F.max(F.col("label") != F.col("led")).alias("out"))
+
+    def bagged(part: dict[str, list]) -> dict[str, object]:
+        tokens = []
+        for text in part["text"]:
+            shingles, counts = bag(text)
+            # The second occurrence of a shingle is a shingle of its own, and so on.
+            again = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
+            tokens.append(mix(np.repeat(shingles, counts) + STEP * again.astype(np.uint64)).view(np.int64))
+        return {"node": part["node"], "label": part["label"], "out": part["out"], "tokens": tokens}
+
+    wanted = texts.withColumnRenamed("key", "node").join(nodes, "node").select("node", "label", "out", "text")
+    bags = cut_lineage(map_rows(wanted, bagged, "node binary, label binary, out boolean, tokens array<long>"))
+    tokens = bags.select("node", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
+    often = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("often"))
+    place = F.row_number().over(W.partitionBy("node").orderBy("often", "token")) - 1
+    first = F.col("n") - F.ceil(F.col("n") * likeness - 1e-9) + 1
+    placed = tokens.join(often, "token").withColumn("place", place).filter((F.col("place") < first) & (F.col("often") > 1))
+    prefix = cut_lineage(placed.join(bags.select("node", "label", "out"), "node").select("token", "node", "label", "out", "place", "n"))
+    x, y = prefix.filter("out").alias("x"), prefix.alias("y")
+    needed = (F.col("x.n") + F.col("y.n")) * (likeness / (1 + likeness)) - 1e-9
+    enough = (F.col("x.n") - F.col("x.place") >= needed) & (F.col("y.n") - F.col("y.place") >= needed)
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.label") != F.col("y.label")) & enough)
+    return pairs.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", likeness: float = LIKENESS, bands: int = BANDS, rows: int = ROWS, with_key: bool = False) -> DataFrame:
     """(id, class_id, class_size, kept) of each row: its class of near duplicates, the class's least id, one row kept.
 
@@ -144,11 +182,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts are one node from the start, however many there are. Within a bucket of a
     band every text is compared with its leader, the member that shares most buckets
     with others: of near copies that is the one the others were made from. Where
-    members stay apart, the leader of those is compared in the same way. What is
-    then still apart is compared pair by pair, but for pairs whose likenesses to the
-    leader differ by more than a link allows (1 - likeness is a metric). So no link
-    between bucket mates is lost, and a group of near copies costs one comparison
-    per member.
+    members stay apart, the leader of those is compared in the same way. For what is
+    then still apart an exact prefix join finds the pairs that may be links (see
+    overlapping). So no link between bucket mates is lost, and neither a group of
+    near copies nor one of texts not quite near enough is compared pair by pair.
 
     Null texts count as empty; empty texts and texts without words are alike only to
     equal ones. Repeated rows are copies of each other; of rows with one least id one is
@@ -192,13 +229,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         second = cut_lineage(verified(more.join(pairs, ["a", "b"], "left_anti"), texts))
         labels = joined(second.filter(F.col("likeness") >= likeness).select("a", "b"))
         done = pairs.union(second.select("a", "b"))
-        apart = labelled().join(first.select(F.col("a").alias("node"), F.col("b").alias("leader"), "likeness"), ["node", "leader"], "left")
-        apart = apart.withColumn("likeness", F.coalesce("likeness", F.when(F.col("node") == F.col("leader"), 1.0)))
-        x, y = apart.alias("x"), apart.alias("y")
-        near = F.abs(F.col("x.likeness") - F.col("y.likeness")) <= 1 - likeness + 1e-9
-        rest = x.join(y, (F.col("x.band") == F.col("y.band")) & (F.col("x.hash") == F.col("y.hash")) & (F.col("x.label") < F.col("y.label")) & near)
-        rest = rest.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
-        rest = rest.join(done, ["a", "b"], "left_anti").join(done.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
+        rest = overlapping(labelled(), texts, likeness).join(done, ["a", "b"], "left_anti").join(done.select(F.col("b").alias("a"), F.col("a").alias("b")), ["a", "b"], "left_anti")
         third = cut_lineage(verified(rest, texts).filter(F.col("likeness") >= likeness).select("a", "b"))
         if not third.isEmpty():
             labels = joined(third)
