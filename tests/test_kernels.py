@@ -94,7 +94,7 @@ def test_ellipse_of_exact_points(spark):
 
 def test_corrected_posterior_moments(spark):
     v = np.random.default_rng(6).normal(5.0, 1.0, 20000)
-    df = spark.createDataFrame(pd.DataFrame({"value": v}))
+    df = spark.createDataFrame(pd.DataFrame({"i": np.arange(len(v)), "value": v}))
     got = C.corrected_posterior(df, 2.0, 0.5, 0.25, seed=3).toPandas()["corrected"]
     assert abs(got.mean() - (v.mean() + 2.0)) < 0.02
     assert abs(got.var() - (v.var() + 0.5**2 + 0.25**2)) < 0.03
