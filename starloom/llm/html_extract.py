@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from starloom.llm import trees
 from starloom.llm.common import map_rows
+from starloom.llm.trees import Trees
 
 MAX_PAGES = 300         # pages to train on, those of least hashed id
 LONG = 2_000            # characters from which more of them say nothing more
@@ -432,11 +433,12 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     first = short.select("hash").distinct().orderBy("hash").limit(max_pages)
     sample = short.join(F.broadcast(first), "hash").dropDuplicates(["hash"])
     model = train([r["html"] for r in sample.orderBy("hash").collect()])  # at most max_pages rows of bounded length
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    # Broadcasts are pickled by reference to their classes, which executors need not have: plain arrays only.
+    shared = pages.sparkSession.sparkContext.broadcast((model.feature, model.limit, model.leaf, model.start))
 
     def extracted(part: dict[str, list]) -> dict[str, object]:
         parsed = [Page(s or "") for s in part["html"]]
-        text = ["\n\n".join(p.blocks(keep)) for p, keep in zip(parsed, kept_by(shared.value, parsed))]
+        text = ["\n\n".join(p.blocks(keep)) for p, keep in zip(parsed, kept_by(Trees(*shared.value), parsed))]
         return {"id": part["id"], "url": part["url"], "text": text, "n_chars": [len(t) for t in text]}
 
     kind = rows.schema["id"].dataType.simpleString()
