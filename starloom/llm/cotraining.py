@@ -1,14 +1,16 @@
 """Quality classifier by co-training of two views of a document.
 
-The content view sees which words and signs occur in the text, the metadata view sees
+The content view sees which words, beginnings of words and signs occur in the text
+and, in steps, how often; the metadata view sees
 language, source and layout (lengths, lines, shares of kinds of characters,
 repetition) but no word. Each view is a logistic regression on labelled rows.
 In each round every view labels a pool of unlabelled rows; what it is confident of,
 after calibration on held-out labelled rows, joins the training rows of the *other*
-view. In the end both calibrated views are combined on the held-out rows, and the
-combined probability scores every document.
+view. In the end both calibrated views are combined on the held-out rows.
 
-A document is good where its quality label is 1 and it is not labelled toxic.
+This is done for two targets, high quality and not toxic, which have little in common.
+A document is kept where it reaches the cut-offs of both; its score is the product of
+the two combined probabilities.
 Training uses at most MAX_LABELLED labelled and MAX_POOL unlabelled rows, those of
 least hashed id; scoring covers all rows and whole texts.
 """
@@ -18,6 +20,8 @@ from __future__ import annotations
 import math
 import re
 import zlib
+from array import array
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,36 +35,59 @@ MAX_LABELLED = 8_000  # labelled rows to fit on: four fifths train, one fifth ca
 MAX_POOL = 4_000      # unlabelled rows that receive pseudo-labels
 ROUNDS = 3
 CONFIDENT = 0.98      # calibrated probability from which a view labels for the other
-CONTENT = 1 << 20     # hashed words
+PLACES = 20
+CONTENT = 1 << PLACES  # hashed words, their beginnings and their steps of counts
+BEGINNINGS = (3, 4, 5, 6, 7)  # characters
+OFTEN = (2, 4, 8)     # times from which a word, beginning or sign is a feature of its own
 METADATA = 1 << 10    # hashed languages, sources and steps of the layout's measures
-REMEMBERED = 300_000  # words whose hash a worker remembers
-CLEAN_LOST = 0.002    # share of held-out good rows that the threshold may lose
+REMEMBERED = 300_000  # words whose features a worker remembers; beyond, it begins anew
+TARGETS = ("quality", "clean")
 
 EDGES = re.compile(r"^[^\w]+|[^\w]+$")
 SIGNS = re.compile(r"[^\w\s.,;:?'\"()-]+")
 
 
-def content_ids(texts: list[str]) -> list[np.ndarray]:
-    """Distinct hashed words and sign runs of each text."""
-    known = per_process("cotraining", "words", dict)
+def word_ids(word: str) -> tuple[int, ...]:
+    bare = EDGES.sub("", word).lower()
+    found = [zlib.crc32(bare.encode()) % CONTENT] if bare else []
+    found += [zlib.crc32(b"\1" + bare[:k].encode()) % CONTENT for k in BEGINNINGS if k < len(bare)]
+    return tuple(found + [zlib.crc32(b"\0" + x.encode()) % CONTENT for x in SIGNS.findall(word)])
 
-    def ids(word: str) -> tuple[int, ...]:
-        bare = EDGES.sub("", word).lower()
-        found = [zlib.crc32(bare.encode()) % CONTENT] if bare else []
-        found += [zlib.crc32(b"\0" + s.encode()) % CONTENT for s in SIGNS.findall(word)]
-        out = tuple(found)
-        if len(known) < REMEMBERED and len(word) < 64:
-            known[word] = out
-        return out
 
-    out = []
+def content_ids(texts: list[str]) -> Sparse:
+    """Distinct hashed words, beginnings of words, sign runs and steps of their counts of each text."""
+    known, start, flat = per_process("cotraining", "words", lambda: ({}, array("q", [0]), array("i")))
+    if len(known) > REMEMBERED:
+        known.clear()
+        del start[1:], flat[:]
+    numbers: list[int] = []  # of the texts' distinct words
+    times: list[int] = []
+    ends = []
     for text in texts:
-        flat: list[int] = []
-        for word in set(text.split()):
+        words = Counter(text.split())
+        for word in words:
             got = known.get(word)
-            flat.extend(ids(word) if got is None else got)
-        out.append(np.unique(np.array(flat, np.int64)))
-    return out
+            if got is None:
+                got = known[word] = len(start) - 1
+                flat.extend(word_ids(word))
+                start.append(len(flat))
+            numbers.append(got)
+        times += words.values()
+        ends.append(len(numbers))
+    number, begin = np.array(numbers, np.int64), np.array(start, np.int64)
+    width = begin[number + 1] - begin[number]
+    at = np.repeat(begin[number] - (np.cumsum(width) - width), width) + np.arange(width.sum())
+    owner = np.repeat(np.repeat(np.arange(len(texts)) << PLACES, np.diff([0, *ends])), width)
+    ids = np.frombuffer(flat, np.int32)[at] + owner if len(at) else owner
+    # Text, feature and count (to 15) in one number.
+    packed = np.sort(ids << 4 | np.repeat(np.minimum(np.array(times, np.int64), 15), width))
+    ids = packed >> 4
+    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]][: len(ids)])
+    ids, count = ids[first], np.add.reduceat(packed & 15, first) if len(first) else packed
+    more = [(m := ids[count >= k]) >> PLACES << PLACES | (m * 2654435761 + k & CONTENT - 1) for k in OFTEN]
+    ids = np.sort(np.concatenate([ids, *more]))
+    ids = ids[np.r_[True, ids[1:] != ids[:-1]][: len(ids)]]
+    return Sparse(ids & CONTENT - 1, np.bincount(ids >> PLACES, minlength=len(texts)))
 
 
 def metadata_ids(lang: str | None, source: str | None, text: str) -> list[int]:
@@ -93,6 +120,9 @@ class Sparse:
     def of(rows: list) -> Sparse:
         return Sparse(np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else np.zeros(0, np.int64), np.array([len(r) for r in rows], np.int64))
 
+    def rows(self) -> list[np.ndarray]:
+        return np.split(self.ids, np.cumsum(self.sizes)[:-1])
+
     def take(self, chosen: np.ndarray) -> Sparse:
         ends = np.cumsum(self.sizes)
         return Sparse.of([self.ids[ends[i] - self.sizes[i]:ends[i]] for i in chosen])
@@ -187,10 +217,30 @@ def cotrain(content: Sparse, metadata: Sparse, good: np.ndarray, pool_content: S
     own = np.column_stack([z[:, k] * model["own"][k][0] + model["own"][k][1] for k in range(2)])
     model["joint"] = calibrate(np.column_stack([own, own.min(axis=1)]), good[hold].astype(float))
     p = combined(z, model)
-    model["threshold"] = float(min(0.5, np.quantile(p[good[hold]], CLEAN_LOST))) if good[hold].any() else 0.0
+    model["threshold"] = cut_off(p, good[hold])
     return model
 
 
+def cut_off(p: np.ndarray, good: np.ndarray) -> float:
+    """The probability from which fewest of the rows are judged wrongly, good ones lost and bad ones kept together.
+
+    Cuts lie halfway, in log-odds, between neighbouring rows or at even odds. Of those that differ from
+    the best by no more than the standard error of its count the nearest to even odds is taken, so that a few odd
+    rows do not move it.
+    """
+    order = np.argsort(p, kind="stable")
+    good = good[order]
+    z = np.log(np.clip(p[order], 1e-9, 1 - 1e-9))
+    z = z - np.log1p(-np.exp(z))
+    cuts = np.unique(np.r_[0.0, (z[1:] + z[:-1]) / 2])
+    below = np.searchsorted(z, cuts)  # rows below each cut
+    lost = np.r_[0, np.cumsum(good)][below]
+    kept = (~good).sum() - np.r_[0, np.cumsum(~good)][below]
+    wrong = lost + kept
+    best = cuts[wrong <= wrong.min() + math.sqrt(wrong.min() + 1)]
+    return float(sigmoid(best[np.argmin(np.abs(best))]))
+
+
 def features(docs: DataFrame, more: str = "") -> DataFrame:
     """docs (id, text, lang, source and the columns in more, a schema) as (id, content, metadata, more)."""
     names = [c.split(" ")[0] for c in more.split(", ") if c]
@@ -198,56 +248,62 @@ def features(docs: DataFrame, more: str = "") -> DataFrame:
     def made(part: dict[str, list]) -> dict[str, object]:
         texts = [t or "" for t in part["text"]]
         meta = [sorted(set(metadata_ids(a, b, t))) for a, b, t in zip(part["lang"], part["source"], texts)]
-        return {"content": content_ids(texts), "metadata": meta} | {c: part[c] for c in names}
+        return {"content": content_ids(texts).rows(), "metadata": meta} | {c: part[c] for c in names}
 
     return map_rows(docs, made, "content array<int>, metadata array<int>" + (f", {more}" if more else ""))
 
 
 def sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int) -> DataFrame:
-    """Features of the bounded training rows: (content, metadata, good), good null for the pool."""
+    """Features of the bounded training rows: (content, metadata, quality, clean), the labels null where unknown."""
     known = labels.filter(F.col("id").isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull()))
-    known = known.groupBy("id").agg(F.min((F.coalesce("quality", F.lit(1)) == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("good"))
+    known = known.groupBy("id").agg(F.min(F.col("quality") == 1).alias("quality"), F.min(F.col("toxic") == 0).alias("clean"))
     ids = docs.select("id").filter("id is not null")
     least = lambda df, n: df.orderBy(F.xxhash64("id"), "id").limit(n)
     first = least(known.join(ids.distinct(), "id", "left_semi"), max_labelled)
-    rest = least(ids.join(known, "id", "left_anti").distinct(), max_pool).select("id", F.lit(None).cast("boolean").alias("good"))
+    rest = least(ids.join(known, "id", "left_anti").distinct(), max_pool).select("id", *(F.lit(None).cast("boolean").alias(t) for t in TARGETS))
     chosen = first.union(rest)  # at most max_labelled + max_pool ids
-    rows = docs.join(F.broadcast(chosen), "id").select("id", "text", "lang", "source", "good")
-    return features(rows, f"id {rows.schema['id'].dataType.simpleString()}, good boolean")
+    rows = docs.join(F.broadcast(chosen), "id").select("id", "text", "lang", "source", *TARGETS)
+    return features(rows, ", ".join([f"id {rows.schema['id'].dataType.simpleString()}", *(f"{t} boolean" for t in TARGETS)]))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> dict | None:
-    """The model, or None where there are not five labelled rows of either kind."""
+    """A model per target, without those that have not five labelled rows of either kind; None where none has."""
     rows = sample(docs, labels, max_labelled, max_pool).toArrow().sort_by("id")
     # A document that occurs several times counts once.
     first = np.flatnonzero([i == 0 or rows["id"][i] != rows["id"][i - 1] for i in range(rows.num_rows)])
     rows = rows.take(first)
-    good = np.array(rows["good"].to_pylist(), object)
-    known = np.flatnonzero([g is not None for g in good])
-    pool = np.flatnonzero([g is None for g in good])
-    mark = good[known].astype(bool)
-    if min(mark.sum(), (~mark).sum()) < 5:
-        return None
-    # Labelled rows in the order of a hash, so that every fifth is a fair sample.
-    ids = [zlib.crc32(str(rows["id"][int(i)].as_py()).encode()) for i in known]
-    order = np.argsort(ids, kind="stable")
-    known, mark = known[order], mark[order]
     content, metadata = (Sparse.of([v.values.to_numpy() for v in rows[c]]) for c in ("content", "metadata"))
-    return cotrain(content.take(known), metadata.take(known), mark, content.take(pool), metadata.take(pool))
-
-
-def slim(model: dict) -> dict:
-    """The model with single-precision weights: 2^20 + 2^10 of them."""
-    return {k: v.astype(np.float32) if k in ("content", "metadata") else v for k, v in model.items()}
-
-
-def scores(model: dict, texts: list, langs: list, sources: list) -> tuple[list[np.ndarray], np.ndarray]:
-    """Both views' calibrated probabilities, and the combined one."""
+    ids = np.array([zlib.crc32(str(k).encode()) for k in rows["id"].to_pylist()], np.int64)
+    pool = np.flatnonzero([q is None and c is None for q, c in zip(*(rows[t].to_pylist() for t in TARGETS))])
+    models = {}
+    for target in TARGETS:
+        good = np.array(rows[target].to_pylist(), object)
+        known = np.flatnonzero([g is not None for g in good])
+        # In the order of a hash, so that every fifth is a fair sample.
+        known = known[np.argsort(ids[known], kind="stable")]
+        mark = good[known].astype(bool)
+        if min(mark.sum(), (~mark).sum()) >= 5:
+            models[target] = cotrain(content.take(known), metadata.take(known), mark, content.take(pool), metadata.take(pool))
+    return models or None
+
+
+def slim(models: dict) -> dict:
+    """The models with single-precision weights: 2^20 + 2^10 of each."""
+    return {t: {k: v.astype(np.float32) if k in ("content", "metadata") else v for k, v in m.items()} for t, m in models.items()}
+
+
+def scores(models: dict, texts: list, langs: list, sources: list) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Products over the targets of both views' calibrated probabilities and of the combined ones; whether all cut-offs are reached."""
     texts = [t or "" for t in texts]
-    content = Sparse.of(content_ids(texts))
+    content = content_ids(texts)
     metadata = Sparse.of([sorted(set(metadata_ids(a, b, t))) for a, b, t in zip(langs, sources, texts)])
-    z = views_of(content, metadata, model)
-    return [sigmoid(z[:, k] * model["own"][k][0] + model["own"][k][1]) for k in range(2)], combined(z, model)
+    own, whole, kept = [np.ones(len(texts)), np.ones(len(texts))], np.ones(len(texts)), np.ones(len(texts), bool)
+    for model in models.values():
+        z = views_of(content, metadata, model)
+        own = [v * sigmoid(z[:, k] * model["own"][k][0] + model["own"][k][1]) for k, v in enumerate(own)]
+        p = combined(z, model)
+        whole, kept = whole * p, kept & (p >= model["threshold"])
+    return own, whole, kept
 
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> DataFrame:
@@ -256,8 +312,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     labels: (id, quality, toxic); null labels say nothing, of several labels of one id
     the worst counts, labels of unknown ids are ignored. The two views' scores are
     calibrated probabilities of a good document, score combines them, kept says
-    whether it reaches the threshold. Without enough labels of both kinds scores are
-    null and all rows are kept. Null texts count as empty, null languages and sources
+    whether quality and toxicity both reach their cut-offs. A target without enough labels
+    of both kinds rejects nothing; without any target scores are null. Null texts count as empty, null languages and sources
     are values of their own; repeated rows and null ids are scored like others; other
     columns are not read; an empty table gives no rows.
     """
@@ -269,8 +325,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     shared = docs.sparkSession.sparkContext.broadcast(slim(model))
 
     def scored(part: dict[str, list]) -> dict[str, object]:
-        own, p = scores(shared.value, part["text"], part["lang"], part["source"])
-        return {"id": part["id"], "content_score": own[0], "metadata_score": own[1], "score": p, "kept": p >= shared.value["threshold"]}
+        own, p, kept = scores(shared.value, part["text"], part["lang"], part["source"])
+        return {"id": part["id"], "content_score": own[0], "metadata_score": own[1], "score": p, "kept": kept}
 
     kind = rows.schema["id"].dataType.simpleString()
     return map_rows(rows, scored, f"id {kind}, content_score double, metadata_score double, score double, kept boolean").withColumnRenamed("id", id_col)
@@ -291,6 +347,6 @@ def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
                 part = batch.slice(at, SLICE)
                 text, lang, source = (part.column(names.index(c)).to_pylist() for c in (text_col, lang_col, source_col))
                 text_of = [None if v is None else str(v) for v in lang], [None if v is None else str(v) for v in source]
-                yield part.filter(pa.array(scores(shared.value, text, *text_of)[1] >= shared.value["threshold"]))
+                yield part.filter(pa.array(scores(shared.value, text, *text_of)[2]))
 
     return docs.mapInArrow(kept, docs.schema)

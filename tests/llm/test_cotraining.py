@@ -53,3 +53,21 @@ def test_edges(spark):
     left = C.good_documents(docs, labels)
     assert left.columns == docs.columns and sorted(str(r.doc_id) for r in left.collect()) == sorted(str(k) for k, r in got.items() if r.kept)
     assert C.classify(docs.limit(0), labels).count() == 0
+
+
+def test_toxic_texts_of_rare_word_forms(spark):
+    """No toxic word occurs twice, only their beginning is common; one good label is wrong."""
+    rng = np.random.default_rng(5)
+    word = lambda n: "".join(chr(97 + k) for k in rng.integers(0, 26, n))
+    plain = [word(6) for _ in range(300)]
+    docs, labels = [], []
+    for k in range(1500):
+        toxic, low = k % 8 == 1, k % 8 == 2
+        words = list(rng.choice(plain, 40)) + ["grumf" + word(5) for _ in range(3 * toxic)] + ["### @@@"] * (5 * low)
+        docs.append((k, " ".join(rng.permutation(words)), "en", "s"))
+        labels.append((k, int(not low), int(toxic and k != 9)))
+    docs = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string")
+    labels = spark.createDataFrame(labels[:1000], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r.kept for r in C.classify(docs, labels).collect()}
+    kept = lambda which: np.mean([got[k] for k in range(1000, 1500) if which(k % 8)])
+    assert kept(lambda m: m == 1) < 0.03 and kept(lambda m: m == 2) < 0.03 and kept(lambda m: m not in (1, 2)) > 0.98
