@@ -36,8 +36,11 @@ TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Elements by what HTML says of them.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style textarea title template noscript svg iframe math select".split())
-INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW = set("script style textarea title template noscript iframe".split())
+INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp select option optgroup small span strike strong sub sup svg time tt u var wbr".split())
+# Elements of formulas and drawings are no nodes: a formula's text is its paragraph's, a drawing's text is the svg's.
+PARTS = set("math semantics annotation annotation-xml mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded mphantom menclose mfenced msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr mlabeledtr mtd maction".split())
+PARTS |= set("g path circle rect line polyline polygon ellipse text tspan textpath use defs symbol desc clippath mask lineargradient radialgradient stop pattern marker filter foreignobject animate animatetransform".split())
 CLOSES_P = set("address article aside blockquote center details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul".split())
 SAME = {"li": ("li", ("ul", "ol", "menu")), "dt": ("dt dd", ("dl",)), "dd": ("dt dd", ("dl",)), "tr": ("tr td th", ("table",)), "td": ("td th", ("tr", "table")), "th": ("td th", ("tr", "table")), "option": ("option", ("select",))}
 P_SCOPE = set("table td th caption button object html body".split())
@@ -59,8 +62,8 @@ HINT = {}
 for _kind, _words in HINTS.items():
     for _word in _words.split():
         HINT.setdefault(_word, []).append(list(HINTS).index(_kind))
-TAGS = {t: k for k, t in enumerate("html body main article section div p h1 h2 h3 h4 blockquote pre ul ol li dl dt dd table tr td th figure figcaption span a b i em strong small header footer nav aside form button label fieldset details summary address dialog".split(), 1)}
-GROUPS = ("article main", "nav menu", "footer", "header", "aside", "form button label fieldset dialog", "h1 h2 h3 h4", "p blockquote pre", "ul ol li dl dt dd", "table tr td th", "a")
+TAGS = {t: k for k, t in enumerate("html body main article section div p h1 h2 h3 h4 blockquote pre ul ol li dl dt dd table tr td th figure figcaption span a b i em strong small header footer nav aside form button label fieldset details summary address dialog svg select option".split(), 1)}
+GROUPS = ("article main", "nav menu", "footer", "header", "aside", "form button label fieldset dialog select option", "h1 h2 h3 h4", "p blockquote pre", "ul ol li dl dt dd", "table tr td th", "a")
 
 
 class Page:
@@ -89,7 +92,6 @@ class Page:
             if name in RAW and not attrs.endswith("/"):
                 close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(source, at)
                 at = close.end() if close else size
-                self.border()
                 continue
             self.begin(name, attrs, at)
         self.border()
@@ -112,6 +114,18 @@ class Page:
         if name == "br":
             self.text(" ")
             return
+        if name in PARTS:
+            return
+        if name in CLOSES_P or name == "li":
+            # A drawing or choice without a closing tag ends where a block begins.
+            for d in range(len(self.stack) - 1, 0, -1):
+                t = self.tag[self.stack[d]]
+                if t in ("svg", "select"):
+                    self.pop_to(d)
+                if t not in INLINE:
+                    break
+        if name == "option":
+            self.text(" ")
         if name not in INLINE:
             self.border()
         if name in ("html", "body", "head"):
@@ -141,10 +155,12 @@ class Page:
         self.parent.append(self.stack[-1])
         self.attrs.append(attrs)
         self.start.append(at)
-        if not attrs.endswith("/") or name not in ("path", "circle", "rect"):
+        if not attrs.endswith("/") or name != "svg":
             self.stack.append(len(self.tag) - 1)
 
     def end(self, name: str) -> None:
+        if name in PARTS:
+            return
         for d in range(len(self.stack) - 1, 0, -1):
             if self.tag[self.stack[d]] == name:
                 self.pop_to(d)
@@ -318,8 +334,11 @@ def laid_out(texts: list[str], rng: random.Random) -> str:
         links = "".join(f'<li><a href="/{k}">{words(2, 9)}</a></li>' for k in range(rng.randint(2, 6)))
         return element(rng.choice(SIDES), rng.choice(("", f"<h3>{words(1, 3)}</h3>")) + rng.choice((f"<ul>{links}</ul>", f"<p>{phrase()}</p>", phrase())))
 
+    def choice() -> str:
+        return "<select>" + "".join(f"<option>{words(1, 3)}</option>" for _ in range(rng.randint(2, 6))) + "</select>"
+
     def form() -> str:
-        return element(rng.choice(("form", 'form class="search"', 'form action="/subscribe"', 'div class="login-form"', 'div class="contact-form"')), f"<label>{words(1, 4)}</label><input name=q><button>{words(1, 2)}</button>" + rng.choice(("", f"<p>{phrase()}</p>")))
+        return element(rng.choice(("form", 'form class="search"', 'form action="/subscribe"', 'div class="login-form"', 'div class="contact-form"')), f"<label>{words(1, 4)}</label><input name=q>{rng.choice(("", choice()))}<button>{words(1, 2)}</button>" + rng.choice(("", f"<p>{phrase()}</p>")))
 
     def advert() -> str:
         return rng.choice(("", "<!-- ad -->")) + element(rng.choice(ADVERTS), rng.choice((phrase(), f"<p>{phrase()}</p>", f'<a href="/x">{words(2, 9)}</a>')))
@@ -339,7 +358,7 @@ def laid_out(texts: list[str], rng: random.Random) -> str:
         if rng.random() < 0.2:
             cut = text.split(" ")
             k = rng.randrange(len(cut))
-            cut[k] = rng.choice((f"<b data-keep>{cut[k]}</b>", f'<a data-keep href="/w">{cut[k]}</a>', f"<em data-keep>{cut[k]}</em>", f"<span data-keep>{cut[k]}</span>"))
+            cut[k] = rng.choice((f"<b data-keep>{cut[k]}</b>", f'<a data-keep href="/w">{cut[k]}</a>', f"<em data-keep>{cut[k]}</em>", f"<span data-keep>{cut[k]}</span>", f'<svg data-keep width="9"><text>{cut[k]}</text></svg>', f"{cut[k]} {choice()}"))
             text = " ".join(cut)
         shape = rng.random()
         if shape < 0.70:
@@ -386,7 +405,7 @@ def weak_labels(page: Page) -> np.ndarray | None:
     inside, out = np.zeros(n, bool), np.zeros(n, bool)
     for i in range(1, n):
         t = page.tag[i]
-        inside[i] = (inside[page.parent[i]] or t in ("article", "main")) and t not in ("nav", "aside", "footer", "form", "button", "dialog")
+        inside[i] = (inside[page.parent[i]] or t in ("article", "main")) and t not in ("nav", "aside", "footer", "form", "button", "dialog", "select")
     for segment in page.segments:
         for i, text in segment:
             if inside[i] and text.strip():

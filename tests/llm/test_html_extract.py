@@ -31,6 +31,23 @@ def test_parsing():
     assert len(deep.tag) == 3001 and H.kept_by(lambda x: np.ones(len(x)), [deep])[0].all()
 
 
+def test_formulas_drawings_and_raw_elements_in_a_line():
+    assert texts_of("<p>If <math><mi>x</mi><mo>=</mo><mn>2</mn></math> then</p><p>b</p>") == ["If x=2 then", "b"]
+    assert texts_of("<p>one <svg><path d='M0'/></svg>two <script>no</script>three</p>") == ["one two three"]
+    for tag in ("svg", "math", "select"):
+        page = H.Page(f"<article><p>a</p><{tag}><p>b</p><p>c</p></article>")
+        assert page.blocks(np.ones(len(page.tag), bool)) == ["a", "b", "c"]
+        assert all(page.tag[page.parent[i]] == "article" for i, t in enumerate(page.tag) if t == "p")
+
+
+def test_formula_in_an_article_is_extracted(spark):
+    line = "The quick brown fox jumps over the lazy dog, and then it rests for a while."
+    body = f"<p>{line}</p><p>Where <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds, {line}</p><svg><path><p>{line} Again.</p>"
+    page = f"<html><body><nav><ul><li><a href=x>Home</a></li></ul></nav><article><h1>Title of it</h1>{body}</article><footer>Copyright</footer></body></html>"
+    got = H.extract(spark.createDataFrame([(1, "u", page)], "page_id long, url string, html string")).first()
+    assert got.text == f"Title of it\n\n{line}\n\nWhere E=m holds, {line}\n\n{line} Again."
+
+
 def test_decoding_is_the_best_choice_without_contradictions():
     rng = np.random.default_rng(1)
     for _ in range(30):
