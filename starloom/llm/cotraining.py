@@ -262,16 +262,15 @@ def sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int)
     first = least(known.join(ids.distinct(), "id", "left_semi"), max_labelled)
     rest = least(ids.join(known, "id", "left_anti").distinct(), max_pool).select("id", *(F.lit(None).cast("boolean").alias(t) for t in TARGETS))
     chosen = first.union(rest)  # at most max_labelled + max_pool ids
-    rows = docs.join(F.broadcast(chosen), "id").select("id", "text", "lang", "source", *TARGETS)
+    rows = docs.join(F.broadcast(chosen), "id")
+    # A document that occurs several times counts once: the row of least hash.
+    rows = rows.groupBy("id").agg(F.min_by(F.struct("text", "lang", "source", *TARGETS), F.xxhash64("text", "lang", "source")).alias("row")).select("id", "row.*")
     return features(rows, ", ".join([f"id {rows.schema['id'].dataType.simpleString()}", *(f"{t} boolean" for t in TARGETS)]))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> dict | None:
     """A model per target, without those that have not five labelled rows of either kind; None where none has."""
     rows = sample(docs, labels, max_labelled, max_pool).toArrow().sort_by("id")
-    # A document that occurs several times counts once.
-    first = np.flatnonzero([i == 0 or rows["id"][i] != rows["id"][i - 1] for i in range(rows.num_rows)])
-    rows = rows.take(first)
     content, metadata = (Sparse.of([v.values.to_numpy() for v in rows[c]]) for c in ("content", "metadata"))
     ids = np.array([zlib.crc32(str(k).encode()) for k in rows["id"].to_pylist()], np.int64)
     pool = np.flatnonzero([q is None and c is None for q, c in zip(*(rows[t].to_pylist() for t in TARGETS))])

@@ -71,3 +71,11 @@ def test_toxic_texts_of_rare_word_forms(spark):
     got = {r.doc_id: r.kept for r in C.classify(docs, labels).collect()}
     kept = lambda which: np.mean([got[k] for k in range(1000, 1500) if which(k % 8)])
     assert kept(lambda m: m == 1) < 0.03 and kept(lambda m: m == 2) < 0.03 and kept(lambda m: m not in (1, 2)) > 0.98
+
+
+def test_sample_has_one_row_per_id(spark):
+    rows = [(1, f"text {k % 7}", "en", "s") for k in range(500)] + [(k, "other", "en", "s") for k in range(2, 12)]
+    docs = spark.createDataFrame(rows, "id long, text string, lang string, source string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "id long, quality int, toxic int")
+    got = [r.id for r in C.sample(docs, labels, 2, 5).select("id").collect()]
+    assert len(got) == len(set(got)) == 7 and {1, 2} <= set(got)
