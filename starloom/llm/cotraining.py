@@ -118,7 +118,7 @@ class Sparse:
 
     @staticmethod
     def of(rows: list) -> Sparse:
-        return Sparse(np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else np.zeros(0, np.int64), np.array([len(r) for r in rows], np.int64))
+        return Sparse(np.concatenate([np.asarray(r, np.int32) for r in rows]) if rows else np.zeros(0, np.int32), np.array([len(r) for r in rows], np.int64))
 
     def rows(self) -> list[np.ndarray]:
         return np.split(self.ids, np.cumsum(self.sizes)[:-1])
@@ -128,8 +128,12 @@ class Sparse:
         return Sparse.of([self.ids[ends[i] - self.sizes[i]:ends[i]] for i in chosen])
 
     def dot(self, weights: np.ndarray) -> np.ndarray:
-        owner = np.repeat(np.arange(len(self.sizes)), self.sizes)
-        return np.bincount(owner, weights=weights[self.ids], minlength=len(self.sizes))
+        out, ends = np.zeros(len(self.sizes)), np.cumsum(self.sizes)
+        for at in range(0, len(out), 1000):  # rows at a time, for the memory
+            sizes = self.sizes[at:at + 1000]
+            own = self.ids[ends[at] - sizes[0]:ends[at + len(sizes) - 1]]
+            out[at:at + 1000] = np.bincount(np.repeat(np.arange(len(sizes)), sizes), weights=weights[own], minlength=len(sizes))
+        return out
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -143,8 +147,8 @@ def fit(rows: Sparse, good: np.ndarray, width: int, steps: int = 80, ridge: floa
     below proof, one degree of freedom) weigh nothing: of a million words many would
     fit the training rows by accident.
     """
-    owner = np.repeat(np.arange(len(rows.sizes)), rows.sizes)
-    inside = np.bincount(rows.ids, weights=good[owner], minlength=width)
+    owner = np.repeat(np.arange(len(rows.sizes), dtype=np.int32), rows.sizes)
+    inside = np.bincount(rows.ids[good[owner]], minlength=width).astype(float)
     total, n_good, n = np.bincount(rows.ids, minlength=width), good.sum(), len(good)
     spread = total * (n - total) * float(n_good) * (n - n_good)
     used = (total >= 5) & (n * (inside * n - total * n_good) ** 2 >= proof * np.maximum(spread, 1))
@@ -271,7 +275,8 @@ def sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int)
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> dict | None:
     """A model per target, without those that have not five labelled rows of either kind; None where none has."""
     rows = sample(docs, labels, max_labelled, max_pool).toArrow().sort_by("id")
-    content, metadata = (Sparse.of([v.values.to_numpy() for v in rows[c]]) for c in ("content", "metadata"))
+    lists = {c: rows[c].combine_chunks() for c in ("content", "metadata")}
+    content, metadata = (Sparse(v.flatten().to_numpy(), v.value_lengths().to_numpy().astype(np.int64)) for v in lists.values())
     ids = np.array([zlib.crc32(str(k).encode()) for k in rows["id"].to_pylist()], np.int64)
     pool = np.flatnonzero([q is None and c is None for q, c in zip(*(rows[t].to_pylist() for t in TARGETS))])
     models = {}
