@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starloom.llm import bagminhash, chat, cotraining, fingerprints, html_extract, mixing, packing, quality_rules, repeats, token_counts
+from starloom.llm import bagminhash, chat, cotraining, fingerprints, html_extract, mixing, packing, quality_rules, repair, repeats, token_counts
 from starloom.llm.common import read
 
 
@@ -82,8 +83,28 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages"))
 
 
+def damaged(turns: DataFrame) -> DataFrame:
+    """Conversation rows with the faults that a checksum of their key deals out."""
+    key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
+    rows = turns.select("conv_id", "turn", *(F.coalesce(c, F.lit(" ")).alias(c) for c in ("role", "text")), (F.crc32(key) % 20).alias("_fault")).where("_fault <> 0")
+    fault = F.col("_fault")
+    text = F.when(fault == 1, "").when(fault == 2, F.regexp_replace("text", "[.!?]", "")).otherwise(F.col("text"))
+    role = F.when(fault == 4, "user").otherwise(F.col("role"))
+    copies = F.when(fault == 3, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.select("conv_id", "turn", role.alias("role"), text.alias("text"), F.explode(copies).alias("_copy")).drop("_copy")
+
+
+def op12_lr_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = read(spark, sf_dir, "conversations")
+    found = repair.summaries(repair.repair_turns(damaged(told))).withColumnRenamed("conv_id", "_conv")
+    every = told.select("conv_id").distinct()
+    gone = {"audit": "", "repaired_sha256": hashlib.sha256().hexdigest()}
+    rest = [F.coalesce(c, F.lit(gone.get(c, 0))).alias(c) for c in found.columns if c != "_conv"]
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").select("conv_id", *rest)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    fn.__name__: fn for fn in (op1_chat_format, op2_best_fit_packing, op3_cotrained_quality, op4_bagminhash_dedup, op5_maximal_repeats, op6_quality_rules, op7_syncmer_fingerprints, op8_hierarchical_mixing, op9_token_counts, op10_html_extraction)
+    fn.__name__: fn for fn in (op1_chat_format, op2_best_fit_packing, op3_cotrained_quality, op4_bagminhash_dedup, op5_maximal_repeats, op6_quality_rules, op7_syncmer_fingerprints, op8_hierarchical_mixing, op9_token_counts, op10_html_extraction, op12_lr_conversation_repair)
 }
 # The columns the contract names, said again in DuckDB's SQL.
 _ESCAPED = r"regexp_replace(text, '(### |</turn>)', '\\\1', 'g')"
@@ -117,4 +138,30 @@ b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END) + (CASE WHEN 100 * n_
  + (CASE WHEN word_chars < 2 * n_words THEN 64 ELSE 0 END) + (CASE WHEN word_chars > 15 * n_words THEN 128 ELSE 0 END) + (CASE WHEN 10 * n_letter_words < 5 * n_words THEN 256 ELSE 0 END)
  + (CASE WHEN n_words > 100000 THEN 512 ELSE 0 END) + (CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 1024 ELSE 0 END) AS failures FROM m)
 SELECT doc_id, n_words, CAST(word_chars AS BIGINT) AS word_chars, n_symbols, n_dup_lines, n_repeat_words, (failures & 3) <> 0 AS base_failed, (failures & 511) = 0 AS kept, CAST(failures AS BIGINT) AS failures FROM b""",
+    "op12_lr_conversation_repair": r"""
+WITH RECURSIVE k AS (SELECT conv_id, turn, COALESCE(role, ' ') AS role, COALESCE(text, ' ') AS text, COALESCE(CAST(conv_id AS VARCHAR), ' ') || ':' || COALESCE(CAST(turn AS VARCHAR), ' ') AS name FROM conversations),
+c AS (SELECT *, xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(name, ''), lambda x: CAST(ord(x) AS BIGINT)), lambda r, b: list_reduce([xor(r, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295) % 20 AS h FROM k),
+d AS (SELECT conv_id, turn, CASE WHEN h = 4 THEN 'user' ELSE role END AS role, CASE h WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, UNNEST(CASE WHEN h = 3 THEN [0, 1] ELSE [0] END) AS copy FROM c WHERE h <> 0),
+q AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS nth FROM d),
+o AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, nth) AS i, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS body FROM q),
+f AS (SELECT *, role[1:1] AS ini, CASE WHEN body = '' THEN 'b' WHEN nth > 1 THEN 'd' WHEN body[-1:] NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, LAG(role[1:1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM o),
+g AS (SELECT conv_id, COALESCE(MAX(turn) - MIN(turn) + 1 - COUNT(DISTINCT turn), 0) AS gaps, COUNT(*) FILTER (fault = 'b') AS blank, COUNT(*) FILTER (fault = 'd') AS duplicate, COUNT(*) FILTER (fault = 't') AS truncated,
+ COUNT(*) FILTER (before IS NOT NULL AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal, list({'r': role, 'i': ini, 't': text, 'f': fault} ORDER BY i) AS rows FROM f GROUP BY conv_id),
+-- n: nothing yet, s: after system, u: after user, b: after assistant; each the least (cost, audit).
+z AS (SELECT conv_id, rows, 0 AS done, {'c': 0, 'a': ''} AS n, {'c': 9999999, 'a': ''} AS s, {'c': 2, 'a': 'I'} AS u, {'c': 4, 'a': 'II'} AS b FROM g
+ UNION ALL SELECT conv_id, rows, done, n, s, list_sort([u, {'c': b.c + 2, 'a': b.a || 'I'}])[1], list_sort([b, {'c': u.c + 2, 'a': u.a || 'I'}])[1] FROM (
+  SELECT conv_id, rows, done, n, s, list_sort([u, {'c': n.c + 2, 'a': n.a || 'I'}, {'c': s.c + 2, 'a': s.a || 'I'}])[1] AS u, b FROM (
+   SELECT conv_id, rows, done + 1 AS done, {'c': n.c + 3, 'a': n.a || 'D'} AS n,
+    list_sort([{'c': s.c + 3, 'a': s.a || 'D'}, {'c': n.c + t + CASE WHEN e.i = 's' THEN 0 ELSE 8999999 END, 'a': n.a || 'K'}])[1] AS s,
+    list_sort([{'c': u.c + 3, 'a': u.a || 'D'}, {'c': least(n.c, s.c, b.c) + t + k + CASE WHEN e.i = 'u' THEN 0 ELSE 2 END, 'a': list_sort([n, s, b])[1].a || CASE WHEN e.i = 'u' THEN 'K' ELSE 'R' END}])[1] AS u,
+    list_sort([{'c': b.c + 3, 'a': b.a || 'D'}, {'c': u.c + t + k + CASE WHEN e.i = 'a' THEN 0 ELSE 2 END, 'a': u.a || CASE WHEN e.i = 'a' THEN 'K' ELSE 'R' END}])[1] AS b
+   FROM (SELECT *, rows[done + 1] AS e, CASE WHEN rows[done + 1].f = 't' THEN 1 ELSE 0 END AS t, CASE WHEN rows[done + 1].f IN ('b', 'd') THEN 8999999 ELSE 0 END AS k FROM z WHERE done < len(rows)) v) v) v),
+e AS (SELECT conv_id, rows, list_sort([n, b])[1] AS best FROM z WHERE done = len(rows)),
+x AS (SELECT conv_id, best, rows, UNNEST(string_split(best.a, '')) AS letter, generate_subscripts(string_split(best.a, ''), 1) AS j FROM e),
+y AS (SELECT *, COUNT(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY j) AS r, COUNT(*) FILTER (letter <> 'D') OVER (PARTITION BY conv_id ORDER BY j) AS p FROM x),
+m AS (SELECT conv_id, STRING_AGG(CASE WHEN letter = 'K' THEN rows[r].r WHEN (p + has_s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE rows[r].t END, chr(10) ORDER BY j) AS said
+ FROM (SELECT *, MAX(CASE WHEN letter = 'K' AND p = 1 AND rows[r].i = 's' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id) AS has_s FROM y) w WHERE letter <> 'D' GROUP BY conv_id)
+SELECT a.conv_id, COALESCE(gaps, 0) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate, COALESCE(truncated, 0) AS truncated, COALESCE(illegal, 0) AS illegal,
+ CAST(COALESCE(best.c, 0) AS BIGINT) AS cost, COALESCE(best.a, '') AS audit, SHA256(COALESCE(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON a.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN e ON a.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN m ON a.conv_id IS NOT DISTINCT FROM m.conv_id""",
 }
