@@ -152,7 +152,7 @@ z AS (SELECT conv_id, rows, 0 AS done, {'c': 0, 'a': ''} AS n, {'c': 9999999, 'a
  UNION ALL SELECT conv_id, rows, done, n, s, list_sort([u, {'c': b.c + 2, 'a': b.a || 'I'}])[1], list_sort([b, {'c': u.c + 2, 'a': u.a || 'I'}])[1] FROM (
   SELECT conv_id, rows, done, n, s, list_sort([u, {'c': n.c + 2, 'a': n.a || 'I'}, {'c': s.c + 2, 'a': s.a || 'I'}])[1] AS u, b FROM (
    SELECT conv_id, rows, done + 1 AS done, {'c': n.c + 3, 'a': n.a || 'D'} AS n,
-    list_sort([{'c': s.c + 3, 'a': s.a || 'D'}, {'c': n.c + t + CASE WHEN e.i = 's' THEN 0 ELSE 8999999 END, 'a': n.a || 'K'}])[1] AS s,
+    list_sort([{'c': s.c + 3, 'a': s.a || 'D'}, {'c': n.c + t + k + CASE WHEN e.i = 's' THEN 0 ELSE 8999999 END, 'a': n.a || 'K'}])[1] AS s,
     list_sort([{'c': u.c + 3, 'a': u.a || 'D'}, {'c': least(n.c, s.c, b.c) + t + k + CASE WHEN e.i = 'u' THEN 0 ELSE 2 END, 'a': list_sort([n, s, b])[1].a || CASE WHEN e.i = 'u' THEN 'K' ELSE 'R' END}])[1] AS u,
     list_sort([{'c': b.c + 3, 'a': b.a || 'D'}, {'c': u.c + t + k + CASE WHEN e.i = 'a' THEN 0 ELSE 2 END, 'a': u.a || CASE WHEN e.i = 'a' THEN 'K' ELSE 'R' END}])[1] AS b
    FROM (SELECT *, rows[done + 1] AS e, CASE WHEN rows[done + 1].f = 't' THEN 1 ELSE 0 END AS t, CASE WHEN rows[done + 1].f IN ('b', 'd') THEN 8999999 ELSE 0 END AS k FROM z WHERE done < len(rows)) v) v) v),
