@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starloom.llm import bagminhash, chat, cotraining, fingerprints, html_extract, mixing, packing, quality_rules, repair, repeats, token_counts
+from starloom.llm import bagminhash, chat, cotraining, dual_tree, fingerprints, html_extract, mixing, packing, quality_rules, repair, repeats, token_counts
 from starloom.llm.common import read
 
 
@@ -103,8 +103,12 @@ def op12_lr_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.join(found, F.col("conv_id").eqNullSafe(F.col("_conv")), "left").select("conv_id", *rest)
 
 
+def op13_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dual_tree.search_documents(read(spark, sf_dir, "benchmark"), read(spark, sf_dir, "documents"), 10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    fn.__name__: fn for fn in (op1_chat_format, op2_best_fit_packing, op3_cotrained_quality, op4_bagminhash_dedup, op5_maximal_repeats, op6_quality_rules, op7_syncmer_fingerprints, op8_hierarchical_mixing, op9_token_counts, op10_html_extraction, op12_lr_conversation_repair)
+    fn.__name__: fn for fn in (op1_chat_format, op2_best_fit_packing, op3_cotrained_quality, op4_bagminhash_dedup, op5_maximal_repeats, op6_quality_rules, op7_syncmer_fingerprints, op8_hierarchical_mixing, op9_token_counts, op10_html_extraction, op12_lr_conversation_repair, op13_dual_tree_search)
 }
 # The columns the contract names, said again in DuckDB's SQL.
 _ESCAPED = r"regexp_replace(text, '(### |</turn>)', '\\\1', 'g')"
@@ -164,4 +168,15 @@ m AS (SELECT conv_id, STRING_AGG(CASE WHEN letter = 'K' THEN rows[r].r WHEN (p +
 SELECT a.conv_id, COALESCE(gaps, 0) AS gaps, COALESCE(blank, 0) AS blank, COALESCE(duplicate, 0) AS duplicate, COALESCE(truncated, 0) AS truncated, COALESCE(illegal, 0) AS illegal,
  CAST(COALESCE(best.c, 0) AS BIGINT) AS cost, COALESCE(best.a, '') AS audit, SHA256(COALESCE(said, '')) AS repaired_sha256
 FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN g ON a.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN e ON a.conv_id IS NOT DISTINCT FROM e.conv_id LEFT JOIN m ON a.conv_id IS NOT DISTINCT FROM m.conv_id""",
+    "op13_dual_tree_search": r"""
+WITH t AS (SELECT doc_id, UNNEST(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents),
+c AS (SELECT doc_id, term, COUNT(*) AS tf FROM t GROUP BY ALL),
+n AS (SELECT doc_id, SUM(tf) AS n FROM c GROUP BY 1),
+g AS (SELECT COUNT(*) AS n_docs, SUM(n) AS n_terms FROM n),
+w AS (SELECT term, CAST(FLOOR(1000 * LN((2 * MAX(n_docs) + 2) / (2 * COUNT(*) + 1))) AS BIGINT) AS w FROM c, g GROUP BY term),
+q AS (SELECT DISTINCT item_id, UNNEST(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+s AS (SELECT item_id, doc_id, CAST(SUM(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + CAST((90 * n * n_docs) // n_terms AS BIGINT))))) AS BIGINT) AS score
+ FROM q JOIN w USING (term) JOIN c USING (term) JOIN n USING (doc_id), g GROUP BY ALL),
+r AS (SELECT *, CAST(ROW_NUMBER() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""",
 }
