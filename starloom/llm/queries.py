@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starloom.llm import bagminhash, chat, cotraining, dual_tree, fingerprints, html_extract, mixing, packing, quality_rules, repair, repeats, token_counts
+from starloom.llm import bagminhash, chat, cotraining, dual_tree, fingerprints, html_extract, mixing, packing, private_data, quality_rules, repair, repeats, token_counts
 from starloom.llm.common import read
 
 
@@ -83,6 +83,14 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.extract(read(spark, sf_dir, "pages"))
 
 
+def op11_weak_supervision_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = private_data.find_private(read(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["base"])
+    told = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    number = [F.size(F.array_compact(F.transform(base, lambda s: F.when(s["kind"] == F.lit(k), 1)))).cast("long").alias(f"n_{k}") for k in ("email", "ip", "card", "phone")]
+    return rows.select("doc_id", *number, F.sha2(told(base), 256).alias("base_sha256"), told(F.col("spans")).alias("spans"))
+
+
 def damaged(turns: DataFrame) -> DataFrame:
     """Conversation rows with the faults that a checksum of their key deals out."""
     key = F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))
@@ -108,7 +116,7 @@ def op13_dual_tree_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    fn.__name__: fn for fn in (op1_chat_format, op2_best_fit_packing, op3_cotrained_quality, op4_bagminhash_dedup, op5_maximal_repeats, op6_quality_rules, op7_syncmer_fingerprints, op8_hierarchical_mixing, op9_token_counts, op10_html_extraction, op12_lr_conversation_repair, op13_dual_tree_search)
+    fn.__name__: fn for fn in (op1_chat_format, op2_best_fit_packing, op3_cotrained_quality, op4_bagminhash_dedup, op5_maximal_repeats, op6_quality_rules, op7_syncmer_fingerprints, op8_hierarchical_mixing, op9_token_counts, op10_html_extraction, op11_weak_supervision_pii, op12_lr_conversation_repair, op13_dual_tree_search)
 }
 # The columns the contract names, said again in DuckDB's SQL.
 _ESCAPED = r"regexp_replace(text, '(### |</turn>)', '\\\1', 'g')"
