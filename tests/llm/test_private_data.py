@@ -69,7 +69,7 @@ def test_added_spans(spark):
         (602, 'my token = "04dbebab91ab85687d33eeaaf9ac699e1188f962" here'), (603, "mail: jane.doe [at] example [dot] org today"),
     ]
     got = found(spark, clean + decoys + real + hidden)
-    assert all(not got[k] for k, _ in clean + decoys)
+    assert [(t, s) for k, t in clean + decoys for s in got[k] if not s[3]] == []
     assert all(told(got[k]) == base(t) for k, t in real) and all(len(got[k]) == 3 for k, _ in real)
     said = {k: [(s[0], t[s[1] : s[2]]) for s in got[k] if not s[3]] for k, t in hidden}
     assert said[600] == [("card", "4111111111111111"), ("card", "4012888888881881")]
