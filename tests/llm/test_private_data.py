@@ -88,7 +88,7 @@ def test_reliabilities_are_learned():
     p, table = P.posteriors(patterns, n.astype(float))
     assert ((p[which.ravel()] > 0.5) == z).mean() > 0.96
     learned = table[1][np.arange(5), P.YES]
-    assert list(np.argsort(-learned)) == [0, 1, 2, 3, 4] and abs(learned[1] - 0.9) < 0.1
+    assert list(np.argsort(-learned)) == [0, 1, 2, 3, 4] and 0.75 < learned[1] < 0.9  # half of it is the trust it starts from
 
 
 def test_codes_are_bounded():
