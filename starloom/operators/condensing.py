@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import _parse_datatype_string
 
+from starloom.operators import blocks
 from starloom.operators.matching import sample_counts
 from starloom.operators.ordering import position_in_group
 from starloom.operators.spatial import radius_pairs
@@ -16,6 +21,7 @@ from starloom.session import cut_lineage
 # sample * SLOTS + slot is a BIGINT that numbers the stacked detections of a
 # field in sample order, brightest first, each with a number of its own.
 SLOTS = 1 << 31
+CHUNK = 4096  # detections whose partners are looked up at a time
 # (degree, id) as one number that sorts the same way, for any BIGINT id. A
 # running maximum of a number stays in a hash table; one of a struct would sort.
 OWN = "cast(deg as decimal(18,0)) * cast(18446744073709551616 as decimal(20,0)) + cast(i as decimal(19,0))"
@@ -27,47 +33,87 @@ def stacked(det: DataFrame) -> DataFrame:
     return det.withColumn("id", F.when(fits, number).otherwise(F.raise_error(F.lit("slot or sample out of range")).cast("bigint")))
 
 
-def friend_pairs(det: DataFrame, radius: float, cross_sample_only: bool = False) -> DataFrame:
-    """All ordered pairs i != j of stacked detections of a field within the
-    radius; `differs` tells whether their fluxes do, which makes an edge. The
-    tile join meets both orders anyway, so each costs nothing extra."""
-    def side(me, x, y):
-        return det.select(
-            "field_id", F.col("sample_id").alias(f"s{me}"), F.col("id").alias(me),
-            F.col("x").alias(x), F.col("y").alias(y), F.col("f0").alias(f"f{me}"),
-        )
-
-    pairs = radius_pairs(side("i", "ax", "ay"), side("j", "bx", "by"), radius, ["field_id"]).where(
-        F.col("i") != F.col("j")
-    )
-    if cross_sample_only:
-        pairs = pairs.where(F.col("si") != F.col("sj"))
-    return pairs.select("field_id", "i", "j", "si", "sj", "d2", (F.col("fi") != F.col("fj")).alias("differs"))
+def friend_graph(det: DataFrame, radius: float, cross_sample_only: bool = False) -> DataFrame:
+    """Edges (field, i < j, d2) between stacked detections of different flux."""
+    seen = blocks.deal(det.select("field_id", "sample_id", "id", "x", "y", "f0"), radius, 1.0)
 
+    def edges(t: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        for i, j, d2 in blocks.pairs_within(t["x"], t["y"], np.flatnonzero(t["_own"]), radius):
+            good = (t["id"][i] < t["id"][j]) & (t["f0"][i] != t["f0"][j])
+            if cross_sample_only:
+                good &= t["sample_id"][i] != t["sample_id"][j]
+            yield t["id"][i[good]], t["id"][j[good]], d2[good]
 
-def friend_graph(det: DataFrame, radius: float, cross_sample_only: bool = False) -> DataFrame:
-    """Edges (field, i < j, d2) between detections of different flux."""
-    pairs = friend_pairs(det, radius, cross_sample_only)
-    return pairs.where((F.col("i") < F.col("j")) & F.col("differs")).select("field_id", "i", "j", "d2")
+    return _by_block(seen, edges, lambda f, i, j, d2: [f, i, j, d2], "field_id bigint, i bigint, j bigint, d2 double")
 
 
-def prune_edges(pairs: DataFrame, radius: float) -> DataFrame:
-    """Edges left when every detection keeps, in each other sample, only its
-    nearest partner, and both ends agree; partners in its own sample all stay.
+def pruned_edges(det: DataFrame, radius: float) -> DataFrame:
+    """Edges (field, i < j, d2) left when every detection keeps, in each other sample, only
+    its nearest partner, and both ends agree; partners in its own sample all stay.
 
-    The nearest is a running minimum per (detection, other sample), combined
-    before the shuffle, so what moves is bounded by detections x samples and
-    not by the number of pairs. Agreement is a count of directions.
+    A block's task looks up the nearest partner per (detection, other sample) through a
+    grid, so what it holds follows detections x samples and not the pairs of a crowded
+    field. The partner's own choice is looked up in the same block, which sees far enough.
     """
-    own = F.when(F.col("si") == F.col("sj"), F.col("j")).otherwise(-1)
-    kept = (
-        pairs.groupBy("field_id", "i", "sj", own.alias("own"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d2", "j", "differs")).alias("b"))
-        .where(F.col("b.differs") & ((F.col("n") == 1) | (F.col("b.d2") < radius * radius)))
-    )
-    ends = (F.least("i", "b.j").alias("lo"), F.greatest("i", "b.j").alias("hi"))
-    agreed = kept.groupBy("field_id", *ends).agg(F.count(F.lit(1)).alias("n"), F.min("b.d2").alias("d2"))
-    return agreed.where(F.col("n") == 2).select("field_id", F.col("lo").alias("i"), F.col("hi").alias("j"), "d2")
+    seen = _seen_for_pruning(det, radius)
+    return _by_block(seen, lambda t: _pruned(t, radius), lambda f, i, j, d2: [f, i, j, d2], "field_id bigint, i bigint, j bigint, d2 double")
+
+
+def _seen_for_pruning(det: DataFrame, radius: float) -> DataFrame:
+    return blocks.deal(det.select("field_id", "sample_id", "id", "x", "y", "f0"), radius, 2.0)
+
+
+def _pruned(t: dict[str, np.ndarray], radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pruned edges whose lesser end is searched for by this task."""
+    x, y, flux, name, sample = t["x"], t["y"], t["f0"], t["id"], t["sample_id"]
+    own = np.flatnonzero(t["_own"])
+    members = {}
+    order = np.argsort(sample, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(sample[order])) + 1):
+        if len(part):
+            members[sample[part[0]]] = part, blocks.Nearest(x[part], y[part], name[part], radius)
+
+    def partners(of: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(of, partner, d2) for those whose nearest in sample s is kept."""
+        part, near = members[s]
+        j, d2, ties = near.of(x[of], y[of])
+        # One match stays; of several, the nearest does if it lies inside the radius.
+        kept = (j >= 0) & ((d2 < radius * radius) | (ties == 1))
+        of, j = of[kept], part[j[kept]]
+        return of, j, d2[kept]
+
+    for at in range(0, len(own), CHUNK):
+        some = own[at : at + CHUNK]
+        for i, j, d2 in blocks.pairs_within_sample(x, y, sample, some, members, radius):
+            good = (name[i] < name[j]) & (flux[i] != flux[j])
+            yield name[i[good]], name[j[good]], d2[good]
+        wished = []
+        for s in members:
+            i, j, d2 = partners(some[sample[some] != s], s)
+            good = (name[i] < name[j]) & (flux[i] != flux[j])
+            wished.append((i[good], j[good], d2[good]))
+        i, j, d2 = (np.concatenate(c) for c in zip(*wished))
+        for s in np.unique(sample[i]):
+            here = np.flatnonzero(sample[i] == s)
+            of, back = np.unique(j[here], return_inverse=True)
+            mine, theirs, _ = partners(of, s)
+            choice = np.full(len(of), -1)
+            choice[np.searchsorted(of, mine)] = theirs
+            agreed = here[choice[back] == i[here]]
+            yield name[i[agreed]], name[j[agreed]], d2[agreed]
+
+
+def _by_block(seen: DataFrame, work: Callable, row: Callable, schema: str) -> DataFrame:
+    """row(field, *arrays) as columns of `schema`, for what work makes of the arrays of a block."""
+    keys = ["field_id", "_bx", "_by", "_share"]
+    types = to_arrow_schema(_parse_datatype_string(schema))
+
+    def run(table: pa.Table) -> pa.Table:
+        t = {c: table.column(c).to_numpy() for c in table.column_names}
+        found = [row(np.full(len(part[0]), t["field_id"][0]), *part) for part in work(t)]
+        return pa.table([np.concatenate(c) for c in zip(*found)], schema=types) if found else types.empty_table()
+
+    return seen.groupBy(*keys).applyInArrow(run, schema)
 
 
 def greedy_seeds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -123,7 +169,7 @@ def greedy_seeds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def seed_catalog(det: DataFrame, radius: float) -> DataFrame:
     """Friends, pruning and seeds of an ensemble with slots."""
     nodes = stacked(det)
-    return greedy_seeds(nodes, prune_edges(friend_pairs(nodes, radius), radius))
+    return greedy_seeds(nodes, pruned_edges(nodes, radius))
 
 
 def prevalence_cut(seeds: DataFrame, cut: float, nsamp: int) -> DataFrame:

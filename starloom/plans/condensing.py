@@ -36,8 +36,7 @@ keep AS (SELECT field_id, i, j, d2 FROM rk WHERE differs AND (si = sj OR c = 1 O
 SELECT a.field_id, a.i, a.j, ROUND(a.d2, 9) AS d2 FROM keep a JOIN keep b
 ON a.field_id = b.field_id AND a.i = b.j AND a.j = b.i WHERE a.i < a.j""", "det"))
 def j6_prune_edges(spark, sf):
-    pairs = C.friend_pairs(C.stacked(detections(spark, sf, True)), LINK)
-    return rounded(C.prune_edges(pairs, LINK), 9, "d2")
+    return rounded(C.pruned_edges(C.stacked(detections(spark, sf, True)), LINK), 9, "d2")
 
 
 @query("j7_seed_catalog")

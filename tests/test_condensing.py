@@ -79,8 +79,7 @@ def test_pruned_edges_and_seeds_brute_force(spark, seed):
     pdf = ensemble(seed)
     det = C.stacked(spark.createDataFrame(pdf))
     local = det.toPandas()
-    pairs = C.friend_pairs(det, 0.75)
-    got = C.prune_edges(pairs, 0.75).toPandas()
+    got = C.pruned_edges(det, 0.75).toPandas()
     seeds = C.seed_catalog(spark.createDataFrame(pdf), 0.75).toPandas()
     for field, part in local.groupby("field_id"):
         want = sequential_prune(part, 0.75)
