@@ -14,6 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from starloom.operators.spatial import PAD
+from starloom.session import cut_lineage
 
 WIDTH = 16.0  # block side in radii
 CROWDED = 50_000  # points of a block that one task searches for
@@ -24,10 +25,11 @@ PAIRS = 1 << 20  # pairs held at a time
 def deal(points: DataFrame, radius: float, halo: float, keys: Sequence[str] = ("field_id",)) -> DataFrame:
     """points(*keys, x, y, ...) with a row per block that sees them.
 
-    Adds _bx, _by (the block), _share (which of its tasks) and _own: the one copy that
-    is searched for. halo: how many radii a block sees beyond its border. Blocks with
+    Adds _bx, _by (the block), _share of _shares (which of its tasks) and _own: the one
+    copy that is searched for. halo: how many radii a block sees beyond its border. Blocks with
     more than CROWDED points go to several tasks; which ones comes from counts by block.
     """
+    points = cut_lineage(points)  # read twice below, whatever they cost to make
     width, reach = WIDTH * radius, halo * radius * PAD
     home = [F.floor(F.col(c) / width) for c in ("x", "y")]
     block = [*keys, "_bx", "_by"]
@@ -42,7 +44,7 @@ def deal(points: DataFrame, radius: float, halo: float, keys: Sequence[str] = ("
     seen = seen.join(shares, block, "left").withColumn("_shares", F.coalesce("_shares", F.lit(1)))
     mine = F.pmod(F.xxhash64("x", "y", *keys), F.col("_shares"))
     seen = seen.withColumn("_mine", mine).withColumn("_share", F.explode(F.sequence(F.lit(0), F.col("_shares") - 1)))
-    return seen.withColumn("_own", F.col("_home") & (F.col("_mine") == F.col("_share"))).drop("_home", "_mine", "_shares")
+    return seen.withColumn("_own", F.col("_home") & (F.col("_mine") == F.col("_share"))).drop("_home", "_mine")
 
 
 class Grid:
@@ -62,6 +64,19 @@ class Grid:
     def number(self, cx: np.ndarray, cy: np.ndarray) -> np.ndarray:
         return cy * self.columns + cx
 
+    def crowd(self) -> np.ndarray:
+        """Points in the nine cells around each point, in order of the grid."""
+        cells, n = np.unique(self.sorted, return_counts=True)
+        around = np.zeros(len(cells), dtype=np.int64)
+        x = cells % self.columns
+        for oy in (-1, 0, 1):
+            for ox in (-1, 0, 1):
+                to = np.searchsorted(cells, cells + oy * self.columns + ox)
+                hit = (to < len(cells)) & (x + ox >= 0) & (x + ox < self.columns)
+                hit[hit] = cells[to[hit]] == (cells + oy * self.columns + ox)[hit]
+                around[hit] += n[to[hit]]
+        return np.repeat(around, n)
+
     def members(self, cx: np.ndarray, cy: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(which of the asked, point) for the points in the cells (cx, cy), some at a time."""
         inside = (cx >= 0) & (cx < self.columns) & (cy >= 0) & (cy < self.rows)
@@ -80,11 +95,14 @@ class Grid:
             at = to
 
 
-def pairs_within(x: np.ndarray, y: np.ndarray, of: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def pairs_within(
+    x: np.ndarray, y: np.ndarray, of: np.ndarray, radius: float, grid: Grid | None = None
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(i, j, d2) of points i in `of` and all points j != i within the radius, some at a time."""
+    yield np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     if not len(of):
         return
-    grid = Grid(x, y, radius * PAD)
+    grid = grid or Grid(x, y, radius * PAD)
     cx, cy = grid.place(x[of], y[of])
     for ox in (-1, 0, 1):
         for oy in (-1, 0, 1):
@@ -95,26 +113,6 @@ def pairs_within(x: np.ndarray, y: np.ndarray, of: np.ndarray, radius: float) ->
                 yield i[near], j[near], d2[near]
 
 
-def pairs_within_sample(
-    x: np.ndarray, y: np.ndarray, sample: np.ndarray, of: np.ndarray, members: dict, radius: float
-) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(i, j, d2) of points i in `of` and points j != i of the same sample within the radius.
-
-    members: by sample, its points and their Nearest.
-    """
-    for s in np.unique(sample[of]):
-        part, near = members[s]
-        asked = of[sample[of] == s]
-        if near.grid is None:
-            d2 = (x[asked, None] - x[part]) ** 2 + (y[asked, None] - y[part]) ** 2
-            a, b = np.nonzero(d2 <= radius * radius)
-            i, j, d2 = asked[a], part[b], d2[a, b]
-            yield i[i != j], j[i != j], d2[i != j]
-        else:
-            for i, j, d2 in pairs_within(x[part], y[part], np.searchsorted(part, asked), radius):
-                yield part[i], part[j], d2
-
-
 class Nearest:
     """Nearest of a set of points, ties to the least name, and how many points are as near."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
-from starloom.operators import blocks
+from starloom.operators import blocks, components
 from starloom.operators.matching import sample_counts
 from starloom.operators.ordering import position_in_group
 from starloom.operators.spatial import radius_pairs
@@ -21,6 +22,9 @@ from starloom.session import cut_lineage
 # sample * SLOTS + slot is a BIGINT that numbers the stacked detections of a
 # field in sample order, brightest first, each with a number of its own.
 SLOTS = 1 << 31
+FEW_PAIRS = 64  # partners of a detection that may be listed, besides four from each sample
+SOLVED = 1 << 18  # edges of small components solved at a time
+LARGE = 1 << 22  # edges of a component that one task may hold (16 bytes each)
 CHUNK = 4096  # detections whose partners are looked up at a time
 # (degree, id) as one number that sorts the same way, for any BIGINT id. A
 # running maximum of a number stays in a hash table; one of a struct would sort.
@@ -65,42 +69,81 @@ def _seen_for_pruning(det: DataFrame, radius: float) -> DataFrame:
 
 def _pruned(t: dict[str, np.ndarray], radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Pruned edges whose lesser end is searched for by this task."""
-    x, y, flux, name, sample = t["x"], t["y"], t["f0"], t["id"], t["sample_id"]
     own = np.flatnonzero(t["_own"])
-    members = {}
-    order = np.argsort(sample, kind="stable")
-    for part in np.split(order, np.flatnonzero(np.diff(sample[order])) + 1):
-        if len(part):
-            members[sample[part[0]]] = part, blocks.Nearest(x[part], y[part], name[part], radius)
-
-    def partners(of: np.ndarray, s: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(of, partner, d2) for those whose nearest in sample s is kept."""
-        part, near = members[s]
-        j, d2, ties = near.of(x[of], y[of])
+    if not len(own):
+        return
+    samples, t["sample"] = np.unique(t["sample_id"], return_inverse=True)
+    grid = blocks.Grid(t["x"], t["y"], radius * blocks.PAD)
+    crowd = grid.crowd()  # points in the cells around each point
+    by_list = crowd.mean() <= 4 * len(samples) + FEW_PAIRS
+    choose = _choices_from_pairs(t, grid, radius) if by_list else _choices_from_samples(t, len(samples), radius)
+    own = own[np.argsort(grid.number(*grid.place(t["x"][own], t["y"][own])), kind="stable")]
+    chunk = max(1, int(blocks.PAIRS / crowd.mean())) if by_list else CHUNK
+    x, y, flux, name, sample = t["x"], t["y"], t["f0"], t["id"], t["sample"]
+    for at in range(0, len(own), chunk):
+        some = own[at : at + chunk]
+        (i, j, d2), (si, sj, s2) = choose(some, None)
+        good = (name[si] < name[sj]) & (flux[si] != flux[sj])
+        yield name[si[good]], name[sj[good]], s2[good]
+        good = (name[i] < name[j]) & (flux[i] != flux[j])
+        i, j, d2 = i[good], j[good], d2[good]
+        # What the partners choose in turn, in the samples they were asked from.
+        of = np.unique(j)
+        (back, choice, _), _ = choose(of, sample[i])
+        key = np.sort(back * np.int64(len(x)) + choice)
+        asked = j * np.int64(len(x)) + i
+        place = np.searchsorted(key, asked)
+        agreed = key[np.minimum(place, len(key) - 1)] == asked if len(key) else np.zeros(len(asked), dtype=bool)
+        yield name[i[agreed]], name[j[agreed]], d2[agreed]
+
+
+Triple = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _choices_from_pairs(t: dict[str, np.ndarray], grid: blocks.Grid, radius: float) -> Callable[..., tuple[Triple, Triple]]:
+    """Of given points: (i, j, d2) to the nearest in each other sample, where it is kept, and to
+    all in the own one. From the pairs of those points; for fields where these are few."""
+    x, y, sample, name = t["x"], t["y"], t["sample"], t["id"]
+
+    def choose(of: np.ndarray, _: np.ndarray | None) -> tuple[Triple, Triple]:
+        i, j, d2 = (np.concatenate(c) for c in zip(*blocks.pairs_within(x, y, of, radius, grid)))
+        same = sample[i] == sample[j]
+        inside = i[same], j[same], d2[same]
+        i, j, d2 = i[~same], j[~same], d2[~same]
+        key = i * np.int64(len(x)) + sample[j]
+        order = np.lexsort((name[j], d2, key))
+        key, i, j, d2 = key[order], i[order], j[order], d2[order]
+        first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(i) else np.zeros(0, int)
+        n = np.diff(np.append(first, len(i)))
         # One match stays; of several, the nearest does if it lies inside the radius.
-        kept = (j >= 0) & ((d2 < radius * radius) | (ties == 1))
-        of, j = of[kept], part[j[kept]]
-        return of, j, d2[kept]
-
-    for at in range(0, len(own), CHUNK):
-        some = own[at : at + CHUNK]
-        for i, j, d2 in blocks.pairs_within_sample(x, y, sample, some, members, radius):
-            good = (name[i] < name[j]) & (flux[i] != flux[j])
-            yield name[i[good]], name[j[good]], d2[good]
-        wished = []
-        for s in members:
-            i, j, d2 = partners(some[sample[some] != s], s)
-            good = (name[i] < name[j]) & (flux[i] != flux[j])
-            wished.append((i[good], j[good], d2[good]))
-        i, j, d2 = (np.concatenate(c) for c in zip(*wished))
-        for s in np.unique(sample[i]):
-            here = np.flatnonzero(sample[i] == s)
-            of, back = np.unique(j[here], return_inverse=True)
-            mine, theirs, _ = partners(of, s)
-            choice = np.full(len(of), -1)
-            choice[np.searchsorted(of, mine)] = theirs
-            agreed = here[choice[back] == i[here]]
-            yield name[i[agreed]], name[j[agreed]], d2[agreed]
+        kept = first[(n == 1) | (d2[first] < radius * radius)]
+        return (i[kept], j[kept], d2[kept]), inside
+
+    return choose
+
+
+def _choices_from_samples(t: dict[str, np.ndarray], n_samples: int, radius: float) -> Callable[..., tuple[Triple, Triple]]:
+    """The same, looked up sample by sample: what is read follows points x samples, however crowded the field is."""
+    x, y, sample, name = t["x"], t["y"], t["sample"], t["id"]
+    order = np.argsort(sample, kind="stable")
+    parts = np.split(order, np.cumsum(np.bincount(sample, minlength=n_samples))[:-1])
+    near = [blocks.Nearest(x[p], y[p], name[p], radius) for p in parts]
+
+    def choose(of: np.ndarray, only: np.ndarray | None) -> tuple[Triple, Triple]:
+        found, inside = [], []
+        for s in np.unique(only) if only is not None else range(n_samples):
+            asked = of[sample[of] != s]
+            j, d2, ties = near[s].of(x[asked], y[asked])
+            kept = (j >= 0) & ((d2 < radius * radius) | (ties == 1))
+            found.append((asked[kept], parts[s][j[kept]], d2[kept]))
+            if only is None:
+                mine = np.searchsorted(parts[s], of[sample[of] == s])
+                inside += [(parts[s][i], parts[s][j], d2) for i, j, d2 in blocks.pairs_within(x[parts[s]], y[parts[s]], mine, radius)]
+        none = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        joined = lambda rows: tuple(np.concatenate(c) for c in zip(*rows)) if rows else none
+        return joined(found), joined(inside)
+
+    return choose
 
 
 def _by_block(seen: DataFrame, work: Callable, row: Callable, schema: str) -> DataFrame:
@@ -116,16 +159,14 @@ def _by_block(seen: DataFrame, work: Callable, row: Callable, schema: str) -> Da
     return seen.groupBy(*keys).applyInArrow(run, schema)
 
 
-def greedy_seeds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Seeds as the sequential rule picks them: again and again the node of the
-    highest (degree, id), which then leaves together with its neighbours.
+def _seeds_by_rounds(edges: DataFrame) -> DataFrame:
+    """Every node of some edges with the degree at which it is picked, null if it left as a neighbour.
 
     Degrees only fall, so a node that is highest within two hops will be picked
     before anything near it changes. All such nodes are picked at once, per
-    round; the recorded degrees are those of the sequential rule, and so is
-    the order (degree desc, id desc). Each round works on the written edges of
-    the last one. The node side of its joins has one row per node, so its hash
-    tables are even and the edges need no sorting.
+    round. Each round works on the written edges of the last one. The node side
+    of its joins has one row per node, so its hash tables are even and the edges
+    need no sorting.
     """
     # Both directions of each edge, from one pass over the edges.
     ends = F.array(F.struct(F.col("i"), F.col("j")), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))
@@ -156,20 +197,165 @@ def greedy_seeds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         alive = cut_lineage(
             alive.join(left, node, "left_anti").join(left.withColumnRenamed("i", "j"), ["field_id", "j"], "left_anti").select(*node, "j")
         )
-    base = nodes.select("field_id", F.col("id").alias("i"), "x", "y")
-    zero = F.lit(0).cast("bigint")
-    if gone:
-        out = reduce(lambda a, b: a.unionByName(b), gone).withColumn("_left", F.lit(True))
-        # Left by all rounds: no friends any more, so a seed of degree zero.
-        base = base.join(out, node, "left").where(F.col("_left").isNull() | F.col("degree").isNotNull())
-        zero = F.coalesce("degree", zero)
-    return base.select("field_id", F.col("i").alias("id"), "x", "y", zero.alias("degree"))
+    out = reduce(DataFrame.unionByName, gone).select("field_id", "i", "degree")
+    # Left by all rounds: no friends any more, so a seed of degree zero.
+    every = both.select(*node).distinct()
+    return every.join(out.withColumn("_left", F.lit(True)), node, "left").select(
+        *node, F.when(F.col("_left"), F.col("degree")).otherwise(F.lit(0)).cast("bigint").alias("degree")
+    )
+
+
+PARTS = "field_id bigint, part bigint, i array<bigint>, j array<bigint>, shared array<bigint>"
+
+
+def _packed(field: int, i: np.ndarray, j: np.ndarray, inner: np.ndarray) -> pa.Table:
+    """Edges by local component: a row each, with the least node as its name and the nodes that
+    other tasks may know too (all but `inner`)."""
+    ints = pa.list_(pa.int64())
+    types = pa.schema([("field_id", pa.int64()), ("part", pa.int64()), ("i", ints), ("j", ints), ("shared", ints)])
+    if not len(i):
+        return types.empty_table()
+    names, a, b = components.numbers_of([i, j])
+    label = components.labels_of(len(names), a, b)
+    order = np.argsort(label[a], kind="stable")
+    part, first = np.unique(label[a][order], return_index=True)
+    ends = np.append(first, len(order)).astype(np.int32)
+    known = np.flatnonzero(~np.isin(names, inner))
+    known = known[np.argsort(label[known], kind="stable")]
+    at = np.searchsorted(label[known], np.append(part, len(names))).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(c[order])) for c in (i, j)]
+    lists.append(pa.ListArray.from_arrays(pa.array(at), pa.array(names[known])))
+    return pa.table([pa.array(np.full(len(part), field)), pa.array(names[part]), *lists], schema=types)
+
+
+def _parts_of(edges: DataFrame) -> DataFrame:
+    """Any edges as packed local components, contracted in the tasks they lie in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            field, i, j = (batch.column(c).to_numpy() for c in ("field_id", "i", "j"))
+            for f in np.unique(field):
+                here = field == f
+                yield from _packed(f, i[here], j[here], i[:0]).to_batches()
+
+    return edges.select("field_id", "i", "j").mapInArrow(run, PARTS)
+
+
+def _parts_of_blocks(det: DataFrame, radius: float) -> DataFrame:
+    """Pruned edges of a field's blocks as packed local components."""
+
+    def work(t: dict[str, np.ndarray]) -> pa.Table:
+        low = [t[b][0] * blocks.WIDTH * radius for b in ("_bx", "_by")]
+        inside = t["_own"] & (t["_shares"] == 1)
+        for c, lo in zip(("x", "y"), low):
+            inside &= (t[c] - lo > 2 * radius) & (lo + blocks.WIDTH * radius - t[c] > 2 * radius)
+        found = list(_pruned(t, radius)) or [(t["id"][:0], t["id"][:0], t["x"][:0])]
+        i, j, _ = (np.concatenate(c) for c in zip(*found))
+        return _packed(t["field_id"][0], i, j, t["id"][inside])
+
+    return _seen_for_pruning(det, radius).groupBy("field_id", "_bx", "_by", "_share").applyInArrow(lambda table: work({c: table.column(c).to_numpy() for c in table.column_names}), PARTS)
+
+
+def sequential_seeds(i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All nodes of some edges and their degree when picked, -1 if they left as a neighbour.
+
+    Again and again the node of the highest (degree, id) is picked and leaves together
+    with its neighbours. Degrees only fall, so a node whose entry is out of date goes
+    back into the heap with its present one.
+    """
+    names, a, b = components.numbers_of([i, j])
+    ends = np.append(a, b)
+    order = np.argsort(ends, kind="stable")
+    other = np.append(b, a)[order]
+    start = np.searchsorted(ends[order], np.arange(len(names) + 1))
+    degree = np.diff(start)
+    alive, out = np.ones(len(names), dtype=bool), np.full(len(names), -1, dtype=np.int64)
+    heap = list(zip((-degree).tolist(), range(0, -len(names), -1)))
+    heapq.heapify(heap)
+    while heap:
+        d, n = heapq.heappop(heap)
+        d, n = -d, -n
+        if not alive[n]:
+            continue
+        if degree[n] != d:
+            heapq.heappush(heap, (-int(degree[n]), -n))
+            continue
+        out[n], alive[n] = d, False
+        gone = other[start[n] : start[n + 1]]
+        gone = gone[alive[gone]]
+        alive[gone] = False
+        for g in gone.tolist():
+            near = other[start[g] : start[g + 1]]
+            degree[near] -= 1  # each neighbour is there once
+    return names, out
+
+
+def _solved(parts: DataFrame) -> DataFrame:
+    """Nodes of whole components (field_id, root, i, j) with the degree at which they are picked, null if never.
+
+    Components go through a task one after the other, some thousand edges at a time:
+    they don't touch, so several are one graph without harm.
+    """
+    rows = parts.repartition("field_id", "root").sortWithinPartitions("field_id", "root")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        key, size = None, 0
+
+        def done() -> pa.RecordBatch:
+            i, j = (np.concatenate(c) for c in zip(*held))
+            node, degree = sequential_seeds(i, j)
+            return pa.RecordBatch.from_arrays([pa.array(np.full(len(node), key[0])), pa.array(node), pa.array(degree, mask=degree < 0)], names=["field_id", "i", "degree"])
+
+        for batch in batches:
+            field, root, i, j = (batch.column(c) for c in ("field_id", "root", "i", "j"))
+            for row, now in enumerate(zip(field.to_pylist(), root.to_pylist())):
+                if held and now != key and (size >= SOLVED or now[0] != key[0]):
+                    yield done()
+                    held, size = [], 0
+                key = now
+                held.append((i[row].values.to_numpy(), j[row].values.to_numpy()))
+                size += len(held[-1][0])
+        if held:
+            yield done()
+
+    return rows.select("field_id", "root", "i", "j").mapInArrow(run, "field_id bigint, i bigint, degree bigint")
+
+
+def _seeds_of_parts(nodes: DataFrame, parts: DataFrame) -> DataFrame:
+    node = ["field_id", "i"]
+    parts = cut_lineage(parts)
+    moved = components.part_roots(parts.select("field_id", "part", F.explode("shared").alias("node")), ["field_id"])
+    whole = parts.join(moved, ["field_id", "part"], "left").select("field_id", F.coalesce("root", "part").alias("root"), "i", "j")
+    large = whole.groupBy("field_id", "root").agg(F.sum(F.size("i")).alias("_n")).where(F.col("_n") > LARGE).select("field_id", "root")
+    large = cut_lineage(large)
+    if large.isEmpty():
+        left = _solved(whole)
+    else:
+        edges = whole.join(large, ["field_id", "root"]).select("field_id", F.inline(F.arrays_zip("i", "j")))
+        left = _solved(whole.join(large, ["field_id", "root"], "left_anti")).unionByName(_seeds_by_rounds(edges))
+    base = nodes.select("field_id", F.col("id").alias("i"), "x", "y").join(left.withColumn("_left", F.lit(True)), node, "left")
+    # Without friends from the start: a seed of degree zero.
+    kept = base.where(F.col("_left").isNull() | F.col("degree").isNotNull())
+    return kept.select("field_id", F.col("i").alias("id"), "x", "y", F.coalesce("degree", F.lit(0).cast("bigint")).alias("degree"))
+
+
+def greedy_seeds(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Seeds as the sequential rule picks them: again and again the node of the
+    highest (degree, id), which then leaves together with its neighbours.
+
+    Connected components don't know of each other, so each is solved by the sequential
+    rule itself, many to a task; only one of more than LARGE edges goes through rounds.
+    The recorded degrees are those of the sequential rule, and so is the order
+    (degree desc, id desc). Edges come once, either way round.
+    """
+    return _seeds_of_parts(nodes, _parts_of(edges))
 
 
 def seed_catalog(det: DataFrame, radius: float) -> DataFrame:
     """Friends, pruning and seeds of an ensemble with slots."""
-    nodes = stacked(det)
-    return greedy_seeds(nodes, pruned_edges(nodes, radius))
+    nodes = cut_lineage(stacked(det).select("field_id", "sample_id", "id", "x", "y", "f0"))
+    return _seeds_of_parts(nodes, _parts_of_blocks(nodes, radius))
 
 
 def prevalence_cut(seeds: DataFrame, cut: float, nsamp: int) -> DataFrame:

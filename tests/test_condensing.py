@@ -44,6 +44,38 @@ def test_greedy_seeds_equal_the_sequential_rule(spark, seed):
         assert list(zip(mine.id, mine.degree)) == want
 
 
+@pytest.mark.parametrize("large", [0, 40])
+def test_large_components_go_through_rounds(spark, monkeypatch, large):
+    """Whether a component is solved in a task or by rounds, the seeds are those of the sequential rule."""
+    rng = np.random.default_rng(large)
+    nodes = [(0, i, 0.0, 0.0) for i in range(120)]
+    edges = [(0, i, j) for i in range(120) for j in range(i + 1, 120) if i // 30 == j // 30 and rng.random() < 0.1 + (i < 30) * 0.3]
+    edges += [(0, 200 + i, 201 + i) for i in range(60)]  # a path along which the ids rise
+    nodes += [(0, 200 + i, 0.0, 0.0) for i in range(61)]
+    monkeypatch.setattr(C, "LARGE", large)
+    got = C.greedy_seeds(spark.createDataFrame(nodes, "field_id long, id long, x double, y double"), spark.createDataFrame(edges, "field_id long, i long, j long").repartition(3)).toPandas()
+    mine = got.sort_values(["degree", "id"], ascending=False)
+    assert list(zip(mine.id, mine.degree)) == sequential_seeds([n[1] for n in nodes], [e[1:] for e in edges])
+
+
+def test_long_ascending_path_settles_in_one_task():
+    i = np.arange(200_000)
+    names, degree = C.sequential_seeds(i, i + 1)
+    assert len(names) == 200_001 and names[degree == 2].max() == 199_999
+
+
+def test_shared_blocks_change_nothing(spark, monkeypatch):
+    pdf = ensemble(7, n=250, size=3.0)
+    det = C.stacked(spark.createDataFrame(pdf))
+    want = sorted(map(tuple, C.pruned_edges(det, 0.75).collect()))
+    seeds = sorted(map(tuple, C.seed_catalog(spark.createDataFrame(pdf), 0.75).collect()))
+    for name, value in (("CROWDED", 40), ("WIDTH", 1.5), ("PAIRS", 500)):
+        monkeypatch.setattr(C.blocks, name, value)
+    monkeypatch.setattr(C, "SOLVED", 5)
+    assert sorted(map(tuple, C.pruned_edges(det, 0.75).collect())) == want
+    assert sorted(map(tuple, C.seed_catalog(spark.createDataFrame(pdf), 0.75).collect())) == seeds
+
+
 def test_greedy_seeds_without_edges(spark):
     nodes = spark.createDataFrame([(0, 5, 1.0, 2.0)], "field_id long, id long, x double, y double")
     none = spark.createDataFrame([], "field_id long, i long, j long")
