@@ -113,6 +113,19 @@ def pairs_within(
                 yield i[near], j[near], d2[near]
 
 
+def between(x: np.ndarray, y: np.ndarray, qx: np.ndarray, qy: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(q, j) of places (qx, qy) and the points (x, y) within the radius, some at a time."""
+    if not len(x):
+        return
+    grid = Grid(x, y, radius * PAD)
+    cx, cy = grid.place(qx, qy)
+    for ox in (-1, 0, 1):
+        for oy in (-1, 0, 1):
+            for q, j in grid.members(cx + ox, cy + oy):
+                near = (x[j] - qx[q]) ** 2 + (y[j] - qy[q]) ** 2 <= radius * radius
+                yield q[near], j[near]
+
+
 class Nearest:
     """Nearest of a set of points, ties to the least name, and how many points are as near."""
 

@@ -15,7 +15,6 @@ from pyspark.sql.types import _parse_datatype_string
 from starloom.operators import blocks, components
 from starloom.operators.matching import sample_counts
 from starloom.operators.ordering import position_in_group
-from starloom.operators.spatial import radius_pairs
 from starloom.session import cut_lineage
 
 # Slots of a sample and samples of a field both stay below this, so
@@ -370,18 +369,112 @@ def claim(
     order of `priority`, each the brightest (lowest slot) unclaimed detection
     within the radius. `cell` follows that order and spreads its numbering.
 
-    Whenever a detection is a seed's first choice and that seed comes first
-    among all seeds near the detection, the sequential order gives the same
-    pair; such pairs are settled together, per round, and leave. Both first
-    choices are running minima, so no sample is gathered in one place.
+    Seeds and detections of a sample that no pair joins don't know of each other,
+    so each component is settled by the sequential rule itself, however long its
+    chain of priorities: at once in the block that holds it whole, and else when the
+    blocks' parts are joined. Only one of more than LARGE pairs goes through rounds.
     """
     turns = cut_lineage(
         position_in_group(seeds.select("field_id", seed, "x", "y", *_used(seeds, seed)), ["field_id"], cell, priority, "turn")
-        .select("field_id", seed, "turn", F.col("x").alias("bx"), F.col("y").alias("by"))
+        .select("field_id", seed, "turn", "x", "y")
     )
-    d = ens.select("field_id", "sample_id", "src", F.col("x").alias("ax"), F.col("y").alias("ay"))
     base = ["field_id", "sample_id"]
-    open_ = cut_lineage(radius_pairs(d, turns.drop(seed), radius, ["field_id"]).select(*base, "turn", "src"))
+    points = ens.select(*base, F.col("src").alias("n"), "x", "y").where("sample_id >= 0")
+    points = points.unionByName(turns.select("field_id", F.lit(-1).cast("bigint").alias("sample_id"), F.col("turn").alias("n"), "x", "y"))
+    found = cut_lineage(
+        blocks.deal(points, radius, 1.0).groupBy("field_id", "_bx", "_by", "_share")
+        .applyInArrow(lambda table: _claims_of_block({c: table.column(c).to_numpy() for c in table.column_names}, radius), CLAIMS)
+    )
+    open_ = found.where("part is not null")
+    moved = components.part_roots(open_.select(*base, F.col("turn").alias("node"), "part"), base)
+    whole = open_.join(moved, [*base, "part"], "left").select(*base, F.coalesce("root", "part").alias("root"), "turn", "src")
+    large = cut_lineage(whole.groupBy(*base, "root").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > LARGE).select(*base, "root"))
+    taken = found.where("part is null").select(*base, "turn", "src")
+    if large.isEmpty():
+        taken = taken.unionByName(_claims_of_components(whole))
+    else:
+        taken = taken.unionByName(_claims_of_components(whole.join(large, [*base, "root"], "left_anti")))
+        taken = taken.unionByName(_claims_by_rounds(whole.join(large, [*base, "root"]).drop("root")))
+    return taken.join(turns.select("field_id", "turn", seed), ["field_id", "turn"]).select(*base, seed, "src")
+
+
+CLAIMS = "field_id bigint, sample_id bigint, turn bigint, src bigint, part bigint"
+
+
+def _claims_of_block(t: dict[str, np.ndarray], radius: float) -> pa.Table:
+    """Claims of the components that a block holds whole (part null); all pairs of the others."""
+    seeds = np.flatnonzero(t["sample_id"] < 0)
+    dets = np.flatnonzero((t["sample_id"] >= 0) & t["_own"])
+    schema = pa.schema([(c, pa.int64()) for c in ("field_id", "sample_id", "turn", "src", "part")])
+    pairs = list(blocks.between(t["x"][dets], t["y"][dets], t["x"][seeds], t["y"][seeds], radius))
+    if not pairs:
+        return schema.empty_table()
+    q, j = (np.concatenate(c) for c in zip(*pairs))
+    sample, turn, src = t["sample_id"][dets[j]], t["n"][seeds[q]], t["n"][dets[j]]
+    order = np.lexsort((src, turn, sample))
+    q, j, sample, turn, src = q[order], j[order], sample[order], turn[order], src[order]
+    # A seed is another node in each sample; a detection stands for itself.
+    node = np.unique(np.stack([sample, turn], axis=1), axis=0, return_inverse=True)[1].ravel()
+    n = int(node.max()) + 1 if len(node) else 0
+    label = components.labels_of(n + len(dets), node, j + n)[node]
+    # A seed whose reach leaves the block may have pairs elsewhere.
+    beyond = np.zeros(len(seeds), dtype=bool) if t["_shares"][0] == 1 else np.ones(len(seeds), dtype=bool)
+    for c, b in (("x", "_bx"), ("y", "_by")):
+        low, reach = t[b][0] * blocks.WIDTH * radius, radius * blocks.PAD
+        beyond |= (t[c][seeds] - low <= reach) | (low + blocks.WIDTH * radius - t[c][seeds] <= reach)
+    is_open = np.isin(label, np.unique(label[beyond[q]]))
+    out = np.flatnonzero(is_open)
+    won = np.flatnonzero(~is_open)
+    won = won[_picked(sample[won], turn[won], src[won])]
+    rows = np.append(won, out)
+    least = np.full(n + len(dets), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, turn)
+    field = np.full(len(rows), t["field_id"][0])
+    part = pa.array(least[label[rows]], mask=np.arange(len(rows)) < len(won))
+    return pa.table([pa.array(field), pa.array(sample[rows]), pa.array(turn[rows]), pa.array(src[rows]), part], schema=schema)
+
+
+def _picked(group: np.ndarray, turn: np.ndarray, src: np.ndarray) -> list[int]:
+    """Pairs that win, of pairs sorted by (group, turn, src): each turn takes its first source still free."""
+    won, taken, last, done = [], set(), None, None
+    for k, (g, n, s) in enumerate(zip(group.tolist(), turn.tolist(), src.tolist())):
+        if g != last:
+            last, taken, done = g, set(), None
+        if n != done and s not in taken:
+            taken.add(s)
+            done = n
+            won.append(k)
+    return won
+
+
+def _claims_of_components(pairs: DataFrame) -> DataFrame:
+    """Claims of pairs by whole component (root), one component after the other."""
+    base = ["field_id", "sample_id"]
+    rows = pairs.repartition(*base, "root").sortWithinPartitions(*base, "root", "turn", "src")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, taken, done = None, set(), None
+        for batch in batches:
+            won = []
+            for k, (*key, turn, src) in enumerate(zip(*(batch.column(c).to_pylist() for c in (*base, "root", "turn", "src")))):
+                if key != last:
+                    last, taken, done = key, set(), None
+                if turn != done and src not in taken:
+                    taken.add(src)
+                    done = turn
+                    won.append(k)
+            yield batch.select([*base, "turn", "src"]).take(pa.array(won, pa.int64()))
+
+    return rows.mapInArrow(run, "field_id bigint, sample_id bigint, turn bigint, src bigint")
+
+
+def _claims_by_rounds(pairs: DataFrame) -> DataFrame:
+    """Whenever a detection is a seed's first choice and that seed comes first
+    among all seeds near the detection, the sequential order gives the same
+    pair; such pairs are settled together, per round, and leave. Both first
+    choices are running minima, so no sample is gathered in one place."""
+    base = ["field_id", "sample_id"]
+    open_ = cut_lineage(pairs)
     settled: list[DataFrame] = []
     while not open_.isEmpty():
         wish = open_.groupBy(*base, "turn").agg(F.min("src").alias("src"))
@@ -393,8 +486,7 @@ def claim(
             .join(pairs.select(*base, "src"), [*base, "src"], "left_anti")
             .select(*base, "turn", "src")
         )
-    taken = reduce(lambda a, b: a.unionByName(b), settled or [open_])
-    return taken.join(turns.select("field_id", "turn", seed), ["field_id", "turn"]).select(*base, seed, "src")
+    return reduce(lambda a, b: a.unionByName(b), settled or [open_])
 
 
 def _used(seeds: DataFrame, seed: str) -> list[str]:

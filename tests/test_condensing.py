@@ -138,6 +138,22 @@ def test_claims_equal_the_sequential_rule(spark, seed):
     assert not got.duplicated(["field_id", "sample_id", "src"]).any()
 
 
+@pytest.mark.parametrize("large", [0, 1 << 22])
+def test_a_chain_of_priorities_settles_at_once(spark, monkeypatch, large):
+    """1,000 seeds in a row, each of which would take its neighbour's detection: every choice hangs on the one before."""
+    n = 1000 if large else 40
+    seeds = [(0, k, k * 1.0, 0.5) for k in range(n)]
+    dets = [(0, 0, 2 * n - k, k + 0.5, 0.5) for k in range(n)]
+    monkeypatch.setattr(C, "LARGE", large)
+    rounds = []
+    monkeypatch.setattr(C, "_claims_by_rounds", lambda pairs, f=C._claims_by_rounds: rounds.append(1) or f(pairs))
+    got = C.claim(
+        spark.createDataFrame(seeds, "field_id long, sid long, x double, y double"), spark.createDataFrame(dets, "field_id long, sample_id long, src long, x double, y double"),
+        0.6, "sid", F.lit(0), [F.asc("sid")],
+    ).collect()
+    assert sorted((r.sid, r.src) for r in got) == [(k, 2 * n - k) for k in range(n)] and len(rounds) == (large == 0)
+
+
 def test_condense_of_single_claims(spark):
     ens = spark.createDataFrame([(0, 0, 0, 1.0, 2.0, 5.0), (0, 1, 0, 1.5, 2.0, 7.0), (0, 1, 1, 9.0, 9.0, 3.0)], "field_id long, sample_id long, src long, x double, y double, f0 double")
     claims = spark.createDataFrame([(0, 0, 1, 0), (0, 1, 1, 0), (0, 1, 2, 1)], "field_id long, sample_id long, seed long, src long")
