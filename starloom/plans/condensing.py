@@ -27,26 +27,50 @@ def j5_friend_graph(spark, sf):
     return rounded(C.friend_graph(C.stacked(detections(spark, sf, True)), LINK), 9, "d2")
 
 
-@query("j6_prune_edges", sql(f"""
-WITH {PAIRS},
-dr AS (SELECT field_id, i, j, si, sj, d2, differs FROM fp UNION ALL SELECT field_id, j, i, sj, si, d2, differs FROM fp),
-rk AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY field_id, i, sj ORDER BY d2, j) AS k,
-  COUNT(*) OVER (PARTITION BY field_id, i, sj) AS c FROM dr),
-keep AS (SELECT field_id, i, j, d2 FROM rk WHERE differs AND (si = sj OR c = 1 OR (k = 1 AND d2 < 0.75e0*0.75e0)))
-SELECT a.field_id, a.i, a.j, ROUND(a.d2, 9) AS d2 FROM keep a JOIN keep b
-ON a.field_id = b.field_id AND a.i = b.j AND a.j = b.i WHERE a.i < a.j""", "det"))
+# Pruned edges: in each other sample the nearest partner only, and both ends agree.
+PRUNED = PAIRS.replace("fp AS (", "fp AS MATERIALIZED (").replace("n AS (", "n AS MATERIALIZED (") + """,
+dr AS (SELECT field_id, i, sj AS s, d2, j FROM fp WHERE si <> sj UNION ALL SELECT field_id, j, si, d2, i FROM fp WHERE si <> sj),
+best AS MATERIALIZED (SELECT field_id, i, s, MIN({'d': d2, 'j': j}) AS b, COUNT(*) AS c FROM dr GROUP BY 1, 2, 3),
+chosen AS (SELECT field_id, i, b.j AS j, b.d AS d2 FROM best WHERE c = 1 OR b.d < 0.75e0*0.75e0),
+pruned AS MATERIALIZED (SELECT field_id, i, j, d2 FROM fp WHERE differs AND si = sj
+ UNION ALL SELECT f.field_id, f.i, f.j, f.d2 FROM fp f JOIN chosen a ON f.field_id = a.field_id AND f.i = a.i AND f.j = a.j
+  JOIN chosen b ON f.field_id = b.field_id AND f.j = b.i AND f.i = b.j WHERE f.differs AND f.si <> f.sj)"""
+
+
+@query("j6_prune_edges", sql(f"WITH {PRUNED} SELECT field_id, i, j, ROUND(d2, 9) AS d2 FROM pruned", "det"))
 def j6_prune_edges(spark, sf):
     return rounded(C.pruned_edges(C.stacked(detections(spark, sf, True)), LINK), 9, "d2")
 
 
-@query("j7_seed_catalog")
+# Seeds by rounds: a node that is highest within two hops is picked before anything near it changes.
+SEEDS = PRUNED + """,
+rounds AS (SELECT 0 AS it, field_id, i, j, CAST(NULL AS BIGINT) AS deg FROM (SELECT field_id, i, j FROM pruned UNION ALL SELECT field_id, j, i FROM pruned) e
+ UNION ALL
+ SELECT u.it, u.field_id, u.i, u.j, u.deg FROM (
+  WITH alive AS (SELECT * FROM rounds WHERE deg IS NULL),
+  deg AS (SELECT it, field_id, i, {'d': COUNT(*), 'i': i} AS own FROM alive GROUP BY it, field_id, i),
+  one AS (SELECT a.field_id, a.i, MAX(d.own) AS top FROM alive a JOIN deg d ON a.field_id = d.field_id AND a.j = d.i GROUP BY 1, 2),
+  two AS (SELECT a.field_id, a.i, MAX(o.top) AS top FROM alive a JOIN one o ON a.field_id = o.field_id AND a.j = o.i GROUP BY 1, 2),
+  win AS (SELECT d.it, d.field_id, d.i, d.own.d AS deg FROM deg d JOIN one o ON d.field_id = o.field_id AND d.i = o.i JOIN two t ON d.field_id = t.field_id AND d.i = t.i
+   WHERE d.own >= o.top AND d.own >= t.top),
+  gone AS (SELECT field_id, i FROM win UNION SELECT a.field_id, a.j FROM alive a JOIN win w ON a.field_id = w.field_id AND a.i = w.i)
+  SELECT it + 1 AS it, field_id, i, CAST(NULL AS BIGINT) AS j, deg FROM win
+  UNION ALL SELECT it + 1, field_id, i, i, -1 FROM gone g JOIN (SELECT MAX(it) AS it FROM alive) m ON true WHERE NOT EXISTS (SELECT 1 FROM win w WHERE w.field_id = g.field_id AND w.i = g.i)
+  UNION ALL SELECT it + 1, field_id, i, j, deg FROM alive a WHERE NOT EXISTS (SELECT 1 FROM gone g WHERE g.field_id = a.field_id AND g.i = a.i)
+   AND NOT EXISTS (SELECT 1 FROM gone g WHERE g.field_id = a.field_id AND g.i = a.j)) u),
+seeds AS MATERIALIZED (SELECT n.field_id, n.id, n.x, n.y, COALESCE(r.deg, 0) AS degree FROM n LEFT JOIN (SELECT field_id, i, MAX(deg) AS deg FROM rounds WHERE deg IS NOT NULL GROUP BY 1, 2) r
+ ON n.field_id = r.field_id AND n.id = r.i WHERE COALESCE(r.deg, 0) >= 0)"""
+
+
+@query("j7_seed_catalog", sql(f"WITH RECURSIVE {SEEDS} SELECT field_id, id, ROUND(x, 9) AS x, ROUND(y, 9) AS y, degree FROM seeds", "det"))
 def j7_seed_catalog(spark, sf):
     return rounded(C.seed_catalog(detections(spark, sf, True), LINK), 9, "x", "y")
 
 
 # Claims with the true sources as seeds, brightest first.
-CLAIMS = """
-s AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY field_id ORDER BY f0 DESC, truth_id) AS prio FROM truth),
+TRUE_SEEDS = """
+s AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY field_id ORDER BY f0 DESC, truth_id) AS prio FROM truth),"""
+CLAIMS = TRUE_SEEDS + """
 c0 AS (SELECT s.field_id, d.sample_id, s.truth_id, s.prio, LIST(d.src ORDER BY d.src) AS srcs FROM s JOIN det d
   ON s.field_id = d.field_id AND abs(s.x-d.x) <= 0.75e0 AND abs(s.y-d.y) <= 0.75e0
   AND (s.x-d.x)*(s.x-d.x)+(s.y-d.y)*(s.y-d.y) <= 0.75e0*0.75e0 GROUP BY 1, 2, 3, 4),
@@ -71,7 +95,7 @@ def j8_claim(spark, sf):
     return _claims(spark, sf)[0]
 
 
-def _condensed_sql(scale: str) -> str:
+def _condensed_sql(scale: str, claims: str = CLAIMS) -> str:
     cols = ["AVG(d.x) AS mx", "AVG(d.y) AS my", "COUNT(*) AS n"]
     out = []
     for c in ("x", "y", "f0", "f1", "f2"):
@@ -81,7 +105,7 @@ def _condensed_sql(scale: str) -> str:
         cols.append(f"AVG(d.{b}) AS m_{b}")
         out.append(nudged(f"m_{b}", 6) + f" AS mean_{b}")
         out += [f"CASE WHEN n > 1 THEN {nudged(f'{end}_{b}', 6)} END AS {end}pct_{b}" for end in ("hi", "lo")]
-    return f"""WITH RECURSIVE {CLAIMS}, ns AS (SELECT field_id, COUNT(DISTINCT sample_id) AS nsamp FROM det GROUP BY 1),
+    return f"""WITH RECURSIVE {claims}, ns AS (SELECT field_id, COUNT(DISTINCT sample_id) AS nsamp FROM det GROUP BY 1),
 q AS (SELECT k.field_id, k.truth_id, {', '.join(cols)} FROM claims k JOIN det d ON k.field_id = d.field_id
  AND k.sample_id = d.sample_id AND k.src = d.src GROUP BY 1, 2)
 SELECT q.field_id, q.truth_id, {nudged('mx', 6)} AS mean_x, {nudged('my', 6)} AS mean_y,
@@ -100,13 +124,18 @@ def a5_condense_full_width(spark, sf):
     return rounded(C.condense(claims, ens, "truth_id", ("f0", "f1", "f2"), err="full"), 6, nudge=True)
 
 
-@query("a5_condensed_catalog")
+# The seeds of the ensemble itself, most friends first.
+OWN_CLAIMS = SEEDS + """,
+s AS (SELECT field_id, id AS truth_id, x, y, ROW_NUMBER() OVER (PARTITION BY field_id ORDER BY degree DESC, id DESC) AS prio FROM seeds WHERE degree > 0.1e0 * 30),""" + CLAIMS[len(TRUE_SEEDS):]
+
+
+@query("a5_condensed_catalog", sql(_condensed_sql("0.5e0", OWN_CLAIMS).replace("SELECT q.field_id, q.truth_id,", "SELECT q.field_id, q.truth_id AS id,"), "det"))
 def a5_condensed_catalog(spark, sf):
     """The whole way: friends, pruning, seeds, cut, claims, catalog."""
     ens = detections(spark, sf, slots=True)
     seeds = C.prevalence_cut(C.seed_catalog(ens, LINK), 0.1, 30)
     claims = C.claim(seeds, ens, LINK, "id", -F.col("degree"), [F.desc("degree"), F.desc("id")])
-    return rounded(C.condense(claims, ens, "id", ("f0", "f1", "f2")), 9)
+    return rounded(C.condense(claims, ens, "id", ("f0", "f1", "f2")), 6, nudge=True)
 
 
 # Seeds given as a table: every part with the number of samples it is seen in.
