@@ -114,8 +114,9 @@ def geweke(
     """z score of an early against a late slice, from `intervals` starts.
 
     The variance of a slice mean is the AR(2) spectrum at zero, which needs
-    the slice's sums and its lag-1 and lag-2 products; those are plain sums
-    over rows, so all starts of all chains are one aggregate.
+    the slice's sums and its lag-1 and lag-2 products. The slices of a chain
+    begin and end at a few places; rows are summed between those, each row
+    once, and a slice adds up the sums that lie in it.
     """
     w = W.partitionBy("chain_id", "_block").orderBy("i")
     lagged = (
@@ -130,22 +131,32 @@ def geweke(
         F.floor(F.col("k") * (stop / F.lit(float(intervals - 1))))
     )
     rest = F.col("len") - F.col("s")
-    zero = F.lit(0).cast("bigint")
-    cut = (
-        lagged.join(sizes, "chain_id")
-        .withColumn("k", F.explode(F.sequence(zero, F.lit(intervals - 1).cast("bigint"))))
+    bounds = ((F.col("s"), F.col("s") + F.floor(rest * first)), (F.col("s") + F.floor(rest * last), F.col("len")))
+    ranges = F.array(*(F.struct(F.lit(n).cast("bigint").alias("part"), a.alias("a"), b.alias("b")) for n, (a, b) in enumerate(bounds)))
+    slices = (
+        sizes.withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(intervals - 1).cast("bigint"))))
         .withColumn("s", start)
-        .withColumn("part", F.explode(F.sequence(zero, F.lit(1).cast("bigint"))))
-        .withColumn("a", F.when(F.col("part") == 0, F.col("s")).otherwise(F.col("s") + F.floor(rest * last)))
-        .withColumn("b", F.when(F.col("part") == 0, F.col("s") + F.floor(rest * first)).otherwise(F.col("len")))
-        .where((F.col("i") >= F.col("a")) & (F.col("i") < F.col("b")))
+        .select("chain_id", "k", "s", F.inline(ranges))
     )
+    # Products with earlier rows begin one or two rows into a slice, so those places count too.
+    places = slices.select("chain_id", F.explode(F.array("a", F.col("a") + 1, F.col("a") + 2, "b")).alias("at"))
+    cuts = places.groupBy("chain_id", F.floor(F.col("at") / float(block)).alias("_block")).agg(F.collect_set("at").alias("_cuts"))
     x = F.col("value")
-    in1, in2 = F.col("i") >= F.col("a") + 1, F.col("i") >= F.col("a") + 2
-    sums = cut.groupBy("chain_id", "k", "s", "part").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"),
-        F.sum(F.when(in1, x * F.col("x1"))).alias("p1"), F.sum(F.when(in1, x + F.col("x1"))).alias("e1"),
-        F.sum(F.when(in2, x * F.col("x2"))).alias("p2"), F.sum(F.when(in2, x + F.col("x2"))).alias("e2"),
+    pieces = (
+        lagged.join(cuts, ["chain_id", "_block"], "left")
+        .withColumn("_piece", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("i"))), F.lit(0)))
+        .groupBy("chain_id", "_block", "_piece")
+        .agg(
+            F.min("i").alias("i"), F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(x * x).alias("sxx"),
+            *(F.sum(e).alias(c) for d in (1, 2) for c, e in ((f"p{d}", x * F.col(f"x{d}")), (f"e{d}", x + F.col(f"x{d}")))),
+        )
+        .drop("_block", "_piece")
+    )
+    inside = pieces.join(slices, "chain_id").where((F.col("i") >= F.col("a")) & (F.col("i") < F.col("b")))
+    later = {d: F.col("i") >= F.col("a") + d for d in (1, 2)}
+    sums = inside.groupBy("chain_id", "k", "s", "part").agg(
+        *(F.sum(c).alias(c) for c in ("n", "sx", "sxx")),
+        *(F.sum(F.when(later[d], F.col(f"{c}{d}"))).alias(f"{c}{d}") for d in (1, 2) for c in ("p", "e")),
     )
     n, m = F.col("n"), F.col("m")
     cov = lambda k: (F.col(f"p{k}") - m * F.col(f"e{k}") + (n - k) * m * m) / (n - k)

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 PIXEL = ["map_id", "row_", "col_"]
@@ -108,40 +110,54 @@ def smooth(
     """Gaussian smoothing, cut at four sigma, edges reflected. A missing pixel
     adds nothing and gets no value.
 
-    One axis at a time: each pixel adds its share to the pixels it reaches, and
-    sums start before the shuffle, where neighbours still share a task.
+    One axis at a time: the lines of that axis travel as arrays, long ones in
+    stretches that know as many neighbours as the kernel reaches, and are
+    convolved a batch at a time. So a pixel moves once per axis, however wide
+    the kernel is.
     """
-    weights = gaussian_weights(sigma)
-    radius = len(weights) // 2
-    table = F.array(*[F.lit(w) for w in weights])
-    out = df.select(*keys, "row_", "col_", value)
+    weights = np.array(gaussian_weights(sigma))
+    out = df.select(*keys, "row_", "col_", F.col(value).cast("double").alias(value)).where(F.col(value).isNotNull())
     for axis, n in (("row_", height), ("col_", width)):
-        other = "col_" if axis == "row_" else "row_"
-        # A target pixel t reads source index t + d, reflected into the map, so
-        # a source adds to every t whose reflection is the source.
-        spread = out.withColumn("_t", _range(
-            F.greatest(F.col(axis) - radius, F.lit(0)), F.least(F.col(axis) + radius, F.lit(n - 1))
-        ))
-        d = F.col(axis) - F.col("_t")
-        direct = spread.select(*keys, other, "_t", (F.col(value) * F.element_at(table, (d + radius + 1).cast("int"))).alias(value))
-        # Reflections: source s also stands at -1 - s and 2n - 1 - s, and again
-        # every 2n when the kernel is wider than the map.
-        turns = radius // n + 1
-        images = [m * 2 * n + F.col(axis) for m in range(-turns, turns + 1) if m] + [
-            m * 2 * n - 1 - F.col(axis) for m in range(-turns, turns + 2)
-        ]
-        mirrored = (
-            out.withColumn("_s", F.explode(F.array(*images)))
-            .where((F.col("_s") >= -radius) & (F.col("_s") < n + radius))
-            .withColumn("_t", _range(F.greatest(F.col("_s") - radius, F.lit(0)), F.least(F.col("_s") + radius, F.lit(n - 1))))
-            .where(F.abs(F.col("_s") - F.col("_t")) <= radius)
-            .select(*keys, other, "_t", (F.col(value) * F.element_at(table, (F.col("_s") - F.col("_t") + radius + 1).cast("int"))).alias(value))
-        )
-        out = (
-            direct.unionByName(mirrored).groupBy(*keys, other, F.col("_t").alias(axis)).agg(F.sum(value).alias(value))
-            .select(*keys, "row_", "col_", value)
-        )
-    return out.join(df.select(*keys, "row_", "col_"), [*keys, "row_", "col_"], "left_semi")
+        out = _convolve_lines(out, [*keys, "col_" if axis == "row_" else "row_"], axis, n, value, weights)
+    return out.select(*keys, "row_", "col_", value).join(df.select(*keys, "row_", "col_"), [*keys, "row_", "col_"], "left_semi")
+
+
+STRETCH = 1 << 12  # pixels of a line that one task row holds, besides the kernel's reach
+
+
+def _convolve_lines(df: DataFrame, line: Sequence[str], axis: str, n: int, value: str, weights: np.ndarray) -> DataFrame:
+    """Every line (its keys, then pixels 0 to n - 1 along `axis`) convolved with a kernel of odd length, reflected at its ends."""
+    radius = len(weights) // 2
+    stretch = max(STRETCH, 4 * radius)
+    if n > stretch:
+        last = F.lit((n - 1) // stretch).cast("bigint")
+        to = lambda d: F.greatest(F.lit(0).cast("bigint"), F.least(last, F.floor((F.col(axis) + d) / float(stretch))))
+        df = df.withColumn("_part", F.explode(F.sequence(to(-radius), to(radius))))
+    else:
+        df = df.withColumn("_part", F.lit(0).cast("bigint"))
+    lines = df.groupBy(*line, "_part").agg(F.collect_list(F.struct(axis, value)).alias("_line"))
+    packed = lines.select(*line, "_part", F.col(f"_line.{axis}").alias("_at"), F.col(f"_line.{value}").alias("_v"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for part, pdf in batch.groupby("_part", sort=False):
+                low, high = part * stretch, min(n, (part + 1) * stretch)
+                places = np.arange(low - radius, high + radius)
+                z = np.zeros((len(pdf), len(places)))
+                row = np.repeat(np.arange(len(pdf)), [len(a) for a in pdf["_at"]])
+                at, v = (np.concatenate(pdf[c].to_list()) for c in ("_at", "_v"))
+                near = (at >= places[0]) & (at <= places[-1])
+                z[row[near], at[near] - places[0]] = v[near]
+                turned = places % (2 * n)
+                turned = np.where(turned < n, turned, 2 * n - 1 - turned)
+                beyond = (places < 0) | (places >= n)
+                z[:, beyond] = z[:, turned[beyond] - places[0]]
+                done = sum(w * z[:, k : k + high - low] for k, w in enumerate(weights))
+                yield pdf[list(line)].assign(_part=part, _v=list(done))
+
+    fields = ", ".join(f"{k} {dict(df.dtypes)[k]}" for k in line)
+    done = packed.mapInPandas(run, f"{fields}, _part bigint, _v array<double>")
+    return done.select(*line, "_part", F.posexplode("_v").alias("_k", value)).select(*line, (F.col("_part") * stretch + F.col("_k")).alias(axis), value)
 
 
 def stack_maps(models: DataFrame, value: str = "model", keys: Sequence[str] = tuple(PIXEL)) -> DataFrame:

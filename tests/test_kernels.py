@@ -100,6 +100,19 @@ def test_corrected_posterior_moments(spark):
     assert abs(got.var() - (v.var() + 0.5**2 + 0.25**2)) < 0.03
 
 
+def test_smoothing_in_stretches_moves_each_pixel_once(spark, monkeypatch):
+    """Long lines in stretches give the same; lines that fit are never copied."""
+    rng = np.random.default_rng(8)
+    pdf = pd.DataFrame([(0, i, j, rng.normal()) for i in range(3) for j in range(101) if (i + j) % 7], columns=["map_id", "row_", "col_", "v"])
+    df = spark.createDataFrame(pdf)
+    whole = G.smooth(df, "v", 1.0, 3, 101)
+    assert "explode(sequence" not in whole._jdf.queryExecution().analyzed().toString()
+    monkeypatch.setattr(G, "STRETCH", 20)
+    cut = G.smooth(df, "v", 1.0, 3, 101)
+    a, b = (d.orderBy("row_", "col_").toPandas()["v"] for d in (whole, cut))
+    np.testing.assert_allclose(a, b, atol=1e-13)
+
+
 def test_smoothing_wider_than_the_map(spark):
     m = np.random.default_rng(7).normal(size=(5, 4))
     sigma, w = 2.0, np.array(G.gaussian_weights(2.0))
