@@ -13,6 +13,25 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 
+CELLS = 128
+
+
+def quantile_cells(df: DataFrame, keys: Sequence[str], value: Column, out: str) -> DataFrame:
+    """Adds the number of a row's cell among about CELLS of its group that follow `value`.
+
+    The cuts are approximate quantiles, from a sketch per group that is merged
+    on the way, so cells hold like shares of a group however its values crowd;
+    only equal values stay together. NULL values have a NULL cell.
+    """
+    shares = F.array(*[F.lit(k / CELLS) for k in range(1, CELLS)])
+    rows = df.withColumn("_value", value.cast("double"))
+    cuts = rows.groupBy(*keys).agg(F.array_distinct(F.percentile_approx("_value", shares, 8 * CELLS)).alias("_cuts"))
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_q{n}")) for n, c in enumerate(keys)])
+    joined = rows.join(cuts.select(*(F.col(c).alias(f"_q{n}") for n, c in enumerate(keys)), "_cuts"), same)
+    number = F.when(F.col("_value").isNotNull(), F.size(F.filter("_cuts", lambda c: c < F.col("_value"))))
+    return joined.withColumn(out, number).drop("_value", "_cuts", *(f"_q{n}" for n in range(len(keys))))
+
+
 def position_in_group(
     df: DataFrame, keys: Sequence[str], cell: Column, order: Sequence[Column], out: str, nulls_first: bool = False
 ) -> DataFrame:

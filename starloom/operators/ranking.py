@@ -6,17 +6,21 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from starloom.operators.ordering import position_in_group
+from starloom.operators.ordering import position_in_group, quantile_cells
+from starloom.session import cut_lineage
 
 
 def rank_flux(
     df: DataFrame, flux: str = "f0", by: Sequence[str] = ("field_id", "sample_id"), ties: Sequence[str] = ("x", "y")
 ) -> DataFrame:
-    """Slot of each source in its sample, brightest first. Samples are cut by
-    whole flux units, so a crowded one is ranked by many tasks."""
+    """Slot of each source in its sample, brightest first. Samples are cut at
+    approximate quantiles of their fluxes, so a crowded one is ranked by many
+    tasks with like shares, also where most of its fluxes are nearly the same."""
+    df = cut_lineage(df)  # read three times: cuts, counts and rows
+    cells = quantile_cells(df, by, -F.col(flux), "_rank_cell")
     return position_in_group(
-        df, list(by), -F.floor(flux), [F.desc(flux), *[F.asc(c) for c in ties]], "slot"
-    )
+        cells, list(by), F.col("_rank_cell"), [F.desc(flux), *[F.asc(c) for c in ties]], "slot"
+    ).drop("_rank_cell")
 
 
 def brightest(

@@ -111,3 +111,36 @@ def test_associate_reports_zero_and_infinity_without_match(spark):
     got = {r.truth_id: r for r in associate(a, b, 0.5, dmag=0.5, conf="c", sig="s").collect()}
     assert (got[1].matched, got[1].best_conf, got[1].best_sig) == (True, 0.9, 0.1)
     assert (got[2].matched, got[2].best_conf, got[2].best_sig) == (False, 0.0, float("inf"))
+
+
+def test_ranks_where_most_fluxes_are_nearly_the_same(spark):
+    """90% of a sample in one flux unit: no cell that a task sorts holds 2% of it."""
+    from starloom.operators.ordering import quantile_cells
+    from starloom.operators.ranking import rank_flux
+
+    rng = np.random.default_rng(1)
+    n = 20_000
+    f0 = np.where(np.arange(n) % 10 > 0, 5.0 + rng.random(n), rng.random(n) * 500)
+    df = spark.createDataFrame(pd.DataFrame({"field_id": 0, "sample_id": 1, "x": rng.random(n), "y": 0.0, "f0": f0}))
+    cells = quantile_cells(df, ["field_id", "sample_id"], -F.col("f0"), "cell").groupBy("cell").count()
+    assert cells.agg(F.max("count")).first()[0] < 0.02 * n
+    got = rank_flux(df).toPandas().sort_values("slot")
+    assert list(got.slot) == list(range(n)) and (np.diff(got.f0) <= 0).all()
+
+
+def test_templates_without_broadcast(spark):
+    """With broadcasts off the pixels are dealt to blocks, not to bands."""
+    from starloom.operators.lookups import apply_templates
+
+    planes = spark.range(64 * 64).selectExpr("cast(id % 1 as int) as band", "id % 1 as map_id", "id div 64 as row_", "id % 64 as col_", "0L as tmpl", "cast(id as double) as value")
+    amps = spark.range(600).selectExpr("id as sample_id", "0 as band", "0L as tmpl", "cast(id as double) as amp")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        out = apply_templates(amps, planes, (0,))
+        assert out.count() == 64 * 64 * 600
+        assert out.where("value <> sample_id * (row_ * 64 + col_)").count() == 0
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "_br" in next(line for line in plan.splitlines() if "Join" in line)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
