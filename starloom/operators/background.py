@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from starloom.functions.gram import outer_sums
 from starloom.operators.bins import bin_index
+from starloom.operators.quantiles import exact_quantiles
+from starloom.session import cut_lineage
 
 
 def _wave(fn, order: Column, at: Column, length: float, shift: float = 0.0) -> Column:
@@ -70,16 +72,20 @@ def mode_power(coeffs: DataFrame, edges: Sequence[float]) -> DataFrame:
         .groupBy("sample_id", "bin")
         .agg(F.avg(F.col("value") * F.col("value")).alias("power"))
     )
-    return per.groupBy("bin").agg(F.percentile("power", F.lit(0.5)).alias("median"), F.stddev_pop("power").alias("std"))
+    # Few bars, and as many values in each as there are samples.
+    per = cut_lineage(per)
+    medians = exact_quantiles(per, ["bin"], "power", {"median": 0.5}).select("bin", "median")
+    return medians.join(per.groupBy("bin").agg(F.stddev_pop("power").alias("std")), "bin")
 
 
 def median_coeffs(coeffs: DataFrame, last: int | None = None) -> DataFrame:
-    """Median of each coefficient over the (last) samples: one value per sample
-    and coefficient."""
+    """Median of each coefficient over the (last) samples: few groups, one value
+    per sample in each, so ranks are selected without holding a group."""
     if last is not None:
         end = coeffs.agg(F.max("sample_id")).scalar()
         coeffs = coeffs.where(F.col("sample_id") > end - last)
-    return coeffs.groupBy("i", "j", "k").agg(F.percentile("value", F.lit(0.5)).alias("value"))
+    found = exact_quantiles(coeffs, ["i", "j", "k"], "value", {"median": 0.5})
+    return found.select("i", "j", "k", F.col("median").alias("value"))
 
 
 def model_diff(model: DataFrame, pixels: DataFrame) -> DataFrame:

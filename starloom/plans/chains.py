@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from starloom.operators import chains as C
 from starloom.operators.summaries import PERCENTS
-from starloom.plans.oracle import query, rounded, sql
+from starloom.plans.oracle import ORACLES, query, rounded, sql
 from starloom.sources.fixtures import chain, coefficients, proposals, table
-from starloom.streaming.monitor import monitor, running_state
+from starloom.streaming.monitor import monitor, monitored, running_state, running_states
 
 
 def _summary_sql(by: str) -> str:
@@ -189,3 +189,18 @@ def st1_chain_monitor(spark, sf):
 SELECT chain_id, COUNT(*) AS n, ROUND(AVG(value), 9) AS mean, ROUND(VAR_SAMP(value), 6) AS var FROM chain GROUP BY 1""", "chain"))
 def st2_chain_state(spark, sf):
     return rounded(rounded(running_state(chain(spark, sf)), 9, "mean"), 6, "var")
+
+
+@query("st1_monitor_stream", ORACLES["st1_chain_monitor"])
+def st1_monitor_stream(spark, sf):
+    """The monitor as a stream: events arrive in three parts, the query is restarted after each."""
+    out = monitored(samples(spark, sf), MOVES)
+    shown = out.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
+    return rounded(rounded(shown, 6, "total_ms"), 9, *[c for c, t in shown.dtypes if t == "double" and c != "total_ms"])
+
+
+@query("st2_state_stream", ORACLES["st2_chain_state"])
+def st2_state_stream(spark, sf):
+    """The running state of the chains as a stream, as it stands after the last part."""
+    rows = table(spark, sf, "events").select("ts", (F.col("user_id") % 4).alias("chain_id"), "value")
+    return rounded(rounded(running_states(rows, ["chain_id", "value"]), 9, "mean"), 6, "var")

@@ -146,3 +146,15 @@ def test_log_multipole_edges_hold_every_mode(spark):
     ps = Z.cross_power(spark.createDataFrame(pdf), "image", "image", 8, 8)
     got = Z.radial_average(ps, Z.ell_edges(8, 8, 7.0, 6)).toPandas()
     assert got["modes"].sum() == 63
+
+
+def test_medians_over_very_many_samples(spark):
+    """One coefficient with a million samples: ranks are selected among cells, no aggregate holds all values."""
+    df = spark.range(1_000_000).selectExpr("id as sample_id", "0L as i", "0L as j", "0L as k", "cast((id * 7919) % 1000003 as double) as value")
+    df = df.unionByName(spark.range(5).selectExpr("id as sample_id", "0L as i", "1L as j", "0L as k", "cast(id * id as double) as value"))
+    out = B.median_coeffs(df)
+    want = np.median((np.arange(1_000_000, dtype=np.int64) * 7919) % 1000003)
+    assert {r.j: r.value for r in out.collect()} == {0: want, 1: 4.0}
+    assert "percentile(" not in out._jdf.queryExecution().optimizedPlan().toString()
+    power = B.mode_power(df, [0.0, 2.0, 9.0]).collect()
+    assert {r.bin: r.median for r in power} == {0: np.median(((np.arange(1_000_000, dtype=np.int64) * 7919) % 1000003).astype(float) ** 2), 1: 16.0}

@@ -109,6 +109,18 @@ def sample_rows(n, start):
     return pd.DataFrame({"run_id": k % 3, "ts": t, "move": np.where(k % 2, "P", "BD"), "accepted": (k % 5 < 2) * 1.0, "out_of_bounds": (k % 11 == 0) * 1.0, "chi2": k * 1.5, "nsrc": 100 + k, "ms": k * 0.25})
 
 
+def test_replayed_stream_equals_batch(spark):
+    """Three arrivals and three restarts; also for no samples and samples of one instant."""
+    rows = spark.createDataFrame(pd.concat([sample_rows(300, 0), sample_rows(200, 40000)]), schema.SAMPLES)
+    for some in (rows, rows.limit(1), rows.where("false")):
+        got, want = (d.toPandas().sort_values(["run_id", "window_start"]).reset_index(drop=True) for d in (S.monitored(some, ["P", "BD"]), S.monitor(some, ["P", "BD"])))
+        pd.testing.assert_frame_equal(got, want)
+    state = S.running_states(rows.selectExpr("ts", "run_id as chain_id", "chi2 as value"), ["chain_id", "value"])
+    whole = S.running_state(rows.selectExpr("run_id as chain_id", "chi2 as value"))
+    a, b = (d.toPandas().sort_values("chain_id").reset_index(drop=True) for d in (state, whole))
+    pd.testing.assert_frame_equal(a, b)
+
+
 def test_monitor_stream_equals_batch(spark, tmp_path):
     parts = [sample_rows(200, 0), sample_rows(200, 1500), sample_rows(1, 20000)]
     src = str(tmp_path / "in")
