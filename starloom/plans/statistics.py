@@ -247,7 +247,42 @@ def a30_ellipse_sums(spark, sf):
     return rounded(rounded(out, 9, "mean_x", "mean_y"), 5, *[f"m{a}{b}" for a, b in E.MOMENTS])
 
 
-@query("a30_fit_ellipse")
+def _ellipse_sql() -> str:
+    """The fit in plain SQL: the 3 x 3 eigenproblem has a cubic, and an eigenvector is a cross product of two rows."""
+    curved, flat = [(2, 0), (1, 1), (0, 2)], [(1, 0), (0, 1), (0, 0)]
+    m = lambda p, q: f"m{p[0] + q[0]}{p[1] + q[1]}"
+    sums = ", ".join(f"SUM({'*'.join(['(x-mx)'] * a + ['(y-my)'] * b) or '1e0'}) AS m{a}{b}" for a, b in E.MOMENTS)
+    t = [[m(p, q) for q in flat] for p in flat]
+    minor = lambda r, c: "({}*{}-{}*{})".format(*(t[(r + 1) % 3][(c + 1) % 3], t[(r + 2) % 3][(c + 2) % 3], t[(r + 1) % 3][(c + 2) % 3], t[(r + 2) % 3][(c + 1) % 3]))
+    det = "+".join(f"{t[0][c]}*{minor(0, c)}" for c in range(3))
+    follow = ", ".join("-(" + "+".join(f"{minor(k, r)}*{m(flat[k], curved[c])}" for k in range(3)) + f")/dt AS t{r}{c}" for r in range(3) for c in range(3))
+    rest = ", ".join(m(curved[r], curved[c]) + "".join(f"+{m(curved[r], flat[k])}*t{k}{c}" for k in range(3)) + f" AS r{r}{c}" for r in range(3) for c in range(3))
+    form = ", ".join([f"0.5e0*r2{c} AS n0{c}, -r1{c} AS n1{c}, 0.5e0*r0{c} AS n2{c}" for c in range(3)])
+    cross = lambda a, b: [f"({a}{(k + 1) % 3}*{b}{(k + 2) % 3}-{a}{(k + 2) % 3}*{b}{(k + 1) % 3})" for k in range(3)]
+    shifted = ", ".join(f"n{r}{c}{'-l' if r == c else ''} AS s{r}{c}" for r in range(3) for c in range(3))
+    crosses = ", ".join(f"{e} AS {name}{k}" for name, (a, b) in (("u", ("s0", "s1")), ("v", ("s0", "s2")), ("w", ("s1", "s2"))) for k, e in enumerate(cross(a, b)))
+    size = lambda n: f"({n}0*{n}0+{n}1*{n}1+{n}2*{n}2)"
+    longest = ", ".join(f"CASE WHEN {size('u')} >= {size('v')} AND {size('u')} >= {size('w')} THEN u{k} WHEN {size('v')} >= {size('w')} THEN v{k} ELSE w{k} END AS q{k}" for k in range(3))
+    return f"""
+WITH {RING}, c AS (SELECT group_id, AVG(x) AS mx, AVG(y) AS my FROM ring GROUP BY 1),
+m AS (SELECT r.group_id, ANY_VALUE(mx) AS mx, ANY_VALUE(my) AS my, {sums} FROM ring r JOIN c ON r.group_id = c.group_id GROUP BY 1),
+d AS (SELECT *, {det} AS dt FROM m), f AS (SELECT *, {follow} FROM d), r AS (SELECT *, {rest} FROM f), n AS (SELECT *, {form} FROM r),
+e AS (SELECT *, n00+n11+n22 AS tr, n00*n11-n01*n10+n00*n22-n02*n20+n11*n22-n12*n21 AS mi,
+ n00*(n11*n22-n12*n21)-n01*(n10*n22-n12*n20)+n02*(n10*n21-n11*n20) AS de FROM n),
+g AS (SELECT *, (tr*tr-3e0*mi)/9e0 AS q, (2e0*tr*tr*tr-9e0*tr*mi+27e0*de)/54e0 AS r FROM e),
+l AS (SELECT g.*, tr/3e0 + 2e0*SQRT(q)*COS((ACOS(GREATEST(-1e0, LEAST(1e0, r/(q*SQRT(q))))) + 2e0*PI()*k)/3e0) AS l FROM g, (SELECT UNNEST(range(3)) AS k) kk),
+s AS (SELECT *, {shifted} FROM l), x AS (SELECT *, {crosses} FROM s), v AS (SELECT *, {longest} FROM x),
+b AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY group_id ORDER BY (4e0*q0*q2-q1*q1)/{size('q')} DESC) AS rn FROM v),
+o AS (SELECT group_id, mx, my, q0, q1, q2, {', '.join(f't{k}0*q0+t{k}1*q1+t{k}2*q2 AS q{k + 3}' for k in range(3))} FROM b WHERE rn = 1),
+z AS (SELECT *, (q1*q4-2e0*q2*q3)/(4e0*q0*q2-q1*q1) AS cx, (q1*q3-2e0*q0*q4)/(4e0*q0*q2-q1*q1) AS cy, 0.5e0*ATAN(q1/(q0-q2)) AS phi FROM o),
+h AS (SELECT *, -(q5+0.5e0*(q3*cx+q4*cy)) AS lv FROM z),
+a AS (SELECT *, SQRT(lv/(q0*COS(phi)*COS(phi)+q1*COS(phi)*SIN(phi)+q2*SIN(phi)*SIN(phi))) AS a1,
+ SQRT(lv/((q0+q2-SQRT((q0-q2)*(q0-q2)+q1*q1))/2e0)) AS h1, SQRT(lv/((q0+q2+SQRT((q0-q2)*(q0-q2)+q1*q1))/2e0)) AS h2 FROM h)
+SELECT group_id, ROUND(cx+mx, 6) + 0e0 AS x0, ROUND(cy+my, 6) + 0e0 AS y0, ROUND(phi, 6) + 0e0 AS phi, ROUND(a1, 6) + 0e0 AS axis_1,
+ ROUND(CASE WHEN ABS(h1-a1) > ABS(h2-a1) THEN h1 ELSE h2 END, 6) + 0e0 AS axis_2 FROM a"""
+
+
+@query("a30_fit_ellipse", _ellipse_sql())
 def a30_fit_ellipse(spark, sf):
     return rounded(E.fit_ellipse(_ring(spark, sf), ["group_id"]), 6)
 
