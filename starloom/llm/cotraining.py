@@ -3,16 +3,21 @@
 The content view sees which words, beginnings of words and signs occur in the text
 and, in steps, how often; the metadata view sees
 language, source and layout (lengths, lines, shares of kinds of characters,
-repetition) but no word. Each view is a logistic regression on labelled rows.
-In each round every view labels a pool of unlabelled rows; what it is confident of,
-after calibration on held-out labelled rows, joins the training rows of the *other*
-view. In the end both calibrated views are combined on the held-out rows.
+repetition) but no word. Each view is a logistic regression. It starts from labelled
+rows. In each round every view labels all unlabelled rows in their tasks; what it is
+confident of, after calibration on held-out labelled rows, joins the training of the
+*other* view as sums over those rows: of features by class, and of the gradient and
+curvature of their loss, which the next fit adds to that of the labelled rows. In the
+end both calibrated views are combined on the held-out rows.
+
+Which words the content view reads is decided by counts over the whole corpus too: those
+that differ between the rows that the metadata view labels (or that have labels).
 
 This is done for two targets, high quality and not toxic, which have little in common.
 A document is kept where it reaches the cut-offs of both; its score is the product of
 the two combined probabilities.
-Training uses at most MAX_LABELLED labelled and MAX_POOL unlabelled rows, those of
-least hashed id; scoring covers all rows and whole texts.
+Labels of at most MAX_LABELLED rows are used, those of least hashed id; everything else
+covers all rows and whole texts.
 """
 
 from __future__ import annotations
@@ -27,14 +32,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, functions as F
 
-from starloom.llm.common import SLICE, map_rows, per_process
+from starloom.llm.common import SLICE, map_rows, per_process, slices
+from starloom.session import cut_lineage
 
 MAX_LABELLED = 8_000  # labelled rows to fit on: four fifths train, one fifth calibrates
-MAX_POOL = 4_000      # unlabelled rows that receive pseudo-labels
-ROUNDS = 3
-CONFIDENT = 0.98      # calibrated probability from which a view labels for the other
+SURE = (0.995, 0.99, 0.98)  # by round: calibrated probability from which a view labels for the other
+READ = 1 << 16        # words, beginnings and signs that the content view reads at most, the most telling ones
+FEWEST, PROOF = 5, 20.0  # rows and chi-square from which a feature can tell something
 PLACES = 20
 CONTENT = 1 << PLACES  # hashed words, their beginnings and their steps of counts
 BEGINNINGS = (3, 4, 5, 6, 7)  # characters
@@ -42,21 +49,23 @@ OFTEN = (2, 4, 8)     # times from which a word, beginning or sign is a feature
 METADATA = 1 << 10    # hashed languages, sources and steps of the layout's measures
 REMEMBERED = 300_000  # words whose features a worker remembers; beyond, it begins anew
 TARGETS = ("quality", "clean")
+WIDTHS = {"content": CONTENT, "metadata": METADATA}
 
 EDGES = re.compile(r"^[^\w]+|[^\w]+$")
 SIGNS = re.compile(r"[^\w\s.,;:?'\"()-]+")
 
 
 def word_ids(word: str) -> tuple[int, ...]:
-    bare = EDGES.sub("", word).lower()
+    plain = word.isalnum()
+    bare = word.lower() if plain else EDGES.sub("", word).lower()
     found = [zlib.crc32(bare.encode()) % CONTENT] if bare else []
     found += [zlib.crc32(b"\1" + bare[:k].encode()) % CONTENT for k in BEGINNINGS if k < len(bare)]
-    return tuple(found + [zlib.crc32(b"\0" + x.encode()) % CONTENT for x in SIGNS.findall(word)])
+    return tuple(found) if plain else tuple(found + [zlib.crc32(b"\0" + x.encode()) % CONTENT for x in SIGNS.findall(word)])
 
 
-def content_ids(texts: list[str]) -> Sparse:
-    """Distinct hashed words, beginnings of words, sign runs and steps of their counts of each text."""
-    known, start, flat = per_process("cotraining", "words", lambda: ({}, array("q", [0]), array("i")))
+def content_ids(texts: list[str], read: np.ndarray) -> Sparse:
+    """Distinct hashed words, beginnings of words, sign runs and steps of their counts of each text, of those marked in `read`."""
+    known, start, flat = per_process("cotraining", ("words", zlib.crc32(np.packbits(read).tobytes())), lambda: ({}, array("q", [0]), array("i")))
     if len(known) > REMEMBERED:
         known.clear()
         del start[1:], flat[:]
@@ -69,7 +78,7 @@ def content_ids(texts: list[str]) -> Sparse:
             got = known.get(word)
             if got is None:
                 got = known[word] = len(start) - 1
-                flat.extend(word_ids(word))
+                flat.extend(k for k in word_ids(word) if read[k])
                 start.append(len(flat))
             numbers.append(got)
         times += words.values()
@@ -140,38 +149,63 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: Sparse, good: np.ndarray, width: int, steps: int = 80, ridge: float = 0.05, proof: float = 20.0) -> np.ndarray:
+@dataclass
+class Sums:
+    """What pseudo-labelled rows say about a view's weights: per class (bad, good) the rows, and per
+    feature (the offset last) their count, gradient and curvature at the weights `at`."""
+
+    rows: np.ndarray
+    each: np.ndarray  # (class, count / gradient / curvature, feature)
+    at: np.ndarray
+
+
+def telling(inside: np.ndarray, total: np.ndarray, n_good: float, n: float) -> np.ndarray:
+    """Whether features' presence and the class depend on each other beyond chance (one degree of freedom).
+
+    Of a million words many would fit the training rows by accident.
+    """
+    spread = total * (n - total) * float(n_good) * (n - n_good)
+    return (total >= FEWEST) & (n * (inside * n - total * n_good) ** 2 >= PROOF * np.maximum(spread, 1))
+
+
+def fit(rows: Sparse, good: np.ndarray, width: int, sums: Sums | None = None, steps: int = 80, ridge: float = 0.05) -> np.ndarray:
     """Weights of a logistic regression with balanced classes, the last one the offset.
 
-    Features whose presence and the class are not dependent beyond chance (chi-square
-    below proof, one degree of freedom) weigh nothing: of a million words many would
-    fit the training rows by accident.
+    sums: of pseudo-labelled rows, whose loss enters as a quadratic about the weights it
+    was taken at, with no more weight than the labelled rows. Features that tell nothing
+    in either weigh nothing.
     """
     owner = np.repeat(np.arange(len(rows.sizes), dtype=np.int32), rows.sizes)
-    inside = np.bincount(rows.ids[good[owner]], minlength=width).astype(float)
-    total, n_good, n = np.bincount(rows.ids, minlength=width), good.sum(), len(good)
-    spread = total * (n - total) * float(n_good) * (n - n_good)
-    used = (total >= 5) & (n * (inside * n - total * n_good) ** 2 >= proof * np.maximum(spread, 1))
+    n = len(good)
+    used = telling(np.bincount(rows.ids[good[owner]], minlength=width).astype(float), np.bincount(rows.ids, minlength=width), good.sum(), n)
+    part, pull, bend = 0.0, 0.0, 0.0
+    if sums is not None and sums.rows.min() >= FEWEST:
+        count = sums.each[:, 0, :-1]
+        used |= telling(count[1], count.sum(axis=0), sums.rows[1], sums.rows.sum())
+        part = min(0.5, sums.rows.sum() / (sums.rows.sum() + n))
+        pull, bend = (part * 0.5 * (sums.each[:, k] / sums.rows[:, None]).sum(axis=0) for k in (1, 2))
     kept = used[rows.ids]
     ids, owner = rows.ids[kept], owner[kept]
-    share = np.where(good, 0.5 / max(good.sum(), 1), 0.5 / max((~good).sum(), 1))
+    share = (1 - part) * np.where(good, 0.5 / max(good.sum(), 1), 0.5 / max((~good).sum(), 1))
+    idle = np.append(~used, False)
     w, speed, square = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
-    n = len(good)
     for t in range(1, steps + 1):
         z = np.bincount(owner, weights=w[ids], minlength=n) + w[-1]
         rest = (sigmoid(z) - good) * share
         g = np.append(np.bincount(ids, weights=rest[owner], minlength=width), rest.sum()) + ridge * w / n
+        if part:
+            g += pull + bend * (w - sums.at)
+        g[idle] = 0
         speed, square = 0.9 * speed + 0.1 * g, 0.99 * square + 0.01 * g * g
         w -= 0.15 * (speed / (1 - 0.9**t)) / (np.sqrt(square / (1 - 0.99**t)) + 1e-7)
-    w[:-1][~used] = 0
     return w
 
 
-def calibrate(x: np.ndarray, good: np.ndarray, steps: int = 400) -> np.ndarray:
+def calibrate(x: np.ndarray, good: np.ndarray, steps: int = 50) -> np.ndarray:
     """Coefficients of a small logistic regression on dense columns, by Newton steps."""
     x = np.column_stack([x, np.ones(len(x))])
     w = np.zeros(x.shape[1])
-    for _ in range(min(steps, 50)):
+    for _ in range(steps):
         p = sigmoid(x @ w)
         hess = (x * (p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
         w += np.linalg.solve(hess, x.T @ (good - p) - 1e-2 * w)
@@ -190,41 +224,55 @@ def combined(z: np.ndarray, model: dict) -> np.ndarray:
     return sigmoid(x @ model["joint"])
 
 
-def cotrain(content: Sparse, metadata: Sparse, good: np.ndarray, pool_content: Sparse, pool_metadata: Sparse, rounds: int = ROUNDS) -> dict:
-    """The fitted model; good: labels of the labelled rows. Every fifth labelled row is held out for calibration."""
+def fitted(name: str, rows: Sparse, good: np.ndarray, sums: Sums | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """A view's weights and its calibration, for which every fifth row is held out."""
     held = np.arange(len(good)) % 5 == 4
-    train, hold = np.flatnonzero(~held), np.flatnonzero(held)
-    sides = {"content": (content, pool_content, CONTENT), "metadata": (metadata, pool_metadata, METADATA)}
-    given: dict[str, tuple[np.ndarray, np.ndarray]] = {k: (np.zeros(0, np.int64), np.zeros(0, bool)) for k in sides}
-    model: dict = {"exchanged": []}
-    for turn in range(rounds + 1):
-        confident = {}
-        for name, (rows, pool, width) in sides.items():
-            extra, labels = given[name]
-            seen, more = rows.take(train), pool.take(extra)
-            both = Sparse(np.concatenate([seen.ids, more.ids]), np.concatenate([seen.sizes, more.sizes]))
-            w = fit(both, np.concatenate([good[train], labels]), width)
-            model[name] = w
-            z = np.clip(rows.take(hold).dot(w[:-1]) + w[-1], -12, 12)
-            own = calibrate(z[:, None], good[hold].astype(float))
-            p = sigmoid((pool.dot(w[:-1]) + w[-1]).clip(-12, 12) * own[0] + own[1])
-            confident[name] = (np.flatnonzero((p >= CONFIDENT) | (p <= 1 - CONFIDENT)), p)
-            model.setdefault("own", [None, None])[0 if name == "content" else 1] = own
-        if turn < rounds:
-            for name, other in (("content", "metadata"), ("metadata", "content")):
-                # More and more of the pool, the surest first.
-                chosen, p = confident[name]
-                chosen = chosen[np.argsort(-np.abs(p[chosen] - 0.5), kind="stable")][: len(p) * (turn + 1) // (2 * rounds)]
-                given[other] = (chosen, p[chosen] > 0.5)
-            model["exchanged"].append({k: len(v[0]) for k, v in given.items()})
+    w = fit(rows.take(np.flatnonzero(~held)), good[~held], WIDTHS[name], sums)
+    z = np.clip(rows.take(np.flatnonzero(held)).dot(w[:-1]) + w[-1], -12, 12)
+    return w, calibrate(z[:, None], good[held].astype(float))
+
+
+def finished(model: dict, content: Sparse, metadata: Sparse, good: np.ndarray) -> dict:
+    """The model with its views combined, and the cut-off, on the held-out rows."""
+    hold = np.flatnonzero(np.arange(len(good)) % 5 == 4)
     z = views_of(content.take(hold), metadata.take(hold), model)
     own = np.column_stack([z[:, k] * model["own"][k][0] + model["own"][k][1] for k in range(2)])
     model["joint"] = calibrate(np.column_stack([own, own.min(axis=1)]), good[hold].astype(float))
-    p = combined(z, model)
-    model["threshold"] = cut_off(p, good[hold])
+    model["threshold"] = cut_off(combined(z, model), good[hold])
     return model
 
 
+def added(model: dict, content: Sparse, metadata: Sparse, sure: float) -> dict[str, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of unlabelled rows, for each view what the *other* one is sure of: rows per class, and features with
+    their counts, gradients and curvatures per class."""
+    z = views_of(content, metadata, model)
+    out = {}
+    for k, (name, rows) in enumerate((("content", content), ("metadata", metadata))):
+        teacher = sigmoid(z[:, 1 - k] * model["own"][1 - k][0] + model["own"][1 - k][1])
+        label = np.where(teacher >= sure, 1, np.where(teacher <= 1 - sure, 0, -1))
+        owner = np.repeat(np.arange(len(rows.sizes)), rows.sizes)
+        chosen = label[owner] >= 0
+        ids, owner = rows.ids[chosen], owner[chosen]
+        # The offset is a feature of every row.
+        every = np.flatnonzero(label >= 0)
+        ids, owner = np.append(ids, np.full(len(every), WIDTHS[name])), np.append(owner, every)
+        p = sigmoid(z[:, k])
+        names, at = np.unique(ids, return_inverse=True)
+        place = label[owner] * len(names) + at
+        values = [np.bincount(place, weights=v[owner], minlength=2 * len(names)).reshape(2, -1) for v in (np.ones(len(p)), p - label, p * (1 - p))]
+        out[name] = np.bincount(label[every], minlength=2), names, np.stack(values, axis=1), every
+    return out
+
+
+def gathered(parts: list, model: dict, name: str) -> Sums:
+    """Sums of a view from parts (rows per class, features, values)."""
+    rows, each = np.zeros(2), np.zeros((2, 3, WIDTHS[name] + 1))
+    for count, names, values in parts:
+        rows += count
+        each[:, :, names] += values
+    return Sums(rows, each, model[name])
+
+
 def cut_off(p: np.ndarray, good: np.ndarray) -> float:
     """The probability from which fewest of the rows are judged wrongly, good ones lost and bad ones kept together.
 
@@ -245,50 +293,181 @@ def cut_off(p: np.ndarray, good: np.ndarray) -> float:
     return float(sigmoid(best[np.argmin(np.abs(best))]))
 
 
-def features(docs: DataFrame, more: str = "") -> DataFrame:
-    """docs (id, text, lang, source and the columns in more, a schema) as (id, content, metadata, more)."""
+FIELDS = ("id", "text", "lang", "source")
+
+
+def sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
+    """The bounded labelled rows: (id, text, lang, source, quality, clean), the labels null where unknown."""
+    known = labels.filter(F.col("id").isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull()))
+    known = known.groupBy("id").agg(F.min(F.col("quality") == 1).alias("quality"), F.min(F.col("toxic") == 0).alias("clean"))
+    ids = docs.select("id").filter("id is not null").distinct()
+    first = known.join(ids, "id", "left_semi").orderBy(F.xxhash64("id"), "id").limit(max_labelled)  # at most so many ids
+    rows = docs.join(F.broadcast(first), "id")
+    # A document that occurs several times counts once: the row of least hash.
+    return rows.groupBy("id").agg(F.min_by(F.struct("text", "lang", "source", *TARGETS), F.xxhash64("text", "lang", "source")).alias("row")).select("id", "row.*")
+
+
+def metadata_of(part: dict[str, list]) -> list[list[int]]:
+    return [sorted(set(metadata_ids(a, b, t or ""))) for a, b, t in zip(part["lang"], part["source"], part["text"])]
+
+
+def word_counts(docs: DataFrame, sampled, starts) -> DataFrame:
+    """(target, place, good, bad): in how many rows per class the words of each hashed place occur.
+
+    Rows of sampled (id: labels by target) count by their labels, others by what the
+    metadata view of a target is sure of. A task sums up before it tells.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        labels, models = sampled.value, starts.value
+        sums = np.zeros((len(TARGETS), 2, CONTENT), np.int32)
+        counts = [[Counter(), Counter()] for _ in TARGETS]
+        rows = np.zeros((len(TARGETS), 2), np.int64)
+
+        def flush() -> None:
+            for t, pair in enumerate(counts):
+                for c, words in enumerate(pair):
+                    for word, n in words.items():
+                        for k in set(word_ids(word)):
+                            sums[t, c, k] += n
+                    words.clear()
+
+        for part in slices(batches):
+            texts = [(t or "").split() for t in part["text"]]
+            meta = Sparse.of(metadata_of(part))
+            for t, target in enumerate(TARGETS):
+                if target not in models:
+                    continue
+                w, own = models[target]
+                p = sigmoid(np.clip(meta.dot(w[:-1]) + w[-1], -12, 12) * own[0] + own[1])
+                label = np.where(p >= SURE[-1], 1, np.where(p <= 1 - SURE[-1], 0, -1))
+                for row, (key, words) in enumerate(zip(part["id"], texts)):
+                    told = labels[key][t] if key in labels else label[row]
+                    if told is not None and told >= 0:
+                        counts[t][int(told)].update(set(words))
+                        rows[t, int(told)] += 1
+            if sum(len(c) for pair in counts for c in pair) > REMEMBERED:
+                flush()
+        flush()
+        for t in range(len(TARGETS)):
+            places = np.flatnonzero(sums[t].any(axis=0))
+            columns = [np.full(len(places) + 1, t), np.append(places, -1), *(np.append(sums[t, c, places], rows[t, c]) for c in (1, 0))]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["target", "place", "good", "bad"])
+
+    counted = docs.select(*FIELDS).mapInArrow(run, "target bigint, place bigint, good bigint, bad bigint")
+    return counted.groupBy("target", "place").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
+
+
+def words_to_read(counts: DataFrame) -> np.ndarray:
+    """Marks the places whose words tell something about a target: at most READ, those of the highest chi-square."""
+    counts = cut_lineage(counts)
+    rows = counts.filter("place < 0").select("target", F.col("good").alias("g"), F.col("bad").alias("b"))  # a row per target
+    n, k = (F.col("g") + F.col("b")).cast("double"), (F.col("good") + F.col("bad")).cast("double")
+    spread = F.greatest(k * (n - k) * F.col("g") * F.col("b"), F.lit(1.0))
+    proof = n * F.pow(F.col("good") * n - k * F.col("g"), F.lit(2.0)) / spread
+    found = counts.filter("place >= 0").join(F.broadcast(rows), "target").withColumn("proof", proof).filter((k >= FEWEST) & (F.col("proof") >= PROOF))
+    best = found.groupBy("place").agg(F.max("proof").alias("proof")).orderBy(F.desc("proof"), "place").limit(READ)
+    read = np.zeros(CONTENT, dtype=bool)
+    read[[r.place for r in best.select("place").collect()]] = True
+    return read
+
+
+def features(rows: DataFrame, read, more: str = "") -> DataFrame:
+    """rows (id, text, lang, source and the columns in more, a schema) as (content, metadata, more)."""
     names = [c.split(" ")[0] for c in more.split(", ") if c]
 
     def made(part: dict[str, list]) -> dict[str, object]:
-        texts = [t or "" for t in part["text"]]
-        meta = [sorted(set(metadata_ids(a, b, t))) for a, b, t in zip(part["lang"], part["source"], texts)]
-        return {"content": content_ids(texts).rows(), "metadata": meta} | {c: part[c] for c in names}
+        return {"content": content_ids([t or "" for t in part["text"]], read.value).rows(), "metadata": metadata_of(part)} | {c: part[c] for c in names}
 
-    return map_rows(docs, made, "content array<int>, metadata array<int>" + (f", {more}" if more else ""))
+    return map_rows(rows, made, "content array<int>, metadata array<int>" + (f", {more}" if more else ""))
 
 
-def sample(docs: DataFrame, labels: DataFrame, max_labelled: int, max_pool: int) -> DataFrame:
-    """Features of the bounded training rows: (content, metadata, quality, clean), the labels null where unknown."""
-    known = labels.filter(F.col("id").isNotNull() & (F.col("quality").isNotNull() | F.col("toxic").isNotNull()))
-    known = known.groupBy("id").agg(F.min(F.col("quality") == 1).alias("quality"), F.min(F.col("toxic") == 0).alias("clean"))
-    ids = docs.select("id").filter("id is not null")
-    least = lambda df, n: df.orderBy(F.xxhash64("id"), "id").limit(n)
-    first = least(known.join(ids.distinct(), "id", "left_semi"), max_labelled)
-    rest = least(ids.join(known, "id", "left_anti").distinct(), max_pool).select("id", *(F.lit(None).cast("boolean").alias(t) for t in TARGETS))
-    chosen = first.union(rest)  # at most max_labelled + max_pool ids
-    rows = docs.join(F.broadcast(chosen), "id")
-    # A document that occurs several times counts once: the row of least hash.
-    rows = rows.groupBy("id").agg(F.min_by(F.struct("text", "lang", "source", *TARGETS), F.xxhash64("text", "lang", "source")).alias("row")).select("id", "row.*")
-    return features(rows, ", ".join([f"id {rows.schema['id'].dataType.simpleString()}", *(f"{t} boolean" for t in TARGETS)]))
-
-
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> dict | None:
-    """A model per target, without those that have not five labelled rows of either kind; None where none has."""
-    rows = sample(docs, labels, max_labelled, max_pool).toArrow().sort_by("id")
-    lists = {c: rows[c].combine_chunks() for c in ("content", "metadata")}
-    content, metadata = (Sparse(v.flatten().to_numpy(), v.value_lengths().to_numpy().astype(np.int64)) for v in lists.values())
-    ids = np.array([zlib.crc32(str(k).encode()) for k in rows["id"].to_pylist()], np.int64)
-    pool = np.flatnonzero([q is None and c is None for q, c in zip(*(rows[t].to_pylist() for t in TARGETS))])
-    models = {}
-    for target in TARGETS:
-        good = np.array(rows[target].to_pylist(), object)
-        known = np.flatnonzero([g is not None for g in good])
-        # In the order of a hash, so that every fifth is a fair sample.
-        known = known[np.argsort(ids[known], kind="stable")]
-        mark = good[known].astype(bool)
-        if min(mark.sum(), (~mark).sum()) >= 5:
-            models[target] = cotrain(content.take(known), metadata.take(known), mark, content.take(pool), metadata.take(pool))
-    return models or None
+def sparse(column) -> Sparse:
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return Sparse(column.flatten().to_numpy(), column.value_lengths().to_numpy().astype(np.int64))
+
+
+def exchange(rows: DataFrame, models: dict, sampled, sure: float) -> dict[str, dict[str, Sums]]:
+    """By target and view, the sums over all rows (id, content, metadata) outside the sample that the other view is sure of."""
+    shared = rows.sparkSession.sparkContext.broadcast(slim(models))
+    sides = [(t, v) for t in models for v in WIDTHS]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        total = {k: (np.zeros(2), np.zeros((2, 3, WIDTHS[k[1]] + 1), np.float32)) for k in sides}
+        for batch in batches:
+            known = pa.array([k not in sampled.value for k in batch.column(0).to_pylist()])
+            batch = batch.filter(known)
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                content, metadata = sparse(part.column(1)), sparse(part.column(2))
+                for target in model:
+                    for view, (count, names, values, _) in added(model[target], content, metadata, sure).items():
+                        own = total[target, view]
+                        own[0][:] += count
+                        own[1][:, :, names] += values
+        for side, (count, each) in enumerate(total[k] for k in sides):
+            places = np.flatnonzero(each[:, 0].any(axis=0))
+            columns = [np.full(len(places) + 1, side), np.append(places, -1)] + [np.append(each[c, k, places], count[c] if k == 0 else 0) for c in (0, 1) for k in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64() if k < 2 else pa.float64()) for k, c in enumerate(columns)], names=SUMMED)
+
+    told = rows.select("id", "content", "metadata").mapInArrow(run, "side bigint, place bigint, " + ", ".join(f"{c} double" for c in SUMMED[2:]))
+    # A row per side and feature: the words that are read, their steps and the metadata's places.
+    found = told.groupBy("side", "place").agg(*(F.sum(c).alias(c) for c in SUMMED[2:])).toArrow()
+    out: dict[str, dict[str, Sums]] = {t: {} for t in models}
+    for side, (target, view) in enumerate(sides):
+        own = found.filter(pa.compute.equal(found["side"], side))
+        place = own["place"].to_numpy()
+        values = np.stack([own[c].to_numpy() for c in SUMMED[2:]]).reshape(2, 3, -1)
+        inside = place >= 0
+        out[target][view] = gathered([(values[:, 0, ~inside].sum(axis=1), place[inside], values[:, :, inside])], models[target], view)
+    return out
+
+
+SUMMED = ["side", "place", *(f"{k}{c}" for c in (0, 1) for k in ("n", "g", "h"))]
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> tuple[dict, DataFrame, object] | None:
+    """(a model per target, the rows of docs as features, what the content view reads).
+
+    Targets without five labelled rows of either kind are left out; None where none is left.
+    """
+    sc = docs.sparkSession.sparkContext
+    rows = cut_lineage(sample(docs, labels, max_labelled))
+    told = map_rows(rows, lambda part: {"metadata": metadata_of(part)} | {c: part[c] for c in ("id", *TARGETS)}, f"metadata array<int>, id {rows.schema['id'].dataType.simpleString()}, quality boolean, clean boolean").toArrow()
+    ids = told["id"].to_pylist()
+    # In the order of a hash, so that every fifth is a fair sample.
+    order = sorted(range(len(ids)), key=lambda k: (zlib.crc32(str(ids[k]).encode()), str(ids[k])))
+    metadata = sparse(told["metadata"]).take(np.array(order, np.int64))
+    marks = {t: [told[t].to_pylist()[k] for k in order] for t in TARGETS}
+    known = {t: np.flatnonzero([m is not None for m in marks[t]]) for t in TARGETS}
+    goods = {t: np.array([bool(marks[t][k]) for k in known[t]], dtype=bool) for t in TARGETS}
+    targets = [t for t in TARGETS if min(goods[t].sum(), (~goods[t]).sum()) >= 5]
+    if not targets:
+        return None
+    models: dict[str, dict] = {t: {"exchanged": []} for t in targets}
+    for t in targets:
+        models[t]["metadata"], own = fitted("metadata", metadata.take(known[t]), goods[t])
+        models[t]["own"] = [None, own]
+    sampled = sc.broadcast({ids[k]: tuple(marks[t][n] for t in TARGETS) for n, k in enumerate(order)})
+    read = sc.broadcast(words_to_read(word_counts(docs, sampled, sc.broadcast({t: (models[t]["metadata"], models[t]["own"][1]) for t in targets}))))
+    kind = f"id {rows.schema['id'].dataType.simpleString()}"
+    mine = features(rows, read, kind).select("id", "content").toArrow()
+    at = {k: n for n, k in enumerate(mine["id"].to_pylist())}
+    content = sparse(mine["content"]).take(np.array([at[ids[k]] for k in order], np.int64))
+    views = {"content": content, "metadata": metadata}
+    for t in targets:
+        models[t]["content"], models[t]["own"][0] = fitted("content", content.take(known[t]), goods[t])
+    every = cut_lineage(features(docs, read, kind))
+    for sure in SURE:
+        sums = exchange(every, models, sampled, sure)
+        for t in targets:
+            models[t]["exchanged"].append({v: sums[t][v].rows.tolist() for v in views})
+            for k, v in enumerate(views):
+                models[t][v], models[t]["own"][k] = fitted(v, views[v].take(known[t]), goods[t], sums[t][v])
+    for t in targets:
+        finished(models[t], content.take(known[t]), metadata.take(known[t]), goods[t])
+    return models, every, read
 
 
 def slim(models: dict) -> dict:
@@ -296,12 +475,10 @@ def slim(models: dict) -> dict:
     return {t: {k: v.astype(np.float32) if k in ("content", "metadata") else v for k, v in m.items()} for t, m in models.items()}
 
 
-def scores(models: dict, texts: list, langs: list, sources: list) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+def scores(models: dict, content: Sparse, metadata: Sparse) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Products over the targets of both views' calibrated probabilities and of the combined ones; whether all cut-offs are reached."""
-    texts = [t or "" for t in texts]
-    content = content_ids(texts)
-    metadata = Sparse.of([sorted(set(metadata_ids(a, b, t))) for a, b, t in zip(langs, sources, texts)])
-    own, whole, kept = [np.ones(len(texts)), np.ones(len(texts))], np.ones(len(texts)), np.ones(len(texts), bool)
+    n = len(metadata.sizes)
+    own, whole, kept = [np.ones(n), np.ones(n)], np.ones(n), np.ones(n, bool)
     for model in models.values():
         z = views_of(content, metadata, model)
         own = [v * sigmoid(z[:, k] * model["own"][k][0] + model["own"][k][1]) for k, v in enumerate(own)]
@@ -310,7 +487,7 @@ def scores(models: dict, texts: list, langs: list, sources: list) -> tuple[list[
     return own, whole, kept
 
 
-def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """(id, content_score, metadata_score, score, kept) of each row.
 
     labels: (id, quality, toxic); null labels say nothing, of several labels of one id
@@ -322,35 +499,40 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     columns are not read; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
-    model = train(rows, labels.select(F.col(id_col).alias("id"), "quality", "toxic"), max_labelled, max_pool)
+    learned = train(rows, labels.select(F.col(id_col).alias("id"), "quality", "toxic"), max_labelled)
     none = F.lit(None).cast("double")
-    if model is None:
+    if learned is None:
         return rows.select(F.col("id").alias(id_col), none.alias("content_score"), none.alias("metadata_score"), none.alias("score"), F.lit(True).alias("kept"))
-    shared = docs.sparkSession.sparkContext.broadcast(slim(model))
+    models, every, _ = learned
+    shared = docs.sparkSession.sparkContext.broadcast(slim(models))
 
-    def scored(part: dict[str, list]) -> dict[str, object]:
-        own, p, kept = scores(shared.value, part["text"], part["lang"], part["source"])
-        return {"id": part["id"], "content_score": own[0], "metadata_score": own[1], "score": p, "kept": kept}
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                own, p, kept = scores(shared.value, sparse(part.column(1)), sparse(part.column(2)))
+                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c) for c in (*own, p, kept))], names=["id", "content_score", "metadata_score", "score", "kept"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return map_rows(rows, scored, f"id {kind}, content_score double, metadata_score double, score double, kept boolean").withColumnRenamed("id", id_col)
+    return every.select("id", "content", "metadata").mapInArrow(scored, f"id {kind}, content_score double, metadata_score double, score double, kept boolean").withColumnRenamed("id", id_col)
 
 
-def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL) -> DataFrame:
+def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", max_labelled: int = MAX_LABELLED) -> DataFrame:
     """The rows of docs that classify keeps, with all their columns; nothing is shuffled."""
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"), F.col(source_col).cast("string").alias("source"))
-    model = train(rows, labels.select(F.col(id_col).alias("id"), "quality", "toxic"), max_labelled, max_pool)
-    if model is None:
+    learned = train(rows, labels.select(F.col(id_col).alias("id"), "quality", "toxic"), max_labelled)
+    if learned is None:
         return docs
-    shared = docs.sparkSession.sparkContext.broadcast(slim(model))
+    models, _, read = learned
+    shared = docs.sparkSession.sparkContext.broadcast(slim(models))
     names = docs.columns
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
-                text, lang, source = (part.column(names.index(c)).to_pylist() for c in (text_col, lang_col, source_col))
-                text_of = [None if v is None else str(v) for v in lang], [None if v is None else str(v) for v in source]
-                yield part.filter(pa.array(scores(shared.value, text, *text_of)[2]))
+                told = {c: [None if v is None else str(v) for v in part.column(names.index(col)).to_pylist()] for c, col in (("text", text_col), ("lang", lang_col), ("source", source_col))}
+                found = content_ids([t or "" for t in told["text"]], read.value), Sparse.of(metadata_of(told))
+                yield part.filter(pa.array(scores(shared.value, *found)[2]))
 
     return docs.mapInArrow(kept, docs.schema)

@@ -16,11 +16,11 @@ SF = "/root/testdata/sf0.1"
 def test_held_out_labels(spark):
     docs, labels = read(spark, SF, "documents"), read(spark, SF, "labels")
     used = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2500).select("doc_id")
-    scored = C.classify(docs, labels.join(used, "doc_id", "left_semi"), max_labelled=2500, max_pool=1000).cache()
+    scored = C.classify(docs, labels.join(used, "doc_id", "left_semi"), max_labelled=2500).cache()
     assert scored.count() == docs.count()
     held = labels.join(used, "doc_id", "left_anti").join(scored, "doc_id")
     rate = {(r.quality, r.toxic): r.kept for r in held.groupBy("quality", "toxic").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
-    assert rate[1, 0] > 0.985 and rate[0, 0] < 0.1 and rate[1, 1] < 0.4
+    assert rate[1, 0] > 0.985 and rate[0, 0] < 0.1 and rate[1, 1] < 0.1
     good = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), 1.0).otherwise(0.0)
     # Calibrated: scores are as high as good documents are frequent.
     assert abs(held.select(F.avg(good - F.col("score"))).first()[0]) < 0.05
@@ -28,13 +28,30 @@ def test_held_out_labels(spark):
 
 def test_views_exchange_labels():
     rng = np.random.default_rng(1)
-    n, pool = 600, 800
-    good = rng.random(n + pool) < 0.7
+    n, pool_size = 600, 800
+    good = rng.random(n + pool_size) < 0.7
     rows = lambda width, signal: [np.unique(np.r_[rng.integers(50, width, 12), rng.integers(0, 20, 3) + (0 if g else 20)] if rng.random() < signal else rng.integers(50, width, 12)) for g in good]
     content, metadata = rows(5000, 0.97), rows(C.METADATA, 0.9)
-    model = C.cotrain(C.Sparse.of(content[:n]), C.Sparse.of(metadata[:n]), good[:n], C.Sparse.of(content[n:]), C.Sparse.of(metadata[n:]))
-    assert [max(e.values()) for e in model["exchanged"]] == sorted(max(e.values()) for e in model["exchanged"]) and max(model["exchanged"][-1].values()) > 100
-    p = C.combined(C.views_of(C.Sparse.of(content[n:]), C.Sparse.of(metadata[n:]), model), model)
+    views = {"content": C.Sparse.of(content[:n]), "metadata": C.Sparse.of(metadata[:n])}
+    pool = C.Sparse.of(content[n:]), C.Sparse.of(metadata[n:])
+    model, given = {"own": [None, None]}, []
+    for k, v in enumerate(views):
+        model[v], model["own"][k] = C.fitted(v, views[v], good[:n])
+    for sure in C.SURE:
+        told = C.added(model, *pool, sure)
+        # Sums over parts are sums over all.
+        halves = [C.added(model, pool[0].take(half), pool[1].take(half), sure) for half in (np.arange(300), np.arange(300, pool_size))]
+        sums = {v: C.gathered([h[v][:3] for h in halves], model, v) for v in views}
+        for v in views:
+            whole = C.gathered([told[v][:3]], model, v)
+            np.testing.assert_allclose(whole.each, sums[v].each, atol=1e-9)
+            assert (whole.rows == sums[v].rows).all()
+        given.append(sum(sums[v].rows.sum() for v in views))
+        for k, v in enumerate(views):
+            model[v], model["own"][k] = C.fitted(v, views[v], good[:n], sums[v])
+    assert given[-1] > 100
+    model = C.finished(model, views["content"], views["metadata"], good[:n])
+    p = C.combined(C.views_of(*pool, model), model)
     assert ((p > 0.5) == good[n:]).mean() > 0.95
 
 
@@ -77,5 +94,24 @@ def test_sample_has_one_row_per_id(spark):
     rows = [(1, f"text {k % 7}", "en", "s") for k in range(500)] + [(k, "other", "en", "s") for k in range(2, 12)]
     docs = spark.createDataFrame(rows, "id long, text string, lang string, source string")
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "id long, quality int, toxic int")
-    got = [r.id for r in C.sample(docs, labels, 2, 5).select("id").collect()]
-    assert len(got) == len(set(got)) == 7 and {1, 2} <= set(got)
+    got = [r.id for r in C.sample(docs, labels, 5).select("id").collect()]
+    assert sorted(got) == [1, 2]
+
+
+def test_words_of_unlabelled_rows_are_learned(spark):
+    """A word that no labelled row holds, in rows whose source gives them away, is read and weighs after the exchange."""
+    rng = np.random.default_rng(2)
+    plain = [f"word{k}" for k in range(200)]
+    rows, labels = [], []
+    for k in range(2400):
+        bad, known = k % 3 == 0, k < 900
+        words = list(rng.choice(plain, 30)) + (["oldsign"] if bad and known else ["newsign"] if bad else [])
+        source = ("s_bad" if bad else "s_good") if k % 2 or known else "s_any"  # half of the unlabelled rows have a telling source
+        rows.append((k, " ".join(rng.permutation(words)), "en", source))
+        labels.append((k, int(not bad), 0))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    told = spark.createDataFrame(labels[:900], "doc_id long, quality int, toxic int")
+    got = {r.doc_id: r for r in C.classify(docs, told).collect()}
+    hidden = [k for k in range(900, 2400) if k % 2 == 0]
+    assert np.mean([got[k].content_score < 0.5 for k in hidden if k % 3 == 0]) > 0.9
+    assert np.mean([got[k].content_score > 0.5 for k in hidden if k % 3]) > 0.9
