@@ -14,6 +14,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -22,8 +23,114 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from starloom.llm.common import per_process, slices
 from starloom.session import cut_lineage
 
-REMEMBERED = 600_000  # words whose ids a worker remembers
+REMEMBERED = 1_000_000  # words whose ids a worker remembers, and as many parts of words; beyond, it begins anew
+LONG = 1 << 24  # characters of words of more than 64 that a worker remembers
+JOINED = 256  # words that go to the library in one string
 BLANKS = re.compile(r"[ \n\t\r]+")
+CONTROLS = re.compile("[\x1c-\x1f]")
+LATIN = "\u024f"  # the last sign up to which letters have the same lower case everywhere
+
+
+def words_of(text: str | None) -> list[str]:
+    """The text without white space; the few signs that only Python takes for white space stay."""
+    if not text:
+        return []
+    return BLANKS.sub(" ", text).split(" ") if CONTROLS.search(text) else text.split()
+
+
+class Encoder:
+    """Ids of words, from a tokenizers file whose vocabulary drops white space.
+
+    Words are remembered, and so are the parts that the file's own pattern cuts them
+    into: different words share most of their parts. Only parts not seen before go to
+    the library, many in one string, from which they are told apart by their places.
+    """
+
+    def __init__(self, path: str) -> None:
+        import json
+        import os
+
+        import regex
+        from tokenizers import Tokenizer
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.library = Tokenizer.from_file(path)
+        self.words: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+        self.long = 0  # characters of the long words among them
+        with open(path, encoding="utf-8") as file:
+            stored = json.load(file)
+        steps = (stored.get("normalizer") or {}).get("normalizers", [])
+        cuts = (stored.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        # Parts are looked up in lower case; this is what the file does with Latin letters, if it does this.
+        plain = [n["type"] for n in steps] == ["NFC", "Replace", "Lowercase"] and [c["type"] for c in cuts] == ["Split", "ByteLevel"]
+        plain = plain and cuts[0]["behavior"] == "Removed" and cuts[0]["invert"] and not cuts[1]["use_regex"] and not cuts[1]["add_prefix_space"]
+        self.cut = regex.compile(cuts[0]["pattern"]["Regex"]).findall if plain else None
+        self.special = re.compile("|".join(re.escape(t["content"]) for t in stored.get("added_tokens", [])) or r"(?!)").search
+        suffix = stored["model"].get("end_of_word_suffix")
+        self.last = None  # ids that end a part
+        if suffix:
+            vocabulary = self.library.get_vocab(with_added_tokens=True)
+            self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+            self.last[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+
+    def encoded(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of different words from the library, by the places of their tokens."""
+        found: dict[str, bytes] = {}
+        groups = [words[k : k + JOINED] for k in range(0, len(words), JOINED)]
+        for group, e in zip(groups, self.library.encode_batch([" ".join(g) for g in groups], add_special_tokens=False)):
+            # A token is in the word in which it begins.
+            ends = np.cumsum([len(w) + 1 for w in group])
+            self.split(group, np.array(e.ids, np.uint32), np.searchsorted([o[0] for o in e.offsets], ends), found)
+        return found
+
+    def encoded_parts(self, parts: list[str]) -> dict[str, bytes]:
+        """Ids of parts, each of which ends with the first token that can end one."""
+        if self.last is None:
+            return self.encoded(parts)
+        found: dict[str, bytes] = {}
+        groups = [parts[k : k + JOINED] for k in range(0, len(parts), JOINED)]
+        for group, e in zip(groups, self.library.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, np.uint32)
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) == len(group):
+                self.split(group, ids, ends, found)
+            else:
+                found.update(self.encoded(group))
+        return found
+
+    @staticmethod
+    def split(group: list[str], ids: np.ndarray, ends: np.ndarray, found: dict[str, bytes]) -> None:
+        data, first = ids.tobytes(), 0
+        for word, last in zip(group, (4 * ends).tolist()):
+            found[word] = data[first:last]
+            first = last
+
+    def learn(self, words: set[str]) -> None:
+        """Afterwards self.words has the ids of all these words."""
+        if len(self.words) > REMEMBERED or self.long > LONG:
+            self.words, self.long = {"": b""}, 0
+            self.parts = {}
+        if len(self.parts) > REMEMBERED:
+            self.parts = {}
+        known, parts = self.words, self.parts
+        whole, later, missing = [], [], set()
+        for word in words.difference(known):
+            if len(word) > 64:
+                self.long += len(word)
+            if self.cut and (word.isascii() or max(word) <= LATIN and is_normalized("NFC", word)) and not self.special(word):
+                own = self.cut(word.lower())
+                try:
+                    known[word] = b"".join([parts[p] for p in own])
+                except KeyError:
+                    later.append(word)
+                    missing.update(own)
+            else:
+                whole.append(word)
+        known.update(self.encoded(whole))
+        parts.update(self.encoded_parts(list(missing.difference(parts))))
+        for word in later:
+            known[word] = b"".join([parts[p] for p in self.cut(word.lower())])
 
 
 class OpenBins:
@@ -119,33 +226,16 @@ def token_pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int, ke
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        def load():
-            import os
-
-            from tokenizers import Tokenizer
-
-            os.environ["TOKENIZERS_PARALLELISM"] = "false"
-            return Tokenizer.from_file(tokenizer), {"": b""}
-
-        library, known = per_process("packing", tokenizer, load)
+        encoder = per_process("packing", tokenizer, lambda: Encoder(tokenizer))
         block, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         end, width = np.uint32(end_id).tobytes(), 4 * capacity
         for part in slices(batches):
             out: dict[str, list] = {name: [] for name in ("id", "piece", "start", "length", "ids_crc32", "block", "place", "ids")}
-            texts = [BLANKS.sub(" ", t).split(" ") if t else [] for t in part["text"]]
-            missing = list({w for words in texts for w in words if w not in known})
-            fresh = known
-            if missing:
-                found = library.encode_batch_fast(missing, add_special_tokens=False)
-                fresh = dict(zip(missing, (np.array(e.ids, np.uint32).tobytes() for e in found)))
-                for w, ids in fresh.items():
-                    if len(known) < REMEMBERED and len(w) < 64:
-                        known[w] = ids
+            texts = [words_of(t) for t in part["text"]]
+            encoder.learn(set().union(*texts))
+            ids_of = encoder.words.__getitem__
             for doc, words in zip(part["id"], texts):
-                try:
-                    data = b"".join([known[w] for w in words]) + end
-                except KeyError:
-                    data = b"".join([known[w] if w in known else fresh[w] for w in words]) + end
+                data = b"".join(map(ids_of, words)) + end
                 for k, at in enumerate(range(0, len(data), width)):
                     ids = data[at:at + width]
                     n = len(ids) // 4

@@ -88,3 +88,26 @@ def test_documents_are_packed_whole(spark):
     assert len(bins) == plain_bins([r.length for r in got], capacity)
     assert {r.sequence_id: len(r.ids) for r in packing.sequences(packed).collect()} == {b: sum(n for _, n in used) for b, used in bins.items()}
     assert packing.pack_documents(df.limit(0), PATH).count() == 0
+
+
+ODD = [
+    "x y\x1cz", "DON'T I'LL 'S ''s \u0130stanbul \u03a3\u03af\u03c3\u03c5\u03c6\u03bf\u03c2 \u039f\u0394\u039f\u03a3 e\u0301 \u00e9 \ufb01 \u00df \u1e9e \u0149 \u00aa \u00ba \u00b2 \u00bd a\u0308",
+    "<|endoftext|>a<|startoftext|> <|END", "\u0301 \u0301a a\u200bb \u3000 \ufeff x\x85y", "a_b__c 1\uff123 a'S b'Re c'", "\u212b \u00c5 \u212a \u017f", "ab\x0bcd\x0cef \x1f\x1e", "\u0130'll",
+    "", " \n", "w" * 5000 + " " + "#" * 3000, "\u4e2d\u6587 \U0001f600\U0001f601!",
+]
+
+
+def test_words_and_parts_give_the_ids_of_the_library(monkeypatch):
+    library = Tokenizer.from_file(PATH)
+    rng = random.Random(9)
+    signs = "aZ\u00e9 '.-#1_\n"
+    texts = ODD + ["".join(rng.choice(signs) for _ in range(rng.randint(1, 60))) for _ in range(400)]
+    for remembered, long in ((1_000_000, 1 << 24), (50, 1 << 24), (1_000_000, 100)):
+        monkeypatch.setattr(packing, "REMEMBERED", remembered)
+        monkeypatch.setattr(packing, "LONG", long)
+        encoder = packing.Encoder(PATH)
+        for text in texts:
+            words = packing.words_of(text)
+            encoder.learn(set(words))
+            got = np.frombuffer(b"".join(encoder.words[w] for w in words), np.uint32).tolist()
+            assert got == library.encode(text, add_special_tokens=False).ids, text
