@@ -245,6 +245,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def without_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """The rows of docs that near_duplicates keeps, with all their columns; of rows equal in id and text one."""
     kept = near_duplicates(docs, id_col, text_col, with_key=True, **settings).filter("kept").select(F.col(id_col).alias("_id"), F.col("key").alias("_k"))
-    keyed = docs.withColumn("_key", text_key(F.coalesce(F.col(text_col), F.lit(""))))
-    found = keyed.join(kept, keyed[id_col].eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left_semi")
-    return found.dropDuplicates([id_col, "_key"]).drop("_key")
+    # Rows travel as one column, whatever their own columns are called.
+    keyed = docs.select(
+        F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.col(f"`{id_col}`").alias("_own"), text_key(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_key")
+    )
+    found = keyed.join(kept, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_k")), "left_semi")
+    return found.dropDuplicates(["_own", "_key"]).select("_row.*")

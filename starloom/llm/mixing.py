@@ -121,5 +121,5 @@ def mix(
 
 def repeated(mixed: DataFrame) -> DataFrame:
     """The rows as often as they are taken, without the struct: the mixture itself."""
-    plain = [c for c in mixed.columns if c != "mix"]
-    return mixed.filter("mix.copies > 0").select(*(F.col(f"`{c}`") for c in plain), F.explode(F.array_repeat(F.lit(1), F.col("mix.copies"))).alias("_copy")).drop("_copy")
+    row = F.struct(*(F.col(f"`{c}`") for c in mixed.columns if c != "mix")).alias("_row")
+    return mixed.filter("mix.copies > 0").select(row, F.explode(F.array_repeat(F.lit(1), F.col("mix.copies"))).alias("_copy")).select("_row.*")

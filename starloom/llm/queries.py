@@ -38,7 +38,7 @@ def op4_bagminhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_maximal_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeats.without_repeats(read(spark, sf_dir, "documents"), least=400).drop("removed")
+    return repeats.without_repeats(read(spark, sf_dir, "documents"), least=400)
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -52,3 +52,43 @@ def test_stages(spark):
 
 def test_run(spark):
     assert C.run(spark, SF).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
+CLASHING = ["_key", "_id", "_copy", "_row", "row", "n_words", "mix", "key", "kept", "id", "n", "content", "place"]
+
+
+def clashing_docs(spark, rows):
+    columns = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
+    return spark.createDataFrame([(*r, *(f"{c}{r[0]}" for c in CLASHING)) for r in rows], columns)
+
+
+def test_nulls_repeated_rows_and_clashing_columns(spark, tmp_path):
+    """Each stage keeps all columns of what it keeps; nulls, empty texts and repeated rows pass through."""
+    long = " ".join(f"word{k}" for k in range(300))
+    rows = [(k, f"some text number {k} of its own " * (1 + k % 3), "en", f"src{k % 4}", 5) for k in range(12)]
+    rows += [(20, long, None, None, None), (21, long + " more", "en", "src1", 1), (22, None, None, None, None), (23, "", "en", "src0", 0), (None, "no id at all", None, "x", 2)]
+    rows += rows[:2]
+    docs = clashing_docs(spark, rows)
+    spark.createDataFrame([(k, k % 2, 0) for k in range(3)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    before = docs
+    for name, stage in C.STAGES:
+        after = cut_lineage(stage(spark, before, str(tmp_path)))
+        if name != "best_fit_packing":
+            assert after.columns == docs.columns
+            for r in after.collect():
+                assert [r[c] for c in CLASHING] == [f"{c}{r.doc_id}" for c in CLASHING], name
+        if name == "quality_classifier":
+            assert after.count() == len(rows)  # too few labels: nothing is rejected
+        if name == "near_dedup":
+            kept = [r.doc_id for r in after.collect()]
+            assert len(kept) == len(set(kept)) and (20 in kept) + (21 in kept) == 1 and (22 in kept) + (23 in kept) >= 1
+        before = after
+    assert before.filter("length > 4096").count() == 0
+
+
+def test_empty_table(spark, tmp_path):
+    docs = clashing_docs(spark, [])
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in C.STAGES:
+        docs = cut_lineage(stage(spark, docs, str(tmp_path)))
+        assert docs.count() == 0
