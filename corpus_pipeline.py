@@ -30,8 +30,9 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the target mixture takes them."""
-    rows = docs.withColumn("n_words", F.regexp_count("text", F.lit(r"\S+")))
-    return mixing.repeated(queries.mixed(rows)).drop("n_words")
+    # Rows travel as one column, so that none of theirs meets one of the mixture's.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "lang", "source", F.regexp_count("text", F.lit(r"\S+")).alias("n_words"))
+    return mixing.repeated(queries.mixed(rows)).select("row.*")
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
