@@ -42,10 +42,10 @@ MAX_LABELLED = 8_000  # labelled rows to fit on: four fifths train, one fifth ca
 SURE = (0.995, 0.99, 0.98)  # by round: calibrated probability from which a view labels for the other
 READ = 1 << 16        # words, beginnings and signs that the content view reads at most, the most telling ones
 FEWEST, PROOF = 5, 20.0  # rows and chi-square from which a feature can tell something
-PLACES = 20
-CONTENT = 1 << PLACES  # hashed words, their beginnings and their steps of counts
+PLACES = 1 << 20      # hashed words, their beginnings and signs, of which the telling ones are read
 BEGINNINGS = (3, 4, 5, 6, 7)  # characters
 OFTEN = (2, 4, 8)     # times from which a word, beginning or sign is a feature of its own
+CONTENT = READ * (1 + len(OFTEN))
 METADATA = 1 << 10    # hashed languages, sources and steps of the layout's measures
 REMEMBERED = 300_000  # words whose features a worker remembers; beyond, it begins anew
 TARGETS = ("quality", "clean")
@@ -58,14 +58,18 @@ SIGNS = re.compile(r"[^\w\s.,;:?'\"()-]+")
 def word_ids(word: str) -> tuple[int, ...]:
     plain = word.isalnum()
     bare = word.lower() if plain else EDGES.sub("", word).lower()
-    found = [zlib.crc32(bare.encode()) % CONTENT] if bare else []
-    found += [zlib.crc32(b"\1" + bare[:k].encode()) % CONTENT for k in BEGINNINGS if k < len(bare)]
-    return tuple(found) if plain else tuple(found + [zlib.crc32(b"\0" + x.encode()) % CONTENT for x in SIGNS.findall(word)])
+    found = [zlib.crc32(bare.encode()) % PLACES] if bare else []
+    found += [zlib.crc32(b"\1" + bare[:k].encode()) % PLACES for k in BEGINNINGS if k < len(bare)]
+    return tuple(found) if plain else tuple(found + [zlib.crc32(b"\0" + x.encode()) % PLACES for x in SIGNS.findall(word)])
 
 
 def content_ids(texts: list[str], read: np.ndarray) -> Sparse:
-    """Distinct hashed words, beginnings of words, sign runs and steps of their counts of each text, of those marked in `read`."""
-    known, start, flat = per_process("cotraining", ("words", zlib.crc32(np.packbits(read).tobytes())), lambda: ({}, array("q", [0]), array("i")))
+    """Words, beginnings of words and sign runs of each text, of those that are read, with the steps of their counts.
+
+    read: the number of each hashed place, -1 if it isn't read. A feature's number is
+    that of its place times four, plus the step.
+    """
+    known, start, flat = per_process("cotraining", ("words", zlib.crc32(read)), lambda: ({}, array("q", [0]), array("i")))
     if len(known) > REMEMBERED:
         known.clear()
         del start[1:], flat[:]
@@ -78,7 +82,7 @@ def content_ids(texts: list[str], read: np.ndarray) -> Sparse:
             got = known.get(word)
             if got is None:
                 got = known[word] = len(start) - 1
-                flat.extend(k for k in word_ids(word) if read[k])
+                flat.extend([n for k in word_ids(word) if (n := read[k]) >= 0])
                 start.append(len(flat))
             numbers.append(got)
         times += words.values()
@@ -86,17 +90,31 @@ def content_ids(texts: list[str], read: np.ndarray) -> Sparse:
     number, begin = np.array(numbers, np.int64), np.array(start, np.int64)
     width = begin[number + 1] - begin[number]
     at = np.repeat(begin[number] - (np.cumsum(width) - width), width) + np.arange(width.sum())
-    owner = np.repeat(np.repeat(np.arange(len(texts)) << PLACES, np.diff([0, *ends])), width)
+    owner = np.repeat(np.repeat(np.arange(len(texts)) * READ, np.diff([0, *ends])), width)
     ids = np.frombuffer(flat, np.int32)[at] + owner if len(at) else owner
     # Text, feature and count (to 15) in one number.
     packed = np.sort(ids << 4 | np.repeat(np.minimum(np.array(times, np.int64), 15), width))
     ids = packed >> 4
     first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]][: len(ids)])
     ids, count = ids[first], np.add.reduceat(packed & 15, first) if len(first) else packed
-    more = [(m := ids[count >= k]) >> PLACES << PLACES | (m * 2654435761 + k & CONTENT - 1) for k in OFTEN]
-    ids = np.sort(np.concatenate([ids, *more]))
-    ids = ids[np.r_[True, ids[1:] != ids[:-1]][: len(ids)]]
-    return Sparse(ids & CONTENT - 1, np.bincount(ids >> PLACES, minlength=len(texts)))
+    steps = 1 + len(OFTEN)
+    ids = np.sort(np.concatenate([ids * steps, *(ids[count >= k] * steps + n for n, k in enumerate(OFTEN, 1))]))
+    return Sparse((ids % CONTENT).astype(np.int32), np.bincount(ids // CONTENT, minlength=len(texts)))
+
+
+KNOWN_SIGNS: dict[str, bool] = {}
+
+
+def sign_chars(text: str) -> int:
+    """Characters that SIGNS matches."""
+    total = 0
+    for c in set(text):
+        sign = KNOWN_SIGNS.get(c)
+        if sign is None:
+            sign = KNOWN_SIGNS[c] = SIGNS.fullmatch(c) is not None
+        if sign:
+            total += text.count(c)
+    return total
 
 
 def metadata_ids(lang: str | None, source: str | None, text: str) -> list[int]:
@@ -106,7 +124,7 @@ def metadata_ids(lang: str | None, source: str | None, text: str) -> list[int]:
     lines = text.split("\n")
     letters = sum(map(len, words)) or 1
     upper = sum(map(str.isupper, words)) / (len(words) or 1)
-    signs = sum(map(len, SIGNS.findall(text)))
+    signs = sign_chars(text)
     digits = sum(map(text.count, "0123456789"))
     measures = {
         "chars": math.log2(n), "words": math.log2(len(words) + 1), "lines": math.log2(len(lines)),
@@ -320,33 +338,46 @@ def word_counts(docs: DataFrame, sampled, starts) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labels, models = sampled.value, starts.value
-        sums = np.zeros((len(TARGETS), 2, CONTENT), np.int32)
-        counts = [[Counter(), Counter()] for _ in TARGETS]
+        sums = np.zeros((len(TARGETS), 2, PLACES), np.int32)
         rows = np.zeros((len(TARGETS), 2), np.int64)
+        # By what is known of a row: good, bad or nothing for each target.
+        counts: dict[tuple[int, ...], Counter] = {}
 
         def flush() -> None:
-            for t, pair in enumerate(counts):
-                for c, words in enumerate(pair):
-                    for word, n in words.items():
-                        for k in set(word_ids(word)):
-                            sums[t, c, k] += n
-                    words.clear()
+            places: dict[str, tuple[int, ...]] = {}
+            for told, words in counts.items():
+                at, n = array("i"), array("i")
+                for word, times in words.items():
+                    own = places.get(word)
+                    if own is None:
+                        own = places[word] = tuple(set(word_ids(word)))
+                    at.extend(own)
+                    n.extend([times] * len(own))
+                total = np.bincount(np.frombuffer(at, np.int32), weights=np.frombuffer(n, np.int32), minlength=PLACES).astype(np.int32) if at else 0
+                for t, c in enumerate(told):
+                    if c >= 0:
+                        sums[t, c] += total
+            counts.clear()
 
         for part in slices(batches):
             texts = [(t or "").split() for t in part["text"]]
             meta = Sparse.of(metadata_of(part))
+            label = np.full((len(texts), len(TARGETS)), -1)
             for t, target in enumerate(TARGETS):
-                if target not in models:
-                    continue
-                w, own = models[target]
-                p = sigmoid(np.clip(meta.dot(w[:-1]) + w[-1], -12, 12) * own[0] + own[1])
-                label = np.where(p >= SURE[-1], 1, np.where(p <= 1 - SURE[-1], 0, -1))
-                for row, (key, words) in enumerate(zip(part["id"], texts)):
-                    told = labels[key][t] if key in labels else label[row]
-                    if told is not None and told >= 0:
-                        counts[t][int(told)].update(set(words))
-                        rows[t, int(told)] += 1
-            if sum(len(c) for pair in counts for c in pair) > REMEMBERED:
+                if target in models:
+                    w, own = models[target]
+                    p = sigmoid(np.clip(meta.dot(w[:-1]) + w[-1], -12, 12) * own[0] + own[1])
+                    label[:, t] = np.where(p >= SURE[-1], 1, np.where(p <= 1 - SURE[-1], 0, -1))
+            for row, (key, words) in enumerate(zip(part["id"], texts)):
+                if key in labels:
+                    label[row] = [-1 if v is None or target not in models else int(v) for target, v in zip(TARGETS, labels[key])]
+                told = tuple(label[row].tolist())
+                if max(told) >= 0:
+                    counts.setdefault(told, Counter()).update(set(words))
+                    for t, c in enumerate(told):
+                        if c >= 0:
+                            rows[t, c] += 1
+            if sum(map(len, counts.values())) > REMEMBERED:
                 flush()
         flush()
         for t in range(len(TARGETS)):
@@ -359,7 +390,7 @@ def word_counts(docs: DataFrame, sampled, starts) -> DataFrame:
 
 
 def words_to_read(counts: DataFrame) -> np.ndarray:
-    """Marks the places whose words tell something about a target: at most READ, those of the highest chi-square."""
+    """Numbers of the places whose words tell something about a target, -1 elsewhere: at most READ, those of the highest chi-square."""
     counts = cut_lineage(counts)
     rows = counts.filter("place < 0").select("target", F.col("good").alias("g"), F.col("bad").alias("b"))  # a row per target
     n, k = (F.col("g") + F.col("b")).cast("double"), (F.col("good") + F.col("bad")).cast("double")
@@ -367,8 +398,9 @@ def words_to_read(counts: DataFrame) -> np.ndarray:
     proof = n * F.pow(F.col("good") * n - k * F.col("g"), F.lit(2.0)) / spread
     found = counts.filter("place >= 0").join(F.broadcast(rows), "target").withColumn("proof", proof).filter((k >= FEWEST) & (F.col("proof") >= PROOF))
     best = found.groupBy("place").agg(F.max("proof").alias("proof")).orderBy(F.desc("proof"), "place").limit(READ)
-    read = np.zeros(CONTENT, dtype=bool)
-    read[[r.place for r in best.select("place").collect()]] = True
+    read = np.full(PLACES, -1, np.int32)
+    chosen = sorted(r.place for r in best.select("place").collect())
+    read[chosen] = np.arange(len(chosen))
     return read
 
 
@@ -471,7 +503,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
 
 def slim(models: dict) -> dict:
-    """The models with single-precision weights: 2^20 + 2^10 of each."""
+    """The models with single-precision weights: 2^18 + 2^10 of each."""
     return {t: {k: v.astype(np.float32) if k in ("content", "metadata") else v for k, v in m.items()} for t, m in models.items()}
 
 
