@@ -40,14 +40,15 @@ from starloom.session import cut_lineage
 
 MAX_LABELLED = 8_000  # labelled rows to fit on: four fifths train, one fifth calibrates
 SURE = (0.995, 0.99, 0.98)  # by round: calibrated probability from which a view labels for the other
-READ = 1 << 16        # words, beginnings and signs that the content view reads at most, the most telling ones
+READ = 1 << 13        # words, beginnings and signs that the content view reads at most, the most telling ones
 FEWEST, PROOF = 5, 20.0  # rows and chi-square from which a feature can tell something
 PLACES = 1 << 20      # hashed words, their beginnings and signs, of which the telling ones are read
 BEGINNINGS = (3, 4, 5, 6, 7)  # characters
 OFTEN = (2, 4, 8)     # times from which a word, beginning or sign is a feature of its own
 CONTENT = READ * (1 + len(OFTEN))
 METADATA = 1 << 10    # hashed languages, sources and steps of the layout's measures
-REMEMBERED = 300_000  # words whose features a worker remembers; beyond, it begins anew
+REMEMBERED = 200_000  # words whose features a worker remembers; beyond, it begins anew
+COUNTED = 100_000     # different words that a worker counts before it adds them up by place
 TARGETS = ("quality", "clean")
 WIDTHS = {"content": CONTENT, "metadata": METADATA}
 
@@ -377,7 +378,7 @@ def word_counts(docs: DataFrame, sampled, starts) -> DataFrame:
                     for t, c in enumerate(told):
                         if c >= 0:
                             rows[t, c] += 1
-            if sum(map(len, counts.values())) > REMEMBERED:
+            if sum(map(len, counts.values())) > COUNTED:
                 flush()
         flush()
         for t in range(len(TARGETS)):
@@ -503,7 +504,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
 
 
 def slim(models: dict) -> dict:
-    """The models with single-precision weights: 2^18 + 2^10 of each."""
+    """The models with single-precision weights: CONTENT + METADATA of each."""
     return {t: {k: v.astype(np.float32) if k in ("content", "metadata") else v for k, v in m.items()} for t, m in models.items()}
 
 

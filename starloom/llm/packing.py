@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 from starloom.llm.common import per_process, slices
 from starloom.session import cut_lineage
 
-REMEMBERED = 1_000_000  # words whose ids a worker remembers, and as many parts of words; beyond, it begins anew
+REMEMBERED = 800_000  # words whose ids a worker remembers, and as many parts of words; beyond, it begins anew
 LONG = 1 << 24  # characters of words of more than 64 that a worker remembers
 JOINED = 256  # words that go to the library in one string
 BLANKS = re.compile(r"[ \n\t\r]+")
