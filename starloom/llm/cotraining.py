@@ -43,24 +43,34 @@ SURE = (0.995, 0.99, 0.98)  # by round: calibrated probability from which a view
 READ = 1 << 13        # words, beginnings and signs that the content view reads at most, the most telling ones
 FEWEST, PROOF = 5, 20.0  # rows and chi-square from which a feature can tell something
 PLACES = 1 << 20      # hashed words, their beginnings and signs, of which the telling ones are read
-BEGINNINGS = (3, 4, 5, 6, 7)  # characters
+BEGINNINGS = (3, 5, 7)  # characters
 OFTEN = (2, 4, 8)     # times from which a word, beginning or sign is a feature of its own
 CONTENT = READ * (1 + len(OFTEN))
 METADATA = 1 << 10    # hashed languages, sources and steps of the layout's measures
-REMEMBERED = 200_000  # words whose features a worker remembers; beyond, it begins anew
+REMEMBERED = 400_000  # words whose features a worker remembers; beyond, it begins anew
 COUNTED = 100_000     # different words that a worker counts before it adds them up by place
 TARGETS = ("quality", "clean")
 WIDTHS = {"content": CONTENT, "metadata": METADATA}
 
 EDGES = re.compile(r"^[^\w]+|[^\w]+$")
+BEGUN = zlib.crc32(b"\1")
 SIGNS = re.compile(r"[^\w\s.,;:?'\"()-]+")
 
 
 def word_ids(word: str) -> tuple[int, ...]:
     plain = word.isalnum()
     bare = word.lower() if plain else EDGES.sub("", word).lower()
-    found = [zlib.crc32(bare.encode()) % PLACES] if bare else []
-    found += [zlib.crc32(b"\1" + bare[:k].encode()) % PLACES for k in BEGINNINGS if k < len(bare)]
+    data = bare.encode()
+    found = [zlib.crc32(data) % PLACES] if bare else []
+    if len(data) == len(bare):  # one byte a character: the checksum goes on from beginning to beginning
+        at, sum_ = 0, BEGUN
+        for k in BEGINNINGS:
+            if k >= len(bare):
+                break
+            sum_, at = zlib.crc32(data[at:k], sum_), k
+            found.append(sum_ % PLACES)
+    else:
+        found += [zlib.crc32(bare[:k].encode(), BEGUN) % PLACES for k in BEGINNINGS if k < len(bare)]
     return tuple(found) if plain else tuple(found + [zlib.crc32(b"\0" + x.encode()) % PLACES for x in SIGNS.findall(word)])
 
 
