@@ -11,11 +11,14 @@ Two machines read a text once:
   precedes. Two tokens may follow each other when merging their joined bytes
   gives these two tokens again.
 
-A text is read in chunks. A chunk's state map is (head, count, tail): at a single
-space between two other characters every state of the splitter goes over to the
-same state, so what lies between the first and the last such space has one count
-whatever came before, and only the open head and tail wait for the neighbours.
-State maps compose associatively, and a prefix scan composes those of a text.
+A text is read in chunks. A chunk's state map is (head, count, tail). Between two
+characters of different kinds every state of the splitter goes over to the same
+state (but for an apostrophe before a letter, and after white space), so what lies
+between the first and the last such place of a chunk has one count whatever came
+before, and only the open head and tail, parts of one piece each, wait for the
+neighbours. State maps compose associatively, and the up-sweep of a prefix scan
+composes those of a text. Parts of a piece stay in the chunks they came from until
+the piece is whole, so every character is read a fixed number of times.
 """
 
 from __future__ import annotations
@@ -35,8 +38,10 @@ REMEMBERED = 800_000  # words whose path through the transducers a worker rememb
 SPACES = set("\t\n\v\f\r \x85\xa0                　")
 # An apostrophe and these letters make a piece of their own.
 ENDINGS = {"s": None, "t": None, "m": None, "d": None, "r": "e", "v": "e", "l": "l"}
-# Fixed value: the only splitting expression of byte-level tokenizers that is compiled here.
-SYNC = re.compile(r"(?<=\S)(?= \S)")
+_SPACE = "".join(sorted(SPACES))
+# Words with the white space before them: what follows other characters begins anew at white space.
+WORDS = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+")
+STRETCH = 1 << 12    # bytes of a piece between two cuts of what the transducer remembers
 
 
 def byte_letters() -> dict[str, int]:
@@ -70,6 +75,11 @@ class Splitter:
             self.kinds[c] = k
         return k
 
+    def resets(self, a: str, b: str) -> bool:
+        """Whether a piece ends between these two characters and the next begins as at a text's start, whatever came before."""
+        before, after = self.kind(a), self.kind(b)
+        return before != after and before != "w" and not (a == "'" and after == "l")
+
     def pieces(self, text: str) -> list[str]:
         out: list[str] = []
         start, state, n = 0, "S", len(text)
@@ -137,6 +147,7 @@ class PieceTransducer:
                 if node == len(self.ends):
                     self.ends.append(-1)
             self.ends[node] = number
+        self.longest = max(map(len, self.token))
         self.follows: dict[int, bool] = {}
         self.edges: dict[tuple[int, int], list] = {}
 
@@ -172,22 +183,32 @@ class PieceTransducer:
         if piece in self.token:
             return 1
         backward, ends, follows = self.backward, self.ends, self.follows
-        n = len(piece)
-        last, count = [-1] * (n + 1), [0] * (n + 1)
-        for i in range(1, n + 1):
-            node, j = 0, i
-            while True:
-                j -= 1
-                node = backward[node << 8 | piece[j]]
-                t = ends[node]
-                if t >= 0:
-                    if j == 0:
-                        break
-                    ok = follows.get(last[j] << 32 | t)
-                    if ok or (ok is None and self.may_follow(last[j], t)):
-                        break
-            last[i], count[i] = t, count[j] + 1
-        return count[n]
+        # The state: last token and count at the places that the longest token can reach back to. -1 is the piece's start.
+        last, count, read = [-1], [0], b""
+        for at in range(0, len(piece), STRETCH):
+            part = read + piece[at:at + STRETCH]
+            for i in range(len(last), len(part) + 1):
+                node, j = 0, i
+                while True:
+                    j -= 1
+                    node = backward[node << 8 | part[j]]
+                    t = ends[node]
+                    if t >= 0:
+                        before = last[j]
+                        if before < 0:
+                            break
+                        ok = follows.get(before << 32 | t)
+                        if ok or (ok is None and self.may_follow(before, t)):
+                            break
+                last.append(t)
+                count.append(count[j] + 1)
+            gone = max(0, len(part) - self.longest)
+            del last[:gone], count[:gone]
+            read = part[gone:]
+        return count[-1]
+
+
+Parts = tuple[str, ...]  # of one piece, in order
 
 
 class TokenCounter:
@@ -224,46 +245,43 @@ class TokenCounter:
             total += n
         return total
 
-    def chunk_map(self, chunk: str) -> tuple[str, int, str | None]:
+    def chunk_map(self, chunk: str) -> tuple[Parts, int, Parts | None]:
         """(head, count, tail); tail None where the chunk has no reset and all of it is head."""
-        parts = SYNC.split(chunk)
-        if len(parts) == 1:
-            return chunk, 0, None
-        return parts[0], self.words(parts[1:-1]), parts[-1]
+        resets, n = self.splitter.resets, len(chunk)
+        first = next((i for i in range(1, n) if resets(chunk[i - 1], chunk[i])), None)
+        if first is None:
+            return (chunk,) if chunk else (), 0, None
+        last = next(i for i in range(n - 1, 0, -1) if resets(chunk[i - 1], chunk[i]))
+        return (chunk[:first],), self.words(WORDS.findall(chunk[first:last])), (chunk[last:],)
+
+    def whole(self, parts: Parts) -> int:
+        return self.words(["".join(parts)]) if parts else 0
 
     def compose(self, a: tuple, b: tuple) -> tuple:
-        """Associative. A tail and the head after it become one string, which may hold resets."""
-        open_ = (a[0] if a[2] is None else a[2]) + b[0]
-        inner = self.chunk_map(open_)
-        head, count, tail = inner
-        if a[2] is not None:  # open_ starts at a reset: its own head counts too
-            if tail is None:
-                head, count, tail = a[0], a[1], head
-            else:
-                head, count, tail = a[0], a[1] + self.words([head]) + count, tail
-        if b[2] is not None:  # open_ ends at a reset
-            if tail is None:
-                tail, count = b[2], count + b[1]
-            else:
-                tail, count = b[2], count + self.words([tail]) + b[1]
-        return head, count, tail
-
-    def scan(self, maps: list[tuple]) -> list[tuple]:
-        """Inclusive prefix scan in a logarithmic number of steps."""
-        step = 1
-        while step < len(maps):
-            maps = maps[:step] + [self.compose(maps[i - step], maps[i]) for i in range(step, len(maps))]
-            step *= 2
-        return maps
+        """Associative. Heads and tails hold no reset, so there may be one between a tail and a head only."""
+        (head, count, tail), (head_b, count_b, tail_b) = a, b
+        open_ = head if tail is None else tail
+        if not open_ or not head_b:  # an empty text
+            return a if open_ else b
+        if self.splitter.resets(open_[-1][-1], head_b[0][0]):
+            count += count_b + (0 if tail is None else self.whole(tail))
+            return (head, count, head_b) if tail_b is None else (head, count + self.whole(head_b), tail_b)
+        open_ += head_b
+        if tail is None:
+            return open_, count_b, tail_b
+        return (head, count, open_) if tail_b is None else (head, count + self.whole(open_) + count_b, tail_b)
+
+    def composed(self, maps: list[tuple]) -> tuple:
+        """The up-sweep of a prefix scan: neighbours in pairs, in a logarithmic number of steps."""
+        while len(maps) > 1:
+            maps = [self.compose(*maps[i:i + 2]) if i + 1 < len(maps) else maps[i] for i in range(0, len(maps), 2)]
+        return maps[0]
 
     def plain(self, text: str) -> int:
-        if not text:
-            return 0
         if len(text) <= CHUNK:
-            return self.words(SYNC.split(text))
-        maps = [self.chunk_map(text[at:at + CHUNK]) for at in range(0, len(text), CHUNK)]
-        head, count, tail = self.scan(maps)[-1]
-        return count + self.words([head] if tail is None else [head, tail])
+            return self.words(WORDS.findall(text))
+        head, count, tail = self.composed([self.chunk_map(text[at:at + CHUNK]) for at in range(0, len(text), CHUNK)])
+        return self.whole(head) + count + (0 if tail is None else self.whole(tail))
 
     def __call__(self, text: str) -> int:
         if self.special is None:

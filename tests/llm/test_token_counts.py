@@ -1,6 +1,7 @@
 """Counts of the compiled transducers against the library."""
 
 import random
+import time
 
 import public_tokenizers
 import pytest
@@ -43,7 +44,25 @@ def test_composition_is_associative(counter):
         text = text.replace("<|endoftext|>", "")
         a, b, c = (counter.chunk_map(p) for p in (text[:9], text[9:30], text[30:]))
         left, right = counter.compose(counter.compose(a, b), c), counter.compose(a, counter.compose(b, c))
-        assert left == right
+        joined = [("".join(head), count, None if tail is None else "".join(tail)) for head, count, tail in (left, right)]
+        assert joined[0] == joined[1]
+
+
+@pytest.mark.parametrize("unit", ["abcdefgh\n", "x", "a1", "日本語", "'", " ", "\n", "ab'r", "é#"])
+def test_long_texts_without_blanks_take_time_in_proportion(counter, library, unit):
+    text = unit * (300_000 // len(unit))
+    begun = time.process_time()
+    got = counter(text)
+    assert time.process_time() - begun < 5
+    assert got == len(library.encode(text, add_special_tokens=False).ids)
+
+
+def test_composition_reads_no_part_twice(counter, monkeypatch):
+    read = []
+    monkeypatch.setattr(counter, "words", lambda words: read.extend(map(len, words)) or 0)
+    text = "abcdefg" * 50_000 + "1" * 70_000
+    counter(text)
+    assert sum(read) == len(text)
 
 
 def test_rows(spark, library):
