@@ -4,8 +4,8 @@ Budgets go down the tree. Siblings share their parent's budget by weight; a node
 gets no more than it can supply in the allowed number of epochs, and what it cannot
 take goes to its siblings, again by weight. A parent's own supply is that of its
 children, so only what all siblings together cannot take falls to the ancestors'
-siblings. Each level is one window over the nodes, without rounds: in the order of
-supply per unit of weight, the saturated ones come first.
+siblings. Each level is one row per node and one window per parent, without rounds: in
+the order of supply per unit of weight, the saturated ones come first.
 
 A leaf's documents are ordered anew in each epoch by a seeded hash. Whole epochs take
 every document, the last one takes the prefix of documents before which less than
@@ -39,40 +39,46 @@ def weight_of(weights: Mapping[tuple[str, ...], float], default: Sequence[float]
     return out
 
 
-def budgets(leaves: DataFrame, depth: int, total: Column, weights: Mapping[tuple[str, ...], float], default: Sequence[float], max_epochs: float) -> DataFrame:
-    """leaves (_p0.., tokens, total) with each leaf's budget. One row per leaf throughout."""
+def shared(nodes: DataFrame, siblings: Sequence[Column | str], path: Sequence[str]) -> DataFrame:
+    """nodes (_s supply, _w weight, _b budget of the parent) with _b their own budgets.
+
+    In the order of supply per unit of weight the saturated ones come first; the others
+    share the rest by weight.
+    """
+    live = F.col("_s") > 0
+    nodes = nodes.withColumn("_w", F.when(live, F.col("_w")).otherwise(0.0)).withColumn("_r", F.when(live, F.col("_s") / F.col("_w")).otherwise(0.0))
+    every = W.partitionBy(*siblings)
+    upto = every.orderBy("_r", *path).rowsBetween(W.unboundedPreceding, W.currentRow)
+    nodes = nodes.withColumn("_before", F.sum("_s").over(upto) - F.col("_s"))
+    nodes = nodes.withColumn("_heavy", F.sum("_w").over(every) - F.sum("_w").over(upto) + F.col("_w"))
+    # With all nodes before saturated, this one and those after share the rest by weight.
+    mark = F.when((F.col("_heavy") > 0) & live, (F.col("_b") - F.col("_before")) / F.col("_heavy"))
+    # The rest per weight at the first node that is not saturated; it only falls after that.
+    nodes = nodes.withColumn("_mark", mark).withColumn("_water", F.max(F.when(F.col("_mark") < F.col("_r"), F.col("_mark"))).over(every))
+    share = F.when(F.col("_water").isNull() | (F.col("_r") <= F.col("_water")), F.col("_s")).otherwise(F.col("_water") * F.col("_w"))
+    return nodes.withColumn("_b", F.when(live, F.greatest(share, F.lit(0.0))).otherwise(0.0))
+
+
+def budgets(leaves: DataFrame, depth: int, total: float | None, weights: Mapping[tuple[str, ...], float], default: Sequence[float], max_epochs: float) -> DataFrame:
+    """leaves (_p0.., tokens) with each leaf's budget; total is all their tokens if None.
+
+    Supplies are summed up level by level, budgets joined down again. A level has one row
+    per node and a window per parent, so only the domains meet in a common one.
+    """
     path = [f"_p{k}" for k in range(depth)]
-    shown = leaves.select(*path, "tokens", total.alias("_total"))
-    for level in range(depth):
-        shown = shown.withColumn(f"_w{level}", weight_of(weights, default, level))
     open_ = F.lit(True)
     for level in range(depth):
-        open_ = open_ & (F.col(f"_w{level}") > 0)
-    nodes = shown.withColumn("_supply", F.when(open_, F.col("tokens") * F.lit(float(max_epochs))).otherwise(0.0))
-    # Supplies of all levels beside each leaf, then budgets from the top.
-    for level in range(depth):
-        nodes = nodes.withColumn(f"_s{level}", F.sum("_supply").over(W.partitionBy(*path[:level + 1])))
-    nodes = nodes.withColumn("_b", F.least("_total", F.sum("_supply").over(W.partitionBy(F.lit(0)))))
-    for level in range(depth):
-        parent = path[:level] or [F.lit(0)]
-        first = F.row_number().over(W.partitionBy(*path[:level + 1]).orderBy(*path)) == 1
-        # Each node counts once, by its first leaf.
-        nodes = nodes.withColumn("_w", F.when(first & (F.col(f"_s{level}") > 0), F.col(f"_w{level}")).otherwise(0.0)).withColumn("_s", F.when(first, F.col(f"_s{level}")).otherwise(0.0))
-        ratio = F.when(F.col(f"_s{level}") > 0, F.col(f"_s{level}") / F.col(f"_w{level}")).otherwise(F.lit(0.0))
-        nodes = nodes.withColumn("_r", ratio)
-        by_ratio = W.partitionBy(*parent).orderBy("_r", *path[:level + 1])
-        upto = by_ratio.rangeBetween(W.unboundedPreceding, W.currentRow)
-        before = F.sum("_s").over(upto) - F.col(f"_s{level}")
-        heavy = F.sum("_w").over(W.partitionBy(*parent)) - F.sum("_w").over(upto) + F.when(F.col(f"_s{level}") > 0, F.col(f"_w{level}")).otherwise(0.0)
-        # With all nodes before saturated, this one and those after share the rest by weight.
-        nodes = nodes.withColumn("_before", before).withColumn("_heavy", heavy)
-        mark = F.when((F.col("_heavy") > 0) & (F.col("_s") > 0), (F.col("_b") - F.col("_before")) / F.col("_heavy"))
-        nodes = nodes.withColumn("_mark", mark)
-        # The rest per weight at the first node that is not saturated; it only falls after that.
-        water = F.max(F.when(F.col("_mark") < F.col("_r"), F.col("_mark"))).over(W.partitionBy(*parent))
-        nodes = nodes.withColumn("_water", water)
-        share = F.when(F.col("_water").isNull() | (F.col("_r") <= F.col("_water")), F.col(f"_s{level}")).otherwise(F.col("_water") * F.col(f"_w{level}"))
-        nodes = nodes.withColumn("_b", F.when(F.col(f"_s{level}") > 0, F.greatest(share, F.lit(0.0))).otherwise(0.0))
+        open_ = open_ & (weight_of(weights, default, level) > 0)
+    tree = [leaves.select(*path, "tokens", F.when(open_, F.col("tokens") * F.lit(float(max_epochs))).otherwise(0.0).alias("_s"))]
+    for level in range(depth - 1, 0, -1):
+        tree.append(tree[-1].groupBy(*path[:level]).agg(F.sum("tokens").alias("tokens"), F.sum("_s").alias("_s")))
+    top = W.partitionBy(F.lit(0))
+    goal = F.sum("tokens").over(top).cast("double") if total is None else F.lit(float(total))
+    nodes = shared(tree[-1].withColumn("_b", F.least(goal, F.sum("_s").over(top))).withColumn("_w", weight_of(weights, default, 0)), [F.lit(0)], path[:1])
+    for level in range(1, depth):
+        above = nodes.select(*path[:level], "_b")
+        below = tree[depth - 1 - level].withColumn("_w", weight_of(weights, default, level))
+        nodes = shared(below.join(above, path[:level]), path[:level], path[:level + 1])
     return nodes.select(*path, "tokens", F.col("_b").alias("budget"))
 
 
@@ -94,9 +100,9 @@ def mix(
     names = [f"_p{k}" for k in range(depth)]
     plain = [c for c in docs.columns if c != "mix"]
     rows = docs.select(F.struct(*plain).alias("row"), *(F.coalesce(c.cast("string"), F.lit(NONE)).alias(n) for n, c in zip(names, path)), F.coalesce(tokens, F.lit(0)).cast("long").alias("_t"))
-    leaves = rows.groupBy(*names).agg(F.sum("_t").alias("tokens"))
-    everything = F.sum("tokens").over(W.partitionBy(F.lit(0))).cast("double")
-    plan = budgets(leaves, depth, F.lit(float(total)) if total is not None else everything, weights, default or [1.0] * depth, max_epochs)
+    # Written: every level of the tree reads the leaves.
+    leaves = cut_lineage(rows.groupBy(*names).agg(F.sum("_t").alias("tokens")))
+    plan = budgets(leaves, depth, total, weights, default or [1.0] * depth, max_epochs)
     whole = F.when(F.col("tokens") > 0, F.least(F.floor(F.col("budget") / F.col("tokens") + 1e-12), F.lit(max_epochs))).otherwise(F.when(F.col("budget") > 0, 1).otherwise(0))
     plan = plan.withColumn("_whole", whole).withColumn("_rest", F.greatest(F.round(F.col("budget") - F.col("_whole") * F.col("tokens"), 6), F.lit(0.0)))
     # Written: its size then tells Catalyst whether it may be sent to all tasks.

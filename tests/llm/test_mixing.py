@@ -69,3 +69,15 @@ def test_edges(spark):
     hot = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("A").alias("d"), F.lit(10).cast("long").alias("t"))
     got = M.mix(hot, *args, total=12_345.0).agg(F.sum(F.col("mix.copies") * 10)).first()[0]
     assert got == 12_350
+
+
+def test_budgets_of_many_leaves(spark):
+    leaves = [(f"d{k % 3}", f"l{k % 7}", f"s{k}", 10 + k * k % 97) for k in range(300)]
+    got = {(r._p0, r._p1, r._p2): r.budget for r in M.budgets(spark.createDataFrame(leaves, "_p0 string, _p1 string, _p2 string, tokens long"), 3, 9000.0, {("d1",): 5.0}, [1, 1, 1], 2).collect()}
+    supply = {leaf[:3]: 2.0 * leaf[3] for leaf in leaves}
+    under = lambda *path: {k: v for k, v in supply.items() if k[:len(path)] == path}
+    want = {}
+    for d, b in poured(9000.0, {d: (5.0 if d == "d1" else 1.0, sum(under(d).values())) for d in ("d0", "d1", "d2")}).items():
+        for lang, c in poured(b, {lang: (1.0, sum(under(d, lang).values())) for lang in {k[1] for k in under(d)}}).items():
+            want |= poured(c, {k: (1.0, v) for k, v in under(d, lang).items()})
+    assert got.keys() == want.keys() and all(abs(got[k] - v) < 1e-6 for k, v in want.items())
