@@ -482,7 +482,8 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     # In the order of a hash, so that every fifth is a fair sample.
     order = sorted(range(len(ids)), key=lambda k: (zlib.crc32(str(ids[k]).encode()), str(ids[k])))
     metadata = sparse(told["metadata"]).take(np.array(order, np.int64))
-    marks = {t: [told[t].to_pylist()[k] for k in order] for t in TARGETS}
+    given = {t: told[t].to_pylist() for t in TARGETS}
+    marks = {t: [given[t][k] for k in order] for t in TARGETS}
     known = {t: np.flatnonzero([m is not None for m in marks[t]]) for t in TARGETS}
     goods = {t: np.array([bool(marks[t][k]) for k in known[t]], dtype=bool) for t in TARGETS}
     targets = [t for t in TARGETS if min(goods[t].sum(), (~goods[t]).sum()) >= 5]
