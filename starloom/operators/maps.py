@@ -7,6 +7,8 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 PIXEL = ["map_id", "row_", "col_"]
@@ -29,28 +31,110 @@ def render(
     """Model image per sample: sources times the PSF of their sub-pixel phase,
     plus background and templates. Sources on the border are dropped.
 
-    Sources of one pixel and phase are added up first, so a crowded pixel costs
-    one stencil. Stencils, background and templates are rows of one union with
-    one sum per pixel, which starts before the shuffle.
+    Sources move once, to the square blocks of the map that their stencils touch,
+    and those of one pixel and phase are added up there, so a crowded pixel costs
+    one stencil. Stencils, background and templates become pixels block by block
+    in the tasks, so neither stencils nor pixels are shuffled.
 
-    `psf` has (phase_x, phase_y, drow, dcol, w); `background` has the keys and
-    one column per band, `templates` keys, row_, col_ and one column per band.
+    `psf` has (phase_x, phase_y, drow, dcol, w), phases squared stencils of fixed
+    size; `background` has the keys and one column per band, `templates` keys,
+    row_, col_ and one column per band.
     """
     x, y = F.col("x"), F.col("y")
     inside = ens.where((x > 0) & (x < width - 1) & (y > 0) & (y < height - 1))
     phase = lambda c: F.least(F.floor((F.ceil(c) - c) * phases), F.lit(phases - 1).cast("bigint"))
-    merged = inside.groupBy(
-        *keys, F.ceil(y).alias("iy"), F.ceil(x).alias("ix"), phase(x).alias("phase_x"), phase(y).alias("phase_y")
-    ).agg(*[F.sum(b).alias(b) for b in bands])
-    stamps = merged.join(psf, ["phase_x", "phase_y"]).select(
-        *keys, (F.col("iy") + F.col("drow")).alias("row_"), (F.col("ix") + F.col("dcol")).alias("col_"),
-        *[(F.col(b) * F.col("w")).alias(b) for b in bands],
-    )
-    on_map = stamps.where(F.col("row_").between(0, height - 1) & F.col("col_").between(0, width - 1))
-    parts = on_map.unionByName(full_grid(background, height, width).select(*keys, "row_", "col_", *bands))
+    stencils = np.array([tuple(r) for r in psf.select(*(F.col(c).cast("double") for c in PSF)).dropna().collect()]).reshape(-1, len(PSF))
+    at, block, values = ["_iy", "_ix", "_phase"], [*keys, "_br", "_bc"], list(bands)
+
+    def touched(c, reach, n):
+        lo, hi = F.greatest(F.col(c) + int(reach.min()), F.lit(0)), F.least(F.col(c) + int(reach.max()), F.lit(n - 1))
+        return F.when(lo <= hi, F.sequence(F.floor(lo / float(BLOCK)).cast("int"), F.floor(hi / float(BLOCK)).cast("int")))
+
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit((n - 1) // BLOCK)))
+    none = F.lit(None).cast("int")
+    parts = background.select(*keys, none.alias("_iy"), none.alias("_ix"), F.lit(FLAT).alias("_phase"), *values)
+    parts = parts.withColumn("_br", every(height)).withColumn("_bc", every(width))
+    if len(stencils):
+        sources = inside.select(
+            *keys, F.ceil(y).cast("int").alias("_iy"), F.ceil(x).cast("int").alias("_ix"), (phase(x) * phases + phase(y)).cast("int").alias("_phase"), *values
+        )
+        sources = sources.withColumn("_br", F.explode(touched("_iy", stencils[:, 2], height)))
+        parts = parts.unionByName(sources.withColumn("_bc", F.explode(touched("_ix", stencils[:, 3], width))))
     if templates is not None:
-        parts = parts.unionByName(templates.select(*keys, "row_", "col_", *bands))
-    return parts.groupBy(*keys, "row_", "col_").agg(*[F.sum(b).alias(b) for b in bands])
+        home = [F.floor(F.col(c) / float(BLOCK)).cast("int").alias(b) for c, b in (("row_", "_br"), ("col_", "_bc"))]
+        place = [F.col("row_").cast("int").alias("_iy"), F.col("col_").cast("int").alias("_ix")]
+        parts = parts.unionByName(templates.select(*keys, *place, F.lit(PIXELS).alias("_phase"), *values, *home))
+    merged = parts.repartition(*block).groupBy(*block, *at).agg(*[F.sum(b).alias(b) for b in values])
+    known = [F.col(b).isNotNull().cast("double").alias(f"_has_{b}") for b in values]
+    terms = F.struct(*(F.coalesce(F.col(c), F.lit(-1)).alias(c) for c in at), *(F.coalesce(F.col(b).cast("double"), F.lit(0.0)).alias(b) for b in values), *known)
+    packed = merged.groupBy(*block).agg(F.collect_list(terms).alias("_t"))
+    fields = [*at, *values, *(f"_has_{b}" for b in values)]
+    packed = packed.select(*block, *[F.col(f"_t.{c}").alias(f"_t_{c}") for c in fields])
+    types = dict(ens.dtypes)
+    out = ", ".join([*(f"`{k}` {types[k]}" for k in keys), "row_ bigint", "col_ bigint", *(f"`{b}` double" for b in values)])
+    return packed.mapInArrow(_painter(stencils, height, width, phases, list(keys), values), out)
+
+
+PSF = ["phase_x", "phase_y", "drow", "dcol", "w"]
+BLOCK = 32  # side of the blocks of a map that are painted at once
+FLAT, PIXELS = -1, -2  # in place of a phase: the whole block, one pixel
+STAMPED = 1 << 20  # pixels of stencils that a task holds at a time
+
+
+def _painter(stencils: np.ndarray, height: int, width: int, phases: int, keys: list[str], bands: list[str]):
+    """Batches of blocks (keys, _br, _bc, lists of what is added there) to batches of pixels."""
+    number = (stencils[:, 0] * phases + stencils[:, 1]).astype(np.int64)
+    order = np.argsort(number, kind="stable")
+    number, (drow, dcol), w = number[order], stencils[order, 2:4].T.astype(np.int64), stencils[order, 4]
+    starts, ends = (np.searchsorted(number, np.arange(phases * phases), side) for side in ("left", "right"))
+    cells = BLOCK * BLOCK
+
+    def paint(batch: pa.RecordBatch) -> pa.RecordBatch:
+        n = batch.num_rows
+        sizes = pc.list_value_length(batch.column("_t__phase")).to_numpy()
+        of = np.repeat(np.arange(n), sizes)
+        flat = lambda c: batch.column(f"_t_{c}").flatten().to_numpy()
+        iy, ix, kind = (flat(c).astype(np.int64) for c in ("_iy", "_ix", "_phase"))
+        top, left = (batch.column(c).to_numpy().astype(np.int64) * BLOCK for c in ("_br", "_bc"))
+        stamps, ones, whole = (np.flatnonzero(m) for m in (kind >= 0, kind == PIXELS, kind == FLAT))
+        count = (ends - starts)[kind[stamps]]
+        which = np.repeat(stamps, count)
+        cell = np.repeat(starts[kind[stamps]], count) + np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+        row, col, weight = iy[which] + drow[cell], ix[which] + dcol[cell], w[cell]
+        on_map = (row >= 0) & (row < height) & (col >= 0) & (col < width)
+        which, row, col, weight = (np.concatenate([a[on_map], b]) for a, b in ((which, ones), (row, iy[ones]), (col, ix[ones]), (weight, np.ones(len(ones)))))
+        r, c = row - top[of[which]], col - left[of[which]]
+        here = (r >= 0) & (r < BLOCK) & (c >= 0) & (c < BLOCK)
+        which, weight, to = which[here], weight[here], (of[which] * cells + r * BLOCK + c)[here]
+        # Pixels of each block that lie on the map.
+        rows, cols = top[:, None] + np.arange(BLOCK), left[:, None] + np.arange(BLOCK)
+        inside = (((rows >= 0) & (rows < height))[:, :, None] & ((cols >= 0) & (cols < width))[:, None, :]).reshape(n, cells)
+        under = inside & (np.bincount(of[whole], minlength=n) > 0)[:, None]
+        shown = np.flatnonzero((np.bincount(to, minlength=n * cells) > 0) | under.ravel())
+        block = shown // cells
+        planes = []
+        for b in bands:
+            v, has = flat(b), flat(f"_has_{b}")
+            z = np.bincount(to, weights=v[which] * weight, minlength=n * cells).reshape(n, cells)
+            known = np.bincount(to, weights=has[which], minlength=n * cells).reshape(n, cells)
+            z = z + np.where(under, np.bincount(of[whole], weights=v[whole], minlength=n)[:, None], 0.0)
+            known = known + np.where(under, np.bincount(of[whole], weights=has[whole], minlength=n)[:, None], 0.0)
+            planes.append(pa.array(z.ravel()[shown], mask=known.ravel()[shown] == 0))
+        places = [pa.array(top[block] + shown % cells // BLOCK), pa.array(left[block] + shown % BLOCK)]
+        return pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(block)) for k in keys), *places, *planes], names=[*keys, "row_", "col_", *bands])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        largest = max(1, int((ends - starts).max(initial=1)))
+        for batch in batches:
+            size = pc.list_value_length(batch.column("_t__phase")).to_numpy()
+            total = np.cumsum(size * largest + cells)
+            at = 0
+            while at < batch.num_rows:
+                to = max(at + 1, int(np.searchsorted(total, (total[at - 1] if at else 0) + STAMPED, side="right")))
+                yield paint(batch.slice(at, to - at))
+                at = to
+
+    return run
 
 
 def residuals(pixels: DataFrame, model: DataFrame, weight: str | None = None) -> DataFrame:
