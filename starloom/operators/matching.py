@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -111,7 +112,8 @@ def match_nearest(
     flux lies within `frac` of the truth. Equal distances go to the brighter.
 
     The nearest is a running minimum, combined before the shuffle; no group of
-    candidates is ever gathered.
+    candidates is ever gathered. All bands of a pair are compared in one row, and
+    become rows of their own when the nearest are known.
     """
     left = _named(truth.select(*on, key, "x", "y", *bands), "t_", [*on, key])
     right = _named(ens.select(*on, "sample_id", "x", "y", *bands), "d_", [*on, "sample_id"])
@@ -119,29 +121,24 @@ def match_nearest(
         right, left, pos, on, a_xy=("d_x", "d_y"), b_xy=("t_x", "t_y"), inclusive=False
     )
     tie = [(-F.col(f"d_{bands[0]}")).alias("t0")] + [F.col(f"d_{b}").alias(f"t_{b}") for b in bands[1:]]
-    per_band = F.explode(
-        F.array(
-            *[
-                F.struct(
-                    F.lit(k).cast("bigint").alias("band"),
-                    F.col(f"t_{b}").alias("true_flux"),
-                    F.col(f"d_{b}").alias("flux"),
-                )
-                for k, b in enumerate(bands)
-            ]
+    agrees = [F.abs(F.col(f"d_{b}") - F.col(f"t_{b}")) / F.col(f"t_{b}") < frac for b in bands]
+    best = [
+        F.min(F.when(a, F.struct("d2", *tie, F.col(f"d_{b}").alias("flux"), F.col(f"t_{b}").alias("true_flux")))).alias(f"_m{k}")
+        for k, (a, b) in enumerate(zip(agrees, bands))
+    ]
+    found = [
+        F.when(
+            F.col(f"_m{k}").isNotNull(),
+            F.struct(F.lit(k).cast("bigint").alias("band"), F.col(f"_m{k}.true_flux").alias("true_flux"), F.col(f"_m{k}.flux").alias("flux")),
         )
-    )
-    best = F.min(F.struct("d2", *[c for c in tie], F.col("_b.flux").alias("flux"))).alias("_m")
+        for k in range(len(bands))
+    ]
     return (
-        pairs.withColumn("_b", per_band)
-        .where(F.abs(F.col("_b.flux") - F.col("_b.true_flux")) / F.col("_b.true_flux") < frac)
-        .groupBy(*on, "sample_id", key, F.col("_b.band").alias("band"))
-        .agg(best, F.first("_b.true_flux").alias("true_flux"))
-        .select(
-            *on, "sample_id", key, "band", "true_flux",
-            F.col("_m.flux").alias("flux"),
-            (F.col("_m.flux") - F.col("true_flux")).alias("error"),
-        )
+        pairs.where(reduce(lambda a, b: a | b, agrees))
+        .groupBy(*on, "sample_id", key)
+        .agg(*best)
+        .select(*on, "sample_id", key, F.inline(F.array_compact(F.array(*found))))
+        .withColumn("error", F.col("flux") - F.col("true_flux"))
     )
 
 
@@ -174,7 +171,7 @@ def false_discoveries(
     for c in on:
         cond = cond & (F.col(c) == F.col(f"t_{c}"))
     cond = cond & (dx * dx + dy * dy < pos * pos) & (F.abs(F.col("t_flux") - F.col(flux)) / F.col(flux) < frac)
-    return det.join(ref, cond, "left_semi" if matched else "left_anti").drop("_tx", "_ty")
+    return det.join(ref.hint("merge"), cond, "left_semi" if matched else "left_anti").drop("_tx", "_ty")
 
 
 def match_completeness(

@@ -30,6 +30,45 @@ def catalogs(spark, tmp_path):
     return spark.read.parquet(f"{tmp_path}/t"), spark.read.parquet(f"{tmp_path}/d")
 
 
+def test_copied_references_are_not_broadcast(catalogs, capsys):
+    truth, det = catalogs
+    for out in (
+        M.associate(truth, det, 0.5, frac=0.5, value="f0"),
+        M.match_nearest(truth, det, 0.5, 0.5),
+        M.false_discoveries(det, truth, 0.5, 0.5),
+    ):
+        joins = [line for line in plan(out, capsys).splitlines() if "Join" in line and "_tx" in line]
+        assert len(joins) == 1 and "SortMergeJoin" in joins[0]
+
+
+def test_bands_of_a_pair_are_one_row_until_the_nearest_is_known(catalogs, capsys):
+    truth, det = catalogs
+    out = M.match_nearest(truth, det, 0.5, 0.2, ("f0", "f1"))
+    text = plan(out, capsys)
+    # From the top: the bands become rows above the first minimum, not below it.
+    assert text.index("Generate inline") < text.index("min(CASE WHEN")
+    t, d = truth.collect(), det.collect()
+    want = {}
+    for s in (0, 1):
+        for a in t:
+            near = [((a.x - b.x) ** 2 + (a.y - b.y) ** 2, -b.f0, b.f1, b) for b in d if b.sample_id == s]
+            for k, c in enumerate(("f0", "f1")):
+                fit = [n[:3] + (n[3][c],) for n in near if n[0] < 0.25 and abs(n[3][c] - a[c]) / a[c] < 0.2]
+                if fit:
+                    want[s, a.truth_id, k] = (a[c], min(fit)[3])
+    assert {(r.sample_id, r.truth_id, r.band): (r.true_flux, r.flux) for r in out.collect()} == want
+    assert any(k for *_, k in want) and len(want) < 160
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="test tables are not here")
+def test_tasks_of_the_detections_follow_the_table(spark, monkeypatch):
+    before = sorted(map(str, X.detections(spark, SF).collect()))
+    monkeypatch.setattr(X, "TASK_ROWS", 100)
+    lines = X.table(spark, SF, "lineitem")
+    assert X.spread(lines, ["l_orderkey", "l_linenumber"]).rdd.getNumPartitions() >= lines.count() / 100
+    assert sorted(map(str, X.detections(spark, SF).collect())) == before
+
+
 def test_amplitudes_are_copied_to_a_fixed_number_of_shares(spark, monkeypatch, capsys):
     monkeypatch.setattr(L, "SHARES", 3, raising=False)
     amps = spark.createDataFrame([(s, t, b, s + 0.5 * t + b) for s in range(5) for t in (0, 1) for b in (0, 1)], "sample_id long, tmpl long, band long, amp double")
