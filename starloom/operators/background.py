@@ -14,6 +14,8 @@ from starloom.operators.bins import bin_index
 from starloom.operators.quantiles import exact_quantiles
 from starloom.session import cut_lineage
 
+HELD = 1 << 17  # pixels of maps that a task holds at a time
+
 
 def _wave(fn, order: Column, at: Column, length: float, shift: float = 0.0) -> Column:
     return fn((order + (1.0 - shift)) * math.pi * at / float(length))
@@ -37,28 +39,57 @@ def synthesise(coeffs: DataFrame, height: int, width: int, keys: Sequence[str] =
     """Map of each coefficient set (keys, i, j, k, value).
 
     The sum over modes separates: first over j for every row of the map, then
-    over i for every pixel. So a coefficient is copied along one axis only, and
-    no task holds a basis. (A join with a basis on (i, j, k) would put the whole
-    job on as many keys as there are modes.)
+    over i for every pixel. One map's coefficients, at most 4 n^2 numbers, are
+    one row of arrays; tasks turn some of them at a time into lines of their maps,
+    so only coefficients are shuffled and no sum per pixel is kept. An incomplete
+    coefficient adds nothing; a map without any mode i has no values.
     """
-    ys = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(height - 1).cast("bigint")))
-    xs = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(width - 1).cast("bigint")))
-    sy = _wave(F.sin, F.col("j"), F.col("row_"), height)
-    cy = _wave(F.cos, F.col("j"), F.col("row_"), height)
-    # k = 0, 1 carry sin x, k = 2, 3 cos x; even k carries sin y, odd k cos y.
-    part = F.col("value") * F.when(F.col("k") % 2 == 0, sy).otherwise(cy)
-    rows = (
-        coeffs.withColumn("row_", ys)
-        .groupBy(*keys, "i", "row_")
-        .agg(F.sum(F.when(F.col("k") < 2, part)).alias("s"), F.sum(F.when(F.col("k") >= 2, part)).alias("c"))
-    )
-    sx = _wave(F.sin, F.col("i"), F.col("col_"), width)
-    cx = _wave(F.cos, F.col("i"), F.col("col_"), width)
-    zero = F.lit(0.0)
-    return (
-        rows.withColumn("col_", xs)
-        .groupBy(*keys, "row_", "col_")
-        .agg(F.sum(F.coalesce("s", zero) * sx + F.coalesce("c", zero) * cx).alias("model"))
+    given = F.col("i").isNotNull() & F.col("j").isNotNull() & F.col("k").isNotNull() & F.col("value").isNotNull()
+    term = F.struct(*[F.col(c).cast("double").alias(c) for c in ("i", "j", "k", "value")])
+    packed = coeffs.groupBy(*keys).agg(F.collect_list(F.when(given, term)).alias("_c"), F.count("i").alias("_modes"))
+    packed = packed.select(*keys, "_modes", *[F.col(f"_c.{c}").alias(f"_{c}") for c in ("i", "j", "k", "value")])
+    names = list(keys)
+    columns, lines = np.arange(width), max(1, HELD // width)
+
+    def turn(pdf: pd.DataFrame, first: int, last: int) -> np.ndarray:
+        """Rows first to last - 1 of the maps of pdf."""
+        sizes = [len(c) for c in pdf["_i"]]
+        i, j, k, value = (np.concatenate(pdf[f"_{c}"].to_list()) for c in ("i", "j", "k", "value"))
+        out = np.zeros((len(pdf), last - first, width))
+        if not len(i):
+            return out
+        at = np.repeat(np.arange(len(pdf)), sizes)
+        order = np.lexsort((i, at))
+        i, j, k, value, at = i[order], j[order], k[order], value[order], at[order]
+        angle = (j + 1.0)[:, None] * math.pi * np.arange(first, last) / float(height)
+        # k = 0, 1 carry sin x, k = 2, 3 cos x; even k carries sin y, odd k cos y.
+        part = value[:, None] * np.where((k % 2 == 0)[:, None], np.sin(angle), np.cos(angle))
+        starts = np.flatnonzero(np.append(True, (at[1:] != at[:-1]) | (i[1:] != i[:-1])))
+        s = np.add.reduceat(np.where((k < 2)[:, None], part, 0.0), starts)
+        c = np.add.reduceat(np.where((k >= 2)[:, None], part, 0.0), starts)
+        at, i = at[starts], i[starts]
+        place = np.arange(len(at)) - np.searchsorted(at, at)  # which mode of its map
+        for mode in range(place.max() + 1):
+            now = place == mode
+            wave = (i[now] + 1.0)[:, None] * math.pi * columns / float(width)
+            out[at[now]] += s[now][:, :, None] * np.sin(wave)[:, None, :] + c[now][:, :, None] * np.cos(wave)[:, None, :]
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for first in range(0, height, lines):
+                last = min(height, first + lines)
+                step = max(1, HELD // (width * (last - first)))
+                for start in range(0, len(batch), step):
+                    pdf = batch.iloc[start : start + step]
+                    z = turn(pdf, first, last).reshape(-1, width)
+                    rows = pdf[names].loc[pdf.index.repeat(last - first)].reset_index(drop=True)
+                    yield rows.assign(_modes=np.repeat(pdf["_modes"].to_numpy(), last - first), row_=np.tile(np.arange(first, last), len(pdf)), _v=list(z))
+
+    fields = ", ".join(f"{k} {dict(coeffs.dtypes)[k]}" for k in names)
+    done = packed.mapInPandas(run, f"{fields}, _modes bigint, row_ bigint, _v array<double>")
+    return done.select(*keys, "row_", "_modes", F.posexplode("_v").alias("_at", "_model")).select(
+        *keys, "row_", F.col("_at").cast("bigint").alias("col_"), F.when(F.col("_modes") > 0, F.col("_model")).alias("model")
     )
 
 

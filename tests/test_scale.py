@@ -69,6 +69,28 @@ def test_tasks_of_the_detections_follow_the_table(spark, monkeypatch):
     assert sorted(map(str, X.detections(spark, SF).collect())) == before
 
 
+@pytest.mark.parametrize("held", [1, 1 << 17])
+def test_synthesis_shuffles_coefficients_only(spark, capsys, monkeypatch, held):
+    monkeypatch.setattr(B, "HELD", held, raising=False)
+    rng = np.random.default_rng(9)
+    rows = [(s, i, j, k, float(rng.random())) for s in range(7) for i in range(s % 3 + 1) for j in range(2) for k in range(4)]
+    rows += [(3, 0, 0, 0, 2.0), (3, 0, 0, 1, None), (8, None, 0, 0, 1.0), (9, 0, None, 0, 1.0), (None, 0, 0, 3, 1.5)]
+    out = B.synthesise(spark.createDataFrame(rows, "sample_id long, i long, j long, k long, value double"), 6, 5)
+    assert "sum(" not in plan(out, capsys)
+    got = {(r.sample_id, r.row_, r.col_): r.model for r in out.collect()}
+    assert len(got) == 10 * 30
+    for (s, y, x), v in got.items():
+        if s == 8:
+            assert v is None
+            continue
+        want = 0.0
+        for q, i, j, k, c in rows:
+            if q == s and None not in (i, j, c):
+                ax, ay = (i + 1) * math.pi * x / 5, (j + 1) * math.pi * y / 6
+                want += c * (math.sin(ax) if k < 2 else math.cos(ax)) * (math.sin(ay) if k % 2 == 0 else math.cos(ay))
+        assert abs(v - want) < 1e-9
+
+
 def test_amplitudes_are_copied_to_a_fixed_number_of_shares(spark, monkeypatch, capsys):
     monkeypatch.setattr(L, "SHARES", 3, raising=False)
     amps = spark.createDataFrame([(s, t, b, s + 0.5 * t + b) for s in range(5) for t in (0, 1) for b in (0, 1)], "sample_id long, tmpl long, band long, amp double")
