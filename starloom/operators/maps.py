@@ -271,13 +271,14 @@ def cutout(pixels: DataFrame, centres: DataFrame, size: int) -> DataFrame:
 
 def pad(pixels: DataFrame, side: int, values: Sequence[str], pivot: int | None = None) -> DataFrame:
     """Copy each map into a square; zero outside it and beyond the pivot. Zero
-    rows and pixels meet in one sum instead of a join."""
-    zeros = full_grid(pixels.select("map_id").distinct(), side, side).select(
-        *PIXEL, *[F.lit(0.0).alias(v) for v in values]
-    )
+    rows and pixels meet in one sum instead of a join. Hardly any two of them are
+    the same pixel, so they are summed after the shuffle only; and the lines of
+    the squares are dealt before they become pixels."""
+    lines = pixels.select("map_id").distinct().withColumn("row_", _range(0, side - 1)).repartition("map_id", "row_")
+    zeros = lines.withColumn("col_", _range(0, side - 1)).select(*PIXEL, *[F.lit(0.0).alias(v) for v in values])
     limit = side if pivot is None else min(side, pivot)
     inside = pixels.where((F.col("row_") < limit) & (F.col("col_") < limit)).select(*PIXEL, *values)
-    return zeros.unionByName(inside).groupBy(*PIXEL).agg(*[F.sum(v).alias(v) for v in values])
+    return zeros.unionByName(inside).repartition(*PIXEL).groupBy(*PIXEL).agg(*[F.sum(v).alias(v) for v in values])
 
 
 def upsample(grid: DataFrame, k: int, height: int, width: int, value: str = "image", keys: Sequence[str] = ("map_id",)) -> DataFrame:

@@ -69,6 +69,15 @@ def test_tasks_of_the_detections_follow_the_table(spark, monkeypatch):
     assert sorted(map(str, X.detections(spark, SF).collect())) == before
 
 
+def test_padded_pixels_are_summed_after_the_shuffle(spark, capsys):
+    px = spark.createDataFrame([(0, 0, 0, 1.0), (0, 0, 0, 2.0), (0, 1, 1, None), (0, 3, 3, 9.0), (None, 1, 0, 4.0)], "map_id long, row_ long, col_ long, image double")
+    out = G.pad(px, 5, ["image"], pivot=3)
+    text = plan(out, capsys)
+    assert text.index("partial_sum") < text.index("REPARTITION_BY_COL")
+    got = {(r.map_id, r.row_, r.col_): r.image for r in out.collect()}
+    assert len(got) == 50 and {k: v for k, v in got.items() if v} == {(0, 0, 0): 3.0, (None, 1, 0): 4.0} and None not in got.values()
+
+
 @pytest.mark.parametrize("held", [1, 1 << 17])
 def test_synthesis_shuffles_coefficients_only(spark, capsys, monkeypatch, held):
     monkeypatch.setattr(B, "HELD", held, raising=False)
