@@ -18,6 +18,19 @@ def bin_index(value: Column, edges: Sequence[float], last_closed: bool = False)
     return F.when((value >= F.lit(float(edges[0]))) & top, index)
 
 
+def in_bins(value: Column, edges: Sequence[float], last_closed: bool = False) -> Column:
+    """Whether some bar holds `value`."""
+    top = value <= F.lit(float(edges[-1])) if last_closed else value < F.lit(float(edges[-1]))
+    return (value >= F.lit(float(edges[0]))) & top
+
+
+def held_bin(value: Column, edges: Sequence[float], last_closed: bool = False) -> Column:
+    """bin_index of a value that is in_bins, for a key. Its type has no NULL: where a bin
+    may be NULL, the optimizer moves the test for it, from a filter or a join on the bin,
+    below whatever makes the value, which is then made once for every edge."""
+    return F.coalesce(bin_index(value, edges, last_closed), F.lit(-1).cast("bigint"))
+
+
 def edge_table(spark: SparkSession, edges: Sequence[float]) -> DataFrame:
     """(bin, lo, hi) for every bar, so empty bars can be filled in."""
     table = F.array(*[F.lit(float(e)) for e in edges])

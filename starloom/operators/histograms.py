@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from starloom.operators.bins import bin_index, edge_table, fill_bins
+from starloom.operators.bins import bin_index, edge_table, fill_bins, held_bin, in_bins
 
 
 def histogram(
@@ -16,8 +16,8 @@ def histogram(
     `density` also count / (total * width). `by` gives one histogram per group;
     `groups` lists the groups, so that one without rows gets empty bars."""
     counted = (
-        df.select(*by, bin_index(F.col(column), edges, last_closed=True).alias("bin"))
-        .where(F.col("bin").isNotNull())
+        df.where(in_bins(F.col(column), edges, last_closed=True))
+        .select(*by, held_bin(F.col(column), edges, last_closed=True).alias("bin"))
         .groupBy(*by, "bin")
         .agg(F.count(F.lit(1)).alias("n"))
     )
@@ -95,8 +95,8 @@ def density2d(
     normalising window runs over the cells of the grid, not over the rows."""
     nx, ny = len(x_edges) - 1, len(y_edges) - 1
     counted = (
-        df.select(bin_index(F.col(x), x_edges, True).alias("bx"), bin_index(F.col(y), y_edges, True).alias("by_"))
-        .where(F.col("bx").isNotNull() & F.col("by_").isNotNull())
+        df.where(in_bins(F.col(x), x_edges, True) & in_bins(F.col(y), y_edges, True))
+        .select(held_bin(F.col(x), x_edges, True).alias("bx"), held_bin(F.col(y), y_edges, True).alias("by_"))
         .groupBy("bx", "by_")
         .agg(F.count(F.lit(1)).alias("n"))
     )

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from starloom.operators import background as B, lookups as L, maps as G, matching as M
+from starloom.operators import background as B, histograms as H, lookups as L, maps as G, matching as M
 from starloom.sources import fixtures as X
 
 SF = "/root/testdata/sf0.001"
@@ -147,3 +147,17 @@ def test_rendering_shuffles_sources_only(spark, capsys, monkeypatch, stamped):
     got = {(r.sample_id, r.row_, r.col_): (r.f0, r.f1) for r in out.collect()}
     assert got.keys() == want.keys()
     assert all((a is None) == (b is None) and (a is None or abs(a - b) < 1e-9) for k, v in want.items() for a, b in zip(got[k], v))
+
+
+def test_values_to_bin_are_made_once(spark, capsys):
+    edges = [0.0, 1.0, 2.5, 3.0, 7.0, 10.0]
+    values = [-0.1, 0.0, 0.99, 1.0, 2.5, 3.0, 6.0, 10.0, 10.1, float("nan"), None]
+    df = spark.createDataFrame([(v, w) for v in values for w in values], "a double, b double")
+    made = df.select(F.sqrt(F.col("a") * F.col("a") * F.sign("a")).alias("x"), F.col("b").alias("y"))
+    out = H.density2d(made, edges, edges)
+    filters = [line for line in plan(out, capsys).splitlines() if "Filter" in line]
+    assert filters and all(line.count("SQRT") <= 2 for line in filters)
+    xy = np.array([v for v in values if v is not None and v == v and 0 <= v <= 10])
+    want = np.histogram2d(np.repeat(xy, len(xy)), np.tile(xy, len(xy)), [edges, edges])[0]
+    assert {(r.bx, r.by_): r.n for r in out.collect()} == {(i, j): want[i, j] for i in range(5) for j in range(5)}
+    assert [r.n for r in H.histogram(made, "y", edges).orderBy("bin").collect()] == (np.histogram(xy, edges)[0] * len(values)).tolist()
