@@ -144,3 +144,20 @@ def test_templates_without_broadcast(spark):
         assert "_br" in next(line for line in plan.splitlines() if "Join" in line)
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_detections_are_numbered_once(spark, tmp_path):
+    """Repeated lines count once, repeated parts as often as they are there; uses read the numbered rows."""
+    from starloom.sources.fixtures import detections
+
+    lines = [(o, o % 7, 1 + o % 3, float(o % 50), 0.01 * (o % 5), 0.02) for o in range(600)]
+    names = "l_orderkey long, l_partkey long, l_linenumber int, l_quantity double, l_discount double, l_tax double"
+    spark.createDataFrame([*lines, *lines[:200]], names).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k,) for k in (0, 1, 2, 3, 4, 5, 5)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    det = detections(spark, str(tmp_path), slots=True)
+    assert not any("lineitem" in f for f in det.inputFiles())
+    got = det.toPandas()
+    assert len(got) == sum((k % 7 < 6) + (k % 7 == 5) for k in range(600))
+    for _, group in got.groupby(["field_id", "sample_id"]):
+        group = group.sort_values("src")
+        assert list(group.src) == list(range(len(group))) and group.f0.is_monotonic_decreasing
