@@ -160,3 +160,24 @@ def test_condense_of_single_claims(spark):
     got = {r.seed: r for r in C.condense(claims, ens, "seed").collect()}
     assert got[1].confidence == 1.0 and abs(got[1].err_x - 0.17) < 1e-12 and got[1].mean_f0 == 6.0
     assert got[2].confidence == 0.5 and got[2].err_x == 0.0 and got[2].hipct_f0 is None
+
+
+def test_few_pairs_are_listed_once_and_not_searched_for_twice(monkeypatch):
+    """A block with few pairs is pruned from one list of them, with the edges of the longer way."""
+    rng = np.random.default_rng(11)
+    n, radius = 400, 0.75
+    t = {
+        "x": np.round(rng.random(n) * 4, 1), "y": np.round(rng.random(n) * 4, 1), "f0": rng.integers(1, 9, n).astype(float),
+        "id": rng.permutation(n), "sample_id": rng.integers(0, 7, n), "_own": rng.random(n) < 0.7, "_shares": np.ones(n, dtype=int),
+    }
+    edges = lambda: sorted(zip(*(np.concatenate(c).tolist() for c in zip(*C._pruned(dict(t), radius)))))
+    monkeypatch.setattr(C, "LOOKED_AT", 0)
+    want = edges()
+    monkeypatch.undo()
+    monkeypatch.setattr(C.blocks, "pairs_within", None)
+    assert edges() == want and len(want) > 100
+    i, j, _ = C.blocks.close_pairs(t["x"], t["y"], radius, 1 << 20)
+    d2 = (t["x"][:, None] - t["x"]) ** 2 + (t["y"][:, None] - t["y"]) ** 2
+    near = np.argwhere(np.triu(d2 <= radius * radius, 1))
+    assert sorted(map(tuple, np.sort(np.stack([i, j], 1), 1).tolist())) == sorted(map(tuple, near.tolist()))
+    assert C.blocks.close_pairs(t["x"], t["y"], radius, 100) is None
