@@ -181,3 +181,18 @@ def test_few_pairs_are_listed_once_and_not_searched_for_twice(monkeypatch):
     near = np.argwhere(np.triu(d2 <= radius * radius, 1))
     assert sorted(map(tuple, np.sort(np.stack([i, j], 1), 1).tolist())) == sorted(map(tuple, near.tolist()))
     assert C.blocks.close_pairs(t["x"], t["y"], radius, 100) is None
+
+
+def test_group_stats_sort_values_by_batch(spark):
+    """Means and percentiles of many short groups: nulls left out, groups that batches cut, no hash map per group."""
+    rng = np.random.default_rng(5)
+    rows = [(int(k), None if v < -1 else float(v)) for k, v in zip(rng.integers(0, 4000, 30_000), rng.normal(size=30_000))]
+    df = spark.createDataFrame([*rows, (None, 1.0), (None, 2.0), (-1, None)], "k long, v double").repartition(2)
+    out = C._group_stats(df, ["k"], ["v"], (0.16, 0.84))
+    assert "ObjectHashAggregate" not in out._jdf.queryExecution().executedPlan().toString()
+    want = df.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("mean_v"), F.percentile("v", F.array(F.lit(0.16), F.lit(0.84))).alias("p"))
+    got = {r[0]: r[1:] for r in out.collect()}
+    assert len(got) == want.count()
+    for r in want.collect():
+        assert got[r.k][0] == r.n and list(got[r.k][2:]) == (r.p or [None, None])
+        assert got[r.k][1] == (None if r.mean_v is None else pytest.approx(r.mean_v, abs=1e-12))
