@@ -25,17 +25,15 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from array import array
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute  # noqa: F401
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from starloom.llm.common import SLICE, map_rows, per_process, slices
+from starloom.llm.common import SLICE, map_rows, slices
 from starloom.session import cut_lineage
 
 MAX_LABELLED = 8_000  # labelled rows to fit on: four fifths train, one fifth calibrates
@@ -47,14 +45,14 @@ BEGINNINGS = (3, 5, 7)  # characters
 OFTEN = (2, 4, 8)     # times from which a word, beginning or sign is a feature of its own
 CONTENT = READ * (1 + len(OFTEN))
 METADATA = 1 << 10    # hashed languages, sources and steps of the layout's measures
-REMEMBERED = 400_000  # words whose features a worker remembers; beyond, it begins anew
-COUNTED = 100_000     # different words that a worker counts before it adds them up by place
+LONGEST = 64          # bytes up to which words are hashed together
 TARGETS = ("quality", "clean")
 WIDTHS = {"content": CONTENT, "metadata": METADATA}
 
 EDGES = re.compile(r"^[^\w]+|[^\w]+$")
 BEGUN = zlib.crc32(b"\1")
 SIGNS = re.compile(r"[^\w\s.,;:?'\"()-]+")
+PUNCTUATION = ".,;:?'\"()-"  # edges of words that are no signs
 
 
 def word_ids(word: str) -> tuple[int, ...]:
@@ -74,43 +72,111 @@ def word_ids(word: str) -> tuple[int, ...]:
     return tuple(found) if plain else tuple(found + [zlib.crc32(b"\0" + x.encode()) % PLACES for x in SIGNS.findall(word)])
 
 
-def content_ids(texts: list[str], read: np.ndarray) -> Sparse:
+def checksum_table() -> np.ndarray:
+    table = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        table = np.where(table & 1, (table >> 1) ^ np.uint32(0xEDB88320), table >> 1)
+    return table
+
+
+CHECKSUM = checksum_table()
+
+
+def checksums(data: np.ndarray, start: np.ndarray, size: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """zlib.crc32(data[start:start + size], first) of many short strings at once, a byte of each at a time."""
+    order = np.argsort(-size, kind="stable")
+    at, sums = start[order], ~first[order]
+    left = len(size) - np.cumsum(np.bincount(size)) if len(size) else []  # strings of more than j bytes
+    for j, m in enumerate(left[:-1]):
+        sums[:m] = CHECKSUM[(sums[:m] ^ data[at[:m] + j]) & 255] ^ (sums[:m] >> 8)
+    out = np.empty_like(sums)
+    out[order] = ~sums
+    return out
+
+
+def places_of(words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+    """(number of the word, place) of all word_ids of the words, by word.
+
+    Words of letters and digits within punctuation are hashed together, the others by word_ids.
+    """
+    bare = pc.utf8_trim(words, characters=PUNCTUATION)
+    plain = pc.and_(pc.utf8_is_alnum(bare), pc.less_equal(pc.binary_length(bare), LONGEST))
+    # Python lowers these by their neighbours or to two characters.
+    plain = pc.and_not(plain, pc.match_substring_regex(bare, "[\u0130\u03a3]")).to_numpy(zero_copy_only=False)
+    own = np.flatnonzero(plain)
+    lower = pc.utf8_lower(bare.take(pa.array(own)))
+    data = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), lower), "").cast(pa.binary())[0].as_buffer(), np.uint8)
+    size = pc.binary_length(lower).to_numpy().astype(np.int64)
+    start = np.cumsum(size) - size
+    chars = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # where characters begin
+    length = pc.utf8_length(lower).to_numpy().astype(np.int64)
+    first = np.cumsum(length) - length
+    found = [(own, checksums(data, start, size, np.zeros(len(own), np.uint32)))]
+    at, sums = np.zeros(len(own), np.int64), np.full(len(own), BEGUN, np.uint32)
+    for k in BEGINNINGS:  # the checksum goes on from beginning to beginning
+        longer = np.flatnonzero(length > k)
+        end = chars[first[longer] + k] - start[longer]
+        sums[longer] = checksums(data, start[longer] + at[longer], end - at[longer], sums[longer])
+        at[longer] = end
+        found.append((own[longer], sums[longer]))
+    odd = np.flatnonzero(~plain)
+    hashed = [word_ids(w) for w in words.take(pa.array(odd)).to_numpy(zero_copy_only=False)]
+    found.append((np.repeat(odd, [len(h) for h in hashed]), np.array([p for h in hashed for p in h], np.int64)))
+    word, place = (np.concatenate([f[k] for f in found]).astype(np.int64) for k in (0, 1))
+    order = np.argsort(word, kind="stable")
+    return word[order], place[order] % PLACES
+
+
+@dataclass
+class Words:
+    """Words of some texts: the different ones (the empty one may be among them), and of each occurrence the word's number and the text."""
+
+    words: pa.StringArray
+    token: np.ndarray
+    owner: np.ndarray
+    texts: list[str]
+
+    @staticmethod
+    def of(texts: list[str | None]) -> Words:
+        texts = [t or "" for t in texts]
+        split = pc.utf8_split_whitespace(pa.array(texts, pa.string()))
+        coded = split.flatten().dictionary_encode()
+        return Words(coded.dictionary, coded.indices.to_numpy().astype(np.int64), np.repeat(np.arange(len(texts)), split.value_lengths().to_numpy()), texts)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """(word, text), once for each."""
+        both = np.unique(self.owner * len(self.words) + self.token)
+        return both % len(self.words), both // len(self.words)
+
+    def per_text(self) -> np.ndarray:
+        """Of each text its words, their characters, those in upper case and the different ones."""
+        size = pc.utf8_length(self.words).to_numpy()
+        upper = np.fromiter(map(str.isupper, self.words.to_numpy(zero_copy_only=False)), bool, len(size))
+        word, text = self.pairs()
+        add = lambda owner, weights: np.bincount(owner, weights=weights, minlength=len(self.texts)).astype(np.int64)
+        return np.stack([add(self.owner, (size > 0)[self.token]), add(self.owner, size[self.token]), add(self.owner, upper[self.token]), add(text, (size > 0)[word])], axis=1)
+
+
+def content_ids(told: Words, read: np.ndarray) -> Sparse:
     """Words, beginnings of words and sign runs of each text, of those that are read, with the steps of their counts.
 
     read: the number of each hashed place, -1 if it isn't read. A feature's number is
     that of its place times four, plus the step.
     """
-    known, start, flat = per_process("cotraining", ("words", zlib.crc32(read)), lambda: ({}, array("q", [0]), array("i")))
-    if len(known) > REMEMBERED:
-        known.clear()
-        del start[1:], flat[:]
-    numbers: list[int] = []  # of the texts' distinct words
-    times: list[int] = []
-    ends = []
-    for text in texts:
-        words = Counter(text.split())
-        for word in words:
-            got = known.get(word)
-            if got is None:
-                got = known[word] = len(start) - 1
-                flat.extend([n for k in word_ids(word) if (n := read[k]) >= 0])
-                start.append(len(flat))
-            numbers.append(got)
-        times += words.values()
-        ends.append(len(numbers))
-    number, begin = np.array(numbers, np.int64), np.array(start, np.int64)
-    width = begin[number + 1] - begin[number]
-    at = np.repeat(begin[number] - (np.cumsum(width) - width), width) + np.arange(width.sum())
-    owner = np.repeat(np.repeat(np.arange(len(texts)) * READ, np.diff([0, *ends])), width)
-    ids = np.frombuffer(flat, np.int32)[at] + owner if len(at) else owner
-    # Text, feature and count (to 15) in one number.
-    packed = np.sort(ids << 4 | np.repeat(np.minimum(np.array(times, np.int64), 15), width))
-    ids = packed >> 4
-    first = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]][: len(ids)])
-    ids, count = ids[first], np.add.reduceat(packed & 15, first) if len(first) else packed
+    words, token, owner = told.words, told.token, told.owner
+    word, place = places_of(words)
+    number = read[place].astype(np.int64)
+    word, number = word[number >= 0], number[number >= 0]
+    width = np.bincount(word, minlength=len(words))
+    begin = np.cumsum(width) - width
+    seen = width[token] > 0
+    token, owner = token[seen], owner[seen]
+    times = width[token]
+    at = np.repeat(begin[token] - (np.cumsum(times) - times), times) + np.arange(times.sum())
+    ids, count = np.unique(number[at] + np.repeat(owner * READ, times), return_counts=True)
     steps = 1 + len(OFTEN)
     ids = np.sort(np.concatenate([ids * steps, *(ids[count >= k] * steps + n for n, k in enumerate(OFTEN, 1))]))
-    return Sparse((ids % CONTENT).astype(np.int32), np.bincount(ids // CONTENT, minlength=len(texts)))
+    return Sparse((ids % CONTENT).astype(np.int32), np.bincount(ids // CONTENT, minlength=len(told.texts)))
 
 
 KNOWN_SIGNS: dict[str, bool] = {}
@@ -128,20 +194,18 @@ def sign_chars(text: str) -> int:
     return total
 
 
-def metadata_ids(lang: str | None, source: str | None, text: str) -> list[int]:
-    """Hashed language, source and steps of the layout's measures."""
+def metadata_ids(lang: str | None, source: str | None, text: str, words: int, letters: int, upper: int, types: int) -> list[int]:
+    """Hashed language, source and steps of the layout's measures; words and what follows: as told by Words.per_text."""
     n = len(text) or 1
-    words = text.split()
     lines = text.split("\n")
-    letters = sum(map(len, words)) or 1
-    upper = sum(map(str.isupper, words)) / (len(words) or 1)
+    letters = letters or 1
     signs = sign_chars(text)
     digits = sum(map(text.count, "0123456789"))
     measures = {
-        "chars": math.log2(n), "words": math.log2(len(words) + 1), "lines": math.log2(len(lines)),
-        "line": math.log2(n / len(lines) + 1), "word": letters / (len(words) or 1),
-        "upper": 10 * upper, "signs": min(20.0, 40 * signs / letters), "digits": min(20.0, 40 * digits / letters),
-        "types": 10 * len(set(words)) / (len(words) or 1), "same_lines": 10 * len(set(lines)) / len(lines),
+        "chars": math.log2(n), "words": math.log2(words + 1), "lines": math.log2(len(lines)),
+        "line": math.log2(n / len(lines) + 1), "word": letters / (words or 1),
+        "upper": 10 * (upper / (words or 1)), "signs": min(20.0, 40 * signs / letters), "digits": min(20.0, 40 * digits / letters),
+        "types": 10 * types / (words or 1), "same_lines": 10 * len(set(lines)) / len(lines),
     }
     named = [f"lang={lang}", f"source={source}", *(f"{k}={round(v)}" for k, v in measures.items())]
     return [zlib.crc32(x.encode()) % METADATA for x in named]
@@ -336,8 +400,8 @@ def sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
     return rows.groupBy("id").agg(F.min_by(F.struct("text", "lang", "source", *TARGETS), F.xxhash64("text", "lang", "source")).alias("row")).select("id", "row.*")
 
 
-def metadata_of(part: dict[str, list]) -> list[list[int]]:
-    return [sorted(set(metadata_ids(a, b, t or ""))) for a, b, t in zip(part["lang"], part["source"], part["text"])]
+def metadata_of(part: dict[str, list], told: Words) -> list[list[int]]:
+    return [sorted(set(metadata_ids(*row, *counts))) for *row, counts in zip(part["lang"], part["source"], told.texts, told.per_text().tolist())]
 
 
 def word_counts(docs: DataFrame, sampled, starts) -> DataFrame:
@@ -351,46 +415,28 @@ def word_counts(docs: DataFrame, sampled, starts) -> DataFrame:
         labels, models = sampled.value, starts.value
         sums = np.zeros((len(TARGETS), 2, PLACES), np.int32)
         rows = np.zeros((len(TARGETS), 2), np.int64)
-        # By what is known of a row: good, bad or nothing for each target.
-        counts: dict[tuple[int, ...], Counter] = {}
-
-        def flush() -> None:
-            places: dict[str, tuple[int, ...]] = {}
-            for told, words in counts.items():
-                at, n = array("i"), array("i")
-                for word, times in words.items():
-                    own = places.get(word)
-                    if own is None:
-                        own = places[word] = tuple(set(word_ids(word)))
-                    at.extend(own)
-                    n.extend([times] * len(own))
-                total = np.bincount(np.frombuffer(at, np.int32), weights=np.frombuffer(n, np.int32), minlength=PLACES).astype(np.int32) if at else 0
-                for t, c in enumerate(told):
-                    if c >= 0:
-                        sums[t, c] += total
-            counts.clear()
-
         for part in slices(batches):
-            texts = [(t or "").split() for t in part["text"]]
-            meta = Sparse.of(metadata_of(part))
-            label = np.full((len(texts), len(TARGETS)), -1)
+            words = Words.of(part["text"])
+            meta = Sparse.of(metadata_of(part, words))
+            label = np.full((len(part["id"]), len(TARGETS)), -1)
             for t, target in enumerate(TARGETS):
                 if target in models:
                     w, own = models[target]
                     p = sigmoid(np.clip(meta.dot(w[:-1]) + w[-1], -12, 12) * own[0] + own[1])
                     label[:, t] = np.where(p >= SURE[-1], 1, np.where(p <= 1 - SURE[-1], 0, -1))
-            for row, (key, words) in enumerate(zip(part["id"], texts)):
+            for row, key in enumerate(part["id"]):
                 if key in labels:
                     label[row] = [-1 if v is None or target not in models else int(v) for target, v in zip(TARGETS, labels[key])]
-                told = tuple(label[row].tolist())
-                if max(told) >= 0:
-                    counts.setdefault(told, Counter()).update(set(words))
-                    for t, c in enumerate(told):
-                        if c >= 0:
-                            rows[t, c] += 1
-            if sum(map(len, counts.values())) > COUNTED:
-                flush()
-        flush()
+            # A word counts once a row, a place once a word.
+            token, owner = words.pairs()
+            word, place = places_of(words.words)
+            both = np.unique(word * PLACES + place)
+            word, place = both // PLACES, both % PLACES
+            for t in range(len(TARGETS)):
+                for c in (0, 1):
+                    rows[t, c] += np.count_nonzero(label[:, t] == c)
+                    times = np.bincount(token[label[owner, t] == c], minlength=len(words.words)).astype(np.int32)
+                    np.add.at(sums[t, c], place, times[word])
         for t in range(len(TARGETS)):
             places = np.flatnonzero(sums[t].any(axis=0))
             columns = [np.full(len(places) + 1, t), np.append(places, -1), *(np.append(sums[t, c, places], rows[t, c]) for c in (1, 0))]
@@ -420,7 +466,8 @@ def features(rows: DataFrame, read, more: str = "") -> DataFrame:
     names = [c.split(" ")[0] for c in more.split(", ") if c]
 
     def made(part: dict[str, list]) -> dict[str, object]:
-        return {"content": content_ids([t or "" for t in part["text"]], read.value).rows(), "metadata": metadata_of(part)} | {c: part[c] for c in names}
+        words = Words.of(part["text"])
+        return {"content": content_ids(words, read.value).rows(), "metadata": metadata_of(part, words)} | {c: part[c] for c in names}
 
     return map_rows(rows, made, "content array<int>, metadata array<int>" + (f", {more}" if more else ""))
 
@@ -459,7 +506,7 @@ def exchange(rows: DataFrame, models: dict, sampled, sure: float) -> dict[str, d
     found = told.groupBy("side", "place").agg(*(F.sum(c).alias(c) for c in SUMMED[2:])).toArrow()
     out: dict[str, dict[str, Sums]] = {t: {} for t in models}
     for side, (target, view) in enumerate(sides):
-        own = found.filter(pa.compute.equal(found["side"], side))
+        own = found.filter(pc.equal(found["side"], side))
         place = own["place"].to_numpy()
         values = np.stack([own[c].to_numpy() for c in SUMMED[2:]]).reshape(2, 3, -1)
         inside = place >= 0
@@ -477,7 +524,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED)
     """
     sc = docs.sparkSession.sparkContext
     rows = cut_lineage(sample(docs, labels, max_labelled))
-    told = map_rows(rows, lambda part: {"metadata": metadata_of(part)} | {c: part[c] for c in ("id", *TARGETS)}, f"metadata array<int>, id {rows.schema['id'].dataType.simpleString()}, quality boolean, clean boolean").toArrow()
+    told = map_rows(rows, lambda part: {"metadata": metadata_of(part, Words.of(part["text"]))} | {c: part[c] for c in ("id", *TARGETS)}, f"metadata array<int>, id {rows.schema['id'].dataType.simpleString()}, quality boolean, clean boolean").toArrow()
     ids = told["id"].to_pylist()
     # In the order of a hash, so that every fifth is a fair sample.
     order = sorted(range(len(ids)), key=lambda k: (zlib.crc32(str(ids[k]).encode()), str(ids[k])))
@@ -576,7 +623,8 @@ def good_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
             for at in range(0, batch.num_rows, SLICE):
                 part = batch.slice(at, SLICE)
                 told = {c: [None if v is None else str(v) for v in part.column(names.index(col)).to_pylist()] for c, col in (("text", text_col), ("lang", lang_col), ("source", source_col))}
-                found = content_ids([t or "" for t in told["text"]], read.value), Sparse.of(metadata_of(told))
+                words = Words.of(told["text"])
+                found = content_ids(words, read.value), Sparse.of(metadata_of(told, words))
                 yield part.filter(pa.array(scores(shared.value, *found)[2]))
 
     return docs.mapInArrow(kept, docs.schema)

@@ -3,6 +3,7 @@
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,3 +116,21 @@ def test_words_of_unlabelled_rows_are_learned(spark):
     hidden = [k for k in range(900, 2400) if k % 2 == 0]
     assert np.mean([got[k].content_score < 0.5 for k in hidden if k % 3 == 0]) > 0.9
     assert np.mean([got[k].content_score > 0.5 for k in hidden if k % 3]) > 0.9
+
+
+def test_words_are_hashed_together(monkeypatch):
+    """places_of says what word_ids says, and asks it only for words with signs inside and the like."""
+    rng = np.random.default_rng(3)
+    letters = list("abcXYZ019.,;:?!'\"()-_#*@éßÖİΣσς中٣’🙂")
+    words = sorted({"".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(3000)} | {"", "a" * 64, "a" * 65, "é" * 33, "Straße", "(Über-)"})
+    want = [sorted(C.word_ids(w)) for w in words]
+    told = C.Words.of([" ".join(words), None, " ", "A bc  bc D."])
+    assert set(told.words.to_pylist()) == set(words) | {"A", "bc", "D."}
+    assert told.per_text()[1:].tolist() == [[0, 0, 0, 0], [0, 0, 0, 0], [4, 7, 2, 3]]
+    asked, ask = [], C.word_ids
+    monkeypatch.setattr(C, "word_ids", lambda w: asked.append(w) or ask(w))
+    number, place = C.places_of(pa.array(words))
+    assert [sorted(place[number == k].tolist()) for k in range(len(words))] == want
+    assert not any(w.strip(C.PUNCTUATION).isascii() and w.strip(C.PUNCTUATION).isalnum() and len(w) < 64 for w in asked)
+    for no in ([], [""], ["..."]):
+        assert len(C.places_of(pa.array(no, pa.string()))[0]) == 0
