@@ -23,6 +23,11 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return bagminhash.without_near_duplicates(docs)
 
 
+def repeated_words(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without runs of over 50 words that occur twice, however few bytes they have; what is emptied goes."""
+    return repeats.strip_repeated_runs(docs, least=51).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without passages of 400 bytes or more that occur twice; what is emptied goes."""
     return repeats.strip_repeats(docs, least=400).withColumn("n_chars", F.length("text").cast("long"))
@@ -43,6 +48,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 STAGES = [
     ("quality_classifier", quality_classifier),
     ("near_dedup", near_dedup),
+    ("repeated_words", repeated_words),
     ("repeated_passages", repeated_passages),
     ("source_mixing", source_mixing),
     ("best_fit_packing", best_fit_packing),

@@ -92,3 +92,18 @@ def test_empty_table(spark, tmp_path):
     for _, stage in C.STAGES:
         docs = cut_lineage(stage(spark, docs, str(tmp_path)))
         assert docs.count() == 0
+
+
+def test_short_passages_of_over_50_words_go(spark, tmp_path):
+    """51 words of 203 bytes in two otherwise different texts, and 50 words in two more, which stay."""
+    of = lambda name, n: " ".join(f"{name}{k:02}" for k in range(n))
+    own = lambda k: " ".join(f"own{k}x{j}" for j in range(120))
+    shared, fewer = of("p", 51), of("q", 50)
+    rows = [(k, f"{own(k)} {shared if k < 2 else fewer} {own(k + 9)}", "en", f"s{k}", 5) for k in range(4)]
+    docs = clashing_docs(spark, rows)
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for name, stage in C.STAGES[:C.STAGES.index(("source_mixing", C.source_mixing))]:
+        docs = cut_lineage(stage(spark, docs, str(tmp_path)))
+    got = {r.doc_id: r for r in docs.collect()}
+    for k in range(4):
+        assert got[k].text == f"{own(k)} {'' if k < 2 else fewer} {own(k + 9)}" and got[k].n_chars == len(got[k].text)

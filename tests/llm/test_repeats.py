@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 from collections import Counter
 
 import pytest
@@ -68,3 +69,42 @@ def test_stripped_rows(spark):
     assert got == {"a": "left  right", "c": "alone", "d": "", "e": "x", "f": "alone"}
     assert repeats.strip_repeats(df, 40).columns == df.columns
     assert repeats.without_repeats(df.limit(0)).count() == 0
+
+
+def brute_runs(texts, least):
+    """Texts without runs of least words that begin twice or more."""
+    words = [(t or "").split() for t in texts]
+    counts = Counter(tuple(w[i:i + least]) for w in words for i in range(len(w) - least + 1))
+    out = []
+    for text, w in zip(texts, words):
+        gone = [False] * len(w)
+        for i in range(len(w) - least + 1):
+            if counts[tuple(w[i:i + least])] > 1:
+                gone[i:i + least] = [True] * least
+        left, end = "", 0
+        for k, m in enumerate(re.finditer(r"\S+", text or "")):
+            left += "" if gone[k] and k and gone[k - 1] else (text or "")[end:m.start()]
+            left += "" if gone[k] else m.group()
+            end = m.end()
+        out.append((text if not any(gone) else left + (text or "")[end:], any(gone)))
+    return out
+
+
+@pytest.mark.parametrize("least", [5, 20])
+def test_runs_of_words_as_brute_force(spark, least):
+    rng = random.Random(least)
+    noise = lambda n, of=900: "".join(f"w{rng.randrange(of)}é" + rng.choice([" ", " ", "\n", "  ", " "]) for _ in range(n))
+    shared = [noise(rng.randint(least // 2, 3 * least)) for _ in range(6)]
+    texts = [None, "", " \n", " ".join("a" * (least - 1)), " ".join("a" * (least + 2))]
+    for _ in range(60):
+        texts.append("".join(rng.choice([noise(rng.randint(0, least)), rng.choice(shared), rng.choice(shared)[rng.randint(0, 9):], "of " * rng.randint(0, 2 * least), noise(least, 2)]) for _ in range(rng.randint(0, 5))))
+    texts += texts[9:12]
+    df = spark.createDataFrame([(k, t, "x", b"k") for k, t in enumerate(texts)], "doc_id long, text string, kept string, key binary").repartition(3)
+    got = {r.doc_id: r for r in repeats.strip_repeated_runs(df, least).collect()}
+    for k, (want, cut) in enumerate(brute_runs(texts, least)):
+        if cut and not want.strip():
+            assert k not in got
+        else:
+            assert got[k].text == want and got[k].kept == "x" and got[k].key == b"k"
+    assert sum(c for _, c in brute_runs(texts, least)) > 20
+    assert repeats.strip_repeated_runs(df.limit(0), least).count() == 0
